@@ -7,7 +7,9 @@ modulo 2**64.  A null text is treated as the empty text everywhere.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -139,15 +141,32 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later steps neither recompute it nor
-    depend on the executors that made it."""
+    depend on the executors that made it.
+
+    release: also lets Spark delete the shuffle files of finished steps now, rather than when the driver
+    next happens to collect its garbage; worth its pause after steps that shuffle whole texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/framesieve-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for _ in range(2 * release):
+        gc.collect()
+        time.sleep(0.4)  # the driver's JVM learns of dropped references a moment later
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote, once nothing will read it again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("framesieve-"):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

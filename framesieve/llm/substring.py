@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, bound_batches, gram_hashes, materialize, text_chunks
+from .common import Tokens, bound_batches, discard, gram_hashes, materialize, text_chunks
 
 WINDOW, GRAM = 35, 10
 
@@ -215,12 +215,16 @@ def dedup(docs: DataFrame, keep: list[str], length: int = WINDOW, gram: int = GR
     texts = rows.select("key", F.col("__text").alias("text"))
     anchors = materialize(_anchors(texts, length, gram))
     again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(again, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    segments = materialize(_candidates(texts.join(wanted, "key"), length, gram))
+    wanted = materialize(anchors.join(again, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), release=True)
+    discard(anchors)
+    segments = materialize(_candidates(texts.join(wanted, "key"), length, gram), release=True)
+    discard(wanted)
     repeats = segments.select("anchor", F.explode("windows").alias("window")).groupBy("anchor", "window").count().where("count > 1")
-    selected = repeats.groupBy("anchor").agg(F.collect_list("window").alias("selected"))
+    selected = materialize(repeats.groupBy("anchor").agg(F.collect_list("window").alias("selected")), release=True)
     marked = _spans(segments.join(selected.hint("merge"), "anchor"), length)
-    spans = marked.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    spans = materialize(marked.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("marks")), release=True)
+    discard(segments)
+    discard(selected)
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
