@@ -7,11 +7,13 @@ A shingle's process ends as soon as its next arrival comes after the latest regi
 agree on a register with the probability Jaccard similarity of their weighted shingles.
 
 Texts with the same weighted shingles are one class from the start.  Class representatives that share a
-band are candidates.  In each band they are compared with pivots, not with each other: first with the
-smallest; while a band's members are in several components, more of those outside the largest become
-pivots, in numbers that double, until every pair across components has been compared or joined.  So no
-link that decides a component is lost, and a band of n copies costs about n comparisons.  Candidates
-are verified by the exact probability Jaccard similarity of their shingles (64-bit hashes), 0.8 or more.
+band are candidates.  In each band they are first compared with one pivot, not with each other, so that
+a band of n copies costs n comparisons.  Where a band's members then are in several components, those
+outside the largest are compared with all of the other components if these are at most BAND_PAIRS pairs.
+Larger ones are mostly texts around one common passage: their members get new keys, their rarest shingles
+by prefix filtering, which similar texts share and texts with a common passage don't; these keys are
+compared in the same way, and in whole.  Keys with the same contents count once.
+Candidates are verified by the exact Jaccard similarity of their shingles (64-bit hashes), 0.8 or more.
 
 Defined results: null, empty and blank texts have no shingles and form one class; repeated rows are in one
 class; a class's id is its smallest non-null doc_id; other columns are kept only on request; an empty
@@ -27,15 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import U, Tokens, bound_batches, gram_hashes, materialize, mix, text_chunks
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
+#: Pairs of one band that are compared at once; larger bands take the way over rare shingles.
+BAND_PAIRS = 256
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +100,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (above / x + below / y)).sum())
 
 
+def plain(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of different hashes."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
 def _content(hashes: np.ndarray, weights: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes() + weights.tobytes(), digest_size=16).digest()
 
@@ -123,20 +132,20 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, hashes, weights) of the wanted (doc_id, content)."""
+    """(content, hashes) of the wanted (doc_id, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in text_chunks(batch):
                 doc, hashes, weights = shingles(buf, offsets)
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
-                rows = [(c, hashes[a:b].tobytes(), weights[a:b].astype("<f4").tobytes()) for c, a, b in zip(part.column("content").to_pylist(), cut[:-1], cut[1:], strict=True) if c == _content(hashes[a:b], weights[a:b])]
-                columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["content", "hashes", "weights"])
+                rows = [(c, hashes[a:b].tobytes()) for c, a, b in zip(part.column("content").to_pylist(), cut[:-1], cut[1:], strict=True) if c == _content(hashes[a:b], weights[a:b])]
+                columns = list(zip(*rows, strict=True)) if rows else [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["content", "hashes"])
 
     ids = wanted.withColumnRenamed("doc_id", "__id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return texts.select("content", "text").mapInArrow(run, "content binary, hashes binary, weights binary").dropDuplicates(["content"])
+    return texts.select("content", "text").mapInArrow(run, "content binary, hashes binary").dropDuplicates(["content"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -145,16 +154,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, ha, wa, hb, wb in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                left, right = ((np.frombuffer(h, "<u8"), np.frombuffer(w, "<f4").astype(float)) for h, w in ((ha, wa), (hb, wb)))
-                if similarity(left, right) >= threshold:
+            for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if plain(np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")) >= threshold:
                     rows.append((a, b))
             columns = list(zip(*rows, strict=True)) if rows else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["a", "b"])
 
-    left = sets.select(F.col("content").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("content").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a binary, b binary")
+    bound_batches(sets.sparkSession, 64)
+    left = sets.select(F.col("content").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("content").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -164,38 +173,99 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     signed = materialize(_signed(docs))
     contents = materialize(signed.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     keyed = contents.select("content", F.explode("bands").alias("key"))
-    # bands are told apart by the number mixed into their keys; one content has each key once
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("pivot")).where("n > 1").drop("n")
-    members = materialize(keyed.join(crowded, "key"))
-    pairs = members.where(F.col("content") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
-    wanted = members.select("content").distinct().join(contents.select("content", "doc_id"), "content")
-    sets = materialize(_shingled(docs, wanted))
-    edges = materialize(_verified(pairs, sets, threshold))
-    known = members.select("key", "content", (F.col("content") == F.col("pivot")).alias("done"))
-    pivots = 8
-    while True:
-        labels = components(edges)
-        named = known.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
-        sizes = named.groupBy("key", "label").count()
-        largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        # members outside a band's largest component that were no pivots yet may have a link that was not looked at
-        waiting = named.join(largest.select("key", "main"), "key").where("not done and label <> main").select("key", F.col("content").alias("pivot"), F.col("label").alias("pivot_label"))
-        turn = waiting.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("pivot"))).where(F.col("nth") <= pivots).drop("nth")
-        turn = materialize(turn)
-        if not turn.limit(1).count():
-            break
-        more = turn.join(named.select("key", "content", "label"), "key").where("pivot_label <> label")
-        more = more.select(F.least("pivot", "content").alias("a"), F.greatest("pivot", "content").alias("b")).distinct()
-        edges = materialize(edges.unionByName(_verified(more, sets, threshold)))
-        asked = turn.select("key", F.col("pivot").alias("content"), F.lit(True).alias("asked"))
-        known = materialize(known.join(asked, ["key", "content"], "left").select("key", "content", (F.col("done") | F.coalesce("asked", F.lit(False))).alias("done")))
-        pivots *= 2
-    named = contents.select("content", "doc_id").join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+    known = materialize(_bands(keyed), release=True)
+    involved = materialize(known.select("content").distinct())
+    sets = materialize(_shingled(docs, involved.join(contents.select("content", "doc_id"), "content")), release=True)
+    labels = involved.select("content", F.col("content").alias("label"))
+    labels, crowd = _linked(known, labels, sets, threshold)
+    work = F.col("waiting") * F.col("n")
+    labels = _compared(crowd.where(work <= BAND_PAIRS), labels, sets, threshold)
+    large = materialize(crowd.where(work > BAND_PAIRS).select("content").distinct())
+    rare = materialize(_rare(sets.join(large, "content"), threshold))
+    labels = _compared_rare(rare, labels, sets, threshold)
+    named = contents.select("content", "doc_id").join(labels, "content", "left").withColumn("label", F.coalesce("label", "content"))
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     of = named.join(classes, "label").select("content", "class_id")
     return signed.select("doc_id", "content").join(of, "content").select("doc_id", "class_id")
 
 
+def _bands(keyed: DataFrame) -> DataFrame:
+    """(key, content, pivot) of the keys that several contents share; of keys with the same
+    contents one stays."""
+    one, two = F.bit_xor(F.xxhash64("content")), F.bit_xor(F.xxhash64("content", F.lit(1)))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("pivot"), one.alias("one"), two.alias("two")).where("n > 1")
+    kept = shared.groupBy("n", "one", "two").agg(F.min("key").alias("key"), F.first("pivot").alias("pivot")).select("key", "pivot")
+    return keyed.join(kept, "key").select("key", "content", "pivot")
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (content, label) after joining the components that edges (a, b) link."""
+    left = labels.select(F.col("content").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("content").alias("b"), F.col("label").alias("lb"))
+    between = edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return materialize(labels.join(merged, "label", "left").select("content", F.coalesce("now", "label").alias("label")))
+
+
+def _linked(known: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Compares the contents of every key with its pivot.  Labels after that, and the members of those keys that
+    hold several components: with n, the key's size, main, its largest component, and waiting, how many
+    members are outside that and were compared with no other but the pivot."""
+    pairs = known.where(F.col("content") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
+    labels = _joined(labels, materialize(_verified(pairs, sets, threshold)))
+    named = known.join(labels, "content").withColumn("done", F.col("content") == F.col("pivot"))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.max("done").alias("has"), F.count_if(~F.col("done")).alias("open"))
+    mains = sizes.groupBy("key").agg(F.max_by(F.struct("label", "open"), F.struct("size", "has", "label")).alias("main"), F.sum("size").alias("n"), F.sum("open").alias("all"), F.count("*").alias("labels"))
+    split = mains.where("labels > 1").select("key", "n", F.col("main.label").alias("main"), (F.col("all") - F.col("main.open")).alias("waiting")).where("waiting > 0")
+    return labels, materialize(named.join(split, "key"))
+
+
+def _compared(crowd: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Labels after comparing the waiting members of every key with the key's other components."""
+    side = crowd.where("not done").select("key", "content", "label")
+    asking = crowd.where("not done and label <> main").select("key", F.col("content").alias("asking"), F.col("label").alias("own"))
+    more = asking.join(side, "key").where("own <> label")
+    more = more.select(F.least("asking", "content").alias("a"), F.greatest("asking", "content").alias("b")).distinct()
+    return _joined(labels, materialize(_verified(more, sets, threshold)))
+
+
+def _rare(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, content, place, total) by prefix filtering: texts of similarity t share one of the n - ceil(t n) + 1
+    rarest of each one's n shingles, under one order of all shingles; place: that of the shingle, from 1.
+    Shingles of one text alone come first and need not be listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, raw in zip(batch.column("content"), batch.column("hashes").to_pylist(), strict=True):
+                own = np.frombuffer(raw, "<i8")
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([content.as_py()] * n, pa.binary()), pa.array(own), pa.array(np.full(n, n, np.int64))], ["content", "key", "total"])
+
+    each = materialize(sets.select("content", "hashes").mapInArrow(run, "content binary, key long, total long"))
+    common = each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1")
+    shared = each.join(common, "key").withColumn("listed", F.count("*").over(W.partitionBy("content")))
+    order = F.row_number().over(W.partitionBy("content").orderBy("among", "key"))
+    ranked = shared.withColumn("place", F.col("total") - F.col("listed") + order)
+    return ranked.where(F.col("place") <= F.col("total") - F.ceil(F.lit(threshold) * F.col("total")) + 1).select("key", "content", "place", "total")
+
+
+def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Labels after comparing texts of different components that share a rare shingle, where enough shingles
+    follow it in both; of the shared shingles that is true of the first, if the texts are similar."""
+    named = rare.join(labels, "content")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    open_ = materialize(named.join(mains, "key"))
+    one = open_.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("content", "label", "main", "place", "total")))
+    two = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("content", "label", "place", "total")))
+    follow = 1 + F.least(F.col("total_a") - F.col("place_a"), F.col("total_b") - F.col("place_b"))
+    enough = follow >= threshold / (1 + threshold) * (F.col("total_a") + F.col("total_b")) - 1e-6
+    once = (F.col("label_b") == F.col("main_a")) | (F.col("content_a") < F.col("content_b"))
+    more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & enough)
+    more = more.select(F.least("content_a", "content_b").alias("a"), F.greatest("content_a", "content_b").alias("b")).distinct()
+    return _joined(labels, materialize(_verified(more, sets, threshold)))
+
+
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: of each class the row with its smallest doc_id stays (one of them, where
     rows repeat), with all columns."""
