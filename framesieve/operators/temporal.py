@@ -69,6 +69,7 @@ def localize(candidates: DataFrame, dense: DataFrame | None, config: TemporalSco
     observed frame nearest to the best one and the multimodal score.
     """
     keys = ("query_id", "video_id")
+    candidates = candidates.select(*keys, "best_frame_id", "multimodal_score")
     if dense is None:
         near = candidates.join(observed, "video_id") if observed is not None else candidates.withColumn("frame_id", F.col("best_frame_id")).withColumn("pos", F.lit(0))
         best = near.groupBy(*keys).agg(F.min_by("frame_id", F.struct(F.abs(F.col("frame_id") - F.col("best_frame_id")), F.col("pos"))).alias("semantic_keyframe"), F.max("best_frame_id").alias("coarse_frame_id"), F.max("multimodal_score").alias("score"))
