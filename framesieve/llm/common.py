@@ -171,6 +171,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(rows: DataFrame, key: list[str], n: int, total: int) -> DataFrame:
+    """The n of rows' total rows whose key hashes are smallest (all, if fewer); ties in order of all columns.
+
+    A threshold on the hash first leaves a few more than n, so that what meets in one task doesn't grow
+    with the number of partitions.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
+    if total > n:
+        rows = rows.where(place < (n + 6 * n**0.5 + 20) / total)
+    return rows.orderBy(place, *rows.columns).limit(n)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the contracts' held-out folds."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

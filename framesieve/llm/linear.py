@@ -38,7 +38,8 @@ def compact(doc: np.ndarray, index: np.ndarray, value: np.ndarray, presence: boo
 
 
 def fit(sample: DataFrame, extract: Extract, bits: int, params: Ftrl, presence: bool = False) -> np.ndarray:
-    """Weights (the last one is the bias) from rows (text, target in 0..1), at most params.max_rows of them.
+    """Weights (the last one is the bias) from a bounded sample of rows (text, target in 0..1); where repeated
+    ids make it larger than params.max_rows, that many of them count.
 
     Features are extracted in parallel; one task then runs the sequential updates in the order of a
     hash of the text, so that the result depends neither on partitions nor on row order.  Without rows
@@ -64,8 +65,8 @@ def fit(sample: DataFrame, extract: Extract, bits: int, params: Ftrl, presence:
         weights = ftrl(rows, (1 << bits) + 1, params)
         return pd.DataFrame({"weights": [weights.astype("<f4").tobytes()]})
 
-    rows = sample.select(F.xxhash64("text").alias("order"), F.col("target").cast("double"), "text").orderBy("order").limit(params.max_rows)
-    made = rows.mapInArrow(featurise, "order long, target double, index binary, value binary")
+    rows = sample.select(F.xxhash64("text").alias("order"), F.col("target").cast("double"), "text")
+    made = rows.mapInArrow(featurise, "order long, target double, index binary, value binary").orderBy("order", "target").limit(params.max_rows)
     got = made.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(train, "weights binary").collect()
     return np.frombuffer(got[0][0], "<f4").copy() if got else np.zeros((1 << bits) + 1, np.float32)
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Tokens, gram_hashes, mix
+from .common import U, Tokens, bounded_sample, gram_hashes, mix
 from .linear import Ftrl, fit, score
 
 BITS = 18
@@ -50,7 +50,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, params: Ftrl = PA
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("target"))
     if learn_from is not None:
         rows = rows.where(learn_from)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "target").limit(params.max_rows)
+    rows = bounded_sample(rows, ["doc_id"], params.max_rows, rows.count())
     return fit(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"), features, BITS, params)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Tokens, bound_batches, mix, span_hashes, text_chunks
+from .common import U, Tokens, bound_batches, bounded_sample, mix, span_hashes, text_chunks
 from .linear import Ftrl, compact, fit, score
 
 BITS = 20
@@ -184,17 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     """
     admit = F.lit(True) if learn_from is None else learn_from
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & admit).select("doc_id", F.col("toxic").cast("double").alias("target"))
-    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "target").limit(params.max_rows))
+    known = F.broadcast(bounded_sample(known, ["doc_id"], params.max_rows, known.count()))
     texts = docs.select("doc_id", "text").where(admit)
     induced = induce(texts.join(known, "doc_id"))
-    cast = votes(texts.withColumn("order", F.xxhash64("doc_id", "text")), induced, ["doc_id", "order"])
-    groups = cast.join(known, "doc_id", "left").groupBy("mask", F.coalesce(F.col("target").cast("int"), F.lit(-1)).alias("known")).count().collect()
+    groups = votes(texts, induced, ["doc_id"]).join(known, "doc_id", "left").groupBy("mask", F.coalesce(F.col("target").cast("int"), F.lit(-1)).alias("known")).count().collect()
     masks, seen, counts = (np.array([r[i] for r in groups], np.int64) for i in range(3))
     model = LabelModel(masks, seen, counts.astype(float))
     every = np.unique(masks)
     posterior = dict(zip(every.tolist(), model.posterior(every).tolist(), strict=True))
-    sample = texts.withColumn("order", F.xxhash64("doc_id", "text")).orderBy("order").limit(params.max_rows)
-    voted = votes(sample, induced, ["text"])
+    voted = votes(bounded_sample(texts, ["doc_id", "text"], params.max_rows, int(counts.sum())), induced, ["text"])
     spark = docs.sparkSession
     targets = spark.createDataFrame(list(posterior.items()) or [(0, 0.0)], "mask long, target double")
     return fit(voted.join(F.broadcast(targets), "mask").select("text", "target"), features, BITS, params, presence=True), model
