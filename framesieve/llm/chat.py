@@ -6,8 +6,8 @@ assistant, every other speaker's turns the role user with the speaker's name, an
 covers the text and end mark of the participant's own turns, as character spans of the whole rendering.
 
 A rendering comes in chunks of at most CHUNK turns, each with its place, so that a dialogue of any
-length is spread over tasks: rows are dealt by ranges of (conversation, turn, role, text), never by
-conversation.  The output is as large as participants times turns, which is what is asked for.
+length is spread over tasks: rows are dealt by ranges of (conversation, turn, role, text) and then by chunk,
+never by conversation.  The output is as large as participants times turns, which is what is asked for.
 
 Defined results: rows that repeat in all four columns count once; a null text is empty, a null role is
 the speaker "unknown", a null turn comes first, null conversation ids form one dialogue; a dialogue of
@@ -24,38 +24,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bound_batches
+from .common import bound_batches, materialize
 
 CHUNK = 64
 CONTEXT_ROLES = ("system",)
+END = "<|end|>"
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted turns of one partition -> rows of at most CHUNK turns of one conversation."""
-    part, n, last, open_id, turns = TaskContext.get().partitionId(), 0, None, None, []
-
-    def row() -> tuple:
-        return open_id, part, n, [{"turn": t, "role": r, "text": x} for t, r, x in turns]
-
-    out: list[tuple] = []
+def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted turns of one partition, without repeats, with the partition and their number in their conversation there."""
+    part, last, n = TaskContext.get().partitionId(), None, 0
     for pdf in batches:
+        out: list[tuple] = []
         for conv, turn, role, text in zip(*(pdf[c].array for c in ("conv_id", "turn", "role", "text")), strict=True):
             conv, turn = (None if pd.isna(x) else int(x) for x in (conv, turn))
-            if last == (conv, turn, role, text):
+            now = (conv, turn, role, text)
+            if now == last:
                 continue
-            last = (conv, turn, role, text)
-            if turns and (conv != open_id or len(turns) >= CHUNK):
-                out.append(row())
-                n, turns = n + 1, []
-            open_id = conv
-            turns.append((turn, role, text))
-        if len(out) >= 256:
-            yield pd.DataFrame(out, columns=["conv_id", "part", "seq", "turns"])
-            out = []
-    if turns:
-        out.append(row())
-    if out:
-        yield pd.DataFrame(out, columns=["conv_id", "part", "seq", "turns"])
+            n = n + 1 if last is not None and last[0] == conv else 0
+            last = now
+            out.append((conv, part, n, role, text))
+        yield pd.DataFrame(out, columns=["conv_id", "part", "n", "role", "text"])
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """(conv_id, chunk, turns): turns CHUNK * chunk and on of a conversation.  Rows are dealt by ranges of the
+    whole order, then by conversation and chunk, so that no task gets more of a conversation than its share."""
+    order = ["conv_id", "turn", "role", "text"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialize(dealt.mapInPandas(_numbered, "conv_id long, part int, n long, role string, text string"))
+    counts = numbered.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part"), before.alias("before"))
+    placed = numbered.join(before, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))).withColumn("pos", F.col("before") + F.col("n"))
+    turn = F.struct("pos", "role", "text")
+    grouped = placed.groupBy("conv_id", F.expr(f"pos div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return materialize(grouped)
 
 
 def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
@@ -69,8 +73,7 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = ["conv_id", "turn", "role", "text"]
-    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_chunks, "conv_id long, part int, seq int, turns array<struct<turn:long,role:string,text:string>>")
+    chunks = _chunked(rows)
     people = chunks.select("conv_id", F.explode(F.array_distinct(F.transform("turns", lambda t: t["role"]))).alias("speaker")).distinct()
     if context_roles:
         people = people.where(~F.col("speaker").isin(*context_roles))
@@ -82,13 +85,16 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
         named = F.when(t["role"].isin(*context_roles), context).otherwise(named) if context_roles else named
         return F.when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(named)
 
-    pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit("<|end|>")).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
-    joined = chunks.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")))
-    made = joined.select("conv_id", "speaker", "part", "seq", pieces.alias("pieces"))
+    # places come from lengths alone, so that texts aren't moved for them
+    sizes = chunks.select("conv_id", "chunk", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n"))).alias("turns"))
+    sizes = sizes.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")))
+    total = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(head(t)) + t["n"] + len(END) + 1)
+    ahead = W.partitionBy("conv_id", "speaker").orderBy("chunk")
+    start = F.coalesce(F.sum("total").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("conv_id", "speaker", "chunk", total.alias("total")).select(F.col("conv_id").alias("__conv"), F.col("chunk").alias("__chunk"), "speaker", start.alias("start"))
+    pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
+    made = chunks.join(places, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("chunk") == F.col("__chunk"))).select("conv_id", "speaker", "chunk", "start", pieces.alias("pieces"))
     made = made.withColumn("text", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), ""))
-    ahead = W.partitionBy("conv_id", "speaker").orderBy("part", "seq")
-    made = made.withColumn("start", F.coalesce(F.sum(F.length("text").cast("long")).over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    made = made.withColumn("chunk", (F.row_number().over(ahead) - 1).cast("long"))
     length = lambda p: (F.length(p["head"]) + F.length(p["body"]) + 1).cast("long")
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     walk = F.aggregate(

@@ -162,6 +162,13 @@ def test_chat(spark):
     assert whole[1, "ann"] == "<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo<|end|>\n<|user name=unknown|>\n<|end|>\n"
     assert {k for k in whole if k[0] == 1} == {(1, "ann"), (1, "bob"), (1, "unknown")} and (None, "cat") in whole and (2, "system") not in whole
     assert sum(len(r.spans) for r in made if r.conv_id == 3 and r.speaker == "a") == 100
+    assert [r.chunk for r in sorted(made, key=lambda r: r.chunk) if r.conv_id == 3 and r.speaker == "a"] == [0, 1, 2, 3]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # chunks don't depend on how rows are dealt
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        assert sorted(map(str, chat.rotate(df).collect())) == sorted(map(str, made))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     assert chat.rotate(df.limit(0)).count() == 0
 
 
