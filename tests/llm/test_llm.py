@@ -307,6 +307,14 @@ def test_packing(spark, docs, sf):
     assert packing.pack(edge.limit(0), queries.tokenizer_path(), ["doc_id"]).count() == 0
 
 
+def test_tokenizer_forms_agree():
+    ranks, plain = (packing.tokenizer(queries.tokenizer_path(f"byte_bpe_50k.{form}")) for form in ("tiktoken", "json"))
+    rng = random.Random(5)
+    parts = ["ab", "7", "'s", "!", "\u3000", "\x1c", "<|endoftext|>", " ", "\n" * 999, "\r\n" * 1250, " " * 1000, "\t" * 1001]
+    texts = ["", " " * 300_000 + "x", "\n" * 300_000, "a" * 100_000, *("".join(rng.choices(parts, k=9)) for _ in range(60))]
+    assert [list(x) for x in ranks(texts)] == [list(x) for x in plain(texts)]
+
+
 def test_fullest_against_brute_force():
     rng = random.Random(0)
     for _ in range(200):
