@@ -34,31 +34,42 @@ PATTERNS = {
 #: Two words and then a token with a digit or "@" in it; a word is at most 40 characters, so that junk isn't scanned twice.
 CANDIDATE = r"(?<!\S)[^\s0-9@]{1,40}+\s{1,4}+[^\s0-9@]{1,40}+\s{1,4}+[A-Za-z0-9+._#/-]{0,64}[0-9@][A-Za-z0-9+._@#/-]{4,64}"
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
+#: Characters before an entity in which its context is sought; matches or spans that are handled as one block.
+BEFORE, BLOCK = 84, 256
 
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
 def located(text: Column, pattern: str, probe: Column) -> Column:
-    """array<struct<found, at>>: leftmost matches without overlap and their positions, from the text
-    between them; probe: a cheap condition without which nothing can match."""
+    """array<struct<found, gap, before>>: leftmost matches without overlap, how many characters lie between
+    each and the one before it, and the last BEFORE of these (after a 0, which stands for a match before
+    them); probe: a cheap condition without which nothing can match."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<found:string,gap:bigint>>")
-    pairs = F.when(probe, F.zip_with(found, between, lambda m, b: F.struct(m.alias("found"), F.length(b).cast("bigint").alias("gap")))).otherwise(none)
-    return F.filter(pairs, lambda p: p["found"].isNotNull())
+    none = F.array().cast("array<struct<found:string,gap:bigint,before:string>>")
+    pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("found"), F.length(b).cast("bigint").alias("gap"), F.substring(b, -BEFORE, BEFORE).alias("before")))
+    return F.filter(F.when(probe, pairs).otherwise(none), lambda p: p["found"].isNotNull())
 
 
 def _positions(pairs: Column) -> Column:
-    """Gaps to positions: array<struct<found, at>>."""
-    empty = F.array().cast("array<struct<found:string,at:bigint>>")
-    walk = F.aggregate(
-        pairs, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("done")),
-        lambda acc, p: F.struct(
+    """Gaps to positions: array<struct<found, at, before>>.  Appending copies an array, so that they are gathered in
+    blocks: the work grows with the number of matches, not with its square."""
+    one = "struct<found:string,at:bigint,before:string>"
+    empty = F.array().cast(f"array<{one}>")
+
+    def step(acc: Column, p: Column) -> Column:
+        first = F.size(acc["now"]) + F.size(acc["done"]) == 0
+        before = F.when(first | (F.length(p["before"]) == BEFORE), p["before"]).otherwise(F.concat(F.lit("0"), p["before"]))
+        now = F.concat(acc["now"], F.array(F.struct(p["found"].alias("found"), (acc["at"] + p["gap"]).alias("at"), before.alias("before"))))
+        full = F.size(acc["now"]) >= BLOCK - 1
+        return F.struct(
             (acc["at"] + p["gap"] + F.length(p["found"])).alias("at"),
-            F.concat(acc["done"], F.array(F.struct(p["found"].alias("found"), (acc["at"] + p["gap"]).alias("at")))).alias("done"),
-        ),
-    )
-    return walk["done"]
+            F.when(full, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
+            F.when(full, empty).otherwise(now).alias("now"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{one}>>").alias("done"), empty.alias("now"))
+    return F.aggregate(pairs, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
 
 
 def _digits(text: Column) -> Column:
@@ -87,37 +98,53 @@ def _valid(kind: str, found: Column) -> Column:
     return n.between(10, 15)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, end>> of the base entities by start, then kind; kind: place in KINDS."""
+def entities(text: Column) -> Column:
+    """array<struct<start, kind, end, pattern, instance>> of the base entities by start, then kind; kind: place in
+    KINDS; pattern: the two words before it; instance: hash of its text."""
     digit = text.rlike("[0-9]")
     probes = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains(text, F.lit("+")) & digit}
 
-    def spans(k: int, kind: str) -> Column:
+    def of(k: int, kind: str) -> Column:
         good = F.filter(_positions(located(text, PATTERNS[kind], probes[kind])), lambda m: _valid(kind, m["found"]))
-        return F.transform(good, lambda m: F.struct(m["at"].alias("start"), F.lit(k).alias("kind"), (m["at"] + F.length(m["found"])).alias("end")))
+        return F.transform(good, lambda m: F.struct(m["at"].alias("start"), F.lit(k).alias("kind"), (m["at"] + F.length(m["found"])).alias("end"), _words(m["before"]).alias("pattern"), F.xxhash64(m["found"]).alias("instance")))
 
-    ordered = F.array_sort(F.concat(*(spans(k, kind) for k, kind in enumerate(KINDS))))
-    return F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def _before(text: Column, at: Column) -> Column:
-    """The two words before a position, lower-cased; empty where there aren't two."""
-    left = F.substring(text, F.greatest(at - 83, F.lit(1).cast("bigint")).cast("int"), F.least(at, F.lit(84).cast("bigint")).cast("int"))
+def base_spans(text: Column) -> Column:
+    """array<struct<kind, start, end>> of the base entities by start, then kind; kind: place in KINDS."""
+    return F.transform(entities(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _words(left: Column) -> Column:
+    """The two words that end a text, lower-cased; empty where there aren't two."""
     return F.lower(F.regexp_replace(F.regexp_extract(left, r"(?:^|\s)([^\s0-9@]{1,40}\s{1,4}[^\s0-9@]{1,40})\s{1,4}$", 1), r"\s+", " "))
 
 
+def _blocks(spans: Column) -> Column:
+    """Spans in blocks with the range that each covers, so that few of many are looked at."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda i: F.slice(spans, i * BLOCK + 1, F.lit(BLOCK)))
+    made = F.transform(cut, lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans")))
+    return F.when(F.size(spans) > 0, made).otherwise(F.slice(made, 1, 0))
+
+
 def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """The kept columns, base (array of kind, start, end) and extra (the same, discovered by context) of every row."""
     text = F.coalesce(F.col("__text"), F.lit(""))
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    seen = rows.select(*keep, text.alias("__text"), base_spans(text).alias("base"))
+    seen = rows.select(*keep, text.alias("__text"), entities(text).alias("__seeds"))
+    seen = seen.select(*keep, "__text", "__seeds", F.transform("__seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
     # contexts of base entities, and candidates with their contexts: (kind or -1, pattern, instance, start, end)
-    seeds = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), _before(F.col("__text"), s["start"]).alias("pattern"), F.xxhash64(F.substring(F.col("__text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("instance"), s["start"].alias("start"), s["end"].alias("end")))
+    seeds = F.transform("__seeds", lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "pattern", "instance", "start", "end"))))
     tokens = _positions(located(F.col("__text"), CANDIDATE, F.col("__text").rlike("[0-9@]")))
     word = lambda m: F.regexp_extract(m["found"], r"(\S+)$", 1)
     context = lambda m: F.lower(F.regexp_replace(F.regexp_extract(m["found"], r"^(\S+\s+\S+)\s+\S+$", 1), r"\s+", " "))
     drawn = F.transform(tokens, lambda m: F.struct(F.lit(-1).alias("kind"), context(m).alias("pattern"), F.xxhash64(word(m)).alias("instance"), (m["at"] + F.length(m["found"]) - F.length(word(m))).alias("start"), (m["at"] + F.length(m["found"])).alias("end")))
-    free = F.filter(drawn, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    held = lambda c: F.exists("__blocks", lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
+    # named twice, so that the blocks are made once for a text, not for each candidate
+    free = F.when(F.size("__blocks") == 0, drawn).otherwise(F.filter(drawn, lambda c: ~held(c)))
+    seen = seen.withColumn("__blocks", _blocks(F.col("base")))
     found = materialize(seen.withColumn("__row", F.monotonically_increasing_id()).select(*keep, "__row", "base", F.filter(F.concat(seeds, free), lambda c: c["pattern"] != "").alias("contexts")))
 
     # the pattern-instance graph, aggregated over all texts
