@@ -1,12 +1,13 @@
-"""MinHash near-duplicates: ProbMinHash of weighted word shingles, banding, exact verification, components.
+"""MinHash near-duplicates: ProbMinHash of word shingles, banding, exact verification, components.
 
 A text's shingles are its runs of five words (`[^\\x20\\x09-\\x0D]+`, unchanged; a text of one to four words has
-one shingle of them all), weighted 1 + ln(occurrences).  Every shingle starts a Poisson process whose rate
-is its weight; its arrivals fall on registers at random, and a register keeps its earliest arrival.
-A shingle's process ends as soon as its next arrival comes after the latest register.  Two texts
-agree on a register with the probability Jaccard similarity of their weighted shingles.
+one shingle of them all), each counted once however often it occurs.  Every shingle starts a Poisson process
+whose rate is its weight, here 1; its arrivals fall on registers at random, and a register keeps its earliest
+arrival.  A shingle's process ends as soon as its next arrival comes after the latest register.  Two texts
+agree on a register with the probability Jaccard similarity of their shingles, which at equal weights is
+the Jaccard similarity that candidates are verified by.
 
-Texts with the same weighted shingles are one class from the start.  Class representatives that share a
+Texts with the same shingles are one class from the start.  Class representatives that share a
 band are candidates.  In each band they are first compared with one pivot, not with each other, so that
 a band of n copies costs n comparisons.  Where a band's members then are in several components, those
 outside the largest are compared with all of the other components if these are at most BAND_PAIRS pairs.
@@ -41,8 +42,8 @@ REGISTERS = BANDS * ROWS
 BAND_PAIRS = 256
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and weight of each different shingle, by text and hash."""
+def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each different shingle, by text and hash."""
     tokens = Tokens(buf, offsets, "words")
     words, count = tokens.hashes(), np.diff(tokens.first)
     grams = gram_hashes(words, k)
@@ -57,9 +58,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(doc)))
-    return doc[at], hashes[at], 1 + np.log(times)
+    return doc[new], hashes[new]
 
 
 def sketch(n: int, doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -106,23 +105,23 @@ def plain(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def _content(hashes: np.ndarray, weights: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes() + weights.tobytes(), digest_size=16).digest()
+def _content(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the weighted shingles) and band keys of every row."""
+    """doc_id, content (digest of the shingles) and band keys of every row."""
     band = np.arange(BANDS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in text_chunks(batch):
                 n = len(offsets) - 1
-                doc, hashes, weights = shingles(buf, offsets)
+                doc, hashes = shingles(buf, offsets)
                 cut = np.searchsorted(doc, np.arange(n + 1))
-                content = [_content(hashes[a:b], weights[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                content = [_content(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 keys = np.zeros((n, BANDS), np.uint64)
-                for row in sketch(n, doc, hashes, weights).reshape(n, BANDS, ROWS).transpose(2, 0, 1):
+                for row in sketch(n, doc, hashes, np.ones(len(doc))).reshape(n, BANDS, ROWS).transpose(2, 0, 1):
                     keys = mix(keys * U(31) + row + band)
                 flat = pa.array(keys.view(np.int64).reshape(-1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), flat)
@@ -137,9 +136,9 @@ def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in text_chunks(batch):
-                doc, hashes, weights = shingles(buf, offsets)
+                doc, hashes = shingles(buf, offsets)
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
-                rows = [(c, hashes[a:b].tobytes()) for c, a, b in zip(part.column("content").to_pylist(), cut[:-1], cut[1:], strict=True) if c == _content(hashes[a:b], weights[a:b])]
+                rows = [(c, hashes[a:b].tobytes()) for c, a, b in zip(part.column("content").to_pylist(), cut[:-1], cut[1:], strict=True) if c == _content(hashes[a:b])]
                 columns = list(zip(*rows, strict=True)) if rows else [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["content", "hashes"])
 

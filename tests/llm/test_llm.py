@@ -424,6 +424,14 @@ def test_near_dup(spark, docs):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0 and near_dup.keep_one(table(spark, EDGE)).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def test_near_dup_repeated_lines(spark):
+    rows = []
+    for i in range(30):  # 40 shingles, and 49 with them: similarity 0.816, however often the line is repeated
+        text = " ".join(f"r{i}_{k}" for k in range(44))
+        rows += [(2 * i, text), (2 * i + 1, text + f" l{i} m{i} n{i} o{i} p{i}" * 50)]
+    assert classes(near_dup.near_duplicates(table(spark, rows)).collect()) == classes_brute(rows) == sorted([str(2 * i), str(2 * i + 1)] for i in range(30))
+
+
 def test_probability_minhash():
     rng = np.random.default_rng(0)
     off = []
