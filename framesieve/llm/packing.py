@@ -16,6 +16,7 @@ are kept only on request.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,11 +43,12 @@ LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """A function from a list of texts to their lists of ids; special tokens' strings in a text are ordinary text.
+    """A function from a list of texts to their lists of ids; an added token's string in a text is that token.
 
     A byte-level BPE file in ranks (.tiktoken) gives the same ids as the same vocabulary in a
-    tokenizers file (.json), several times as fast.  There a long run of white space is one piece of
-    its own, as the pattern has it: all but its last character, or all at the end of a text.
+    tokenizers file (.json), several times as fast.  Ranks don't have the added tokens: these are read from
+    the .json beside, and texts are split at them first.  A long run of white space is one piece of
+    its own, as the pattern has it: all but its last character, or all at the end of such a part.
     """
     if path.endswith(".tiktoken"):
         import tiktoken
@@ -55,7 +57,20 @@ def tokenizer(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder, whole = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, r"(?s).+"))
 
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            listed = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
+            raise ValueError(f"added tokens of {path} need more than their strings to be found")
+        added = {t["content"]: t["id"] for t in listed}
+        split = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
+
         def ids(text: str) -> list[int]:
+            parts = split.split(text)
+            if len(parts) == 1:
+                return ordinary(text)
+            return [i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else ordinary(part))]
+
+        def ordinary(text: str) -> list[int]:
             out, at = [], 0
             for run in LONG_SPACE.finditer(text):
                 end = run.end() - (run.end() < len(text))
@@ -67,7 +82,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
     return lambda texts: [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)]
 
 

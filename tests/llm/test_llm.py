@@ -315,6 +315,17 @@ def test_tokenizer_forms_agree():
     assert [list(x) for x in ranks(texts)] == [list(x) for x in plain(texts)]
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "  <|endoftext|>" + " " * 1500 + "<|endoftext|>" + "\n" * 1200, "<|endoftext|", "plain 'll text"]
+    wanted = [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [64, 220, 50256, 275]
+    for form in ("tiktoken", "json"):
+        assert [list(x) for x in packing.tokenizer(queries.tokenizer_path(f"byte_bpe_50k.{form}"))(texts)] == wanted
+
+
 def test_fullest_against_brute_force():
     rng = random.Random(0)
     for _ in range(200):
