@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -109,8 +109,13 @@ def _content(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def _row() -> Column:
+    """A key of the text itself; with the doc_id it tells rows apart that share an id, or have none."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the shingles) and band keys of every row."""
+    """doc_id, row (key of the text), content (digest of the shingles) and band keys of every row."""
     band = np.arange(BANDS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +130,13 @@ def _signed(docs: DataFrame) -> DataFrame:
                     keys = mix(keys * U(31) + row + band)
                 flat = pa.array(keys.view(np.int64).reshape(-1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(content, pa.binary()), bands], ["doc_id", "content", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(content, pa.binary()), bands], ["doc_id", "row", "content", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, content binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(run, "doc_id long, row binary, content binary, bands array<long>")
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, hashes) of the wanted (doc_id, content)."""
+    """(content, hashes) of the wanted (doc_id, row, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +147,9 @@ def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["content", "hashes"])
 
-    ids = wanted.withColumnRenamed("doc_id", "__id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
+    ids = wanted.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text")
+    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row")))
     return texts.select("content", "text").mapInArrow(run, "content binary, hashes binary").dropDuplicates(["content"])
 
 
@@ -167,14 +173,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text)."""
+    signed, named = _classes(docs, threshold)
+    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    of = named.join(classes, "label").select("content", "class_id")
+    return signed.select("doc_id", "content").join(of, "content").select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (content, doc_id, row, label) of every content: its first row by doc_id, nulls last,
+    and its class."""
     spark = docs.sparkSession
     bound_batches(spark)
     signed = materialize(_signed(docs))
-    contents = materialize(signed.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    contents = signed.groupBy("content").agg(first, F.first("bands").alias("bands"))
+    contents = materialize(contents.select("content", "first.doc_id", "first.row", "bands"))
     keyed = contents.select("content", F.explode("bands").alias("key"))
     known = materialize(_bands(keyed), release=True)
     involved = materialize(known.select("content").distinct())
-    sets = materialize(_shingled(docs, involved.join(contents.select("content", "doc_id"), "content")), release=True)
+    sets = materialize(_shingled(docs, involved.join(contents.select("content", "doc_id", "row"), "content")), release=True)
     labels = involved.select("content", F.col("content").alias("label"))
     labels, crowd = _linked(known, labels, sets, threshold)
     work = F.col("waiting") * F.col("n")
@@ -182,10 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     large = materialize(crowd.where(work > BAND_PAIRS).select("content").distinct())
     rare = materialize(_rare(sets.join(large, "content"), threshold))
     labels = _compared_rare(rare, labels, sets, threshold)
-    named = contents.select("content", "doc_id").join(labels, "content", "left").withColumn("label", F.coalesce("label", "content"))
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    of = named.join(classes, "label").select("content", "class_id")
-    return signed.select("doc_id", "content").join(of, "content").select("doc_id", "class_id")
+    return signed, contents.select("content", "doc_id", "row").join(labels, "content", "left").withColumn("label", F.coalesce("label", "content"))
 
 
 def _bands(keyed: DataFrame) -> DataFrame:
@@ -266,10 +280,13 @@ def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshol
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """docs without near-duplicates: of each class the row with its smallest doc_id stays (one of them, where
-    rows repeat), with all columns."""
-    kept = near_duplicates(docs, threshold).where("doc_id <=> class_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    single = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return single.unionByName(rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]))
+    """docs without near-duplicates: of each class one row stays, with all columns: that of its smallest doc_id,
+    a null one last, and among rows of that id the first by content and text (one of them, where rows repeat)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first")
+    kept = _classes(docs, threshold)[1].groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__of"))
+    keyed = docs.withColumn("__row", _row())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__row").eqNullSafe(F.col("__of"))
+    rows = keyed.join(kept, same, "left_semi")
+    repeated = keyed.groupBy(F.col("doc_id").cast("long").alias("__id"), F.col("__row").alias("__of")).count().where("count > 1").drop("count")
+    single = rows.join(repeated, same, "left_anti")
+    return single.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__row"])).drop("__row")

@@ -443,6 +443,15 @@ def test_near_dup_repeated_lines(spark):
     assert classes(near_dup.near_duplicates(table(spark, rows)).collect()) == classes_brute(rows) == sorted([str(2 * i), str(2 * i + 1)] for i in range(30))
 
 
+def test_keep_one_by_row(spark):
+    words = lambda k: " ".join(f"{k}_{i}" for i in range(20))
+    alone = [(None, words(f"n{i}")) for i in range(12)]  # no id, each a class of its own
+    rows = [*alone, (None, words("n3")), (1, words("a")), (5, words("a")), (5, words("b")), (None, words("b")), (7, words("c")), (7, words("d")), (7, words("d")), (None, None), (None, "")]
+    kept = near_dup.keep_one(table(spark, rows)).collect()
+    wanted = [*alone, (1, words("a")), (5, words("b")), (7, words("c")), (7, words("d")), (None, "")]
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted((str(i), t) for i, t in wanted)
+
+
 def test_probability_minhash():
     rng = np.random.default_rng(0)
     off = []
