@@ -8,18 +8,19 @@ the plan comes from a histogram of at most `capacity` rows, and every combinatio
 fewer than it took, so there are a few times `capacity` of them, whatever the corpus.  Pieces find their place by their rank within
 their length, counted in two levels so that a common length isn't one task's.
 
-Defined results: a null text is empty and gives the piece [0]; pieces of equal length are ranked by id,
-piece and content, ties among identical rows are arbitrary; an empty table gives no rows; other columns
-are kept only on request.
+Defined results: a null text is empty and gives the piece [0]; pieces of equal length are ranked by a hash of
+the row's columns, in parts, and within a part by the columns in their order; ties among identical rows are
+arbitrary; an empty table gives no rows; other columns are kept only on request, and none of these may have
+the name of one that is made.
 """
 
 from __future__ import annotations
 
-import base64
-import json
+import itertools
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,56 +34,102 @@ from .common import bound_batches, materialize
 
 CAPACITY = 2048
 END = 0
-#: Rows of one length that one task ranks.
-RANK_ROWS = 20_000
-#: How byte-level BPE vocabularies of this family split texts before merging (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs of white space too long for the pattern's look-ahead, which would keep a state for each character.
-LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+#: Words whose ids a Python worker remembers (some 200 MB), and the longest ones.
+REMEMBERED, LONGEST = 1 << 20, 48
+#: A space between two visible characters: the vocabulary's splitting pattern always begins a word there.
+GAP = re.compile(r"(?<=\S) (?=\S)")
+#: What may stand beside a space so that splitting at every space isn't enough.
+WHITE = ("\n ", " \n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Words of Latin letters and ASCII marks after them: pre-tokenisation makes these two tokens ("'" is another matter).
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@[-`{-~]+)?")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """A function from a list of texts to their lists of ids; an added token's string in a text is that token.
+def byte_letters() -> list[str]:
+    """How byte-level vocabularies write the 256 bytes: the visible Latin-1 characters as they are, the others
+    from U+0100 on in their order."""
+    shown = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 for b in range(256)]
+    return [chr(b if shown[b] else 256 + b - sum(shown[:b])) for b in range(256)]
+
 
-    A byte-level BPE file in ranks (.tiktoken) gives the same ids as the same vocabulary in a
-    tokenizers file (.json), several times as fast.  Ranks don't have the added tokens: these are read from
-    the .json beside, and texts are split at them first.  A long run of white space is one piece of
-    its own, as the pattern has it: all but its last character, or all at the end of such a part.
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids without special tokens, as little-endian unsigned 32-bit integers.
+
+    A text's ids are those of its words, one after the other, where a word begins at every single space between
+    visible characters: byte-level pre-tokenisation begins a token at each of these, an added token holds
+    no space, and merges stay within a token.  Words met before are looked up; the others are encoded together,
+    each with its space, and told apart by the ids that begin with one.  Files whose tokens could cross a
+    space are encoded in whole texts.
     """
-    if path.endswith(".tiktoken"):
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder, whole = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, r"(?s).+"))
-
-        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
-            listed = json.load(f)["added_tokens"]
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
-            raise ValueError(f"added tokens of {path} need more than their strings to be found")
-        added = {t["content"]: t["id"] for t in listed}
-        split = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
-
-        def ids(text: str) -> list[int]:
-            parts = split.split(text)
-            if len(parts) == 1:
-                return ordinary(text)
-            return [i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else ordinary(part))]
-
-        def ordinary(text: str) -> list[int]:
-            out, at = [], 0
-            for run in LONG_SPACE.finditer(text):
-                end = run.end() - (run.end() < len(text))
-                out += coder.encode_ordinary(text[at : run.start()]) + whole.encode_ordinary(text[run.start() : end])
-                at = end
-            return out + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
-
-        return lambda texts: [ids(t) for t in texts]
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     coder = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)]
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    added, split = coder.get_added_tokens_decoder().values(), coder.pre_tokenizer
+    plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and coder.normalizer is None
+    if not plain or coder.post_processor is not None or any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added):
+        return whole
+    letters = byte_letters()
+    vocabulary = coder.get_vocab()
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[i for word, i in vocabulary.items() if word.startswith(letters[0x20])]] = True
+    # the same merges for words that are written in byte letters already
+    latin = Tokenizer.from_file(path)
+    latin.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    rewritten = [(chr(b), letters[b]) for b in range(0x80, 0x100) if chr(b) != letters[b]]  # as far as Latin letters have them
+    known: dict[str, bytes] = {}
+
+    def together(words: list[str], coder, text: str) -> None:
+        ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cut = (np.append(np.flatnonzero(begins[ids]), len(ids)) * 4).tolist()
+        raw = ids.tobytes()
+        known.update(zip(words, (raw[a:b] for a, b in itertools.pairwise(cut)), strict=True))
+
+    def learn(words: set[str]) -> None:
+        plain, other, spaced, parts = [], [], [], []
+        for w in words:
+            if m := LATIN.fullmatch(w):
+                plain.append(w)
+                parts.append(m[1] if m[2] is None else f"{m[1]}\t{m[2]}")
+            else:
+                (spaced if " " in w else other).append(w)
+        if plain:
+            joined = "\n".join(parts).encode().decode("latin-1")
+            for plain_letter, written in rewritten:
+                joined = joined.replace(plain_letter, written)
+            together(plain, latin, letters[0x20] + joined.replace("\n", " " + letters[0x20]).replace("\t", " "))
+        if other:
+            together(other, coder, " " + " ".join(other))
+        known.update(zip(spaced, whole([" " + w for w in spaced]), strict=True))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        heads, out, new = [], [], set()
+        for text in texts:
+            words = text.split(" ")
+            if "" in words or any(c in text for c in WHITE):
+                words = GAP.split(text)
+            heads.append(words[0])
+            found = [b"", *map(known.get, words[1:])]
+            if None in found:
+                new.update(w for w, f in zip(words, found, strict=True) if f is None)
+            out.append((words, found))
+        learn(new)
+        for (words, found), head in zip(out, whole(heads), strict=True):
+            found[0] = head
+            if None in found:
+                found[:] = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        if len(known) > REMEMBERED:
+            known.clear()
+        else:
+            for w in new:
+                if len(w) > LONGEST:
+                    del known[w]
+        return [b"".join(found) for _, found in out]
+
+    return encode
 
 
 def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -99,7 +146,7 @@ def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY
             rows, cells = [], []
             texts = [x or "" for x in batch.column("__text").to_pylist()]
             for row, ids in enumerate(encode(texts)):
-                array = np.array([*ids, END], "<u4")
+                array = np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
                 at, to, k = 0, len(array) % capacity or min(len(array), capacity), 0
                 while at < len(array):
                     part = array[at:to]
@@ -176,9 +223,10 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     tables = spark.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (keys, starts, slots, offset)))
 
-    parts = 1 + sum(histogram.values()) // RANK_ROWS
+    # as many parts as a length has rows in each: neither a part nor the list of parts is long
+    parts = F.array(*(F.lit(1 + math.isqrt(histogram.get(k, 0))) for k in range(1, capacity + 1)))
     content = [c for c in cut.columns if c != "length"]
-    rows = cut.withColumn("__part", F.pmod(F.xxhash64(*content), F.lit(parts)))
+    rows = cut.withColumn("__part", F.pmod(F.xxhash64(*content), F.element_at(parts, F.col("length").cast("int"))))
     sums = rows.groupBy("length", "__part").count()
     before = sums.select("length", "__part", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     simple = [f.name for f in cut.schema if f.name != "length" and not isinstance(f.dataType, (T.ArrayType, T.MapType))]

@@ -13,11 +13,11 @@ from .digest import sha256
 
 ALLOW = ["example.com/en/7", "net/de/"]
 BLOCK = ["com/en/", "example.net/de/8", "org/es/"]
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
-    """Where a public vocabulary is installed; byte_bpe_50k.tiktoken has the ids of byte_bpe_50k.json."""
+    """Where a public vocabulary is installed."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

@@ -300,30 +300,28 @@ def test_packing(spark, docs, sf):
             at += r.length
         assert at == len(ids)
     edge = clashing(table(spark, EDGE)).withColumnsRenamed({"piece": "other_piece", "length": "other_length"})
-    for path in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
-        rows = packing.pack(edge, queries.tokenizer_path(path), ["doc_id", "lang"], 16).collect()
-        packed_whole(rows, 16)
-        assert [r.ids for r in rows if r.doc_id == 1] == [[0]] and len({(r.doc_id, r.piece) for r in rows}) == len(rows) - 1
+    rows = packing.pack(edge, queries.tokenizer_path(), ["doc_id", "lang"], 16).collect()
+    packed_whole(rows, 16)
+    assert [r.ids for r in rows if r.doc_id == 1] == [[0]] and len({(r.doc_id, r.piece) for r in rows}) == len(rows) - 1
     assert packing.pack(edge.limit(0), queries.tokenizer_path(), ["doc_id"]).count() == 0
 
 
-def test_tokenizer_forms_agree():
-    ranks, plain = (packing.tokenizer(queries.tokenizer_path(f"byte_bpe_50k.{form}")) for form in ("tiktoken", "json"))
-    rng = random.Random(5)
-    parts = ["ab", "7", "'s", "!", "\u3000", "\x1c", "<|endoftext|>", " ", "\n" * 999, "\r\n" * 1250, " " * 1000, "\t" * 1001]
-    texts = ["", " " * 300_000 + "x", "\n" * 300_000, "a" * 100_000, *("".join(rng.choices(parts, k=9)) for _ in range(60))]
-    assert [list(x) for x in ranks(texts)] == [list(x) for x in plain(texts)]
-
-
-def test_added_tokens():
+def test_ids_of_plain_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "  <|endoftext|>" + " " * 1500 + "<|endoftext|>" + "\n" * 1200, "<|endoftext|", "plain 'll text"]
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    coder, encode = Tokenizer.from_file(path), packing.tokenizer(path)
+    rng = random.Random(5)
+    parts = ["ab", "7", "'s", "!", "\u3000", "\x1c", "\u180e", "\x85", "é", "文", "<|endoftext|>", " ", " ", " ", "\n", "\n" * 999, "\r\n" * 1250, " " * 1000, "\t" * 1001]
+    texts = ["", " ", " " * 300_000 + "x", "\n" * 300_000, "a" * 100_000, "a " * 50_000, "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "don't 's 'll x"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(400)]
     wanted = [coder.encode(t, add_special_tokens=False).ids for t in texts]
-    assert wanted[0] == [64, 220, 50256, 275]
-    for form in ("tiktoken", "json"):
-        assert [list(x) for x in packing.tokenizer(queries.tokenizer_path(f"byte_bpe_50k.{form}"))(texts)] == wanted
+    assert wanted[6] == [64, 220, 50256, 275]
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    for _ in range(2):  # words once new, and then known or forgotten again
+        for size in (1, 7, len(texts)):
+            made = [x for i in range(0, len(texts), size) for x in encode(texts[i : i + size])]
+            assert [np.frombuffer(x, "<u4").tolist() for x in made] == wanted
 
 
 def test_fullest_against_brute_force():
