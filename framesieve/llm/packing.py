@@ -36,12 +36,13 @@ CAPACITY = 2048
 END = 0
 #: Words whose ids a Python worker remembers (some 200 MB), and the longest ones.
 REMEMBERED, LONGEST = 1 << 20, 48
-#: A space between two visible characters: the vocabulary's splitting pattern always begins a word there.
-GAP = re.compile(r"(?<=\S) (?=\S)")
-#: What may stand beside a space so that splitting at every space isn't enough.
-WHITE = ("\n ", " \n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
-#: Words of Latin letters and ASCII marks after them: pre-tokenisation makes these two tokens ("'" is another matter).
-LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@[-`{-~]+)?")
+#: A space or a line's end between two visible characters: the splitting pattern always begins a token there.
+GAP = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+#: What may stand beside a space or a line's end so that splitting at every one isn't enough.
+WHITE = ("\n ", " \n", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Words of Latin letters and ASCII marks after them: pre-tokenisation makes these two tokens ("'" is another
+#: matter), and a line's end before them one more.
+LATIN = re.compile("(\n)?([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]+)?")
 
 
 def byte_letters() -> list[str]:
@@ -55,11 +56,11 @@ def byte_letters() -> list[str]:
 def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids without special tokens, as little-endian unsigned 32-bit integers.
 
-    A text's ids are those of its words, one after the other, where a word begins at every single space between
-    visible characters: byte-level pre-tokenisation begins a token at each of these, an added token holds
-    no space, and merges stay within a token.  Words met before are looked up; the others are encoded together,
-    each with its space, and told apart by the ids that begin with one.  Files whose tokens could cross a
-    space are encoded in whole texts.
+    A text's ids are those of its words, one after the other, where a word begins at every single space or line's end
+    between visible characters: byte-level pre-tokenisation begins a token at each of these, an added token
+    holds neither, and merges stay within a token.  Words met before are looked up; the others are encoded
+    together, each with its space or line's end, and told apart by the ids that begin with one.  Files whose tokens
+    could cross a space are encoded in whole texts.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -70,17 +71,17 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
 
     added, split = coder.get_added_tokens_decoder().values(), coder.pre_tokenizer
     plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and coder.normalizer is None
-    if not plain or coder.post_processor is not None or any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added):
+    if not plain or coder.post_processor is not None or any({*" \n"} & {*t.content} or t.lstrip or t.rstrip or t.single_word for t in added):
         return whole
     letters = byte_letters()
     vocabulary = coder.get_vocab()
     begins = np.zeros(max(vocabulary.values()) + 1, bool)
-    begins[[i for word, i in vocabulary.items() if word.startswith(letters[0x20])]] = True
+    begins[[i for word, i in vocabulary.items() if word.startswith(letters[0x20]) or word == letters[0x0A]]] = True
     # the same merges for words that are written in byte letters already
     latin = Tokenizer.from_file(path)
     latin.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-    rewritten = [(chr(b), letters[b]) for b in range(0x80, 0x100) if chr(b) != letters[b]]  # as far as Latin letters have them
-    known: dict[str, bytes] = {}
+    rewritten = [(chr(b), letters[b]) for b in range(0x80, 0x100) if chr(b) != letters[b]] + [("\1", letters[0x20]), ("\2", letters[0x0A])]
+    known: dict[str, bytes] = {"": b""}
 
     def together(words: list[str], coder, text: str) -> None:
         ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -93,48 +94,54 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
         for w in words:
             if m := LATIN.fullmatch(w):
                 plain.append(w)
-                parts.append(m[1] if m[2] is None else f"{m[1]}\t{m[2]}")
+                line, body, marks = m.groups()
+                parts.append(("\2 " if line else "\1") + (body if marks is None else f"{body} {marks}"))
             else:
-                (spaced if " " in w else other).append(w)
+                (spaced if " " in w or "\n" in w[1:] else other).append(w)
         if plain:
-            joined = "\n".join(parts).encode().decode("latin-1")
-            for plain_letter, written in rewritten:
-                joined = joined.replace(plain_letter, written)
-            together(plain, latin, letters[0x20] + joined.replace("\n", " " + letters[0x20]).replace("\t", " "))
+            joined = " ".join(parts).encode().decode("latin-1")
+            for byte, letter in rewritten:
+                joined = joined.replace(byte, letter)
+            together(plain, latin, joined)
         if other:
-            together(other, coder, " " + " ".join(other))
-        known.update(zip(spaced, whole([" " + w for w in spaced]), strict=True))
+            together(other, coder, "".join(w if w[0] == "\n" else " " + w for w in other))
+        known.update(zip(spaced, whole([w if w[0] == "\n" else " " + w for w in spaced]), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        heads, out, new = [], [], set()
+        heads, out, gaps, new = [], [], [], set()
         for text in texts:
-            words = text.split(" ")
-            if "" in words or any(c in text for c in WHITE):
+            words = text.replace("\n", " \n").split(" ")
+            if "" in words or text.endswith("\n") or any(c in text for c in WHITE):
                 words = GAP.split(text)
             heads.append(words[0])
-            found = [b"", *map(known.get, words[1:])]
-            if None in found:
-                new.update(w for w, f in zip(words, found, strict=True) if f is None)
-            out.append((words, found))
+            words[0] = ""
+            found = list(map(known.get, words))
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                gaps.append((found, at, words[at]))
+                new.add(words[at])
+            out.append(found)
         learn(new)
-        for (words, found), head in zip(out, whole(heads), strict=True):
+        for found, at, word in gaps:
+            found[at] = known[word]
+        for found, head in zip(out, whole(heads), strict=True):
             found[0] = head
-            if None in found:
-                found[:] = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
         if len(known) > REMEMBERED:
             known.clear()
+            known[""] = b""
         else:
             for w in new:
                 if len(w) > LONGEST:
                     del known[w]
-        return [b"".join(found) for _, found in out]
+        return [b"".join(found) for found in out]
 
     return encode
 
 
 def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """The kept columns, piece, start, length, ids_crc32 and (on request) ids of every piece of every text."""
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     extra = [("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64())]
     if with_ids:
         extra.append(("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
