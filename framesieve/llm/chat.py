@@ -68,7 +68,7 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     start: where the chunk begins in the whole rendering, in characters; spans: [start, end) of the mask
     there; chunk numbers from 0 in each rendering.
     """
-    bound_batches(conversations.sparkSession, 2048)
+    bound_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),

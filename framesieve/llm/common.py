@@ -7,9 +7,7 @@ modulo 2**64.  A null text is treated as the empty text everywhere.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -122,9 +120,14 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False,
         at = to
 
 
-def bound_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keeps Arrow batches of whole texts small enough for an executor's Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes and rows of an Arrow batch: whatever texts are long, a Python worker holds a batch of them easily.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, and in rows; one setting for all operators, so that their order doesn't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -141,30 +144,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, release: bool = False) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later steps neither recompute it nor
-    depend on the executors that made it.
+#: Spark's setting for deleting an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    release: also lets Spark delete the shuffle files of finished steps now, rather than when the driver
-    next happens to collect its garbage; worth its pause after steps that shuffle whole texts.
-    """
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: later steps neither recompute it nor
+    depend on the executors that made it, so that Spark may delete the step's shuffle files at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/framesieve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2 * release):
-        gc.collect()
-        time.sleep(0.4)  # the driver's JVM learns of dropped references a moment later
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing will read it again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("framesieve-"):
-            path.getFileSystem(conf).delete(path, True)
+def discard(*written: DataFrame) -> None:
+    """Deletes what materialize() wrote, once nothing will read it again.  Names come from the DataFrames alone, so
+    that what is deleted is one written step, never an input."""
+    for df in written:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("framesieve-"):
+                path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that begin with the given ones and aren't among those taken, whatever their case."""
+    low, end = {t.lower() for t in taken}, ""
+    while any((n + end).lower() in low for n in names):
+        end += "_"
+    return [n + end for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["a", "b"])
 
-    bound_batches(sets.sparkSession, 64)
+    bound_batches(sets.sparkSession)
     left = sets.select(F.col("content").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("content").alias("b"), F.col("hashes").alias("hb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
@@ -189,9 +189,9 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     contents = signed.groupBy("content").agg(first, F.first("bands").alias("bands"))
     contents = materialize(contents.select("content", "first.doc_id", "first.row", "bands"))
     keyed = contents.select("content", F.explode("bands").alias("key"))
-    known = materialize(_bands(keyed), release=True)
+    known = materialize(_bands(keyed))
     involved = materialize(known.select("content").distinct())
-    sets = materialize(_shingled(docs, involved.join(contents.select("content", "doc_id", "row"), "content")), release=True)
+    sets = materialize(_shingled(docs, involved.join(contents.select("content", "doc_id", "row"), "content")))
     labels = involved.select("content", F.col("content").alias("label"))
     labels, crowd = _linked(known, labels, sets, threshold)
     work = F.col("waiting") * F.col("n")

@@ -284,7 +284,7 @@ def decode(data: bytes | None) -> Iterator[Page]:
 def pages(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
     """One row per page of every file: the kept columns, page, width, height, samples, bits, compression,
     predictor, data (samples, row by row, little-endian), error."""
-    bound_batches(files.sparkSession, 64)
+    bound_batches(files.sparkSession)
     names = [("page", T.IntegerType()), ("width", T.LongType()), ("height", T.LongType()), ("samples", T.IntegerType()), ("bits", T.IntegerType()), ("compression", T.IntegerType()), ("predictor", T.IntegerType()), ("data", T.BinaryType()), ("error", T.StringType())]
     schema = T.StructType([*files.select(*keep).schema.fields, *(T.StructField(*x) for x in names)])
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
@@ -319,7 +319,7 @@ def load(media: bytes) -> bytes:
 
 def text_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, n_bytes, media (the stored TIFF) of every text's UTF-8, padded with 255 to rows of ROW."""
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
     shares of eight value bands)."""
     import hashlib
 
-    bound_batches(media.sparkSession, 256)
+    bound_batches(media.sparkSession)
     kinds = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     schema = T.StructType([*media.select(*keep).schema.fields, *(T.StructField(*x) for x in kinds)])
 
