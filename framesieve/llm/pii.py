@@ -1,18 +1,22 @@
 """PII by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base entities (email, ip, card, phone) come from fixed patterns with checks.  They seed a bootstrap:
-the two words before an entity are a lexical pattern; every number- or address-like token of a text that
-is in no base span is a candidate instance of the pattern before it.  Spark scores the graph of
-patterns and instances round by round: a pattern's confidence is the weight of its trusted
-occurrences over that of all its occurrences, an instance's is the best of its patterns'; instances
-of confident patterns are trusted in the next round and lend weight to further patterns.
-Confident patterns then yield unseen identifiers, of the kind most of their seeds have, in every text.
-
-Base spans are never changed.  Positions are code points, ends exclusive.
-
-Defined results: a null or empty text has no spans; repeated rows get the same spans; texts without words
-before an entity give the pattern no support; an empty table gives no rows; other columns are kept only on
-request, whatever their names.
+Base entities (email, ip, card, phone) come from fixed patterns with checks.  They, and keys written in hexadecimal
+(the kind secret, which has no base spans), seed a bootstrap.  An occurrence of an identifier has four lexical
+patterns: the two words before it, the word or delimiter before it, the one after it, both with its shape, and its
+shape with its length.  Every number- or address-like token of a text that is in no base span is a candidate
+instance of its own patterns.  Spark scores the graph of patterns and instances round by round: a pattern's confidence
+in a kind is the number of its occurrences whose instance is trusted to be of that kind over the number of all its
+occurrences; patterns of enough confidence and enough different trusted instances make their other instances
+trusted, and these lend weight to further patterns in the next round.  Confident patterns then yield unseen
+identifiers, of the kind they are most confident in, in every text.
+
+Base spans are never changed, and what is found beside them never meets them.  Positions are code points, ends exclusive.
+
+Defined results: a null or empty text has no spans; repeated rows get the same spans, and count as
+often as they occur; context words of over 40 characters, or beyond other words, aren't contexts (two words before and
+one after are looked for within 84 characters); candidates are whole tokens of any length without the
+quotes, brackets and marks around them; an empty table gives no rows; other columns are kept only on request,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, fresh, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that a run of characters is scanned once: a match can only start where
@@ -31,45 +35,68 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Two words and then a token with a digit or "@" in it; a word is at most 40 characters, so that junk isn't scanned twice.
-CANDIDATE = r"(?<!\S)[^\s0-9@]{1,40}+\s{1,4}+[^\s0-9@]{1,40}+\s{1,4}+[A-Za-z0-9+._#/-]{0,64}[0-9@][A-Za-z0-9+._@#/-]{4,64}"
+#: A kind without base spans, found by context alone, and what seeds it: hexadecimal keys of 32 digits or more.
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
+KEY = "^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}$"
+#: A token with a digit or "@" in it, and what may stand around an identifier in one.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+OPENING, CLOSING = r"^[\"'`(<\[{]+", r"[\"'`)>\]}.,;:!?*$%&#|]+$"
+LEAST = 6
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
-#: Characters before an entity in which its context is sought; matches or spans that are handled as one block.
-BEFORE, BLOCK = 84, 256
+#: Characters beside an entity in which its context is sought; matches or spans that are handled as one block.
+BEFORE, BLOCK = 84, 128
 
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
 def located(text: Column, pattern: str, probe: Column) -> Column:
-    """array<struct<found, gap, before>>: leftmost matches without overlap, how many characters lie between
-    each and the one before it, and the last BEFORE of these (after a 0, which stands for a match before
-    them); probe: a cheap condition without which nothing can match."""
+    """array<struct<found, gap, before, after>>: leftmost matches without overlap, how many characters lie between
+    each and the one before it, the last BEFORE of these (after a 0, which stands for a match before
+    them) and the first BEFORE of those that follow (before a 0); probe: a cheap condition without which nothing
+    can match."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<found:string,gap:bigint,before:string>>")
-    pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("found"), F.length(b).cast("bigint").alias("gap"), F.substring(b, -BEFORE, BEFORE).alias("before")))
+    none = F.array().cast("array<struct<found:string,gap:bigint,before:string,after:string>>")
+    ends = F.transform(between, lambda b: F.struct(F.length(b).cast("bigint").alias("gap"), F.substring(b, -BEFORE, BEFORE).alias("last"), F.substring(b, 1, BEFORE).alias("first")))
+    follow = F.concat(F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<gap:bigint,last:string,first:string>")))
+    beside = F.arrays_zip(ends.alias("one"), follow.alias("two"))
+    pairs = F.zip_with(found, beside, lambda m, b: F.struct(m.alias("found"), b["one"]["gap"].alias("gap"), b["one"]["last"].alias("before"), b["two"]["first"].alias("after")))
     return F.filter(F.when(probe, pairs).otherwise(none), lambda p: p["found"].isNotNull())
 
 
+def _running(items: Column, value, merge, zero: Column) -> Column:
+    """array<struct<item, ahead>>: every item with the values of all items ahead of it merged.  An accumulator that holds
+    an array would be copied at every step, so the values are merged in blocks: BLOCK steps an item, and one for each
+    pair of blocks."""
+    folded = lambda values: F.aggregate(values, zero, merge)
+
+    def cut(all_: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_) / BLOCK) - 1, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(all_, j * BLOCK + 1, F.lit(BLOCK)))
+
+    def based(blocks: Column) -> Column:
+        return F.transform(blocks, lambda x, j: F.struct(x["part"].alias("part"), x["values"].alias("values"), folded(F.slice(F.transform(blocks, lambda y: y["all"]), F.lit(1), j)).alias("base")))
+
+    # arrays of one, so that what a lambda uses again and again is made once
+    parts = F.flatten(F.transform(F.array(items), cut))
+    valued = F.transform(parts, lambda part: F.struct(part.alias("part"), F.transform(part, value).alias("values")))
+    summed = F.transform(valued, lambda x: F.struct(x["part"].alias("part"), x["values"].alias("values"), folded(x["values"]).alias("all")))
+    bases = F.flatten(F.transform(F.array(summed), based))
+    placed = F.transform(bases, lambda x: F.transform(x["part"], lambda item, i: F.struct(item.alias("item"), merge(x["base"], folded(F.slice(x["values"], F.lit(1), i))).alias("ahead"))))
+    return F.flatten(placed)
+
+
 def _positions(pairs: Column) -> Column:
-    """Gaps to positions: array<struct<found, at, before>>.  Appending copies an array, so that they are gathered in
-    blocks: the work grows with the number of matches, not with its square."""
-    one = "struct<found:string,at:bigint,before:string>"
-    empty = F.array().cast(f"array<{one}>")
-
-    def step(acc: Column, p: Column) -> Column:
-        first = F.size(acc["now"]) + F.size(acc["done"]) == 0
-        before = F.when(first | (F.length(p["before"]) == BEFORE), p["before"]).otherwise(F.concat(F.lit("0"), p["before"]))
-        now = F.concat(acc["now"], F.array(F.struct(p["found"].alias("found"), (acc["at"] + p["gap"]).alias("at"), before.alias("before"))))
-        full = F.size(acc["now"]) >= BLOCK - 1
-        return F.struct(
-            (acc["at"] + p["gap"] + F.length(p["found"])).alias("at"),
-            F.when(full, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(full, empty).otherwise(now).alias("now"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{one}>>").alias("done"), empty.alias("now"))
-    return F.aggregate(pairs, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
+    """Gaps to positions: array<struct<found, at, before, after>>."""
+    counted = _running(pairs, lambda p: p["gap"] + F.length(p["found"]), lambda a, b: a + b, F.lit(0).cast("bigint"))
+
+    def one(x: Column, i: Column) -> Column:
+        before = x["item"]["before"]
+        before = F.when((i == 0) | (F.length(before) == BEFORE), before).otherwise(F.concat(F.lit("0"), before))
+        return F.struct(x["item"]["found"].alias("found"), (x["ahead"] + x["item"]["gap"]).alias("at"), before.alias("before"), F.concat(x["item"]["after"], F.lit("0")).alias("after"))
+
+    return F.transform(counted, one)
 
 
 def _digits(text: Column) -> Column:
@@ -99,14 +126,14 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """array<struct<start, kind, end, pattern, instance>> of the base entities by start, then kind; kind: place in
-    KINDS; pattern: the two words before it; instance: hash of its text."""
+    """array<struct<start, kind, end, instance, patterns>> of the base entities by start, then kind; kind: place in
+    KINDS; instance: hash of its text; patterns: its lexical patterns."""
     digit = text.rlike("[0-9]")
     probes = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains(text, F.lit("+")) & digit}
 
     def of(k: int, kind: str) -> Column:
         good = F.filter(_positions(located(text, PATTERNS[kind], probes[kind])), lambda m: _valid(kind, m["found"]))
-        return F.transform(good, lambda m: F.struct(m["at"].alias("start"), F.lit(k).alias("kind"), (m["at"] + F.length(m["found"])).alias("end"), _words(m["before"]).alias("pattern"), F.xxhash64(m["found"]).alias("instance")))
+        return F.transform(good, lambda m: F.struct(m["at"].alias("start"), F.lit(k).alias("kind"), (m["at"] + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
 
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
@@ -116,9 +143,20 @@ def base_spans(text: Column) -> Column:
     return F.transform(entities(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def _words(left: Column) -> Column:
-    """The two words that end a text, lower-cased; empty where there aren't two."""
-    return F.lower(F.regexp_replace(F.regexp_extract(left, r"(?:^|\s)([^\s0-9@]{1,40}\s{1,4}[^\s0-9@]{1,40})\s{1,4}$", 1), r"\s+", " "))
+def _shape(found: Column) -> Column:
+    """Letters as a, digits as 0, each run once; other characters as they are."""
+    return F.regexp_replace(F.regexp_replace(found, r"\p{L}+", "a"), "[0-9]+", "0")
+
+
+def _patterns(before: Column, found: Column, after: Column) -> Column:
+    """The lexical patterns of an occurrence, lower-cased; contexts that aren't there are left out."""
+    shape = F.coalesce(_shape(found), F.lit(""))
+    two = F.regexp_replace(F.regexp_extract(before, r"(?:^|\s)([^\s0-9@]{1,40}\s{1,4}[^\s0-9@]{1,40})\s{1,4}[\"'`(<\[{]*$", 1), r"\s+", " ")
+    one = F.regexp_extract(before, r"(?:^|\s)([^\s0-9@]{1,40})\s{1,4}[\"'`(<\[{]*$", 1)
+    next_ = F.regexp_extract(after, r"^[\"'`)>\]}.,;:!?*$%&#|]*\s{1,4}([^\s0-9@]{1,40})(?:\s|$)", 1)
+    sized = F.concat(F.lit("shape "), F.length(found), F.lit(" "), shape)
+    made = F.array(F.when(two != "", F.concat(F.lit("two "), two)), F.when(one != "", F.concat(F.lit("one "), one, F.lit(" "), shape)), F.when(next_ != "", F.concat(F.lit("next "), next_, F.lit(" "), shape)), sized)
+    return F.transform(F.filter(made, lambda p: p.isNotNull()), F.lower)
 
 
 def _blocks(spans: Column) -> Column:
@@ -128,68 +166,93 @@ def _blocks(spans: Column) -> Column:
     return F.when(F.size(spans) > 0, made).otherwise(F.slice(made, 1, 0))
 
 
+def candidates(text: Column, base: str) -> Column:
+    """array<struct<start, kind, end, instance, patterns>> of the tokens that meet no base span (the column base);
+    kind: SECRET for keys, else -1."""
+    tokens = _positions(located(text, CANDIDATE, text.rlike("[0-9@]")))
+    bare = F.transform(tokens, lambda m: F.struct(m["at"].alias("at"), F.regexp_extract(m["found"], OPENING, 0).alias("opening"), F.regexp_replace(F.regexp_replace(m["found"], OPENING, ""), CLOSING, "").alias("found"), m["before"].alias("before"), F.concat(F.regexp_extract(m["found"], CLOSING, 0), m["after"]).alias("after")))
+    long = F.filter(bare, lambda m: F.length(m["found"]) >= LEAST)
+    kind = lambda m: F.when(m["found"].rlike(KEY), SECRET).otherwise(-1)
+    start = lambda m: m["at"] + F.length(m["opening"])
+    drawn = F.transform(long, lambda m: F.struct(start(m).alias("start"), kind(m).alias("kind"), (start(m) + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
+    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    held = lambda c: F.exists(base, lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
+    return F.when(F.size(base) == 0, drawn).otherwise(F.filter(drawn, lambda c: ~held(c)))
+
+
+def scored(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind, confidence, support) of the confident patterns of a graph, edges (pattern, instance, n, kind): n
+    occurrences of an instance with a pattern; kind: that of its seeds, -1 for none."""
+    trusted = materialize(edges.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("trusted")))
+    patterns = None
+    for last in range(rounds - 1, -1, -1):
+        weighed = edges.join(trusted, "instance", "left").groupBy("pattern", "trusted").agg(F.sum("n").alias("good"), F.count("*").alias("support"))
+        best = F.max(F.when(F.col("trusted").isNotNull(), F.struct("good", "support", F.col("trusted").alias("kind")))).alias("best")
+        found = weighed.groupBy("pattern").agg(F.sum("good").alias("all"), best).select("pattern", "best.kind", (F.col("best.good") / F.col("all")).alias("confidence"), "best.support")
+        before, patterns = patterns, materialize(found.where((F.col("support") >= support) & (F.col("confidence") >= confidence)))
+        if before is not None:
+            discard(before)
+        if last:
+            learned = edges.where("kind < 0").join(patterns.select("pattern", F.col("kind").alias("trusted")), "pattern").groupBy("instance").agg(F.max("trusted").alias("trusted"))
+            before, trusted = trusted, materialize(trusted.unionByName(learned).groupBy("instance").agg(F.max("trusted").alias("trusted")))
+            discard(before)
+    discard(trusted)
+    return patterns
+
+
 def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """The kept columns, base (array of kind, start, end) and extra (the same, discovered by context) of every row."""
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    seen = rows.select(*keep, text.alias("__text"), entities(text).alias("__seeds"))
-    seen = seen.select(*keep, "__text", "__seeds", F.transform("__seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
-    # contexts of base entities, and candidates with their contexts: (kind or -1, pattern, instance, start, end)
-    seeds = F.transform("__seeds", lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "pattern", "instance", "start", "end"))))
-    tokens = _positions(located(F.col("__text"), CANDIDATE, F.col("__text").rlike("[0-9@]")))
-    word = lambda m: F.regexp_extract(m["found"], r"(\S+)$", 1)
-    context = lambda m: F.lower(F.regexp_replace(F.regexp_extract(m["found"], r"^(\S+\s+\S+)\s+\S+$", 1), r"\s+", " "))
-    drawn = F.transform(tokens, lambda m: F.struct(F.lit(-1).alias("kind"), context(m).alias("pattern"), F.xxhash64(word(m)).alias("instance"), (m["at"] + F.length(m["found"]) - F.length(word(m))).alias("start"), (m["at"] + F.length(m["found"])).alias("end")))
-    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
-    held = lambda c: F.exists("__blocks", lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
-    # named twice, so that the blocks are made once for a text, not for each candidate
-    free = F.when(F.size("__blocks") == 0, drawn).otherwise(F.filter(drawn, lambda c: ~held(c)))
-    seen = seen.withColumn("__blocks", _blocks(F.col("base")))
-    found = materialize(seen.withColumn("__row", F.monotonically_increasing_id()).select(*keep, "__row", "base", F.filter(F.concat(seeds, free), lambda c: c["pattern"] != "").alias("contexts")))
+    body, seeds, blocks, row, contexts, id_, more = fresh([*keep, "base", "extra"], "__text", "__seeds", "__blocks", "__row", "__contexts", "__id", "__extra")
+    text = F.coalesce(F.col(body), F.lit(""))
+    rows = docs.select(*keep, F.col("text").alias(body))
+    seen = rows.select(*keep, text.alias(body), entities(text).alias(seeds))
+    base = F.transform(seeds, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    seen = seen.select(*keep, body, seeds, base.alias("base")).withColumn(blocks, _blocks(F.col("base")))
+    found = materialize(seen.select(*keep, "base", F.concat(F.col(seeds), candidates(F.col(body), blocks)).alias(contexts)).withColumn(row, F.monotonically_increasing_id()))
 
     # the pattern-instance graph, aggregated over all texts
-    each = found.select("__row", F.explode("contexts").alias("c")).select("__row", "c.*")
-    edges = materialize(each.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
-    trusted = edges.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("trusted"))
-    patterns = None
-    for _ in range(rounds):
-        weighed = edges.join(trusted, "instance", "left")
-        good = F.sum(F.when(F.col("trusted").isNotNull(), F.col("n")).otherwise(0))
-        kind = F.max_by("trusted", F.struct(F.when(F.col("trusted").isNotNull(), F.col("n")).otherwise(0), F.col("trusted")))
-        scores = weighed.groupBy("pattern").agg(good.alias("good"), F.sum("n").alias("all"), F.countDistinct(F.when(F.col("trusted").isNotNull(), F.col("instance"))).alias("support"), kind.alias("kind"))
-        patterns = materialize(scores.where((F.col("support") >= support) & (F.col("good") >= confidence * F.col("all"))).select("pattern", F.col("kind").alias("pattern_kind")))
-        learned = edges.where("kind < 0").join(patterns, "pattern").groupBy("instance").agg(F.max("pattern_kind").alias("trusted"))
-        trusted = materialize(trusted.unionByName(learned).groupBy("instance").agg(F.max("trusted").alias("trusted")))
-    extra = each.where("kind < 0").join(patterns, "pattern").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", F.col("pattern_kind").alias("kind"), "end"))).alias("extra"))
-    none = F.array().cast(SPAN)
-    named = F.transform("extra", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.join(extra, "__row", "left").select(*keep, "base", F.coalesce(named, none).alias("extra"))
+    each = found.select(row, F.explode(contexts).alias("c")).select(F.col(row).alias("row"), "c.*")
+    edges = materialize(each.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+    patterns = scored(edges, rounds, confidence, support)
+    discard(edges)
+    free = each.where((F.col("kind") < 0) | (F.col("kind") == SECRET)).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    named = free.join(patterns.withColumnRenamed("kind", "named"), "pattern")
+    spans = named.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "support", "named")).alias("best"))
+    one = F.struct("start", F.col("best.named").alias("kind"), "end")
+    extra = spans.groupBy(F.col("row").alias(id_)).agg(F.array_sort(F.collect_list(one)).alias(more))
+    ordered = F.transform(more, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.join(extra, F.col(row) == F.col(id_), "left").select(*keep, "base", F.coalesce(ordered, F.array().cast(SPAN)).alias("extra"))
 
 
 def written(spans: Column) -> Column:
     """kind:start:end of every span, by start, then kind, comma-joined."""
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in NAMES))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    names = F.array(*(F.lit(k) for k in KINDS))
+    """The text with every span replaced by its kind in angle brackets; spans that overlap are replaced together, by the
+    first's kind."""
+    names = F.array(*(F.lit(k) for k in NAMES))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    walk = F.aggregate(
-        ordered, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["parts"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("<"), F.element_at(names, s["kind"] + 1), F.lit(">")))).alias("parts"),
-        )),
-    )
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(walk["parts"], ""), F.substring(text, (walk["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    counted = _running(ordered, lambda s: s["end"], lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint"))
+    first = F.filter(counted, lambda x: x["item"]["start"] >= x["ahead"])
+
+    def cut(source: Column, part) -> Column:
+        pieces = F.transform(first, lambda x: F.concat(part(source, x["ahead"].cast("int") + 1, (x["item"]["start"] - x["ahead"]).cast("int")), F.lit("<"), F.element_at(names, x["item"]["kind"] + 1), F.lit(">")))
+        rest = F.array_max(F.transform(spans, lambda s: s["end"])).cast("int") + 1
+        return F.concat(F.array_join(pieces, ""), part(source, rest, F.greatest(F.length(text) - rest + 1, F.lit(0))))
+
+    # a substring is counted from the text's beginning; with many spans its characters are told apart once
+    split = F.transform(F.array(F.split(text, "")), lambda letters: cut(letters, lambda source, at, n: F.array_join(F.slice(source, at, n), "")))
+    whole = cut(text, lambda source, at, n: F.substring(source, at, n))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) > BLOCK, F.element_at(split, 1)).otherwise(whole)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every identifier in text replaced by its kind; null texts stay null, all columns stay."""
-    rows = docs.withColumn("__hash", F.xxhash64("doc_id", "text"))
-    spans = find(rows, ["__hash"]).where("size(base) + size(extra) > 0").select("__hash", F.concat("base", "extra").alias("__spans")).dropDuplicates(["__hash"])
-    joined = rows.join(spans, "__hash", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("__spans")))).select(*docs.columns)
+    """docs with every identifier in text replaced by its kind; null texts stay null, all columns stay, whatever
+    their names."""
+    spans = find(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"])
+    masked = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(mask(F.col("row.text"), F.concat("base", "extra")))
+    return spans.select(*((masked if c.lower() == "text" else F.col("row")[c]).alias(c) for c in docs.columns))

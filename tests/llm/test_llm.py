@@ -237,10 +237,29 @@ def test_suffix_automaton():
             a.add(r)
         inside = {tuple(r[i:j]) for r in ref for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
         q = [rng.choice("abc") for _ in range(20)]
-        for k, m in enumerate(a.statistics(q)):
+        for k, (m, _) in enumerate(a.statistics(q)):
             assert m == max(n for n in range(k + 2) if not n or tuple(q[k + 1 - n : k + 1]) in inside)
 
 
+def test_suffix_automaton_counts():
+    for s in range(60):
+        rng = random.Random(s)
+        a, length = substring.SuffixAutomaton(), rng.randint(1, 5)
+        ref = [([rng.choice("abc") for _ in range(rng.randint(1, 14))], rng.choice([1, 1, 1, 3])) for _ in range(3)]
+        for words, n in ref:
+            a.add(words, n)
+        a.count()
+        times = collections.Counter()
+        for words, n in ref:
+            for i in range(len(words) - length + 1):
+                times[tuple(words[i : i + length])] += n
+        for words in ([w for w, _ in ref] + [[rng.choice("abc") for _ in range(20)]]):
+            wanted = {i + k for i in range(len(words) - length + 1) if times[tuple(words[i : i + length])] > 1 for k in range(length)}
+            spans = list(a.repeated(words, length))
+            assert {k for low, high in spans for k in range(low, high)} == wanted
+            assert all(one[1] < two[0] for one, two in itertools.pairwise(spans))
+
+
 def dedup_brute(rows, length):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     seen = collections.Counter(tuple(w[i : i + length]) for _, w in words for i in range(len(w) - length + 1))
@@ -265,6 +284,33 @@ def test_substring(spark):
     assert substring.dedup(table(spark, []), ["doc_id"]).count() == 0
 
 
+def test_substring_crowded_anchors(spark, monkeypatch):
+    """A phrase that many texts share, each followed by words of its own, and half of the texts twice."""
+    phrase = " ".join(f"p{i}" for i in range(34))
+    rows = [(i, f"{phrase} a{i % 30} b{i % 30} c{i % 30} " + " ".join(f"d{i}_{k}" for k in range(30))) for i in range(60)]
+    rows += [(100 + i, " ".join(random.Random(i).choices("ab", k=50))) for i in range(40)]
+    wanted = dedup_brute(rows, 35)
+    for shard in (3, 1024):
+        monkeypatch.setattr(substring, "SHARD", shard)
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substring.dedup(table(spark, rows), ["doc_id"]).collect()) == wanted
+        small = [(i, " ".join(random.Random(i).choices("abc", k=60))) for i in range(40)]
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substring.dedup(table(spark, small), ["doc_id"], 6, 3).collect()) == dedup_brute(small, 6)
+
+
+def test_substring_automaton_decides(spark, monkeypatch):
+    rows = table(spark, [(1, " ".join(f"w{i}" for i in range(50))), (2, " ".join(f"w{i}" for i in range(50)))])
+    assert [r.n_removed for r in substring.dedup(rows, ["doc_id"]).collect()] == [50, 50]
+    monkeypatch.setattr(substring, "SuffixAutomaton", type("Blind", (substring.SuffixAutomaton,), {"add": lambda self, words, times: None}))
+    assert [r.n_removed for r in substring.dedup(rows, ["doc_id"]).collect()] == [0, 0]
+
+
+def test_substring_clashing_names(spark):
+    rows = table(spark, [(1, "a b"), (2, None)]).withColumns({c: F.lit(c) for c in ("key", "twin", "start", "anchors", "anchor", "digest", "__text", "__key", "marks")})
+    keep = ["doc_id", "key", "twin", "start", "anchors", "anchor", "digest", "__text", "__key", "marks"]
+    made = sorted(substring.dedup(rows, keep).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.key, r["__text"], r.anchor, r.text) for r in made] == [(1, "key", "__text", "anchor", "a b"), (2, "key", "__text", "anchor", "")]
+
+
 # 7 -----------------------------------------------------------------------------------------------
 
 
@@ -493,7 +539,7 @@ def test_pii_base(spark, docs):
     rng = random.Random(2)
     odd = ["a@b.c_d@e.f a@b.c@d.e x.@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 00255.0.0.1 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 4" + "1" * 40, "+1 (743) 555-3824 +1..2 +12345678901234567 +1 234 567 890 ()", "é🙂 x@y.zz 🙂 10.0.0.1", "9" * 5000, "a." * 3000, "+" * 500 + "1 2"]
     rows = [*EDGE, *((100 + i, t) for i, t in enumerate(odd)), *((200 + i, "".join(rng.choice("ab1.@+- ()4🙂_") for _ in range(120))) for i in range(150))]
-    made = pii.find(clashing(table(spark, rows)).withColumnRenamed("base", "other"), ["doc_id"]).select("doc_id", pii.written(F.col("base")).alias("b")).collect()
+    made = pii.find(clashing(table(spark, rows)), ["doc_id"]).select("doc_id", pii.written(F.col("base")).alias("b")).collect()
     assert sorted((str(r.doc_id), r.b) for r in made) == sorted((str(i), base_brute(t)) for i, t in rows)
     texts = docs.select("doc_id", "text").collect()
     found = {r.doc_id: r.b for r in pii.find(docs, ["doc_id"]).select("doc_id", pii.written(F.col("base")).alias("b")).collect()}
@@ -502,14 +548,58 @@ def test_pii_base(spark, docs):
 
 def test_pii_bootstrap(spark):
     known = [(i, f"please write mail me at user{i}@site.com soon, my phone: dial number +1 743 555 {1000 + i} today") for i in range(12)]
-    fresh = [(50, "hello mail me at user77#hidden9 now"), (51, "the year was 1984x55 and room 12345"), (52, None)]
-    rows = {r.doc_id: r for r in pii.find(table(spark, known + fresh), ["doc_id"]).withColumn("e", pii.written(F.col("extra"))).collect()}
+    keys = [(30 + i, f'here the token = "{hashlib.sha1(str(i).encode()).hexdigest()}" is set') for i in range(8)]
+    fresh = [(50, "hello mail me at user77#hidden9 now"), (51, "the year was 1984x55 and room 12345"), (52, None), (53, 'my TOKEN = "F00DFACE99"!'), (54, f"commit {hashlib.sha1(b'x').hexdigest()}")]
+    rows = {r.doc_id: r for r in pii.find(table(spark, known + keys + fresh), ["doc_id"]).withColumn("e", pii.written(F.col("extra"))).collect()}
     assert rows[50].e == "email:17:31" and rows[51].e == "" and rows[52].e == "" and rows[0].e == ""
-    masked = {r.doc_id: r.text for r in pii.redact(table(spark, known + fresh)).collect()}
+    assert rows[30].e == "secret:18:58" and rows[53].e == "secret:12:22" and rows[54].e == ""
+    masked = {r.doc_id: r.text for r in pii.redact(table(spark, known + keys + fresh)).collect()}
     assert masked[50] == "hello mail me at <email> now" and "<phone> today" in masked[3] and masked[52] is None and masked[51] == fresh[1][1]
+    assert masked[53] == 'my TOKEN = "<secret>"!' and masked[31] == 'here the token = "<secret>" is set'
     assert pii.find(table(spark, []), ["doc_id"]).count() == 0
 
 
+def test_pii_scores_against_brute_force(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        kinds = {i: rng.choice([-1, -1, 0, 1]) for i in range(40)}
+        edges = {(f"p{rng.randrange(12)}", rng.randrange(40)): rng.randint(1, 4) for _ in range(150)}
+        df = spark.createDataFrame([(p, i, n, kinds[i]) for (p, i), n in edges.items()], "pattern string, instance long, n long, kind int")
+        made = {r.pattern: (r.kind, round(r.confidence, 9), r.support) for r in pii.scored(df, 3, 0.45, 2).collect()}
+        trusted = {i: k for i, k in kinds.items() if k >= 0 and any(i == j for _, j in edges)}
+        for last in (False, False, True):
+            confident = {}
+            for p in {p for p, _ in edges}:
+                of = {i: n for (q, i), n in edges.items() if q == p}
+                good, support, kind = max((sum(n for i, n in of.items() if trusted.get(i) == k), sum(trusted.get(i) == k for i in of), k) for k in (0, 1))
+                if support >= 2 and good / sum(of.values()) >= 0.45:
+                    confident[p] = (kind, round(good / sum(of.values()), 9), support)
+            if not last:
+                for (p, i), _ in edges.items():
+                    if p in confident and kinds[i] < 0:
+                        trusted[i] = max(trusted.get(i, -1), confident[p][0])
+        assert made == confident
+
+
+def test_pii_mask_many(spark, monkeypatch):
+    rng = random.Random(3)
+    for block in (3, 256):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        rows = []
+        for d in range(30):
+            text = "".join(rng.choice("ab é🙂文") for _ in range(rng.randint(0, 60)))
+            spans = [(rng.randrange(5), a, rng.randint(a + 1, len(text))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 9)))] if text else []
+            rows.append((d, text, spans))
+        df = spark.createDataFrame(rows, f"doc_id long, text string, spans {pii.SPAN}")
+        for r, (_, text, spans) in zip(df.withColumn("m", pii.mask(F.col("text"), F.col("spans"))).orderBy("doc_id").collect(), rows, strict=True):
+            out, at = "", 0
+            for k, a, b in sorted(spans, key=lambda s: (s[1], s[0], s[2])):
+                if a >= at:
+                    out += text[at:a] + f"<{pii.NAMES[k]}>"
+                at = max(at, b)
+            assert r.m == out + text[at:]
+
+
 # pipeline ----------------------------------------------------------------------------------------
 
 
