@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,8 @@ def materialize(df: DataFrame) -> DataFrame:
     depend on the executors that made it, so that Spark may delete the step's shuffle files at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/framesieve-{uuid.uuid4().hex}"
+    for paths in _scratch:
+        paths.append(path)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -162,15 +165,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getName().startswith("framesieve-"):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*written: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing will read it again.  Names come from the DataFrames alone, so
-    that what is deleted is one written step, never an input."""
+    """Deletes what materialize() wrote, once nothing will read it again."""
     for df in written:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if path.getName().startswith("framesieve-"):
-                path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever materialize() wrote within it: around the writing of a result that operators made,
+    it leaves none of their steps behind."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch[:] = [x for x in _scratch if x is not paths]
+        for path in paths:
+            _delete(spark, path)
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

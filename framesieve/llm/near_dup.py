@@ -9,11 +9,10 @@ the Jaccard similarity that candidates are verified by.
 
 Texts with the same shingles are one class from the start.  Class representatives that share a
 band are candidates.  In each band they are first compared with one pivot, not with each other, so that
-a band of n copies costs n comparisons.  Where a band's members then are in several components, those
-outside the largest are compared with all of the other components if these are at most BAND_PAIRS pairs.
-Larger ones are mostly texts around one common passage: their members get new keys, their rarest shingles
-by prefix filtering, which similar texts share and texts with a common passage don't; these keys are
-compared in the same way, and in whole.  Keys with the same contents count once.
+a band of n copies costs n comparisons; bands with the same contents count once.  Where a band's members then are in
+several components, whatever the band's size, its members get new keys, their rarest shingles by prefix
+filtering, which similar texts share and texts with a common passage don't; texts of different components that share
+such a key, with enough shingles after it, are compared.  That leaves out no similar pair of these members.
 Candidates are verified by the exact Jaccard similarity of their shingles (64-bit hashes), 0.8 or more.
 
 Defined results: null, empty and blank texts have no shingles and form one class; repeated rows are in one
@@ -32,14 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import U, Tokens, bound_batches, gram_hashes, materialize, mix, text_chunks
+from .common import U, Tokens, bound_batches, discard, fresh, gram_hashes, materialize, mix, text_chunks
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
-#: Pairs of one band that are compared at once; larger bands take the way over rare shingles.
-BAND_PAIRS = 256
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -180,26 +177,27 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and (content, doc_id, row, label) of every content: its first row by doc_id, nulls last,
-    and its class."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    signed = materialize(_signed(docs))
+    """The signed rows (doc_id, row, content), and (content, doc_id, row, label) of every content: its first row by
+    doc_id, nulls last, and its class.  All other steps' files are gone when this returns."""
+    bound_batches(docs.sparkSession)
+    banded = materialize(_signed(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    contents = signed.groupBy("content").agg(first, F.first("bands").alias("bands"))
+    contents = banded.groupBy("content").agg(first, F.first("bands").alias("bands"))
     contents = materialize(contents.select("content", "first.doc_id", "first.row", "bands"))
-    keyed = contents.select("content", F.explode("bands").alias("key"))
-    known = materialize(_bands(keyed))
+    signed = materialize(banded.drop("bands"))
+    discard(banded)
+    known = materialize(_bands(contents.select("content", F.explode("bands").alias("key"))))
     involved = materialize(known.select("content").distinct())
     sets = materialize(_shingled(docs, involved.join(contents.select("content", "doc_id", "row"), "content")))
-    labels = involved.select("content", F.col("content").alias("label"))
-    labels, crowd = _linked(known, labels, sets, threshold)
-    work = F.col("waiting") * F.col("n")
-    labels = _compared(crowd.where(work <= BAND_PAIRS), labels, sets, threshold)
-    large = materialize(crowd.where(work > BAND_PAIRS).select("content").distinct())
-    rare = materialize(_rare(sets.join(large, "content"), threshold))
-    labels = _compared_rare(rare, labels, sets, threshold)
-    return signed, contents.select("content", "doc_id", "row").join(labels, "content", "left").withColumn("label", F.coalesce("label", "content"))
+    labels, crowd = _linked(known, involved.select("content", F.col("content").alias("label")), sets, threshold)
+    discard(known)
+    rare = _rare(sets.join(crowd, "content"), threshold)
+    last = _compared_rare(rare, labels, sets, threshold)
+    discard(rare, crowd, sets, labels)
+    named = contents.select("content", "doc_id", "row").join(last, "content", "left").withColumn("label", F.coalesce("label", "content"))
+    named = materialize(named)
+    discard(contents, involved, last)
+    return signed, named
 
 
 def _bands(keyed: DataFrame) -> DataFrame:
@@ -212,34 +210,29 @@ def _bands(keyed: DataFrame) -> DataFrame:
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (content, label) after joining the components that edges (a, b) link."""
+    """Labels (content, label) after joining the components that edges (a, b), a written table, link."""
     left = labels.select(F.col("content").alias("a"), F.col("label").alias("la"))
     right = labels.select(F.col("content").alias("b"), F.col("label").alias("lb"))
     between = edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("now"))
-    return materialize(labels.join(merged, "label", "left").select("content", F.coalesce("now", "label").alias("label")))
+    found = components(between)
+    merged = found.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    made = materialize(labels.join(merged, "label", "left").select("content", F.coalesce("now", "label").alias("label")))
+    discard(edges, found)
+    return made
 
 
 def _linked(known: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Compares the contents of every key with its pivot.  Labels after that, and the members of those keys that
-    hold several components: with n, the key's size, main, its largest component, and waiting, how many
-    members are outside that and were compared with no other but the pivot."""
+    """Compares the contents of every key with its pivot.  Labels after that, and the contents of those keys that
+    hold several components, some members of which were compared with no other but the pivot."""
     pairs = known.where(F.col("content") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
     labels = _joined(labels, materialize(_verified(pairs, sets, threshold)))
-    named = known.join(labels, "content").withColumn("done", F.col("content") == F.col("pivot"))
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.max("done").alias("has"), F.count_if(~F.col("done")).alias("open"))
-    mains = sizes.groupBy("key").agg(F.max_by(F.struct("label", "open"), F.struct("size", "has", "label")).alias("main"), F.sum("size").alias("n"), F.sum("open").alias("all"), F.count("*").alias("labels"))
-    split = mains.where("labels > 1").select("key", "n", F.col("main.label").alias("main"), (F.col("all") - F.col("main.open")).alias("waiting")).where("waiting > 0")
-    return labels, materialize(named.join(split, "key"))
-
-
-def _compared(crowd: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Labels after comparing the waiting members of every key with the key's other components."""
-    side = crowd.where("not done").select("key", "content", "label")
-    asking = crowd.where("not done and label <> main").select("key", F.col("content").alias("asking"), F.col("label").alias("own"))
-    more = asking.join(side, "key").where("own <> label")
-    more = more.select(F.least("asking", "content").alias("a"), F.greatest("asking", "content").alias("b")).distinct()
-    return _joined(labels, materialize(_verified(more, sets, threshold)))
+    named = known.join(labels, "content").withColumn("open", F.col("content") != F.col("pivot"))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.count_if("open").alias("open"))
+    mains = sizes.groupBy("key").agg(F.max(F.struct("size", "label", "open")).alias("main"), F.sum("open").alias("all"), F.count("*").alias("labels"))
+    split = materialize(mains.where((F.col("labels") > 1) & (F.col("all") > F.col("main.open"))).select("key"))
+    crowd = materialize(known.join(split, "key").select("content").distinct())
+    discard(split)
+    return labels, crowd
 
 
 def _rare(sets: DataFrame, threshold: float) -> DataFrame:
@@ -255,11 +248,13 @@ def _rare(sets: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([content.as_py()] * n, pa.binary()), pa.array(own), pa.array(np.full(n, n, np.int64))], ["content", "key", "total"])
 
     each = materialize(sets.select("content", "hashes").mapInArrow(run, "content binary, key long, total long"))
-    common = each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1")
+    common = materialize(each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1"))
     shared = each.join(common, "key").withColumn("listed", F.count("*").over(W.partitionBy("content")))
     order = F.row_number().over(W.partitionBy("content").orderBy("among", "key"))
     ranked = shared.withColumn("place", F.col("total") - F.col("listed") + order)
-    return ranked.where(F.col("place") <= F.col("total") - F.ceil(F.lit(threshold) * F.col("total")) + 1).select("key", "content", "place", "total")
+    rare = materialize(ranked.where(F.col("place") <= F.col("total") - F.ceil(F.lit(threshold) * F.col("total")) + 1).select("key", "content", "place", "total"))
+    discard(each, common)
+    return rare
 
 
 def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -267,7 +262,7 @@ def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshol
     follow it in both; of the shared shingles that is true of the first, if the texts are similar."""
     named = rare.join(labels, "content")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    mains = materialize(sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
     open_ = materialize(named.join(mains, "key"))
     one = open_.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("content", "label", "main", "place", "total")))
     two = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("content", "label", "place", "total")))
@@ -276,17 +271,23 @@ def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshol
     once = (F.col("label_b") == F.col("main_a")) | (F.col("content_a") < F.col("content_b"))
     more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & enough)
     more = more.select(F.least("content_a", "content_b").alias("a"), F.greatest("content_a", "content_b").alias("b")).distinct()
-    return _joined(labels, materialize(_verified(more, sets, threshold)))
+    made = _joined(labels, materialize(_verified(more, sets, threshold)))
+    discard(mains, open_)
+    return made
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """docs without near-duplicates: of each class one row stays, with all columns: that of its smallest doc_id,
-    a null one last, and among rows of that id the first by content and text (one of them, where rows repeat)."""
+    """docs without near-duplicates: of each class one row stays, with all columns, whatever their names: that of its
+    smallest doc_id, a null one last, and among rows of that id the first by content and text (one of them, where
+    rows repeat)."""
+    signed, named = _classes(docs, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first")
-    kept = _classes(docs, threshold)[1].groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__of"))
-    keyed = docs.withColumn("__row", _row())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__row").eqNullSafe(F.col("__of"))
+    row, id_, of, n = fresh(docs.columns, "__row", "__id", "__of", "__n")
+    kept = materialize(named.groupBy("label").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.row").alias(of)))
+    discard(signed, named)
+    keyed = docs.withColumn(row, _row())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col(row).eqNullSafe(F.col(of))
     rows = keyed.join(kept, same, "left_semi")
-    repeated = keyed.groupBy(F.col("doc_id").cast("long").alias("__id"), F.col("__row").alias("__of")).count().where("count > 1").drop("count")
+    repeated = keyed.groupBy(F.col("doc_id").cast("long").alias(id_), F.col(row).alias(of)).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
     single = rows.join(repeated, same, "left_anti")
-    return single.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__row"])).drop("__row")
+    return single.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", row])).select(*docs.columns)
