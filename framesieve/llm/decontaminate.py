@@ -6,26 +6,30 @@ longest matches without overlap are marked again and again until none of SEED to
 item's coverage is the share of its tokens in marked tiles, in whatever order they stand; a document is
 contaminated where some item's coverage reaches the threshold.
 
-A benchmark is cut into shards of bounded size, and each is broadcast for a pass of its own; documents
-are never grouped or shuffled by seed, so a passage that many documents hold makes no hot key.
-
-Defined results: null and empty texts match nothing; items shorter than SEED tokens can't match;
-repeated items count separately, repeated documents are judged alike; an empty benchmark contaminates
-nothing; other columns are kept only on request.
+A benchmark is cut into shards of bounded size.  Each is broadcast for a pass of its own, which ends, with its matches
+written, before the next shard is read; documents are never grouped or shuffled by seed, so a passage that many
+documents hold makes no hot key.
+
+Defined results: null and empty texts match nothing; items shorter than SEED tokens, the tiling's least match, can't
+match (a word or two would contaminate nearly everything); repeated items count separately, repeated documents
+are judged alike; an empty benchmark contaminates nothing; other columns are kept only on request, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, bound_batches, gram_hashes, text_chunks
+from .common import Tokens, bound_batches, discard, fresh, gram_hashes, materialize, text_chunks
 
 SEED = 5
 THRESHOLD = 0.5
@@ -140,15 +144,18 @@ class Shard:
         return out
 
 
-def _pass(docs: DataFrame, shard: Shard, keep: list[str], threshold: float) -> DataFrame:
-    data = docs.sparkSession.sparkContext.broadcast(shard)
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("matches", T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType())])))])
+def _pass(rows: DataFrame, shard: Shard, text: str, threshold: float) -> tuple[DataFrame, Broadcast]:
+    """rows with their text (the last column) replaced by matches; and the broadcast shard."""
+    data = rows.sparkSession.sparkContext.broadcast(shard)
+    kept = [f for f in rows.schema.fields if f.name != text]
+    match = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField("matches", T.ArrayType(match))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = data.value
         for batch in batches:
-            for part, buf, offsets in text_chunks(batch, "__text", lower=True):
+            for part, buf, offsets in text_chunks(batch, text, lower=True):
                 tokens = Tokens(buf, offsets, "alnum")
                 hashes = tokens.hashes()
                 grams = gram_hashes(hashes, SEED)
@@ -161,9 +168,9 @@ def _pass(docs: DataFrame, shard: Shard, keep: list[str], threshold: float) -> D
                     a, b = tokens.first[d], tokens.first[d + 1]
                     got = bench.judge(hashes[a:b], hits[owners == d] - a, grams[a : b - SEED + 1], threshold)
                     found[d] = [{"item_id": i, "coverage": c} for i, c in sorted(got)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(keep))), pa.array(found, kind)], [*keep, "matches"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(kept))), pa.array(found, kind)], [*(f.name for f in kept), "matches"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema), data
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -171,15 +178,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresh
     items that it covers to the threshold, by item; a document without any is clean."""
     spark = docs.sparkSession
     bound_batches(spark)
+    body, key, twin, id_, check, found = fresh([*keep, "matches"], "__text", "__key", "__twin", "__id", "__check", "__found")
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // SHARD_CHARS
-    out = docs
-    names = []
+
+    def shard(k: int) -> Shard:
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text")
+        return Shard([tuple(r) for r in own.toLocalIterator()])
+
+    if n == 1:
+        made, _ = _pass(docs.select(*keep, F.col("text").alias(body)), shard(0), body, threshold)
+        return made
+    # a row is known by two hashes of its kept columns and text; rows equal in these match alike
+    keys = [F.xxhash64(*keep, "text").alias(key), F.hash(F.lit(1), *keep, "text").alias(twin)]
+    rows = docs.select(*keys, F.col("text").alias(body))
+    passes = []
     for k in range(n):
-        shard = Shard([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toLocalIterator()])
-        names.append(f"__matches{k}")
-        carried = [*dict.fromkeys([*keep, *names[:-1], *(["text"] if k < n - 1 else [])])]
-        source = out if "text" in out.columns else docs
-        out = _pass(source, shard, carried, threshold).withColumnRenamed("matches", names[-1])
-    return out.select(*keep, F.array_sort(F.concat(*names)).alias("matches"))
+        made, data = _pass(rows, shard(k), body, threshold)
+        passes.append(materialize(made.where("size(matches) > 0")))
+        data.unpersist()
+    one = [p.dropDuplicates([key, twin]) for p in passes]
+    every = reduce(DataFrame.unionByName, one).groupBy(F.col(key).alias(id_), F.col(twin).alias(check))
+    every = materialize(every.agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias(found)))
+    discard(*passes)
+    joined = docs.select(*keep, *keys).join(every, (F.col(key) == F.col(id_)) & (F.col(twin) == F.col(check)), "left")
+    return joined.select(*keep, F.coalesce(F.col(found), F.array().cast(every.schema[found].dataType)).alias("matches"))
