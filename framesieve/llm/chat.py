@@ -27,6 +27,8 @@ from pyspark.sql.window import Window as W
 from .common import bound_batches, materialize
 
 CHUNK = 64
+#: Chunks whose places one task counts.
+STRETCH = 256
 CONTEXT_ROLES = ("system",)
 END = "<|end|>"
 
@@ -89,9 +91,14 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     sizes = chunks.select("conv_id", "chunk", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n"))).alias("turns"))
     sizes = sizes.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")))
     total = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(head(t)) + t["n"] + len(END) + 1)
-    ahead = W.partitionBy("conv_id", "speaker").orderBy("chunk")
-    start = F.coalesce(F.sum("total").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    places = sizes.select("conv_id", "speaker", "chunk", total.alias("total")).select(F.col("conv_id").alias("__conv"), F.col("chunk").alias("__chunk"), "speaker", start.alias("start"))
+    # sums over stretches of chunks first: no task gets more of a long dialogue than a stretch, or the sums of all
+    sizes = materialize(sizes.select("conv_id", "speaker", "chunk", F.expr(f"chunk div {STRETCH}").alias("stretch"), total.alias("total")))
+    ahead = lambda window: F.coalesce(F.sum("total").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sizes.groupBy("conv_id", "speaker", "stretch").agg(F.sum("total").alias("total"))
+    before = sums.select(F.col("conv_id").alias("__of"), F.col("speaker").alias("__by"), F.col("stretch").alias("__in"), ahead(W.partitionBy("conv_id", "speaker").orderBy("stretch")).alias("before"))
+    inside = ahead(W.partitionBy("conv_id", "speaker", "stretch").orderBy("chunk"))
+    placed = sizes.withColumn("inside", inside).join(before, F.col("conv_id").eqNullSafe(F.col("__of")) & (F.col("speaker") == F.col("__by")) & (F.col("stretch") == F.col("__in")))
+    places = placed.select(F.col("conv_id").alias("__conv"), F.col("chunk").alias("__chunk"), "speaker", (F.col("before") + F.col("inside")).alias("start"))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
     made = chunks.join(places, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("chunk") == F.col("__chunk"))).select("conv_id", "speaker", "chunk", "start", pieces.alias("pieces"))
     made = made.withColumn("text", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), ""))

@@ -118,13 +118,13 @@ WITH turns AS (
          n.text || '<|end|>' AS body
   FROM numbered n JOIN people p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS s FROM lines
+  SELECT *, CAST(pos // 64 AS BIGINT) AS chunk, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM lines
 )
-SELECT conv_id, speaker, CAST(0 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_turns, CAST(0 AS BIGINT) AS start,
+SELECT conv_id, speaker, chunk, CAST(count(*) AS BIGINT) AS n_turns, CAST(min(s0) AS BIGINT) AS start,
        CAST(sum(length(head) + length(body) + 1) AS BIGINT) AS n_chars, sha256(string_agg(head || body || chr(10), '' ORDER BY pos)) AS text_sha256,
-       coalesce(string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (own), '') AS mask,
+       coalesce(string_agg(CAST(CAST(s0 + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s0 + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (own), '') AS mask,
        CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS n_masked
-FROM placed GROUP BY conv_id, speaker
+FROM placed GROUP BY conv_id, speaker, chunk
 """
 
 _OP5_SQL = r"""
