@@ -1,7 +1,7 @@
 """URL filter: a trie over reversed host labels and then path segments, with longest-match precedence.
 
 A rule is a host, optionally followed by "/" and a path: it fits that host and all its subdomains where
-the URL's path starts with the rule's path, character by character.  Of the rules that fit, the one with
+the URL's path starts with the rule's path, character by character; A-Z in hosts count as a-z, in rules too.  Of the rules that fit, the one with
 the most host labels wins, then the one with the longest path; a rule that is both allowed and blocked is blocked.
 
 Defined results: a null URL or one without "://" has an empty host and path, which only a rule with an
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Rules in all; a larger list does not belong in a broadcast.
 MAX_RULES = 2_000_000
+UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER = str.maketrans(UPPER_CASE, LOWER_CASE)
 
 
 class Node:
@@ -45,7 +47,7 @@ class UrlTrie:
     def _add(self, rule: str, verdict: str) -> None:
         host, slash, path = rule.partition("/")
         node = self.root
-        for label in reversed(host.split(".")) if host else ():
+        for label in reversed(host.translate(LOWER).split(".")) if host else ():
             node = node.labels.setdefault(label, Node())
         if not slash:
             node.host_rule = (rule, verdict)
@@ -103,10 +105,9 @@ def filter_urls(pages: DataFrame, allow: list[str], block: list[str], keep: list
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f and f[0] for f in found], pa.string()), pa.array([f[1] if f else default for f in found], pa.string())], [*batch.schema.names, "rule", "verdict"])
 
     rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = pages.select(
         *keep,
-        F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, lower).alias("host"),
+        F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER_CASE, LOWER_CASE).alias("host"),
         F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
     )
     extra = [T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]
