@@ -5,15 +5,19 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from io import BytesIO
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import RetrieveConfig
 from .functions.text import stem, task_type
+from .functions.vector import normalized
 from .operators import manifest as m
 from .operators import search
-from .plans import pipeline
+from .plans import audit, pipeline
+from .schemas import GROUND_TRUTH
 from .sources import files, models, python_sources
 
 
@@ -28,19 +32,27 @@ def parser() -> argparse.ArgumentParser:
         for o, default in (optional or {}).items():
             if isinstance(default, bool):
                 c.add_argument(f"--{o}", action="store_true")
+            elif isinstance(default, list):
+                c.add_argument(f"--{o}", action="append", default=default)
             else:
                 c.add_argument(f"--{o}", default=default, type=type(default) if default is not None else str)
 
     stores = {"asr-db": None, "ocr-db": None, "caption-db": None, "evidence-rrf-k": 60}
-    command("video-manifest", ("video-dir", "output"))
-    command("dataset-index", ("clip-dir", "mapping-dir", "keyframes-dir", "output-manifest"), {"objects-dir": None, "dim": 512})
-    command("build-index", ("manifest", "output-index"))
+    support = {"media-info-dir": None, "objects-dir": None}
+    window = {"radius-frames": 24, "max-decode-frames": 96, "fine-score": False}
+    channel = {"second-channel": False, "second-weight": 0.35}
+    command("video-manifest", ("video-dir", "output"), {"report-output": None})
+    command("dataset-index", ("clip-dir", "mapping-dir", "keyframes-dir", "output-manifest"), {"objects-dir": None, "dim": 512, "output-embeddings": None, "report-output": None})
+    command("build-index", ("manifest", "output-index"), {"metadata-output": None})
     command("inspect-evidence", ("db",))
-    command("retrieve", ("manifest", "query", "output"), stores | {"query-embedding": None, "top-k": 100})
-    command("benchmark", ("queries", "manifest", "output-dir"), stores | {"query-column": "Trans", "ground-truth": None, "localize-top-k": 0, "frame-tolerance": 10, "top-k": 100})
+    command("retrieve", ("manifest", "query", "output"), stores | support | window | channel | {"query-translated": None, "query-embedding": None, "index": None, "metadata": None, "top-k": 100})
+    command("benchmark", ("queries", "manifest", "output-dir"), stores | support | window | {"query-column": "Trans", "ground-truth": None, "localize-top-k": 0, "frame-tolerance": 10, "top-k": 100})
+    command("benchmark-unified", ("queries", "manifest", "output-dir"), stores | support | window | {"query-column": "Description", "translated-query-column": "Trans", "task-prefix": [], "top-k": 100})
     command("ground-truth-template", ("queries", "output"), {"query-column": "Description"})
+    command("ordered-matrix", ("manifest", "clip-dir", "output"), {"report": None, "dim": 512})
+    command("index-diagnostics", ("index",), {"metadata": None})
     command("validate", ("manifest",), {"base": 0})
-    command("audit", ("manifest",))
+    command("audit", ("config",))
     return p
 
 
@@ -55,77 +67,203 @@ def _evidence(spark: SparkSession, a):
     return out
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, encoder=models.hashing_encoder, prober=None) -> int:
-    """encoder(dim) and prober stand for the text model and the video decoder, which are injected."""
+def _supported(frames, a):
+    """frames with the texts of object and media documents, where their folders are given."""
+    spark = frames.sparkSession
+    if a.objects_dir:
+        if "object_path" not in frames.columns or not frames.where("object_path <> ''").limit(1).count():
+            frames = m.object_paths(frames, files.inventory(spark, a.objects_dir, (".json",)), a.objects_dir)
+        frames = m.object_text(frames, files.contents(spark, a.objects_dir, (".json",)))
+    if a.media_info_dir:
+        frames = m.media_text(frames, m.media_documents(files.contents(spark, a.media_info_dir, (".json",)), a.media_info_dir))
+    return frames
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, encoder=models.hashing_encoder, prober=None, scorer=None) -> int:
+    """encoder(dim), prober and scorer stand for the text model, the video decoder and the scorer of decoded frames,
+    which are injected; scorer(queries) gives (video_id, pos, frame_id, score)."""
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("framesieve").getOrCreate()
-    say = lambda **x: print(json.dumps(x, ensure_ascii=False))
-    if a.command == "inspect-evidence":
-        say(tables=python_sources.sqlite_roles(a.db))
-    elif a.command == "video-manifest":
-        if prober is None:
-            raise SystemExit("video-manifest needs a video decoder")
-        found = files.inventory(spark, a.video_dir, files.VIDEOS).select(stem(F.col("path")).alias("video_id"), F.col("path").alias("video_path"))
-        made = models.probe_videos(found, prober)
-        made.where("error IS NULL").drop("error").coalesce(1).write.mode("overwrite").option("header", True).csv(a.output)
-        say(found=found.count(), errors=made.where("error IS NOT NULL").count())
-    elif a.command == "dataset-index":
-        python_sources.register(spark)
-        vectors = spark.read.format("npy").option("dim", a.dim).load(a.clip_dir)
-        images = files.image_inventory(spark, a.keyframes_dir, (".jpg", ".jpeg", ".png"))
-        images = m.ordinal(images, "video_id", F.coalesce(F.expr("try_cast(keyframe_name AS BIGINT)"), F.lit(10**18)), "keyframe_name").select("video_id", "pos", F.col("keyframe_path").alias("image_path"))
-        made = m.build_index(vectors, files.read_mapping(spark, a.mapping_dir), images, a.dim)
-        if a.objects_dir:
-            made = m.object_paths(made, files.inventory(spark, a.objects_dir, (".json",)))
-        made.write.mode("overwrite").parquet(a.output_manifest)
-        say(rows=spark.read.parquet(a.output_manifest).count())
-    elif a.command == "build-index":
-        from .functions.vector import normalized
-
-        made = files.read_table(spark, a.manifest).withColumn("embedding", normalized(F.col("embedding")).cast("array<float>"))
-        made.write.mode("overwrite").parquet(a.output_index)
-        say(**search.index_contract(spark.read.parquet(a.output_index)).first().asDict())
-    elif a.command in ("retrieve", "benchmark"):
-        frames = files.read_table(spark, a.manifest)
-        if a.command == "retrieve":
-            queries = spark.createDataFrame([("query", a.query)], "query_id string, query_text string")
-        else:
-            queries = files.read_queries(spark, a.queries, a.query_column).select("query_id", "query_text")
-        if getattr(a, "query_embedding", None):
-            python_sources.register(spark)
-            dim = len(frames.select("embedding").first()[0])
-            vector = spark.read.format("npy").option("dim", dim).load(a.query_embedding).first()["embedding"]
-            queries = queries.withColumn("vector", F.array(*(F.lit(float(x)) for x in vector)))
-        else:
-            dim = len(frames.select("embedding").first()[0])
-            queries = models.encode_text(queries, "query_text", lambda: encoder(dim))
-        config = RetrieveConfig(rrf_k=a.evidence_rrf_k)
-        local = None if a.command == "retrieve" else a.localize_top_k
-        made = pipeline.run(frames, queries, a.top_k, evidence=_evidence(spark, a), config=config, localize_top_k=local)
-        if a.command == "retrieve":
-            made.orderBy("rank").coalesce(1).write.mode("overwrite").json(a.output)
-            say(output=a.output)
-        else:
-            made.write.mode("overwrite").partitionBy("query_id").json(f"{a.output_dir}/results")
-            if a.ground_truth:
-                each, total = pipeline.benchmark(made, files.read_ground_truth(spark, a.ground_truth), a.frame_tolerance)
-                each.coalesce(1).write.mode("overwrite").json(f"{a.output_dir}/per_query")
-                say(**total.first().asDict())
-            else:
-                say(output=a.output_dir)
-    elif a.command == "ground-truth-template":
-        queries = files.read_queries(spark, a.queries, a.query_column)
-        files.ground_truth_template(queries, task_type).coalesce(1).write.mode("overwrite").json(a.output)
-        say(counts={r[0]: r[1] for r in queries.groupBy(task_type(F.col("query_id"))).count().collect()})
-    elif a.command == "validate":
-        errors = [f"{r[0]}: {r[1]}" for r in m.validate(files.read_table(spark, a.manifest), a.base).orderBy("video_id", "error").limit(100).collect()]
-        say(errors=errors)
-        return int(bool(errors))
-    else:
-        rows = files.read_table(spark, a.manifest)
-        say(**m.audit_counts(rows, "video_id", "image_path").first().asDict())
+    return _COMMANDS[a.command](spark, a, encoder, prober, scorer)
+
+
+def _say(**x) -> None:
+    print(json.dumps(x, ensure_ascii=False))
+
+
+def _report(spark: SparkSession, path: str | None, **x) -> None:
+    if path:
+        audit.write_text(spark, path, json.dumps(x, ensure_ascii=False, indent=2))
+    _say(**x)
+
+
+def _inspect_evidence(spark, a, *_) -> int:
+    _say(**python_sources.inspect_sqlite(a.db))
+    return 0
+
+
+def _video_manifest(spark, a, encoder, prober, scorer) -> int:
+    if prober is None:
+        raise SystemExit("video-manifest needs a video decoder")
+    found = files.inventory(spark, a.video_dir, files.VIDEOS).select(stem(F.col("path")).alias("video_id"), F.col("path").alias("video_path"))
+    made = models.probe_videos(found.orderBy(F.lower("video_path")), prober).cache()
+    made.where("error IS NULL").drop("error").coalesce(1).write.mode("overwrite").option("header", True).csv(a.output)
+    errors = [f"{r['video_path']}: {r['error']}" for r in made.where("error IS NOT NULL").orderBy("video_path").limit(1000).collect()]
+    n = made.count()
+    _report(spark, a.report_output, found=n, indexed=made.where("error IS NULL").count(), errors=errors)
+    made.unpersist()
+    return 0
+
+
+def _dataset_index(spark, a, *_) -> int:
+    python_sources.register(spark)
+    vectors = spark.read.format("npy").option("dim", a.dim).load(a.clip_dir)
+    images = files.image_inventory(spark, a.keyframes_dir, (".jpg", ".jpeg", ".png"))
+    images = m.ordinal(images, "video_id", m.numeric_name("keyframe_name"), "keyframe_name").select("video_id", "pos", F.col("keyframe_path").alias("image_path"))
+    made = m.build_index(vectors, files.read_mapping(spark, a.mapping_dir), images, a.dim)
+    if a.objects_dir:
+        made = m.object_paths(made, files.inventory(spark, a.objects_dir, (".json",)), a.objects_dir)
+    made.write.mode("overwrite").parquet(a.output_manifest)
+    made = spark.read.parquet(a.output_manifest)
+    if a.output_embeddings:
+        _npy(made, a.output_embeddings, a.dim)
+    found = made.agg(F.count("*").alias("rows"), F.count_distinct("video_id").alias("videos"), (F.count_if(F.col("object_path") != "") if "object_path" in made.columns else F.lit(0)).alias("object_matches")).first()
+    _report(spark, a.report_output, dimension=a.dim, **found.asDict())
+    return 0
+
+
+def _npy(rows, path: str, dim: int) -> None:
+    """One NPY matrix in order of row_id, for programs that read such files."""
+    rows.select("row_id", "embedding").repartitionByRange("row_id").sortWithinPartitions("row_id").write.format("npy_matrix").option("dim", dim).option("path", path).mode("append").save()
+
+
+def _build_index(spark, a, *_) -> int:
+    made = files.read_table(spark, a.manifest).withColumn("embedding", normalized(F.col("embedding")).cast("array<float>"))
+    made.write.mode("overwrite").parquet(a.output_index)
+    found = search.index_contract(spark.read.parquet(a.output_index)).first().asDict()
+    meta = {"rows": found["size"], "dimension": found["dim_max"], "metric": found["metric"], "backend": "parquet"}
+    _report(spark, a.metadata_output, **meta)
     return 0
 
 
+def _metadata(spark, path: str | None) -> dict:
+    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect())) if path else {}
+
+
+def _index_diagnostics(spark, a, *_) -> int:
+    rows = spark.read.parquet(a.index)
+    search.check_index(rows, _metadata(spark, a.metadata))
+    _say(**search.index_contract(rows).first().asDict())
+    return 0
+
+
+def _ordered_matrix(spark, a, *_) -> int:
+    python_sources.register(spark)
+    manifest = files.read_table(spark, a.manifest)
+    made = m.ordered_matrix(manifest, spark.read.format("npy").option("dim", a.dim).load(a.clip_dir), a.dim)
+    _npy(made, a.output, a.dim)
+    found = manifest.agg(F.count("*").alias("rows"), F.count_distinct("video_id").alias("videos")).first()
+    _report(spark, a.report, manifest_rows=found["rows"], embedding_shape=[found["rows"], a.dim], dtype="float32", videos=found["videos"])
+    return 0
+
+
+def _config(a) -> RetrieveConfig:
+    return RetrieveConfig(rrf_k=a.evidence_rrf_k, radius=a.radius_frames, max_decode=a.max_decode_frames, channel2_weight=getattr(a, "second_weight", 0.35))
+
+
+def _answers(spark, a, queries, encoder, scorer, localize_top_k: int | None, k: int):
+    """Answers to queries (query_id, query_text[, translated][, vector])."""
+    frames = spark.read.parquet(a.index) if getattr(a, "index", None) else files.read_table(spark, a.manifest)
+    if getattr(a, "index", None):
+        search.check_index(frames, _metadata(spark, a.metadata), files.read_table(spark, a.manifest).count())
+    dim = len(frames.select("embedding").first()["embedding"])
+    encode = lambda df, text, out: models.encode_text(df, text, lambda: encoder(dim), out)
+    config = _config(a)
+    if "vector" not in queries.columns:
+        queries = encode(queries, "query_text", "vector")
+        if "translated" in queries.columns:
+            queries = pipeline.translated(encode(queries, "translated", "translated_vector"), config)
+    second = None
+    if getattr(a, "second_channel", False):
+        wide = len(frames.select("embedding2").first()["embedding2"])
+        second = models.encode_text(queries.select("query_id", "query_text"), "query_text", lambda: encoder(wide), "vector").select("query_id", "vector")
+    if a.fine_score and scorer is None:
+        raise SystemExit("fine-score needs a decoder and a scorer")
+    dense = scorer(queries) if a.fine_score else None
+    return pipeline.run(_supported(frames, a), queries, k, dense=dense, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k)
+
+
+def _modalities(a) -> list[str]:
+    return [k for k in ("asr", "ocr", "caption") if getattr(a, f"{k}_db")]
+
+
+def _retrieve(spark, a, encoder, prober, scorer) -> int:
+    queries = spark.createDataFrame([("query", a.query, a.query_translated or "")], "query_id string, query_text string, translated string")
+    if a.query_embedding:
+        data = bytes(spark.read.format("binaryFile").load(a.query_embedding).first()["content"])
+        vector = np.load(BytesIO(data), allow_pickle=False).reshape(-1)
+        text = F.when(F.trim("translated") != "", F.col("translated")).otherwise(F.col("query_text"))
+        queries = queries.select("query_id", text.alias("query_text"), F.array(*(F.lit(float(x)) for x in vector)).alias("vector"))
+    made = _answers(spark, a, queries, encoder, scorer, None, a.top_k)
+    made.orderBy("rank").coalesce(1).write.mode("overwrite").json(a.output)
+    _say(
+        rows=spark.read.schema("rank int").json(a.output).count(), output=a.output, fine_score=a.fine_score, evidence_modalities=_modalities(a), metadata_enabled=bool(a.media_info_dir), objects_enabled=bool(a.objects_dir),
+        translated_query_enabled=bool(a.query_translated), evidence_rrf_k=a.evidence_rrf_k, second_channel_enabled=a.second_channel, second_weight=a.second_weight if a.second_channel else 0.0,
+    )
+    return 0
+
+
+def _benchmark(spark, a, encoder, prober, scorer) -> int:
+    queries = files.read_queries(spark, a.queries, a.query_column).select("query_id", "query_text")
+    made = _answers(spark, a, queries, encoder, scorer, a.localize_top_k, a.top_k)
+    made.write.mode("overwrite").partitionBy("query_id").json(f"{a.output_dir}/results")
+    made = spark.read.json(f"{a.output_dir}/results").withColumn("query_id", F.col("query_id").cast("string"))
+    truth = files.read_ground_truth(spark, a.ground_truth) if a.ground_truth else spark.createDataFrame([], GROUND_TRUTH)
+    each, total = pipeline.benchmark(made, truth, a.frame_tolerance)
+    each.coalesce(1).write.mode("overwrite").json(f"{a.output_dir}/per_query")
+    _report(spark, f"{a.output_dir}/summary.json", output=a.output_dir, **total.first().asDict())
+    return 0
+
+
+def _benchmark_unified(spark, a, encoder, prober, scorer) -> int:
+    """Answers for every query of an organizer's sheet, with its translation where there is one."""
+    queries = files.read_queries(spark, a.queries, a.query_column, a.translated_query_column, a.task_prefix or None)
+    k = min(max(a.top_k, 1), 100)
+    made = _answers(spark, a, queries, encoder, scorer, None, k)
+    made.write.mode("overwrite").partitionBy("query_id").json(f"{a.output_dir}/results")
+    _say(
+        queries=queries.count(), output_dir=a.output_dir, top_k=k, translated_query=queries.where("translated <> ''").limit(1).count() > 0, objects=bool(a.objects_dir), metadata=bool(a.media_info_dir),
+        evidence_modalities=_modalities(a), fine_score=a.fine_score,
+    )
+    return 0
+
+
+def _template(spark, a, *_) -> int:
+    queries = files.read_queries(spark, a.queries, a.query_column)
+    files.ground_truth_template(queries, task_type).coalesce(1).write.mode("overwrite").json(a.output)
+    _say(counts={r[0]: r[1] for r in queries.groupBy(task_type(F.col("query_id"))).count().collect()})
+    return 0
+
+
+def _validate(spark, a, *_) -> int:
+    errors = [f"{r[0]}: {r[1]}" for r in m.validate(files.read_table(spark, a.manifest), a.base).orderBy("video_id", "error").limit(100).collect()]
+    _say(errors=errors)
+    return int(bool(errors))
+
+
+def _audit(spark, a, *_) -> int:
+    config = audit.read_config(spark, a.config)
+    summary, manifest = audit.audit(spark, config)
+    audit.write(spark, summary, manifest, config["artifacts_dir"])
+    _say(**summary)
+    return 0
+
+
+_COMMANDS = {
+    "video-manifest": _video_manifest, "dataset-index": _dataset_index, "build-index": _build_index, "inspect-evidence": _inspect_evidence, "retrieve": _retrieve, "benchmark": _benchmark,
+    "benchmark-unified": _benchmark_unified, "ground-truth-template": _template, "ordered-matrix": _ordered_matrix, "index-diagnostics": _index_diagnostics, "validate": _validate, "audit": _audit,
+}
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -1,4 +1,4 @@
-"""Parameters of the retrieval plan, folded into plans as literals."""
+"""Parameters of the retrieval plan, folded into plans as literals.  Weights and limits are fixed values."""
 
 from __future__ import annotations
 
@@ -43,6 +43,8 @@ class RetrieveConfig:
     max_decode: int = 96
     fusion: FusionWeights = field(default_factory=FusionWeights)
     ranking: RankingWeights = PIPELINE_WEIGHTS
+    #: Shares of a query's own vector and its translation's.
+    translated: tuple[float, float] = (0.20, 0.80)
     temporal: TemporalScoreConfig = field(default_factory=TemporalScoreConfig)
 
     def __post_init__(self) -> None:

@@ -47,7 +47,3 @@ def trake(video: Column, frames: Column, gt_video: Column, intervals: Column) ->
     share = F.aggregate(fits, F.lit(0.0), lambda a, x: a + x) / F.size(intervals)
     usable = (video == gt_video) & (F.size(frames) == F.size(intervals)) & (F.size(frames) > 0)
     return F.when(usable, share).otherwise(0.0)
-
-
-def everything(*keys: str) -> WindowSpec:
-    return W.partitionBy(*keys)

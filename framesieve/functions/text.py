@@ -49,5 +49,9 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
 
 
-def prompt(question: Column) -> Column:
-    return F.concat(F.lit("Answer the question from the frames in as few words as possible.\nQuestion: "), F.trim(question))
+#: What a video-language model is told before a question (fixed value).
+INSTRUCTION = "Answer the question using only the provided video frames. Be concise and do not invent details.\n\nQuestion: "
+
+
+def prompt(question: str) -> str:
+    return INSTRUCTION + question

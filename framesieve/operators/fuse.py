@@ -24,42 +24,47 @@ def fuse_channels(first: DataFrame, second: DataFrame, weight: float = 0.35, key
     return joined.withColumn("clip_score", F.col("retrieval_score")).withColumn("retrieval_score", (1 - weight) * minmax(F.col("retrieval_score"), w) + weight * minmax(F.col("channel2_score"), w))
 
 
-def evidence_scores(candidates: DataFrame, evidence: DataFrame, query: str = "query_text", target: str = "best_frame_id", tolerance: int = 30) -> DataFrame:
+def evidence_scores(candidates: DataFrame, evidence: DataFrame, query: str = "query_text", target: str = "best_frame_id", tolerance: int = 30, carry: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, video_id, modality, score): the best lexical overlap of a candidate's video in each store; a
-    frame further than tolerance from the candidate's counts half, an unknown frame in full."""
+    frame further than tolerance from the candidate's counts half, an unknown frame in full.  carry: columns of the
+    candidates that come along, as the struct row; candidates without evidence then stay, with a null modality."""
     docs = evidence.select("modality", "video_id", F.expr("try_cast(frame_id AS BIGINT)").alias("frame_id"), tokens(F.col("text")).alias("doc_tokens"))
-    asked = candidates.select("query_id", "video_id", F.col(target).alias("target"), tokens(F.col(query)).alias("query_tokens"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    asked = candidates.select("query_id", "video_id", F.col(target).alias("target"), tokens(F.col(query)).alias("query_tokens"), *row)
     score = overlap(F.col("query_tokens"), F.col("doc_tokens"))
     soft = F.when(F.abs(F.col("frame_id") - F.col("target")) > tolerance, score * 0.5).otherwise(score)
-    return asked.join(docs, "video_id").groupBy("query_id", "video_id", "modality").agg(F.max(F.greatest(soft, F.lit(0.0))).alias("score"))
+    joined = asked.join(docs, "video_id", "left" if carry else "inner")
+    return joined.groupBy("query_id", "video_id", "modality").agg(F.max(F.greatest(soft, F.lit(0.0))).alias("score"), *([F.any_value("row").alias("row")] if carry else []))
 
 
 def rrf_scores(scores: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, video_id, evidence_score): reciprocal ranks summed over stores, in order of their names.
-    scores: (query_id, video_id, modality, score, pos); pos decides ties."""
+    """(query_id, video_id, evidence_score[, row]): reciprocal ranks summed over stores, in order of their names.
+    scores: (query_id, video_id, modality, score, pos[, row]); pos decides ties."""
     w = W.partitionBy("query_id", "modality").orderBy(F.desc("score"), "pos")
     terms = scores.withColumn("term", rrf(F.col("score"), w, k))
     ordered = F.array_sort(F.collect_list(F.struct("modality", "term")))
-    return terms.groupBy("query_id", "video_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, t: a + t["term"]).alias("evidence_score"))
+    row = [F.any_value("row").alias("row")] if "row" in scores.columns else []
+    return terms.groupBy("query_id", "video_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, t: a + t["term"]).alias("evidence_score"), *row)
 
 
 def multimodal(candidates: DataFrame, evidence: DataFrame | None, weights: FusionWeights = FusionWeights(), rrf_k: int = 60) -> DataFrame:
     """Fused score of candidates (query_id, video_id, query_text, retrieval_score, object_text, metadata_text,
-    best_frame_id): clip, object and metadata overlap, and evidence, each min-maxed within the query."""
+    best_frame_id): the retrieval score and the evidence, each min-maxed within the query, and the overlaps with
+    objects and metadata as they are.  One pass: the candidates are planned once, and come along."""
     w = W.partitionBy("query_id")
     q = tokens(F.col("query_text"))
     rows = candidates.withColumn("object_score", overlap(q, tokens(F.col("object_text")))).withColumn("metadata_score", overlap(q, tokens(F.col("metadata_text"))))
-    rows = rows.withColumn("pos", F.row_number().over(w.orderBy(F.desc("retrieval_score"), "video_id")))
+    rows = rows.withColumn("clip_norm", minmax(F.col("retrieval_score"), w))
     if evidence is None:
         rows = rows.withColumn("evidence_score", F.lit(0.0)).withColumn("evidence_modalities", F.lit(""))
     else:
-        names = [r[0] for r in evidence.select("modality").distinct().orderBy("modality").collect()]
-        found = evidence_scores(rows, evidence).join(rows.select("query_id", "video_id", "pos"), ["query_id", "video_id"])
-        rows = rows.join(rrf_scores(found, rrf_k), ["query_id", "video_id"], "left").withColumn("evidence_score", F.coalesce("evidence_score", F.lit(0.0))).withColumn("evidence_modalities", F.lit(",".join(names)))
-    parts = {"clip_norm": minmax(F.col("retrieval_score"), w), "object_norm": minmax(F.col("object_score"), w), "metadata_norm": minmax(F.col("metadata_score"), w), "evidence_norm": minmax(F.col("evidence_score"), w)}
-    rows = rows.withColumns(parts)
-    fused = weights.clip * F.col("clip_norm") + weights.objects * F.col("object_norm") + weights.metadata * F.col("metadata_norm") + weights.evidence * F.col("evidence_norm")
-    return rows.withColumn("fused_score", fused).withColumn("multimodal_score", fused)
+        rows = rows.withColumn("pos", F.row_number().over(w.orderBy(F.desc("retrieval_score"), "video_id")))
+        found = rrf_scores(evidence_scores(rows, evidence, carry=tuple(rows.columns)).withColumn("pos", F.col("row.pos")), rrf_k)
+        names = evidence.agg(F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("evidence_modalities"))
+        rows = found.select("row.*", "evidence_score").drop("pos").join(F.broadcast(names))  # one row is broadcast
+        rows = rows.withColumn("evidence_score", minmax(F.col("evidence_score"), w))
+    fused = weights.clip * F.col("clip_norm") + weights.objects * F.col("object_score") + weights.metadata * F.col("metadata_score") + weights.evidence * F.col("evidence_score")
+    return rows.withColumn("fused_score", fused).withColumn("multimodal_score", F.col("fused_score"))
 
 
 def rerank(df: DataFrame, weights: RankingWeights = RankingWeights(), key: str = "query_id") -> DataFrame:
@@ -97,19 +102,29 @@ def ordered_pairs(df: DataFrame, relevance: str = "relevance", item: str = "vide
     return a.join(b, key).where("ra > rb").select(key, "better", "worse")
 
 
+#: Rows of one fit: the pairs of these are walked on the driver.
+FIT_ROWS = 4096
+
+
 def fit_pairwise(features: list[list[float]], relevance: list[float], lr: float = 0.05, epochs: int = 100, l2: float = 1e-4, seed: int = 42) -> tuple[list[float], list[float], list[float]]:
-    """Weights, means and deviations of a linear ranker trained on pairs by stochastic gradient descent."""
+    """Weights, means and deviations of a linear ranker trained on pairs by stochastic gradient descent, from small
+    random weights; for judged sets of at most FIT_ROWS rows."""
     import numpy as np
 
-    x = np.nan_to_num(np.asarray(features, float), nan=0.0, posinf=0.0, neginf=0.0)
+    x, y = np.nan_to_num(np.asarray(features, float), nan=0.0, posinf=0.0, neginf=0.0), np.asarray(relevance, float)
+    if not 2 <= len(x) == len(y) or len(x) > FIT_ROWS:
+        raise ValueError(f"as many relevances as rows are needed, 2 to {FIT_ROWS}")
     mean, std = x.mean(0), x.std(0)
     std = np.where(std < 1e-8, 1.0, std)
     x = (x - mean) / std
-    pairs = [(i, j) for i in range(len(x)) for j in range(len(x)) if relevance[i] > relevance[j]]
-    w, rng = np.zeros(x.shape[1]), np.random.default_rng(seed)
+    better, worse = np.nonzero(y[:, None] > y[None, :])
+    if not len(better):
+        raise ValueError("no row is more relevant than another")
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, 0.01, x.shape[1])
     for _ in range(epochs):
-        for k in rng.permutation(len(pairs)):
-            d = x[pairs[k][0]] - x[pairs[k][1]]
+        for k in rng.permutation(len(better)):
+            d = x[better[k]] - x[worse[k]]
             w += lr * (d / (1 + np.exp(np.clip(w @ d, -40, 40))) - l2 * w)
     return w.tolist(), mean.tolist(), std.tolist()
 

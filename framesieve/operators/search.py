@@ -12,8 +12,9 @@ from pyspark.sql.window import Window as W
 
 from ..functions.vector import cosine
 
-#: Queries that one pass holds; more come in further passes, so that what is broadcast is bounded.
-BLOCK = 1024
+#: Queries that one scan of the frames holds at most, and hits that a task keeps for them: what is broadcast, and what a
+#: task holds, are bounded.  Further queries come in further scans; a matrix product takes TILE of them at once.
+BLOCK, KEPT, TILE = 8192, 2_000_000, 1024
 
 
 def search_frames(frames: DataFrame, query: list[float], top_k: int = 100, embedding: str = "embedding") -> DataFrame:
@@ -27,48 +28,56 @@ def search_frames(frames: DataFrame, query: list[float], top_k: int = 100, embed
 def search_batch(frames: DataFrame, queries: DataFrame, top_k: int, embedding: str = "embedding") -> DataFrame:
     """(query_id, row_id, score, rank): top_k rows of frames for every row of queries (query_id, vector).
 
-    Queries are read in blocks of BLOCK; for each, tasks multiply their rows with the block and keep their
-    own top_k per query, and a window over these picks the result.
+    Queries are dealt by a hash into blocks, each of which is broadcast for one scan; there, tasks multiply their
+    rows with tiles of the block and keep their own top_k per query, and a window over these picks the result.
+    A zero vector, or one of another width, is an error.
     """
-    rows = queries.select("query_id", "vector").orderBy("query_id")
-    n = rows.count()
+    rows = queries.select("query_id", "vector")
     spark, out = frames.sparkSession, None
-    numbered = rows.withColumn("nth", F.row_number().over(W.orderBy("query_id"))) if n <= BLOCK else None
-    bounds = [None] if n <= BLOCK else [r[0] for r in rows.select("query_id").collect()][::BLOCK]
-    for i, low in enumerate(bounds):
-        part = numbered if low is None else rows.where((F.col("query_id") >= low) & (F.lit(i + 1 == len(bounds)) | (F.col("query_id") < bounds[min(i + 1, len(bounds) - 1)])))
-        taken = part.select("query_id", "vector").collect()
-        ids = [r[0] for r in taken]
-        matrix = np.array([r[1] for r in taken], float).reshape(len(ids), -1)
-        block = spark.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if ids else matrix))
+    blocks = -(-rows.count() // max(1, min(BLOCK, KEPT // max(1, top_k)))) or 1
+    kind = queries.schema["query_id"].dataType.simpleString()
+    for i in range(blocks):
+        taken = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect() if blocks > 1 else rows.collect()
+        ids = np.array([r[0] for r in taken] + [None], object)[:-1]
+        matrix = np.array([r[1] for r in taken], float).reshape(len(ids), -1 if len(ids) else 0)
+        block = spark.sparkContext.broadcast((ids, _unit(matrix)))
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             names, vectors = block.value
             best: list[pd.DataFrame] = []
             for pdf in batches:
-                if not len(pdf) or not names:
+                if not len(pdf) or not len(names):
                     continue
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ vectors.T
+                x = _unit(np.stack(pdf["v"].to_numpy()).astype(float))
+                row = pdf["row_id"].to_numpy()
                 keep = min(top_k, len(x))
-                # ties at the edge of the batch's own top_k must not be cut: take all that reach its last score
-                edge = np.partition(s, len(x) - keep, axis=0)[len(x) - keep]
-                at, q = np.nonzero(s >= edge)
-                best.append(pd.DataFrame({"query_id": np.array(names, object)[q], "row_id": pdf["row_id"].to_numpy()[at], "score": s[at, q]}))
-                if len(best) > 16:
+                for low in range(0, len(names), TILE):
+                    s = x @ vectors[low : low + TILE].T
+                    # ties at the edge of the batch's own top_k must not be cut: take all that reach its last score
+                    edge = np.partition(s, len(x) - keep, axis=0)[len(x) - keep]
+                    at, q = np.nonzero(s >= edge)
+                    best.append(pd.DataFrame({"q": low + q, "row_id": row[at], "score": s[at, q]}))
+                if len(best) > 16 + len(names) // TILE:
                     best = [_top(pd.concat(best), top_k)]
             if best:
-                yield _top(pd.concat(best), top_k)
+                made = _top(pd.concat(best), top_k)
+                yield pd.DataFrame({"query_id": names[made["q"].to_numpy()], "row_id": made["row_id"], "score": made["score"]})
 
-        kind = queries.schema["query_id"].dataType.simpleString()
         made = frames.select("row_id", F.col(embedding).alias("v")).mapInPandas(run, f"query_id {kind}, row_id long, score double")
         out = made if out is None else out.unionByName(made)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    if not (norms > 0).all():
+        raise ValueError("zero-norm vector")
+    return x / norms
+
+
 def _top(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    return pdf.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+    return pdf.sort_values(["q", "score", "row_id"], ascending=[True, False, True]).groupby("q").head(k)
 
 
 def best_frames(hits: DataFrame, per_video: int, *keys: str) -> DataFrame:
@@ -77,13 +86,18 @@ def best_frames(hits: DataFrame, per_video: int, *keys: str) -> DataFrame:
 
 
 def search_videos(hits: DataFrame, aggregation: str = "max", per_video_k: int = 3, top_k: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Videos of frame hits by their best score or the mean of their best, with their best frame."""
+    """Videos of frame hits by their best score or the mean of their best, with their best frame: the first top_k, of
+    every query where keys name it."""
     if aggregation not in ("max", "topk_mean"):
         raise ValueError(f"unknown aggregation: {aggregation}")
     kept = best_frames(hits, 1 if aggregation == "max" else per_video_k, *keys)
     best = F.max_by(F.struct("keyframe_idx", "original_frame_id", "pts_time"), F.struct("score", -F.col("row_id")))
     videos = kept.groupBy(*keys, "video_id").agg((F.max if aggregation == "max" else F.avg)("score").alias("video_score"), best.alias("b"))
-    return videos.select(*keys, "video_id", "video_score", F.col("b.keyframe_idx").alias("best_frame_idx"), F.col("b.original_frame_id").alias("best_frame_id"), F.col("b.pts_time").alias("best_pts_time")).orderBy(F.desc("video_score"), "video_id").limit(top_k)
+    found = videos.select(*keys, "video_id", "video_score", F.col("b.keyframe_idx").alias("best_frame_idx"), F.col("b.original_frame_id").alias("best_frame_id"), F.col("b.pts_time").alias("best_pts_time"))
+    if not keys:
+        return found.orderBy(F.desc("video_score"), "video_id").limit(top_k)
+    order = W.partitionBy(*keys).orderBy(F.desc("video_score"), "video_id")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top_k).drop("nth")
 
 
 def video_evidence(hits: DataFrame, per_video_k: int = 5, keys: tuple[str, ...] = (), prefix: str = "retrieval") -> DataFrame:
@@ -101,9 +115,34 @@ def video_evidence(hits: DataFrame, per_video_k: int = 5, keys: tuple[str, ...]
     )
 
 
+#: The only metric: inner product of unit vectors.
+METRIC = "inner_product"
+
+
 def index_contract(vectors: DataFrame, id_column: str = "row_id", embedding: str = "embedding") -> DataFrame:
-    """One row: size, smallest and largest id, width and whether ids are exactly 0 to n - 1."""
+    """One row: size, smallest and largest id, width, whether ids are exactly 0 to n - 1, zero vectors and metric."""
     return vectors.agg(
         F.count("*").alias("size"), F.min(id_column).alias("id_min"), F.max(id_column).alias("id_max"), F.min(F.size(embedding)).cast("long").alias("dim_min"), F.max(F.size(embedding)).cast("long").alias("dim_max"),
         ((F.count("*") == F.count_distinct(id_column)) & (F.coalesce(F.min(id_column), F.lit(0)) == 0) & (F.coalesce(F.max(id_column), F.lit(-1)) == F.count("*") - 1)).alias("sequential"),
+        F.count_if(F.forall(embedding, lambda x: x == 0)).alias("zero_vectors"), F.lit(METRIC).alias("metric"),
     )
+
+
+def check_index(vectors: DataFrame, metadata: dict, rows: int | None = None) -> DataFrame:
+    """vectors themselves, once they keep the contract: ids 0 to n - 1, one width, no zero vector, and as many rows, as
+    wide and by the metric that the metadata (and the manifest's row count) say; a ValueError names what they don't."""
+    found = index_contract(vectors).first()
+    wrong = []
+    if not found["sequential"]:
+        wrong.append("ids are not 0 to n - 1")
+    if found["dim_min"] != found["dim_max"] or metadata.get("dimension", found["dim_max"]) != found["dim_max"]:
+        wrong.append(f"dimension {found['dim_min']} to {found['dim_max']}, {metadata.get('dimension')} wanted")
+    if any(n is not None and n != found["size"] for n in (metadata.get("rows"), rows)):
+        wrong.append(f"{found['size']} rows, {metadata.get('rows')} in the metadata, {rows} in the manifest")
+    if found["zero_vectors"]:
+        wrong.append("zero-norm vector")
+    if metadata.get("metric", METRIC) != METRIC:
+        wrong.append(f"metric {metadata['metric']}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return vectors

@@ -56,38 +56,60 @@ def window_frames(center: Column, frame_count: Column, radius: int = 24, cap: in
 
 
 def strided_frames(n: Column, step: int) -> Column:
+    """Every step-th frame id of n frames; a negative count is an error."""
     if step <= 0:
         raise ValueError("step must be positive")
-    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    n = F.when(n < 0, F.raise_error(F.lit("frame count must not be negative")).cast("bigint")).otherwise(n.cast("bigint"))
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
-def localize(candidates: DataFrame, dense: DataFrame | None, config: TemporalScoreConfig = TemporalScoreConfig(), radius: int = 24, observed: DataFrame | None = None) -> DataFrame:
+def refine_window(scores: DataFrame, start: Column, end: Column, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """The best scored frame of each closed window, the first of equal ones; a window without any has no row."""
+    return semantic_keyframe(scores, keys, start, end).select(*keys, "frame_id")
+
+
+def localize(
+    candidates: DataFrame, dense: DataFrame | None, config: TemporalScoreConfig = TemporalScoreConfig(), radius: int = 24,
+    observed: DataFrame | None = None, max_decode: int = 96, frame_counts: DataFrame | None = None,
+) -> DataFrame:
     """Localised events of candidates (query_id, video_id, best_frame_id, multimodal_score).
 
-    With dense scores (video_id, pos, frame_id, score) within radius of the best frame: the peak over all of
-    them, the island of the largest score, and the event score of the frames inside it.  Without: the
-    observed frame nearest to the best one and the multimodal score.
+    A candidate's window is the frames within radius of its best one, cut at the video's ends where frame_counts
+    (video_id, frame_count) has it; of these at most max_decode, evenly spread, are looked at.  With dense
+    scores (video_id, pos, frame_id, score): the peak over these, the island of the largest score, and the event
+    score of the frames inside it; candidates without a scored frame in the window have no row.  Without: the
+    whole window, its observed frame (video_id, frame_id) nearest to the best one, the earlier of two, and the
+    multimodal score; without observed frames every frame of the window counts as observed.
     """
-    keys = ("query_id", "video_id")
-    candidates = candidates.select(*keys, "best_frame_id", "multimodal_score")
+    keys = ["query_id", "video_id"]
+    rows = candidates.select(*keys, F.col("best_frame_id").cast("bigint").alias("coarse_frame_id"), "multimodal_score")
+    if frame_counts is None:
+        rows = rows.withColumn("frame_count", F.col("coarse_frame_id") + radius + 1)
+    else:
+        rows = rows.join(frame_counts.select("video_id", "frame_count"), "video_id", "left").withColumn("frame_count", F.coalesce("frame_count", F.col("coarse_frame_id") + radius + 1))
+    rows = rows.withColumn("ids", window_frames(F.col("coarse_frame_id"), F.col("frame_count"), radius, max_decode))
+    seen = rows.select(*keys, "coarse_frame_id", F.explode("ids").alias("frame_id"))
     if dense is None:
-        near = candidates.join(observed, "video_id") if observed is not None else candidates.withColumn("frame_id", F.col("best_frame_id")).withColumn("pos", F.lit(0))
-        best = near.groupBy(*keys).agg(F.min_by("frame_id", F.struct(F.abs(F.col("frame_id") - F.col("best_frame_id")), F.col("pos"))).alias("semantic_keyframe"), F.max("best_frame_id").alias("coarse_frame_id"), F.max("multimodal_score").alias("score"))
-        return best.select(*keys, "coarse_frame_id", F.col("semantic_keyframe").alias("start_frame"), F.col("semantic_keyframe").alias("end_frame"), "semantic_keyframe", "score")
-    near = candidates.select(*keys, "best_frame_id").join(dense, "video_id").where(F.abs(F.col("frame_id") - F.col("best_frame_id")) <= radius)
-    runs = islands(near, config.max_gap, keys)
+        near = seen if observed is None else seen.join(observed.select("video_id", F.col("frame_id").cast("bigint").alias("frame_id")).distinct(), ["video_id", "frame_id"])
+        best = near.groupBy(*keys).agg(F.min_by("frame_id", F.struct(F.abs(F.col("frame_id") - F.col("coarse_frame_id")), "frame_id")).alias("semantic_keyframe"))
+        start, end = F.greatest(F.lit(0).cast("bigint"), F.col("coarse_frame_id") - radius), F.least(F.col("frame_count") - 1, F.col("coarse_frame_id") + radius)
+        return rows.join(best, keys).select(*keys, "coarse_frame_id", start.alias("start_frame"), end.alias("end_frame"), "semantic_keyframe", F.col("multimodal_score").alias("score"))
+    near = seen.join(dense.withColumn("frame_id", F.col("frame_id").cast("bigint")), ["video_id", "frame_id"])
+    runs = islands(near, config.max_gap, tuple(keys))
     chosen = runs.groupBy(*keys).agg(F.max_by(F.struct("start_frame", "end_frame"), F.struct("score", -F.col("start_frame"))).alias("w")).select(*keys, "w.*")
-    inside = near.join(chosen, list(keys)).where("frame_id BETWEEN start_frame AND end_frame")
-    scored = event_score(inside, keys, config)
-    coarse = candidates.select(*keys, F.col("best_frame_id").alias("coarse_frame_id"))
-    peaks = peak_frame(near, keys).select(*keys, F.col("peak_frame").alias("semantic_keyframe"))
-    return coarse.join(chosen, list(keys)).join(peaks, list(keys)).join(scored, list(keys)).select(*keys, "coarse_frame_id", "start_frame", "end_frame", "semantic_keyframe", F.col("event_score").alias("score"))
+    inside = near.join(chosen, keys).where("frame_id BETWEEN start_frame AND end_frame")
+    scored = event_score(inside, tuple(keys), config)
+    peaks = peak_frame(near, tuple(keys)).select(*keys, F.col("peak_frame").alias("semantic_keyframe"))
+    found = rows.select(*keys, "coarse_frame_id").join(chosen, keys).join(peaks, keys).join(scored, keys)
+    return found.select(*keys, "coarse_frame_id", "start_frame", "end_frame", "semantic_keyframe", F.col("event_score").alias("score"))
 
 
 def align_events(matrix: DataFrame, events: int, min_separation: int = 0, key: str = "seq_id") -> DataFrame:
     """(key, frames, score): for each sequence the frames of events 1..events that rise by at least
     min_separation positions and have the largest total score; one window per event, earliest on ties.
     matrix: (key, event_ord, frame_pos, frame_id, score).  A sequence without any such choice has no row."""
+    if min_separation < 0:
+        raise ValueError("min_separation must not be negative")
     state = matrix.where("event_ord = 1").select(key, "frame_pos", F.col("score").alias("dp"), F.array("frame_id").alias("path"))
     for e in range(2, events + 1):
         upto = W.partitionBy(key).orderBy("frame_pos").rowsBetween(W.unboundedPreceding, -min_separation if min_separation else 0)

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrieveConfig, frame_budget
+from ..functions.vector import combined
 from ..operators import evaluate, fuse, search, temporal
 
 
+def translated(queries: DataFrame, config: RetrieveConfig = RetrieveConfig()) -> DataFrame:
+    """(query_id, query_text, vector) of queries with translated and translated_vector: where the translation isn't
+    blank it is the text that is scored, and the vector is the unit vector of both, weighted."""
+    there = F.trim(F.coalesce("translated", F.lit(""))) != ""
+    both = combined(F.col("vector"), F.coalesce("translated_vector", "vector"), *config.translated)
+    return queries.select("query_id", F.when(there, F.col("translated")).otherwise(F.col("query_text")).alias("query_text"), F.when(there, both).otherwise(F.col("vector").cast("array<double>")).alias("vector"))
+
+
 def retrieve(frames: DataFrame, queries: DataFrame, evidence: DataFrame | None = None, second: DataFrame | None = None, config: RetrieveConfig = RetrieveConfig()) -> DataFrame:
     """Ranked candidates (query_id, video_id, …, rank_score, rank) of queries (query_id, query_text, vector).
 
-    frames: the frame table, with object_text and metadata_text where known.  second: queries' vectors for
-    a second embedding column, embedding2.
+    frames: the frame table, with object_text and metadata_text where known; of several rows for a candidate's
+    frame the first by row_id counts.  second: queries' vectors for a second embedding column, embedding2.
     """
     texts = [c for c in ("object_text", "metadata_text") if c in frames.columns]
     meta = frames.select("row_id", "video_id", "keyframe_idx", "original_frame_id", "pts_time")
@@ -23,20 +34,29 @@ def retrieve(frames: DataFrame, queries: DataFrame, evidence: DataFrame | None =
         hits2 = search.search_batch(frames, second, config.top_k_frames, "embedding2").join(meta, "row_id")
         videos2 = search.video_evidence(hits2, config.channel2_k, ("query_id",), "channel2").drop("channel2_score_std")
         videos = fuse.fuse_channels(videos, videos2, config.channel2_weight)
-    best = frames.select("video_id", F.col("original_frame_id").alias("best_frame_id"), *texts)
-    videos = videos.join(best, ["video_id", "best_frame_id"], "left").withColumns({c: F.coalesce(c, F.lit("")) if c in texts else F.lit("") for c in ("object_text", "metadata_text")})
+    if texts:
+        first = frames.groupBy("video_id", F.col("original_frame_id").alias("best_frame_id")).agg(F.min_by(F.struct(*texts), "row_id").alias("first"))
+        videos = videos.join(first, ["video_id", "best_frame_id"], "left").select(*videos.columns, *(F.col(f"first.{c}").alias(c) for c in texts))
+    videos = videos.withColumns({c: F.coalesce(c, F.lit("")) if c in texts else F.lit("") for c in ("object_text", "metadata_text")})
     fused = fuse.multimodal(videos.join(queries.select("query_id", "query_text"), "query_id"), evidence, config.fusion, config.rrf_k)
     return fuse.submission(fuse.rerank(fused.withColumn("temporal_score", F.lit(0.0)), config.ranking), config.top_k_videos)
 
 
-def run(frames: DataFrame, queries: DataFrame, k: int = 100, dense: DataFrame | None = None, evidence: DataFrame | None = None, second: DataFrame | None = None, config: RetrieveConfig = RetrieveConfig(), localize_top_k: int | None = None) -> DataFrame:
-    """retrieve, localise (all, or the first localize_top_k of each query), rerank over the survivors."""
+def run(
+    frames: DataFrame, queries: DataFrame, k: int = 100, dense: DataFrame | None = None, evidence: DataFrame | None = None, second: DataFrame | None = None,
+    config: RetrieveConfig = RetrieveConfig(), localize_top_k: int | None = None, frame_counts: DataFrame | None = None,
+) -> DataFrame:
+    """retrieve, localise (all, or the first localize_top_k of each query), rerank over the survivors.
+
+    dense: scores of decoded frames (video_id, pos, frame_id, score); without them the known keyframes count as the
+    frames observed in a candidate's window.  A candidate without any keeps its best frame, and a temporal score of 0.
+    """
     n_frames, n_videos = frame_budget(k)
-    config = RetrieveConfig(**{**config.__dict__, "top_k_frames": n_frames, "top_k_videos": n_videos})
+    config = replace(config, top_k_frames=n_frames, top_k_videos=n_videos)
     found = retrieve(frames, queries, evidence, second, config).drop("rank_score", "temporal_score").withColumnRenamed("rank", "first_rank")
     head = found if localize_top_k is None else found.where(F.col("first_rank") <= localize_top_k)
-    observed = frames.select("video_id", F.col("original_frame_id").alias("frame_id"), F.col("row_id").alias("pos"))
-    events = temporal.localize(head, dense, config.temporal, config.radius, observed)
+    observed = frames.select("video_id", F.col("original_frame_id").alias("frame_id"))
+    events = temporal.localize(head, dense, config.temporal, config.radius, observed, config.max_decode, frame_counts)
     located = found.join(events.withColumnRenamed("score", "temporal_score"), ["query_id", "video_id"], "left")
     located = located.withColumn("semantic_keyframe", F.coalesce("semantic_keyframe", "best_frame_id")).withColumn("temporal_score", F.coalesce("temporal_score", F.lit(0.0)))
     return fuse.submission(fuse.rerank(located, config.ranking), k)
@@ -52,3 +72,21 @@ def benchmark(ranked: DataFrame, truth: DataFrame, tolerance: int = 10, ks: tupl
     )
     each = evaluate.per_query(graded, ks)
     return each, evaluate.summary(each, ks)
+
+
+class Engine:
+    """Everything that a query needs, bound once: frames, evidence, models and settings; queries come many at a time."""
+
+    def __init__(self, frames: DataFrame, encode, evidence: DataFrame | None = None, score_windows=None, frame_counts: DataFrame | None = None, config: RetrieveConfig = RetrieveConfig()):
+        """encode(queries, text, out) adds a vector column; score_windows(candidates) gives the dense scores of decoded
+        frames (query_id-free: video_id, pos, frame_id, score), where a decoder and a scorer are at hand."""
+        self.frames, self.encode, self.evidence, self.score_windows, self.frame_counts, self.config = frames, encode, evidence, score_windows, frame_counts, config
+
+    def answer(self, queries: DataFrame, k: int = 100) -> DataFrame:
+        """Answers of queries (query_id, query_text[, translated]), at most a hundred of each."""
+        asked = self.encode(queries, "query_text", "vector")
+        if "translated" in queries.columns:
+            asked = translated(self.encode(asked, "translated", "translated_vector"), self.config)
+        k = min(max(k, 1), 100)
+        dense = self.score_windows(asked) if self.score_windows else None
+        return run(self.frames, asked, k, dense=dense, evidence=self.evidence, config=self.config, frame_counts=self.frame_counts)

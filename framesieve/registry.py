@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .config import RankingWeights
+from .config import TemporalScoreConfig
 from .functions import scores as S
 from .functions import text as X
 from .functions.vector import combined, cosine
 from .operators import evaluate, fuse, manifest, search, temporal
 from .operators.jsontext import json_text
+from .plans import pipeline
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -128,20 +129,19 @@ def batch_frame_topk(spark, sf):
 
 
 def _sql_search(how: str, k: int) -> str:
-    return f"""WITH {_FRAMES}, {_sql_hits('hits', 'v', 200, 'vec_id = 7')} SELECT video_id, round({how}(score), 6) AS video_score, arg_max(original_frame_id, score) AS best_frame_id
-FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, row_id) AS nth FROM hits) WHERE nth <= {k} GROUP BY video_id"""
+    return f"""WITH {_FRAMES}, {_sql_hits('hits', 'v')}, videos AS (SELECT query_id, video_id, {how}(score) AS s, arg_max(original_frame_id, score) AS best_frame_id
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, row_id) AS nth FROM hits) WHERE nth <= {k} GROUP BY query_id, video_id)
+SELECT query_id, video_id, round(s, 6) AS video_score, best_frame_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, video_id) AS nth FROM videos) WHERE nth <= 8"""
 
 
 @query(_sql_search("max", 1))
 def video_max(spark, sf):
-    hits = search.search_frames(_frames(spark, sf), _vector(spark, sf, 7), 200)
-    return search.search_videos(hits, "max").select("video_id", F.round("video_score", 6).alias("video_score"), "best_frame_id")
+    return search.search_videos(_hits(spark, sf), "max", top_k=8, keys=("query_id",)).select("query_id", "video_id", F.round("video_score", 6).alias("video_score"), "best_frame_id")
 
 
 @query(_sql_search("avg", 3))
 def video_topk_mean(spark, sf):
-    hits = search.search_frames(_frames(spark, sf), _vector(spark, sf, 7), 200)
-    return search.search_videos(hits, "topk_mean").select("video_id", F.round("video_score", 6).alias("video_score"), "best_frame_id")
+    return search.search_videos(_hits(spark, sf), "topk_mean", top_k=8, keys=("query_id",)).select("query_id", "video_id", F.round("video_score", 6).alias("video_score"), "best_frame_id")
 
 
 _EVIDENCE_COLUMNS = ("retrieval_score", "retrieval_best_score", "retrieval_topk_mean", "retrieval_score_std")
@@ -173,11 +173,24 @@ def embedding_fusion(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), combined(a, b)), 6).alias("score"))
 
 
-@query("SELECT count(*) AS size, min(vec_id) AS id_min, max(vec_id) AS id_max, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max, count(*) = count(DISTINCT vec_id) AND min(vec_id) = 0 AND max(vec_id) = count(*) - 1 AS sequential FROM embeddings")
+@query("SELECT count(*) AS size, min(vec_id) AS id_min, max(vec_id) AS id_max, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max, count(*) = count(DISTINCT vec_id) AND min(vec_id) = 0 AND max(vec_id) = count(*) - 1 AS sequential, count(*) FILTER (list_max(list_transform(embedding, lambda x: abs(x))) = 0) AS zero_vectors, 'inner_product' AS metric FROM embeddings")
 def vector_index_contract(spark, sf):
     return search.index_contract(_t(spark, sf, "embeddings"), "vec_id")
 
 
+@query(f"""WITH {_FRAMES}, pairs AS (SELECT a.vec_id AS query_id, CASE WHEN a.vec_id % 200 = 0 THEN list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: 0.2 * p[1] + 0.8 * p[2]) ELSE CAST(a.embedding AS DOUBLE[]) END AS q
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0)
+SELECT query_id, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank
+  FROM (SELECT query_id, row_id, round(list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))), 6) AS score FROM frames, pairs)) WHERE rank <= 20""")
+def translated_search(spark, sf):
+    """Every other query has a translation, whose vector is the next row's."""
+    other = _t(spark, sf, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("translated_vector"))
+    asked = _asked(spark, sf).join(other, "query_id").withColumn("query_text", F.lit("a")).withColumn("translated", F.when(F.col("query_id") % 200 == 0, "b").otherwise(" "))
+    hits = search.search_batch(_frames(spark, sf), pipeline.translated(asked), 40).withColumn("score", F.round("score", 6))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+    return hits.withColumn("nth", nth).where("nth <= 20").select("query_id", "row_id", "score")
+
+
 # text and evidence -------------------------------------------------------------------------------
 
 
@@ -186,11 +199,13 @@ def tokenize(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(X.tokens(F.col("text"))), " ").alias("tokens"))
 
 
-@query(f"""WITH b AS (SELECT {_sql_tokens('text')} AS q FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, {_sql_tokens('text')} AS t FROM documents)
-SELECT doc_id, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END, 6) AS overlap FROM d, b""")
+@query(f"""WITH b AS (SELECT item_id, {_sql_tokens('text')} AS q FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, {_sql_tokens('text')} AS t FROM documents)
+SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END, 6) AS overlap FROM d, b""")
 def lexical_overlap(spark, sf):
-    text = _t(spark, sf, "benchmark").where("item_id = 0").first()["text"]
-    return _t(spark, sf, "documents").select("doc_id", F.round(X.lexical_overlap(F.lit(text), F.col("text")), 6).alias("overlap"))
+    """Every hundredth item against all documents."""
+    asked = [(r["item_id"], r["text"]) for r in _t(spark, sf, "benchmark").where("item_id % 100 = 0").collect()]
+    scores = F.array(*(F.struct(F.lit(i).cast("long").alias("item_id"), F.round(X.lexical_overlap(F.lit(t), F.col("text")), 6).alias("overlap")) for i, t in asked))
+    return _t(spark, sf, "documents").select("doc_id", F.explode(scores).alias("s")).select("s.item_id", "doc_id", "s.overlap")
 
 
 def _stores(spark, sf) -> DataFrame:
@@ -235,8 +250,8 @@ def _overlap_sql(column: str) -> str:
     return f"CASE WHEN len(q) = 0 OR len({_sql_tokens(column)}) = 0 THEN 0.0 ELSE len(list_intersect(q, {_sql_tokens(column)})) / len(q) END"
 
 
-_FUSED = f"""{_CANDIDATES}, parts AS (SELECT query_id, video_id, retrieval_score, {_overlap_sql('object_text')} AS o, {_overlap_sql('metadata_text')} AS m, coalesce(evidence_score, 0) AS e FROM candidates LEFT JOIN rrf USING (query_id, video_id)),
-fused AS (SELECT query_id, video_id, retrieval_score, 0.70 * ({_sql_minmax('retrieval_score')}) + 0.10 * ({_sql_minmax('o')}) + 0.05 * ({_sql_minmax('m')}) + 0.15 * ({_sql_minmax('e')}) AS fused_score FROM parts)"""
+_FUSED = f"""{_CANDIDATES}, parts AS (SELECT query_id, video_id, retrieval_score, best_frame_id, {_overlap_sql('object_text')} AS o, {_overlap_sql('metadata_text')} AS m, coalesce(evidence_score, 0) AS e FROM candidates LEFT JOIN rrf USING (query_id, video_id)),
+fused AS (SELECT query_id, video_id, retrieval_score, best_frame_id, 0.70 * ({_sql_minmax('retrieval_score')}) + 0.10 * o + 0.05 * m + 0.15 * ({_sql_minmax('e')}) AS fused_score FROM parts)"""
 
 
 @query(f"{_FUSED} SELECT query_id, video_id, round(fused_score, 6) AS fused_score FROM fused")
@@ -244,10 +259,32 @@ def multimodal_fused(spark, sf):
     return fuse.multimodal(_candidates(spark, sf), _stores(spark, sf)).select("query_id", "video_id", F.round("fused_score", 6).alias("fused_score"))
 
 
-@query(f"{_FUSED}, r AS (SELECT *, 0.55 * ({_sql_minmax('retrieval_score')}) + 0.30 * ({_sql_minmax('fused_score')}) AS rank_score FROM fused) SELECT query_id, video_id, round(rank_score, 6) AS rank_score FROM r")
+def _supported(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Frames with the texts of their videos, and the queries that have one."""
+    brands = _t(spark, sf, "part").groupBy(F.concat(F.lit("V"), F.lpad((F.col("p_partkey") % 10).cast("string"), 3, "0")).alias("video_id")).agg(F.min("p_name").alias("object_text"), F.max("p_type").alias("metadata_text"))
+    texts = _t(spark, sf, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.col("text").alias("query_text"))
+    return _frames(spark, sf).join(brands, "video_id", "left"), _asked(spark, sf).join(texts, "query_id")
+
+
+_RANK = f"{_FUSED}, r AS (SELECT *, 0.55 * ({_sql_minmax('retrieval_score')}) + 0.30 * ({_sql_minmax('fused_score')}) AS rank_score FROM fused)"
+
+
+@query(f"{_RANK} SELECT query_id, video_id, best_frame_id, round(fused_score, 6) AS multimodal_score, round(rank_score, 6) AS rank_score FROM r")
 def retrieve(spark, sf):
-    made = fuse.multimodal(_candidates(spark, sf), _stores(spark, sf)).withColumn("temporal_score", F.lit(0.0))
-    return fuse.rerank(made, RankingWeights(0.55, 0.15, 0.30)).select("query_id", "video_id", F.round("rank_score", 6).alias("rank_score"))
+    frames, asked = _supported(spark, sf)
+    return pipeline.retrieve(frames, asked, _stores(spark, sf)).select("query_id", "video_id", "best_frame_id", F.round("multimodal_score", 6).alias("multimodal_score"), F.round("rank_score", 6).alias("rank_score"))
+
+
+_RUN = f"""{_RANK.replace("WHERE rank <= 200", "WHERE rank <= 1000")}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, video_id) AS nth FROM r),
+t AS (SELECT *, CASE WHEN nth <= 3 THEN fused_score ELSE 0 END AS temporal FROM f), z AS (SELECT *, 0.55 * ({_sql_minmax('retrieval_score')}) + 0.15 * ({_sql_minmax('temporal')}) + 0.30 * ({_sql_minmax('fused_score')}) AS final FROM t)"""
+
+
+@query(f"""{_RUN} SELECT query_id, video_id, CASE WHEN nth <= 3 THEN greatest(0, best_frame_id - 24) END AS start_frame, CASE WHEN nth <= 3 THEN best_frame_id + 24 END AS end_frame, best_frame_id AS semantic_keyframe, round(final, 6) AS rank_score FROM z""")
+def run_localized_head(spark, sf):
+    """The whole plan, localising the first three videos of each query over their known frames."""
+    frames, asked = _supported(spark, sf)
+    made = pipeline.run(frames, asked, 20, evidence=_stores(spark, sf), localize_top_k=3)
+    return made.select("query_id", "video_id", "start_frame", "end_frame", "semantic_keyframe", F.round("rank_score", 6).alias("rank_score"))
 
 
 _RANKED = f"{_BASE}, ranked AS (SELECT *, 0.65 * ({_sql_minmax('retrieval_score')}) + 0.20 * ({_sql_minmax('retrieval_score_std')}) + 0.15 * ({_sql_minmax('retrieval_topk_mean')}) AS rank_score FROM videos)"
@@ -341,7 +378,8 @@ def _coarse(spark, sf) -> DataFrame:
 _COARSE = f"{_DENSE}, middle AS (SELECT video_id, (max(pos) + 1) // 2 AS pos FROM dense GROUP BY 1), coarse AS (SELECT video_id, frame_id AS best_frame_id, score AS multimodal_score FROM dense JOIN middle USING (video_id, pos))"
 
 
-@query(f"""{_COARSE}, near_ AS (SELECT d.*, best_frame_id FROM dense d JOIN coarse USING (video_id) WHERE abs(frame_id - best_frame_id) <= 72),
+@query(f"""{_COARSE}, ids AS (SELECT video_id, best_frame_id, unnest(list_transform(range(0, 96), lambda i: best_frame_id - 72 + CASE WHEN i = 95 THEN 144 ELSE CAST(floor(i * (144 / 95.0::DOUBLE)) AS BIGINT) END)) AS frame_id FROM coarse),
+near_ AS (SELECT d.*, best_frame_id FROM dense d JOIN ids USING (video_id, frame_id)),
 marked AS (SELECT *, CASE WHEN frame_id - lag(frame_id) OVER w <= {_GAP} THEN 0 ELSE 1 END AS fresh FROM near_ WINDOW w AS (PARTITION BY video_id ORDER BY frame_id)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 agg AS (SELECT video_id, island, min(frame_id) AS s, max(frame_id) AS e, max(score) AS m FROM runs GROUP BY 1, 2),
@@ -353,15 +391,16 @@ ev AS (SELECT video_id, avg(x) FILTER (nth <= greatest(1, ceil(0.20 * n))) + 0.0
 SELECT CAST(1 AS BIGINT) AS query_id, video_id, best_frame_id AS coarse_frame_id, start_frame, end_frame, (SELECT arg_max(frame_id, (score, -pos)) FROM near_ n WHERE n.video_id = c.video_id) AS semantic_keyframe, round(ev.score, 6) AS score
 FROM coarse c JOIN chosen USING (video_id) JOIN ev USING (video_id)""")
 def localize_scored(spark, sf):
-    from .config import TemporalScoreConfig
-
     return temporal.localize(_coarse(spark, sf), _dense(spark, sf), TemporalScoreConfig(max_gap=_GAP), 72).withColumns(_r("score"))
 
 
-@query(f"{_COARSE} SELECT CAST(1 AS BIGINT) AS query_id, c.video_id, max(best_frame_id) AS coarse_frame_id, arg_min(frame_id, (abs(frame_id - best_frame_id), pos)) AS semantic_keyframe, round(max(multimodal_score), 6) AS score FROM coarse c JOIN dense d USING (video_id) GROUP BY c.video_id")
+@query(f"""{_COARSE}, c AS (SELECT video_id, best_frame_id + 7 AS c, multimodal_score FROM coarse), total AS (SELECT video_id, max(frame_id) + 3 AS n FROM dense GROUP BY 1)
+SELECT CAST(1 AS BIGINT) AS query_id, c.video_id, max(c) AS coarse_frame_id, max(c - 24) AS start_frame, max(least(n - 1, c + 24)) AS end_frame, arg_min(frame_id, (abs(frame_id - c), frame_id)) AS semantic_keyframe, round(max(multimodal_score), 6) AS score
+FROM c JOIN total USING (video_id) JOIN dense d ON d.video_id = c.video_id AND frame_id BETWEEN c - 24 AND least(n - 1, c + 24) GROUP BY c.video_id""")
 def localize_unscored(spark, sf):
-    made = temporal.localize(_coarse(spark, sf), None, observed=_dense(spark, sf).select("video_id", "frame_id", "pos"))
-    return made.select("query_id", "video_id", "coarse_frame_id", "semantic_keyframe", F.round("score", 6).alias("score"))
+    dense, coarse = _dense(spark, sf), _coarse(spark, sf).withColumn("best_frame_id", F.col("best_frame_id") + 7)
+    counts = dense.groupBy("video_id").agg((F.max("frame_id") + 3).alias("frame_count"))
+    return temporal.localize(coarse, None, observed=dense, frame_counts=counts).withColumns(_r("score"))
 
 
 def _matrix(spark, sf) -> DataFrame:
@@ -374,10 +413,11 @@ def _matrix(spark, sf) -> DataFrame:
 
 @query("""WITH cells AS (SELECT user_id % 50 AS seq_id, epoch_us(ts) // 14400000000 % 12 AS p, coalesce(max(value) FILTER (event_type = 'view'), 0) AS a, coalesce(max(value) FILTER (event_type = 'click'), 0) AS b, coalesce(max(value) FILTER (event_type = 'purchase'), 0) AS c FROM events GROUP BY 1, 2),
 ord AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY p) AS n FROM cells),
-best AS (SELECT x.seq_id, x.p + 100 AS f1, y.p + 100 AS f2, z.p + 100 AS f3, x.a + y.b + z.c AS score FROM ord x JOIN ord y ON x.seq_id = y.seq_id AND x.n + 1 <= y.n JOIN ord z ON y.seq_id = z.seq_id AND y.n + 1 <= z.n)
-SELECT seq_id, round(max(score), 6) AS score FROM best GROUP BY seq_id""")
+best AS (SELECT x.seq_id, concat_ws(' ', x.p + 100, y.p + 100, z.p + 100) AS frames, x.a + y.b + z.c AS score, row_number() OVER (PARTITION BY x.seq_id ORDER BY x.a + y.b + z.c DESC, z.n, x.a + y.b DESC, y.n, x.a DESC, x.n) AS nth
+  FROM ord x JOIN ord y ON x.seq_id = y.seq_id AND x.n + 1 <= y.n JOIN ord z ON y.seq_id = z.seq_id AND y.n + 1 <= z.n)
+SELECT seq_id, frames, round(score, 6) AS score FROM best WHERE nth = 1""")
 def monotonic_alignment(spark, sf):
-    return temporal.align_events(_matrix(spark, sf), 3, 1).select("seq_id", F.round("score", 6).alias("score"))
+    return temporal.align_events(_matrix(spark, sf), 3, 1).select("seq_id", F.array_join(F.transform("frames", lambda f: f.cast("string")), " ").alias("frames"), F.round("score", 6).alias("score"))
 
 
 # evaluation --------------------------------------------------------------------------------------
@@ -433,9 +473,21 @@ def benchmark_summary(spark, sf):
     return evaluate.summary(evaluate.per_query(_graded(spark, sf), (5,)), (5,)).withColumns(_r(*names)).select("queries", "with_ground_truth", *names)
 
 
-@query(f"{_SUBMITTED} SELECT query_id, count(*) AS candidates, round(max(rank_score) FILTER (rank = 1), 6) AS top1_score, round(max(rank_score) FILTER (rank = 2), 6) AS top2_score FROM submitted GROUP BY 1")
+@query(f"{_SUBMITTED} SELECT query_id, count(*) AS candidates, round(max(rank_score) FILTER (rank = 1), 6) AS top1_score, round(max(rank_score) FILTER (rank = 2), 6) AS top2_score, round(max(round(rank_score, 9)) FILTER (rank = 1) - max(round(rank_score, 9)) FILTER (rank = 2), 6) AS top1_top2_gap FROM submitted GROUP BY 1")
 def top1_top2_gap(spark, sf):
-    return evaluate.per_query(_graded(spark, sf)).withColumns(_r("top1_score", "top2_score")).select("query_id", "candidates", "top1_score", "top2_score")
+    return evaluate.per_query(_graded(spark, sf)).withColumns(_r("top1_score", "top2_score", "top1_top2_gap")).select("query_id", "candidates", "top1_score", "top2_score", "top1_top2_gap")
+
+
+@query(f"""{_SUBMITTED}, truth AS (SELECT vec_id AS query_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS gt FROM embeddings WHERE vec_id % 200 = 0),
+g AS (SELECT s.*, gt IS NOT NULL AS known, video_id = gt AS relevant, video_id = gt AND abs(best_frame_id - 450) <= 300 AS hit FROM submitted s LEFT JOIN truth USING (query_id)),
+q AS (SELECT query_id, bool_or(known) AS known, coalesce(1.0 / min(rank) FILTER (relevant), 0) AS mrr, max(CASE WHEN rank <= 1 AND relevant THEN 1.0 ELSE 0 END) AS r1, max(CASE WHEN rank <= 5 AND relevant THEN 1.0 ELSE 0 END) AS r5, max(CASE WHEN rank <= 5 AND hit THEN 1.0 ELSE 0 END) AS f5 FROM g GROUP BY 1)
+SELECT count(*) AS queries, count(*) FILTER (known) AS with_ground_truth, round(avg(mrr) FILTER (known), 6) AS mrr, round(avg(r1) FILTER (known), 6) AS recall_at_1, round(avg(r5) FILTER (known), 6) AS recall_at_5, round(avg(f5) FILTER (known), 6) AS frame_recall_at_5 FROM q""")
+def benchmark_plan(spark, sf):
+    """The benchmark plan over answers and ground truth of every other query."""
+    gt = _frames(spark, sf).where("row_id % 200 = 0")
+    truth = gt.select(F.col("row_id").alias("query_id"), F.array("video_id").alias("video_ids"), F.create_map("video_id", F.array(F.lit(450).cast("long"))).alias("frames"))
+    names = ("mrr", "recall_at_1", "recall_at_5", "frame_recall_at_5")
+    return pipeline.benchmark(_submitted(spark, sf), truth, 300, (1, 5))[1].withColumns(_r(*names)).select("queries", "with_ground_truth", *names)
 
 
 # learning to rank --------------------------------------------------------------------------------
@@ -488,10 +540,21 @@ def _lines(spark, sf, parity: int) -> DataFrame:
 _LINES = "WITH a AS (SELECT l_orderkey AS video_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT l_orderkey AS video_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos FROM lineitem WHERE l_linenumber % 2 = 0)"
 
 
-@query(f"{_LINES} SELECT video_id, pos, a.l_partkey AS odd_part, b.l_partkey AS even_part FROM a JOIN b USING (video_id, pos)")
+@query(f"{_LINES} SELECT video_id, pos, a.l_partkey AS odd_part, b.l_partkey AS even_part, o_custkey FROM a JOIN b USING (video_id, pos) JOIN orders ON o_orderkey = video_id WHERE pos = 0")
 def manifest_align(spark, sf):
+    """Odd and even lines of an order, and the order, which has one row, by position."""
     a, b = (_lines(spark, sf, p).select("video_id", F.col("pos").cast("long").alias("pos"), F.col("l_partkey").alias(n)) for p, n in ((1, "odd_part"), (0, "even_part")))
-    return a.join(b, ["video_id", "pos"])
+    return manifest.align(a, b, _t(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.lit(0).cast("long").alias("pos"), "o_custkey"))
+
+
+@query(f"WITH {_FRAMES} SELECT row_number() OVER (ORDER BY video_id, keyframe_idx DESC) - 1 AS row_id, video_id, CAST(1000 - keyframe_idx AS BIGINT) AS keyframe_idx, round(v[1], 6) AS first FROM frames WHERE keyframe_idx % 2 = 0")
+def ordered_matrix(spark, sf):
+    """Every other vector of a video, backwards."""
+    frames = _frames(spark, sf)
+    vectors = frames.select("video_id", (F.col("keyframe_idx") - 1).alias("pos"), "embedding")
+    rows = frames.where("keyframe_idx % 2 = 0").select("video_id", (1000 - F.col("keyframe_idx")).alias("keyframe_idx"), (F.col("keyframe_idx") - 1).alias("clip_idx"))
+    made = manifest.ordered_matrix(rows, vectors, 64)
+    return made.select("row_id", "video_id", "keyframe_idx", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
 @query(f"{_LINES}, c AS (SELECT video_id, count(*) AS odd FROM a GROUP BY 1), d AS (SELECT video_id, count(*) AS even FROM b GROUP BY 1) SELECT video_id, coalesce(odd, 0) AS odd, coalesce(even, 0) AS even FROM c FULL JOIN d USING (video_id) WHERE coalesce(odd, 0) <> coalesce(even, 0)")
@@ -499,11 +562,15 @@ def manifest_align_errors(spark, sf):
     return manifest.align_errors({"odd": _lines(spark, sf, 1), "even": _lines(spark, sf, 0)})
 
 
-@query("""WITH m AS (SELECT l_orderkey AS video_id, l_linenumber - 1 AS k, l_partkey AS f FROM lineitem), o AS (SELECT *, row_number() OVER w - 1 AS nth, lag(f) OVER w AS before, lag(k) OVER w = k AS again FROM m WINDOW w AS (PARTITION BY video_id ORDER BY k, f)),
-e AS (SELECT video_id, bool_or(again) AS a, bool_or(f IS NULL) AS b, bool_or(f < before) AS c, bool_or(k <> nth) AS d FROM o GROUP BY 1)
-SELECT video_id, 'duplicate keyframe_idx' AS error FROM e WHERE a UNION ALL SELECT video_id, 'null original_frame_id' FROM e WHERE b UNION ALL SELECT video_id, 'original_frame_id falls' FROM e WHERE c UNION ALL SELECT video_id, 'keyframe_idx not contiguous' FROM e WHERE d""")
+@query("""WITH m AS (SELECT l_orderkey AS video_id, l_linenumber - 1 AS k, l_partkey AS f, CASE WHEN l_suppkey % 7 <> 0 THEN l_extendedprice END AS t, CASE WHEN l_quantity > 45 THEN 0 ELSE l_linenumber - 1 END AS i FROM lineitem),
+o AS (SELECT *, row_number() OVER w - 1 AS nth, lag(f) OVER w AS f0, lag(t) OVER w AS t0, count(*) OVER (PARTITION BY video_id, k) > 1 AS again FROM m WINDOW w AS (PARTITION BY video_id ORDER BY k, f, t NULLS FIRST)),
+e AS (SELECT video_id, bool_or(again) AS a, bool_or(f IS NULL) AS b, bool_or(f < f0) AS c, bool_or(k <> nth) AS d, bool_or(t IS NULL) AS g, bool_or(t < t0) AS h, bool_or(i <> k) AS j FROM o GROUP BY 1)
+SELECT video_id, 'duplicate keyframe_idx' AS error FROM e WHERE a UNION ALL SELECT video_id, 'null original_frame_id' FROM e WHERE b UNION ALL SELECT video_id, 'original_frame_id falls' FROM e WHERE c UNION ALL SELECT video_id, 'keyframe_idx not contiguous' FROM e WHERE d
+UNION ALL SELECT video_id, 'null pts_time' FROM e WHERE g UNION ALL SELECT video_id, 'pts_time falls' FROM e WHERE h UNION ALL SELECT video_id, 'clip_idx differs from keyframe_idx' FROM e WHERE j""")
 def manifest_validate(spark, sf):
-    rows = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video_id"), (F.col("l_linenumber") - 1).alias("keyframe_idx"), F.col("l_partkey").alias("original_frame_id"), F.lit(0.0).alias("pts_time"), F.lit("").alias("image_path"))
+    c = F.col
+    time, clip = F.when(c("l_suppkey") % 7 != 0, c("l_extendedprice")), F.when(c("l_quantity") > 45, 0).otherwise(c("l_linenumber") - 1)
+    rows = _t(spark, sf, "lineitem").select(c("l_orderkey").alias("video_id"), (c("l_linenumber") - 1).alias("keyframe_idx"), c("l_partkey").alias("original_frame_id"), time.alias("pts_time"), clip.alias("clip_idx"), F.lit("").alias("image_path"))
     return manifest.validate(rows)
 
 
@@ -538,13 +605,6 @@ def json_text_flatten(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", json_text(doc).alias("text"))
 
 
-@query(f"{_SUBMITTED} SELECT query_id, video_id, CASE WHEN rank <= 3 THEN best_frame_id END AS semantic_keyframe FROM submitted")
-def localize_head_union_tail(spark, sf):
-    rows = _submitted(spark, sf)
-    head = rows.where("rank <= 3").select("query_id", "video_id", F.col("best_frame_id").alias("semantic_keyframe"))
-    return head.unionByName(rows.where("rank > 3").select("query_id", "video_id"), allowMissingColumns=True)
-
-
 @query("SELECT stem, min(url) AS path, count(*) AS n_paths FROM (SELECT url, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS stem FROM pages) WHERE stem <> '' GROUP BY stem")
 def video_resolver_dups(spark, sf):
     return manifest.resolve_videos(_t(spark, sf, "pages"), "url")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import posixpath
 import zipfile
-from io import BytesIO
+from collections.abc import Iterator
+from io import BytesIO, StringIO
 from xml.etree import ElementTree
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,22 +21,31 @@ from ..schemas import EVIDENCE, GROUND_TRUTH, MAPPING
 IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 VIDEOS = (".mp4", ".mkv", ".mov", ".webm")
 #: Column names by role, in order of preference (fixed values).
-ROLES = {"video_id": ("video_id", "video", "vid"), "frame_id": ("frame_id", "frame_idx", "frame"), "text": ("text", "transcript", "caption", "ocr")}
+ROLES = {
+    "video_id": ("video_id", "video", "vid", "videoid"),
+    "frame_id": ("frame_id", "frame_idx", "frame", "keyframe_id", "original_frame_id"),
+    "text": ("text", "transcript", "asr", "ocr", "caption", "content", "value", "description"),
+}
 QUERY_IDS = ("Query Name", "query_id", "id", "name")
 
 
-def inventory(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(path, length) of the files below root with one of the suffixes, in any case; contents aren't read.
-    A missing root has no files."""
+def contents(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length, content) of the files below root with one of the suffixes, in any case.  A missing root has no
+    files."""
     try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    except Exception as e:  # Spark's analysis error has no narrower public type for a missing path
-        if "PATH_NOT_FOUND" not in str(e):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "path string, length long")
+        return spark.createDataFrame([], "path string, length long, content binary")
     return found.where(suffix(F.col("path")).isin(*suffixes))
 
 
+def inventory(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length) of such files; contents aren't read."""
+    return contents(spark, root, suffixes).select("path", "length")
+
+
 def image_inventory(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
     rows = inventory(spark, root, suffixes)
     return rows.select(parent(F.col("path")).alias("video_id"), stem(F.col("path")).alias("keyframe_name"), F.col("path").alias("keyframe_path"), suffix(F.col("path")).alias("suffix"))
@@ -49,16 +62,35 @@ def read_mapping(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("video_id", stem(F.col("_metadata.file_path")))
 
 
-def read_mapping_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """One mapping CSV whose headers may differ in case and blanks."""
-    raw = spark.read.option("header", True).csv(path)
-    named = raw.withColumnsRenamed({c: c.strip().lower() for c in raw.columns})
-    return named.select(*(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in MAPPING if f.name in named.columns))
+def read_mapping_tolerant(spark: SparkSession, root: str) -> DataFrame:
+    """Mapping CSVs whose headers may differ in case, blanks and order: (video_id, path, pos, n, pts_time, fps, frame_idx,
+    error); pos counts a file's rows.  A file without one of the columns is a row with an error; cells that aren't
+    numbers are null."""
+    wanted = [f.name for f in MAPPING]
+
+    def parse(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                video = posixpath.splitext(posixpath.basename(path))[0]
+                try:
+                    cells = list(csv.reader(StringIO(bytes(content).decode("utf-8-sig"))))
+                    at = {str(c).strip().lower(): i for i, c in enumerate(cells[0] if cells else [])}
+                    if missing := [w for w in wanted if w not in at]:
+                        raise ValueError(f"mapping columns missing: {', '.join(missing)}")
+                    body = [r for r in cells[1:] if r]
+                    made = pd.DataFrame({w: pd.to_numeric(pd.Series([r[at[w]] if at[w] < len(r) else None for r in body], dtype=object), errors="coerce") for w in wanted}, columns=wanted).astype(float)
+                    yield made.assign(video_id=video, path=path, pos=range(len(made)), error=None)
+                except (ValueError, csv.Error) as e:
+                    yield pd.DataFrame([{"video_id": video, "path": path, "error": str(e)}]).reindex(columns=["video_id", "path", "pos", *wanted, "error"])
+
+    found = contents(spark, root, (".csv",))
+    return found.mapInPandas(parse, "video_id string, path string, pos long, n double, pts_time double, fps double, frame_idx double, error string")
 
 
 def pick_column(columns: list[str], names: tuple[str, ...]) -> str | None:
-    """The first exact match in order of preference, else the first column that contains a name."""
-    low = {c.strip().lower(): c for c in reversed(columns)}
+    """The first exact match in order of preference (of columns equal but for case and blanks the last), else the
+    first column that contains a name."""
+    low = {c.strip().lower(): c for c in columns}
     for n in names:
         if n.lower() in low:
             return low[n.lower()]

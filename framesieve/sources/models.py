@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import prompt
+
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a text encoder: signed hashed words, unit length."""
@@ -110,7 +112,7 @@ def answer_questions(requests: DataFrame, factory: Callable[[], Callable[[str, l
             for ids, frames in zip(pdf["frame_ids"], pdf["frames"], strict=True):
                 if not len(frames) or len(ids) != len(frames):
                     raise ValueError("a request needs at least one frame, and one for each id")
-            texts = [answer(q, list(f)).strip() for q, f in zip(pdf["question"], pdf["frames"], strict=True)]
+            texts = [answer(prompt(q), list(f)).strip() for q, f in zip(pdf["question"], pdf["frames"], strict=True)]
             yield pdf[["query_id", "video_id"]].assign(answer=texts, confidence=None)
 
     kind = requests.schema["query_id"].dataType.simpleString()

@@ -1,16 +1,25 @@
-"""Python data sources: NPY matrices and SQLite evidence."""
+"""Python data sources: NPY matrices and SQLite evidence; headers of feature files."""
 
 from __future__ import annotations
 
 import ast
 import glob
 import os
+import posixpath
+import shutil
 import sqlite3
 import struct
+import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import closing
+from io import BytesIO
 
 import numpy as np
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from .files import ROLES, pick_column
 
@@ -24,13 +33,43 @@ def npy_header(data: bytes) -> tuple[tuple[int, ...], str, bool, int]:
     return tuple(head["shape"]), head["descr"], head["fortran_order"], at + size
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def feature_headers(files: DataFrame) -> DataFrame:
+    """(path, suffix, member, shape, dtype, ndim, error) of NPY and NPZ files (path, content): one row per array; member:
+    its name in an NPZ.  Only headers are parsed; a file that can't be read is a row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                kind = posixpath.splitext(path)[1].lower()
+                try:
+                    if kind == ".npz":
+                        with zipfile.ZipFile(BytesIO(content)) as z:
+                            heads = [(n.removesuffix(".npy"), z.open(n).read(1 << 16)) for n in z.namelist()]
+                    else:
+                        heads = [(None, bytes(content[: 1 << 16]))]
+                    for member, head in heads:
+                        shape, dtype, _, _ = npy_header(head)
+                        rows.append((path, kind, member, list(shape), str(np.dtype(dtype)), len(shape), None))
+                except Exception as e:  # whatever is wrong with a file belongs to its row
+                    rows.append((path, kind, None, None, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "suffix", "member", "shape", "dtype", "ndim", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, suffix string, member string, shape array<long>, dtype string, ndim int, error string")
+
+
+class _Rows(InputPartition):
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
+
+
+#: Rows that one partition of a matrix or a table has.
+PART_ROWS = 65_536
 
 
 class NpySource(DataSource):
-    """(video_id, pos, embedding) of NPY matrices; options path (a file, folder or glob), dim (default 512)."""
+    """(video_id, pos, embedding) of NPY matrices in a folder that all executors mount; options path (a file, folder or
+    glob), dim (default 512).  A large matrix is read in parts, in Arrow batches."""
 
     @classmethod
     def name(cls) -> str:
@@ -49,34 +88,112 @@ class _NpyReader(DataSourceReader):
 
     def partitions(self):
         found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, "*.npy") if os.path.isdir(self.path) else self.path))
-        return [_Files(p) for p in found] or [_Files("")]
+        out = []
+        for p in found:
+            with open(p, "rb") as f:
+                try:
+                    shape = npy_header(f.read(1 << 16))[0]
+                except ValueError as e:
+                    raise ValueError(f"{p}: {e}") from e
+            if len(shape) != 2 or shape[1] != self.dim:
+                raise ValueError(f"{p}: expected a matrix of width {self.dim}, found {shape}")
+            out += [_Rows(p, low, min(low + PART_ROWS, shape[0])) for low in range(0, shape[0], PART_ROWS)]
+        return out or [_Rows("", 0, 0)]
 
     def read(self, partition):
         if not partition.path:
             return
         matrix = np.load(partition.path, mmap_mode="r", allow_pickle=False)
-        if matrix.ndim != 2 or matrix.shape[1] != self.dim:
-            raise ValueError(f"{partition.path}: expected a matrix of width {self.dim}, found {matrix.shape}")
         video = os.path.splitext(os.path.basename(partition.path))[0]
-        for i in range(len(matrix)):
-            yield video, i, matrix[i].astype(np.float32).tolist()
+        for low in range(partition.low, partition.high, 4096):
+            part = np.ascontiguousarray(matrix[low : min(low + 4096, partition.high)], np.float32)
+            ends = pa.array(np.arange(0, part.size + 1, self.dim, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array([video] * len(part)), pa.array(np.arange(low, low + len(part))), vectors], ["video_id", "pos", "embedding"])
+
+
+class NpySink(DataSource):
+    """Writes (row_id, embedding), in order of row_id, as one NPY matrix of 32-bit floats; options path, dim.  Each task
+    leaves a part beside the file; the commit joins them, a part at a time."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy_matrix"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _NpyWriter(self.options)
+
+
+class _Part(WriterCommitMessage):
+    def __init__(self, path: str, rows: int, first: int):
+        self.path, self.rows, self.first = path, rows, first
+
+
+class _NpyWriter(DataSourceWriter):
+    def __init__(self, options):
+        self.path, self.dim = options["path"], int(options.get("dim", "512"))
+
+    def write(self, iterator):
+        part, rows, first = f"{self.path}.{uuid.uuid4().hex}.part", 0, -1
+        with open(part, "wb") as f:
+            for row in iterator:
+                vector = np.asarray(row["embedding"], "<f4")
+                if len(vector) != self.dim:
+                    raise ValueError(f"row {row['row_id']}: expected {self.dim} numbers, found {len(vector)}")
+                first = row["row_id"] if not rows else first
+                f.write(vector.tobytes())
+                rows += 1
+        return _Part(part, rows, first)
+
+    def commit(self, messages):
+        parts = sorted((m for m in messages if m is not None), key=lambda m: m.first)
+        with open(self.path, "wb") as out:
+            np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (sum(m.rows for m in parts), self.dim)})
+            for m in parts:
+                with open(m.path, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 24)
+        self.abort(messages)
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
+
+
+def _opened(path: str):
+    return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 def sqlite_roles(path: str) -> list[dict]:
     """Tables of a database, opened read-only, with their columns, counts and the columns' roles."""
     out = []
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall():
-            quoted = '"' + table.replace('"', '""') + '"'
-            columns = [r[1] for r in db.execute(f"PRAGMA table_info({quoted})")]
-            (n,) = db.execute(f"SELECT count(*) FROM {quoted}").fetchone()
+    with _opened(path) as db:
+        for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY rowid").fetchall():
+            columns = [r[1] for r in db.execute(f"PRAGMA table_info({_quoted(table)})")]
+            (n,) = db.execute(f"SELECT count(*) FROM {_quoted(table)}").fetchone()
             out.append({"table": table, "columns": columns, "rows": n, "roles": {role: pick_column(columns, names) for role, names in ROLES.items()}})
     return out
 
 
+def inspect_sqlite(path: str) -> dict:
+    """Whether a database exists, its tables with their roles, or the error that reading it gave."""
+    report: dict = {"path": path, "exists": os.path.exists(path), "tables": []}
+    if report["exists"]:
+        try:
+            report["tables"] = sqlite_roles(path)
+        except (OSError, sqlite3.Error) as e:
+            report["error"] = str(e)
+    return report
+
+
 class SqliteEvidenceSource(DataSource):
     """(modality, video_id, frame_id, text) of the first SQLite table with a video and a text column.
-    Options: path, modality.  A database without such a table, or an unreadable one, has no rows."""
+    Options: path, modality.  A database without such a table, or an unreadable one, has no rows; a large one is read
+    in parts."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,29 +209,59 @@ class SqliteEvidenceSource(DataSource):
 class _SqliteReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.modality = options["path"], options.get("modality", "asr")
+        self.videos: list[str] | None = None
 
-    def partitions(self):
-        return [InputPartition(0)]
+    def pushFilters(self, filters):
+        """Equality and membership of video_id are answered by the database."""
+        for f in filters:
+            known = isinstance(f, EqualTo | In) and f.attribute == ("video_id",)
+            if known and self.videos is None:
+                self.videos = [str(f.value)] if isinstance(f, EqualTo) else [str(v) for v in f.value]
+            else:
+                yield f
 
-    def read(self, partition):
+    def _table(self) -> dict | None:
         try:
-            tables = [t for t in sqlite_roles(self.path) if t["roles"]["video_id"] and t["roles"]["text"]]
+            return next((t for t in sqlite_roles(self.path) if t["roles"]["video_id"] and t["roles"]["text"]), None)
         except sqlite3.Error:
+            return None
+
+    def partitions(self):
+        table, out = self._table(), []
+        if table:
+            with _opened(self.path) as db:
+                try:
+                    low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table['table'])}").fetchone()
+                    out = [_Rows(self.path, a, min(a + PART_ROWS - 1, high)) for a in range(low, high + 1, PART_ROWS)] if low is not None else []
+                except sqlite3.Error:  # a table without row ids is read at once
+                    out = [_Rows(self.path, 0, -1)]
+        return out or [_Rows("", 0, 0)]
+
+    def read(self, partition):
+        if not partition.path:
             return
-        if not tables:
-            return
-        quote = lambda n: '"' + n.replace('"', '""') + '"'
-        roles = tables[0]["roles"]
-        frame = quote(roles["frame_id"]) if roles["frame_id"] else "NULL"
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            for video, f, text in db.execute(f"SELECT {quote(roles['video_id'])}, {frame}, {quote(roles['text'])} FROM {quote(tables[0]['table'])}"):
+        table = self._table()
+        roles = table["roles"]
+        frame = _quoted(roles["frame_id"]) if roles["frame_id"] else "NULL"
+        video, where, values = _quoted(roles["video_id"]), [], []
+        if partition.high >= partition.low:
+            where.append("rowid BETWEEN ? AND ?")
+            values += [partition.low, partition.high]
+        if self.videos is not None:
+            where.append(f"CAST({video} AS TEXT) IN ({', '.join('?' * len(self.videos))})")
+            values += self.videos
+        sql = f"SELECT {video}, {frame}, {_quoted(roles['text'])} FROM {_quoted(table['table'])}" + (f" WHERE {' AND '.join(where)}" if where else "")
+        with _opened(self.path) as db:
+            for v, f, text in db.execute(sql, values):
                 try:
                     number = int(f) if f is not None else None
                 except ValueError:
                     number = None
-                yield self.modality, None if video is None else str(video), number, None if text is None else str(text)
+                yield self.modality, None if v is None else str(v), number, None if text is None else str(text)
 
 
 def register(spark: SparkSession) -> None:
-    for source in (NpySource, SqliteEvidenceSource):
+    """Makes the sources known to the session, and lets it push filters into those that take them."""
+    for source in (NpySource, NpySink, SqliteEvidenceSource):
         spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
