@@ -1,12 +1,18 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters: groups of a seed lexicon, lexicons of words and word beginnings induced from labelled rows,
-and surface patterns.  Each fires or not on a whole text, which gives a bit mask.  The label model
-P(y) * prod P(vote | its parent's vote, y) is fitted by expectation maximisation on the counts of the
+Voters, each of which fires or not on a whole text, which gives a bit mask:
+
+* lexicons: four groups of seed words, and words, and word beginnings of 4, 5 and 6 bytes, that the toxic ones of the
+  labelled rows hold far more often than the others, in whatever language; each kind is a voter of its own;
+* patterns: a seed word in disguise (digits or signs for letters, letters repeated), a second person with its verb
+  (five languages), shouting, runs of exclamation marks, a listed word or beginning said twice.
+
+The label model P(y) * prod P(vote | its parent's vote, y) is fitted by expectation maximisation on the counts of the
 masks over all documents; its accuracies are P(vote | y), and its correlations are the edges of the
-tree of largest conditional mutual information between votes.  At most 2 ** len(VOTERS) masks exist, so
+tree of largest conditional mutual information between votes.  At most 2 ** VOTERS masks exist, so
 the counts are bounded whatever the corpus.  Posteriors are the soft targets of a hashed linear model,
-which alone gives the scores.
+which alone gives the scores.  Bounds: at most Ftrl.max_rows labelled rows induce the lexicons, which have at most
+2 ** BITS entries, and at most Ftrl.max_rows documents, chosen by a hash, fit the linear model; these need no label.
 
 Defined results: null, empty and blank texts have no features and score the bias; equal texts score
 alike; no documents give no rows; other columns are not read.  Without labelled rows only the seed
@@ -15,18 +21,21 @@ lexicon and the patterns vote.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Tokens, bound_batches, bounded_sample, mix, span_hashes, text_chunks
+from .common import U, Tokens, bound_batches, bounded_sample, gram_hashes, mix, span_hashes, text_chunks
 from .linear import Ftrl, compact, fit, score
 
 BITS = 20
-PARAMS = Ftrl(alpha=0.1, l1=1.5, l2=1.0, epochs=3)
+#: Chosen on a fold of the rows that are learned from.
+PARAMS = Ftrl(alpha=0.3, l1=3.0, l2=0.0, epochs=10)
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 #: Seed lexicon by group (fixed values).
@@ -36,35 +45,99 @@ SEEDS = (
     ("scum", "trash", "garbage", "vermin", "filth"),
     ("loser", "disgusting", "ugly", "hate", "kill"),
 )
-INDUCED = 6
-#: seed groups, induced lexicons, "two different seeds", "seed or induced entry twice as usual".
-VOTERS = len(SEEDS) + INDUCED + 2
+#: What the digits and signs of a disguised word stand for (fixed values).
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: A second person and its verb (fixed values).
+ADDRESS = ("you are", "ur a", "du bist", "ihr seid", "tu es", "vous êtes", "tú eres", "eres un", "eres una")
+#: Voters after the seed groups: an induced word, and a beginning of each length; then the patterns.
+INDUCED = len(SEEDS)
+DISGUISED = INDUCED + 1 + len(PREFIXES)
+ADDRESSED, SHOUTED, MARKED, REPEATED = range(DISGUISED + 1, DISGUISED + 5)
+VOTERS = REPEATED + 1
+#: Words in capitals that make a text shouted, if they are most of its words; runs of marks that count.
+LOUD, RUNS = 8, 3
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words and word beginnings of 4, 5 and 6 bytes, A-Z lower-cased."""
-    buf = np.where((buf >= 0x41) & (buf <= 0x5A), buf + 0x20, buf).astype(np.uint8)
-    tokens = Tokens(buf, offsets, "alnum")
-    docs, hashes = [tokens.doc], [tokens.hashes()]
+    docs, hashes = zip(*_kinds(Tokens(lowered(buf), offsets, "alnum")), strict=True)
+    doc = np.concatenate(docs)
+    return doc, np.concatenate(hashes), np.ones(len(doc))
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    return np.where((buf >= 0x41) & (buf <= 0x5A), buf + 0x20, buf).astype(np.uint8)
+
+
+def _kinds(tokens: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number and index of every word, and then of every word beginning, by length."""
+    yield tokens.doc, (tokens.hashes() >> U(64 - BITS)).astype(np.int64)
     for k in PREFIXES:
         long = tokens.ends - tokens.starts > k
-        docs.append(tokens.doc[long])
-        hashes.append(mix(span_hashes(buf, tokens.starts[long], tokens.starts[long] + k) + U(k)))
-    doc = np.concatenate(docs)
-    return doc, (np.concatenate(hashes) >> U(64 - BITS)).astype(np.int64), np.ones(len(doc))
+        at = mix(span_hashes(tokens.buf, tokens.starts[long], tokens.starts[long] + k) + U(k))
+        yield tokens.doc[long], (at >> U(64 - BITS)).astype(np.int64)
+
+
+def _fires(mask: np.ndarray, voter: int, docs: np.ndarray) -> None:
+    mask[docs] |= 1 << voter
+
+
+def patterns(buf: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> None:
+    """Sets the bits of the pattern voters that need no lexicon but the seeds."""
+    n = len(offsets) - 1
+    tokens = Tokens(lowered(buf), offsets, "alnum")
+    pairs = gram_hashes(tokens.hashes(), 2)
+    inside = np.isin(pairs, _ADDRESS) & (tokens.doc[1:] == tokens.doc[:-1]) if len(pairs) else np.zeros(0, bool)
+    _fires(mask, ADDRESSED, tokens.doc[:-1][inside] if len(pairs) else [])
+    raw = Tokens(buf, offsets, "alnum")
+    long = raw.ends - raw.starts >= 3
+    capital = np.concatenate(([0], np.cumsum((buf >= 0x41) & (buf <= 0x5A))))
+    loud = long & (capital[raw.ends] - capital[raw.starts] == raw.ends - raw.starts)
+    of = lambda which: np.bincount(raw.doc[which], minlength=n)
+    _fires(mask, SHOUTED, np.flatnonzero((of(loud) >= LOUD) & (2 * of(loud) > of(long))))
+    run = (buf[1:] == 0x21) & (buf[:-1] == 0x21) if len(buf) else np.zeros(0, bool)
+    first = np.flatnonzero(run & ~np.concatenate(([False], run[:-1])))
+    where = np.searchsorted(offsets, first, side="right") - 1
+    _fires(mask, MARKED, np.flatnonzero(np.bincount(where, minlength=n) >= RUNS))
+    _fires(mask, DISGUISED, _disguised(buf, offsets))
+
+
+def _disguised(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with a word that is a seed only when letters replace its digits and signs, or repeats go."""
+    tokens = Tokens(buf, offsets, "words")
+    shape = np.concatenate(([0], np.cumsum(_ODD[buf] | np.concatenate((buf[1:] == buf[:-1], [False])) if len(buf) else [])))
+    letters = np.concatenate(([0], np.cumsum(_LETTER[buf])))
+    size = tokens.ends - tokens.starts
+    maybe = np.flatnonzero((size >= 4) & (size <= 32) & (shape[tokens.ends] > shape[tokens.starts]) & (3 * (letters[tokens.ends] - letters[tokens.starts]) >= size))
+    text = buf.tobytes()
+    return np.array([tokens.doc[t] for t in maybe if undisguised(text[tokens.starts[t] : tokens.ends[t]].decode("latin-1"))], np.int64)
+
+
+@lru_cache(maxsize=1 << 16)
+def undisguised(word: str) -> bool:
+    """Whether a word, of Latin-1 characters, is a seed in disguise, not as it stands."""
+    low = word.lower().strip(".,;:?!\"'()*#%&")
+    plain = "".join(LEET.get(c, c) for c in word.lower().rstrip(".,;:?!")).strip(".,;:?\"'()*#%&")
+    once = "".join(c for c, _ in itertools.groupby(plain))
+    return low not in _SEEDS and (plain in _SEEDS or once in _ONCE)
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    data = text.encode()
+    return Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]), "alnum").hashes()
 
 
-def _seed_index() -> list[np.ndarray]:
-    out = []
-    for group in SEEDS:
-        data = " ".join(group).encode()
-        tokens = Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]), "alnum")
-        out.append((tokens.hashes() >> U(64 - BITS)).astype(np.int64))
-    return out
+_SEEDS = {w for group in SEEDS for w in group}
+_ONCE = {"".join(c for c, _ in itertools.groupby(w)) for w in _SEEDS}
+_ADDRESS = np.array([gram_hashes(_word_hashes(pair), 2)[0] for pair in ADDRESS], np.uint64)
+_ODD, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_ODD[[ord(c) for c in LEET]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def induce(rows: DataFrame, min_support: int = 5, min_odds: float = 4.2) -> np.ndarray:
-    """Features that the toxic ones of the (bounded) labelled rows hold far more often than the others."""
+    """Features, of at most 2 ** BITS, that the toxic ones of the (bounded) labelled rows hold far more often than the
+    others."""
     bound_batches(rows.sparkSession)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +153,7 @@ def induce(rows: DataFrame, min_support: int = 5, min_odds: float = 4.2) -> np.n
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     kept = (
         rows.mapInArrow(entries, "index long, toxic double, clean double").groupBy("index").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= min_support) & (odds >= min_odds)).orderBy(odds.desc(), "index").limit(1 << 14).select("index").collect()
+        .where((F.col("toxic") >= min_support) & (odds >= min_odds)).select("index").collect()
     )
     return np.array([r[0] for r in kept], np.int64)
 
@@ -90,24 +163,24 @@ def votes(docs: DataFrame, induced: np.ndarray, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     owner = np.full(1 << BITS, -1, np.int8)
-    owner[induced] = len(SEEDS) + (mix(induced.astype(np.uint64)) % U(INDUCED)).astype(np.int8)
-    for k, at in enumerate(_seed_index()):
-        owner[at] = k
+    owner[induced] = INDUCED
+    for k, group in enumerate(SEEDS):
+        owner[(_word_hashes(" ".join(group)) >> U(64 - BITS)).astype(np.int64)] = k
     table = spark.sparkContext.broadcast(owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table.value
         for batch in batches:
             for part, buf, offsets in text_chunks(batch, "__text"):
-                n = len(offsets) - 1
-                doc, index, _ = features(buf, offsets)
-                hit = own[index] >= 0
-                doc, index, _ = compact(doc[hit], index[hit], np.ones(hit.sum()), True)
-                mask = np.zeros(n, np.int64)
-                np.bitwise_or.at(mask, doc, 1 << own[index].astype(np.int64))
-                seeds = np.bincount(doc[own[index] < len(SEEDS)], minlength=n)
-                mask |= (seeds >= 2).astype(np.int64) << (VOTERS - 2)
-                mask |= (np.bincount(doc, minlength=n) >= 3).astype(np.int64) << (VOTERS - 1)
+                mask = np.zeros(len(offsets) - 1, np.int64)
+                patterns(buf, offsets, mask)
+                for kind, (doc, index) in enumerate(_kinds(Tokens(lowered(buf), offsets, "alnum"))):
+                    hit = (own[index] >= 0) & ((kind == 0) | (own[index] == INDUCED))
+                    doc, index = doc[hit], index[hit]
+                    voter = own[index].astype(np.int64)
+                    np.bitwise_or.at(mask, doc, 1 << np.where(voter == INDUCED, INDUCED + kind, voter))
+                    said, times = np.unique(doc << BITS | index, return_counts=True)
+                    _fires(mask, REPEATED, said[times > 1] >> BITS)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(mask)], [*keep, "mask"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -180,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
     Lexicons are induced from at most params.max_rows labelled rows (chosen by hash); mask counts cover
     all documents that learn_from admits; the classifier fits on at most params.max_rows of these with
-    posterior targets.
+    posterior targets, labelled or not.
     """
     admit = F.lit(True) if learn_from is None else learn_from
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & admit).select("doc_id", F.col("toxic").cast("double").alias("target"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesieve.llm import chat, decontaminate, near_dup, packing, pii, quality, queries, substring, tiff, toxicity, url_filter
+from framesieve.llm import chat, decontaminate, linear, near_dup, packing, pii, quality, queries, substring, tiff, toxicity, url_filter
 from framesieve.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -195,17 +196,17 @@ def held_out(spark, name, column, folds, rest):
     rows = made.where("held_out").select(column, "predicted", "score").toPandas()
     good, bad = rows[rows[column] == 1].score.to_numpy(), rows[rows[column] == 0].score.to_numpy()
     auc = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
-    return auc, (rows.predicted == rows[column]).mean()
+    return auc, (rows.predicted == rows[column]).mean(), rows[rows[column] == 1].predicted.mean()
 
 
 def test_quality_held_out(spark):
-    auc, accuracy = held_out(spark, "op6_quality", "quality", 5, 0)
-    assert auc > 0.97 and accuracy > 0.97
+    auc, accuracy, recall = held_out(spark, "op6_quality", "quality", 5, 0)
+    assert auc > 0.97 and accuracy > 0.97 and recall > 0.97
 
 
 def test_toxicity_held_out(spark):
-    auc, accuracy = held_out(spark, "op4_toxicity", "toxic", 4, 2)
-    assert auc > 0.88 and accuracy > 0.93
+    auc, accuracy, recall = held_out(spark, "op4_toxicity", "toxic", 4, 2)
+    assert auc > 0.97 and accuracy > 0.97 and recall > 0.8
 
 
 def test_classifier_edges(spark, docs, sf):
@@ -224,6 +225,59 @@ def test_classifier_edges(spark, docs, sf):
     assert toxicity.classify(edge, toxicity.train(docs, none)[0], ["doc_id"]).count() == len(EDGE)
 
 
+def test_ftrl_against_brute_force():
+    """The updates one coordinate at a time, in plain floats."""
+    rng = random.Random(6)
+    p = linear.Ftrl(alpha=0.2, beta=0.7, l1=0.3, l2=0.5, epochs=3)
+    rows = [(sorted(rng.sample(range(8), rng.randint(0, 5))), rng.random()) for _ in range(40)]
+    rows = [(index, [rng.choice([1.0, 0.5, 2.0]) for _ in index], target) for index, target in rows]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for index, value, target in rows:
+            x = dict(zip(index, value, strict=True)) | {8: 1.0}
+            w = {i: weight(i) for i in x}
+            error = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - target
+            for i in x:
+                g = error * x[i]
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    made = linear.ftrl([(np.array(i, np.int64), np.array(v), t) for i, v, t in rows], 9, p)
+    assert made == pytest.approx([weight(i) for i in range(9)]) and any(made)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    weights = np.random.default_rng(3).normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    texts = ["", "One two, two TWO!", "a b c 12 é"]
+    made = {r.doc_id: r.score for r in quality.classify(table(spark, list(enumerate(texts))), weights, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        data = text.encode()
+        _, index, value = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        total = float(weights[-1]) + sum(float(weights[k]) * v for k, v in zip(index, value, strict=True))
+        assert made[i] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_voters(spark):
+    seeds = [w for group in toxicity.SEEDS for w in group]
+    cases = {
+        "what an idiot": {0}, "IDIOT, you moron": {0}, "stupid vermin": {1, 2}, "1d10t": {toxicity.DISGUISED}, "such an idioooot!": {toxicity.DISGUISED}, "$tupid": {toxicity.DISGUISED}, "idiot1234": set(),
+        "you are kind": {toxicity.ADDRESSED}, "Vous êtes là": {toxicity.ADDRESSED}, "you. they are": set(), "A BIG LOUD TEXT THAT SHOUTS AND SHOUTS ALL THE TIME": {toxicity.SHOUTED}, "SOME OF the words in CAPITALS ONLY ARE NOT many enough here": set(),
+        "no!! no!! no!!": {toxicity.MARKED}, "no!!!!!!": set(), "idiot and idiot": {0, toxicity.REPEATED}, "lovelyx": {toxicity.INDUCED + 1}, "": set(), "clean words": set(),
+    }
+    data = b"lovelyz"
+    index = toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1][1]  # its beginning of four bytes
+    rows = table(spark, [*enumerate(cases), (90, None)])
+    made = {r.doc_id: r["mask"] for r in toxicity.votes(rows, np.array([index]), ["doc_id"]).collect()}
+    assert {t: {v for v in range(toxicity.VOTERS) if made[i] >> v & 1} for i, t in enumerate(cases)} == cases and made[90] == 0
+    assert all(not toxicity.undisguised(w) for w in seeds)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     n, k = 40_000, toxicity.VOTERS
