@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, text_chunks
+from .common import bound_batches, fresh, text_chunks
 
 #: features(buf, offsets) -> (text of each feature, its index, its value); a pair may occur repeatedly and then adds up.
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -92,12 +92,13 @@ def score(docs: DataFrame, extract: Extract, weights: np.ndarray, keep: list[str
     """The kept columns of every row and its probability: the logistic of the sparse dot product."""
     spark = docs.sparkSession
     bound_batches(spark)
+    (body,) = fresh([*keep, out], "__text")
     model = spark.sparkContext.broadcast(weights)  # (1 << bits) + 1 numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
         for batch in batches:
-            for part, buf, offsets in text_chunks(batch, "__text"):
+            for part, buf, offsets in text_chunks(batch, body):
                 doc, index, value = extract(buf, offsets)
                 used = w[index] != 0
                 doc, index, value = doc[used], index[used], value[used]
@@ -106,5 +107,5 @@ def score(docs: DataFrame, extract: Extract, weights: np.ndarray, keep: list[str
                 total = np.bincount(doc, weights=w[index] * value, minlength=len(offsets) - 1) + w[-1]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*keep, out])
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias(body))
     return rows.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema), T.StructField(out, T.DoubleType())]))

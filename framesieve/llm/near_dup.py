@@ -79,23 +79,6 @@ def sketch(n: int, doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, reg
     return winner.reshape(n, registers)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Exact probability Jaccard similarity of two (sorted hashes, weights): the sum over shared shingles i of
-    1 / sum over all j of max(a_j / a_i, b_j / b_i)."""
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(ia):
-        return 0.0
-    # with r_j = a_j / b_j: max(a_j / a_i, b_j / b_i) is a_j / a_i where r_j >= r_i and b_j / b_i elsewhere
-    only_a, only_b = a[1].sum() - a[1][ia].sum(), b[1].sum() - b[1][ib].sum()
-    order = np.argsort(a[1][ia] / b[1][ib])
-    x, y = a[1][ia][order], b[1][ib][order]
-    above = np.cumsum(x[::-1])[::-1] + only_a
-    below = np.concatenate(([0.0], np.cumsum(y)[:-1])) + only_b
-    return float((1 / (above / x + below / y)).sum())
-
-
 def plain(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted arrays of different hashes."""
     shared = len(np.intersect1d(a, b, assume_unique=True))

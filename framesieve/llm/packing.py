@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import bound_batches, materialize
+from .common import bound_batches, fresh, materialize
 
 CAPACITY = 2048
 END = 0
@@ -145,13 +145,14 @@ def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY
     extra = [("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64())]
     if with_ids:
         extra.append(("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
+    (body,) = fresh(keep, "__text")
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, k) for n, k, _ in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
         for batch in batches:
             rows, cells = [], []
-            texts = [x or "" for x in batch.column("__text").to_pylist()]
+            texts = [x or "" for x in batch.column(body).to_pylist()]
             for row, ids in enumerate(encode(texts)):
                 array = np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
                 at, to, k = 0, len(array) % capacity or min(len(array), capacity), 0
@@ -164,7 +165,7 @@ def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in range(len(keep))), *(pa.array(v, k) for v, (_, _, k) in zip(columns, extra, strict=False))], [*keep, *(n for n, _, _ in extra)])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(body)).mapInArrow(run, schema)
 
 
 def fullest(stock: dict[int, int], room: int) -> dict[int, int]:
@@ -230,26 +231,27 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     tables = spark.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (keys, starts, slots, offset)))
 
+    part, before_, rank = fresh(cut.columns, "__part", "__before", "__rank")
     # as many parts as a length has rows in each: neither a part nor the list of parts is long
     parts = F.array(*(F.lit(1 + math.isqrt(histogram.get(k, 0))) for k in range(1, capacity + 1)))
     content = [c for c in cut.columns if c != "length"]
-    rows = cut.withColumn("__part", F.pmod(F.xxhash64(*content), F.element_at(parts, F.col("length").cast("int"))))
-    sums = rows.groupBy("length", "__part").count()
-    before = sums.select("length", "__part", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rows = cut.withColumn(part, F.pmod(F.xxhash64(*content), F.element_at(parts, F.col("length").cast("int"))))
+    sums = rows.groupBy("length", part).count()
+    before = sums.select("length", part, F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before_))
     simple = [f.name for f in cut.schema if f.name != "length" and not isinstance(f.dataType, (T.ArrayType, T.MapType))]
-    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy("length", "__part").orderBy(*simple)) - 1).join(before, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy("length", part).orderBy(*simple)) - 1).join(before, ["length", part]).withColumn(rank, F.col(rank) + F.col(before_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, starts, slots, offset = tables.value
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "__rank"))
-            at = np.searchsorted(keys, length << 40 | rank, "right") - 1
-            local = rank - (keys[at] & ((1 << 40) - 1))
-            names = [n for n in batch.schema.names if n != "__rank"]
+            length, place = (batch.column(c).to_numpy() for c in ("length", rank))
+            at = np.searchsorted(keys, length << 40 | place, "right") - 1
+            local = place - (keys[at] & ((1 << 40) - 1))
+            names = [n for n in batch.schema.names if n != rank]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(starts[at] + local // slots[at]), pa.array(offset[at] + local % slots[at] * length)], [*names, "sequence_id", "offset"])
 
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*cut.columns, F.col("__rank").cast("long").alias("__rank")).mapInArrow(run, schema)
+    return ranked.select(*cut.columns, F.col(rank).cast("long").alias(rank)).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

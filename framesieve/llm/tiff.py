@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, fresh
 
 #: Compression numbers and tags of the format (fixed values).
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -285,19 +285,20 @@ def pages(files: DataFrame, keep: list[str], content: str = "content") -> DataFr
     """One row per page of every file: the kept columns, page, width, height, samples, bits, compression,
     predictor, data (samples, row by row, little-endian), error."""
     bound_batches(files.sparkSession)
+    (body,) = fresh(keep, "__content")
     names = [("page", T.IntegerType()), ("width", T.LongType()), ("height", T.LongType()), ("samples", T.IntegerType()), ("bits", T.IntegerType()), ("compression", T.IntegerType()), ("predictor", T.IntegerType()), ("data", T.BinaryType()), ("error", T.StringType())]
     schema = T.StructType([*files.select(*keep).schema.fields, *(T.StructField(*x) for x in names)])
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch.column("__content")):
+            for i, data in enumerate(batch.column(body)):
                 for p in decode(data.as_py()):
                     raw = None if p.data is None else p.data.astype(p.data.dtype.newbyteorder("<")).tobytes()
                     row = (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, raw, p.error)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(len(keep))), *(pa.array([v], k) for v, k in zip(row, kinds, strict=True))], [*keep, *(n for n, _ in names)])
 
-    return files.select(*keep, F.col(content).alias("__content")).mapInArrow(run, schema)
+    return files.select(*keep, F.col(content).alias(body)).mapInArrow(run, schema)
 
 
 #: How payloads are stored: samples a row, rows a page, rows a strip.
@@ -320,15 +321,16 @@ def load(media: bytes) -> bytes:
 def text_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, n_bytes, media (the stored TIFF) of every text's UTF-8, padded with 255 to rows of ROW."""
     bound_batches(docs.sparkSession)
+    (body,) = fresh(keep, "__content")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("__text")]
+            raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(body)]
             media = [store(r.ljust(max(1, -(-len(r) // ROW)) * ROW, b"\xff")) for r in raw]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], [*keep, "n_bytes", "media"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
@@ -338,6 +340,7 @@ def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
     import hashlib
 
     bound_batches(media.sparkSession)
+    (body,) = fresh(keep, "__content")
     kinds = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     schema = T.StructType([*media.select(*keep).schema.fields, *(T.StructField(*x) for x in kinds)])
 
@@ -354,9 +357,9 @@ def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(x.as_py()) for x in batch.column("__media")]
+            rows = [describe(x.as_py()) for x in batch.column(body)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), *(pa.array(v, k) for v, k in zip(columns, types, strict=True))], [*keep, *(n for n, _ in kinds)])
 
-    return media.select(*keep, F.col("media").alias("__media")).mapInArrow(run, schema)
+    return media.select(*keep, F.col("media").alias(body)).mapInArrow(run, schema)

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U, Tokens, bound_batches, bounded_sample, gram_hashes, mix, span_hashes, text_chunks
+from .common import U, Tokens, bound_batches, bounded_sample, fresh, gram_hashes, mix, span_hashes, text_chunks
 from .linear import Ftrl, compact, fit, score
 
 BITS = 20
@@ -162,6 +163,7 @@ def votes(docs: DataFrame, induced: np.ndarray, keep: list[str]) -> DataFrame:
     """The kept columns and the mask of voters that fire on each whole text."""
     spark = docs.sparkSession
     bound_batches(spark)
+    (body,) = fresh([*keep, "mask"], "__text")
     owner = np.full(1 << BITS, -1, np.int8)
     owner[induced] = INDUCED
     for k, group in enumerate(SEEDS):
@@ -171,7 +173,7 @@ def votes(docs: DataFrame, induced: np.ndarray, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table.value
         for batch in batches:
-            for part, buf, offsets in text_chunks(batch, "__text"):
+            for part, buf, offsets in text_chunks(batch, body):
                 mask = np.zeros(len(offsets) - 1, np.int64)
                 patterns(buf, offsets, mask)
                 for kind, (doc, index) in enumerate(_kinds(Tokens(lowered(buf), offsets, "alnum"))):
@@ -183,8 +185,8 @@ def votes(docs: DataFrame, induced: np.ndarray, keep: list[str]) -> DataFrame:
                     _fires(mask, REPEATED, said[times > 1] >> BITS)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(mask)], [*keep, "mask"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, mask long")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("mask", T.LongType())])
+    return docs.select(*keep, F.col("text").alias(body)).mapInArrow(run, schema)
 
 
 class LabelModel:

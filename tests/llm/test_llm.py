@@ -209,6 +209,15 @@ def test_toxicity_held_out(spark):
     assert auc > 0.97 and accuracy > 0.97 and recall > 0.8
 
 
+def test_internal_names(spark):
+    """Kept columns may have the names that operators use inside."""
+    rows = table(spark, [(1, "a b"), (2, None)]).withColumns({"__text": F.lit("x"), "__content": F.lit("y")})
+    keep = ["doc_id", "__text", "__content"]
+    weights = np.zeros((1 << quality.BITS) + 1, np.float32)
+    for made in (quality.classify(rows, weights, keep), toxicity.votes(rows, np.zeros(0, np.int64), keep), tiff.text_media(rows, keep), tiff.media_features(tiff.text_media(rows, keep), keep), packing.pack(rows, queries.tokenizer_path(), keep), pii.find(rows, keep)):
+        assert sorted((r.doc_id, r["__text"], r["__content"]) for r in made.collect()) == [(1, "x", "y"), (2, "x", "y")]
+
+
 def test_classifier_edges(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     edge = clashing(table(spark, EDGE))
@@ -412,8 +421,8 @@ def test_packing(spark, docs, sf):
             assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(ids)
-    edge = clashing(table(spark, EDGE)).withColumnsRenamed({"piece": "other_piece", "length": "other_length"})
-    rows = packing.pack(edge, queries.tokenizer_path(), ["doc_id", "lang"], 16).collect()
+    edge = clashing(table(spark, EDGE)).withColumn("__part", F.lit("own"))
+    rows = packing.pack(edge, queries.tokenizer_path(), ["doc_id", "lang", "__part"], 16).collect()
     packed_whole(rows, 16)
     assert [r.ids for r in rows if r.doc_id == 1] == [[0]] and len({(r.doc_id, r.piece) for r in rows}) == len(rows) - 1
     assert packing.pack(edge.limit(0), queries.tokenizer_path(), ["doc_id"]).count() == 0
@@ -568,8 +577,6 @@ def test_probability_minhash():
         sig = near_dup.sketch(2, doc, ha, wa)
         one, two = dict(zip(ha[:300], wa[:300], strict=True)), dict(zip(ha[300:], wa[300:], strict=True))
         exact = sum(1 / sum(max(one.get(k, 0) / one[x], two.get(k, 0) / two[x]) for k in {*one, *two}) for x in one if x in two)
-        i, j = np.argsort(ha[:300]), np.argsort(ha[300:])
-        assert near_dup.similarity((ha[:300][i], wa[:300][i]), (ha[300:][j], wa[300:][j])) == pytest.approx(exact)
         off.append((sig[0] == sig[1]).mean() - exact)
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.06
 
