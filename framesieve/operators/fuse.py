@@ -122,8 +122,10 @@ def fit_pairwise(features: list[list[float]], relevance: list[float], lr: float
         raise ValueError("no row is more relevant than another")
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, 0.01, x.shape[1])
+    order = list(range(len(better)))
     for _ in range(epochs):
-        for k in rng.permutation(len(better)):
+        rng.shuffle(order)
+        for k in order:
             d = x[better[k]] - x[worse[k]]
             w += lr * (d / (1 + np.exp(np.clip(w @ d, -40, 40))) - l2 * w)
     return w.tolist(), mean.tolist(), std.tolist()
