@@ -34,12 +34,13 @@ from .common import bound_batches, fresh, materialize
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a Python worker remembers (some 200 MB), and the longest ones.
-REMEMBERED, LONGEST = 1 << 20, 48
+#: Words whose ids a Python worker remembers, and as many that it met before these (some 200 MB in all); the longest ones.
+REMEMBERED, LONGEST = 1 << 19, 48
 #: A space or a line's end between two visible characters: the splitting pattern always begins a token there.
 GAP = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 #: What may stand beside a space or a line's end so that splitting at every one isn't enough.
 WHITE = ("\n ", " \n", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+WHITE_ASCII = tuple(c for c in WHITE if c.isascii())
 #: Words of Latin letters and ASCII marks after them: pre-tokenisation makes these two tokens ("'" is another
 #: matter), and a line's end before them one more.
 LATIN = re.compile("(\n)?([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]+)?")
@@ -82,6 +83,7 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     latin.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     rewritten = [(chr(b), letters[b]) for b in range(0x80, 0x100) if chr(b) != letters[b]] + [("\1", letters[0x20]), ("\2", letters[0x0A])]
     known: dict[str, bytes] = {"": b""}
+    before: dict[str, bytes] = {}
 
     def together(words: list[str], coder, text: str) -> None:
         ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -108,33 +110,38 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
         known.update(zip(spaced, whole([w if w[0] == "\n" else " " + w for w in spaced]), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        heads, out, gaps, new = [], [], [], set()
+        heads, out, new = [], [], set()
         for text in texts:
             words = text.replace("\n", " \n").split(" ")
-            if "" in words or text.endswith("\n") or any(c in text for c in WHITE):
+            if "" in words or text.endswith("\n") or any(c in text for c in (WHITE_ASCII if text.isascii() else WHITE)):
                 words = GAP.split(text)
             heads.append(words[0])
             words[0] = ""
             found = list(map(known.get, words))
-            at = -1
+            at, gaps = -1, []
             for _ in range(found.count(None)):
                 at = found.index(None, at + 1)
-                gaps.append((found, at, words[at]))
-                new.add(words[at])
-            out.append(found)
+                word = words[at]
+                if word in before:
+                    found[at] = known[word] = before[word]
+                else:
+                    gaps.append(at)
+                    new.add(word)
+            out.append((found, words, gaps))
         learn(new)
-        for found, at, word in gaps:
-            found[at] = known[word]
-        for found, head in zip(out, whole(heads), strict=True):
+        for (found, words, gaps), head in zip(out, whole(heads), strict=True):
             found[0] = head
+            for at in gaps:
+                found[at] = known[words[at]]
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
         if len(known) > REMEMBERED:
+            before.clear()
+            before.update(known)
             known.clear()
             known[""] = b""
-        else:
-            for w in new:
-                if len(w) > LONGEST:
-                    del known[w]
-        return [b"".join(found) for found in out]
+        return [b"".join(found) for found, _, _ in out]
 
     return encode
 
