@@ -71,20 +71,22 @@ def _hits(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
 
 
 def _hits2(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
-    frames = _frames(spark, sf).withColumn("embedding", F.slice("embedding", 1, 32))
-    asked = _asked(spark, sf).withColumn("vector", F.slice("vector", 1, 32))
+    """The second channel's vectors: every number times its size."""
+    other = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x * F.abs(x))
+    frames = _frames(spark, sf).withColumn("embedding", other("embedding"))
+    asked = _asked(spark, sf).withColumn("vector", other("vector"))
     return search.search_batch(frames, asked, k).join(frames.drop("embedding"), "row_id")
 
 
 _FRAMES = """frames AS (
   SELECT vec_id AS row_id, 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS keyframe_idx,
          30 * row_number() OVER (PARTITION BY label ORDER BY vec_id) AS original_frame_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE) AS pts_time,
-         CAST(embedding AS DOUBLE[]) AS v, list_slice(CAST(embedding AS DOUBLE[]), 1, 32) AS v2 FROM embeddings
+         CAST(embedding AS DOUBLE[]) AS v, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * abs(x)) AS v2 FROM embeddings
 )"""
 
 
 def _sql_hits(name: str, vector: str, k: int = 200, where: str = "vec_id % 100 = 0") -> str:
-    cut = f"list_slice(CAST(embedding AS DOUBLE[]), 1, {32 if vector == 'v2' else 64})"
+    cut = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * abs(x))" if vector == "v2" else "CAST(embedding AS DOUBLE[])"
     return f"""{name} AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM (
     SELECT q.query_id, f.row_id, f.video_id, f.keyframe_idx, f.original_frame_id, f.pts_time,
