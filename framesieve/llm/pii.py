@@ -138,11 +138,6 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, end>> of the base entities by start, then kind; kind: place in KINDS."""
-    return F.transform(entities(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-
-
 def _shape(found: Column) -> Column:
     """Letters as a, digits as 0, each run once; other characters as they are."""
     return F.regexp_replace(F.regexp_replace(found, r"\p{L}+", "a"), "[0-9]+", "0")

@@ -24,7 +24,6 @@ columns are kept only on request; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
