@@ -142,6 +142,12 @@ def test_text(spark):
 
 
 def test_scores(spark):
+    slope = spark.range(1).select(S.logistic_gradient(F.lit(0.0)), S.logistic_gradient(F.lit(-99.0)), S.logistic_gradient(F.lit(2.0))).first()
+    assert tuple(slope) == pytest.approx((0.5, 1 / (1 + np.exp(-40)), 1 / (1 + np.exp(2))))
+    names = spark.createDataFrame([("f12",), ("7",)], "n string").select(manifest.trailing_number(F.col("n"))).collect()
+    assert [r[0] for r in names] == [12, 7]
+    with pytest.raises(Exception, match="no trailing number"):
+        spark.range(1).select(manifest.trailing_number(F.lit("x"))).collect()
     iv = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in ((95, 105), (145, 155), (195, 205), (245, 255))))
     fr = F.array(*(F.lit(x) for x in (101, 156, 203, 251)))
     row = spark.range(1).select(
