@@ -18,7 +18,8 @@ def fuse_channels(first: DataFrame, second: DataFrame, weight: float = 0.35, key
         raise ValueError("weight must be in [0, 1]")
     shared = [c for c in first.columns if c in second.columns and c not in (key, "video_id")]
     two = second.withColumnsRenamed({c: f"{c}_2" for c in shared})
-    joined = first.join(two, [key, "video_id"], "full").withColumns({c: F.coalesce(c, f"{c}_2") for c in shared}).drop(*(f"{c}_2" for c in shared))
+    other = lambda c: F.lit(0) if c == "best_frame_idx" else F.col(f"{c}_2")  # noqa: E731  a keyframe's number is the first channel's, or 0
+    joined = first.join(two, [key, "video_id"], "full").withColumns({c: F.coalesce(F.col(c), other(c)) for c in shared}).drop(*(f"{c}_2" for c in shared))
     joined = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in joined.columns if c.endswith(("_score", "_topk_mean", "_score_std"))})
     w = W.partitionBy(key)
     return joined.withColumn("clip_score", F.col("retrieval_score")).withColumn("retrieval_score", (1 - weight) * minmax(F.col("retrieval_score"), w) + weight * minmax(F.col("channel2_score"), w))

@@ -37,7 +37,7 @@ def audit(spark: SparkSession, config: dict) -> tuple[dict, DataFrame]:
     """The summary of a dataset, of what config's keyframes_dir, clip_dir, mapping_dir, media_info_dir and objects_dir
     hold, and its manifest; audit.max_manifest_rows caps the images that the manifest takes, by path."""
     images = files.image_inventory(spark, config["keyframes_dir"])
-    headers = python_sources.feature_headers(files.contents(spark, config["clip_dir"], FEATURES)).cache()
+    headers = python_sources.feature_headers(files.inventory(spark, config["clip_dir"], FEATURES)).cache()
     mapped = files.contents(spark, config["mapping_dir"], (".csv",))
     none = spark.createDataFrame([], "path string, length long, content binary")
     objects = files.contents(spark, config["objects_dir"], (".json",)) if config.get("objects_dir") else none
@@ -60,6 +60,8 @@ def audit(spark: SparkSession, config: dict) -> tuple[dict, DataFrame]:
             "n_errors": named.count(), "errors": [f"{r['video_id']}: {r['error']}" for r in named.limit(1000).collect()],
         },
     }
+    headers.unpersist()
+    named.unpersist()
     if not used["n"]:
         summary["integrity"] |= {"n_errors": 1, "errors": ["no keyframes found"]}
     return summary, manifest

@@ -160,12 +160,12 @@ def channel2_agg(spark, sf):
 
 
 @query(f"""WITH {_FRAMES}, {_sql_hits('hits', 'v', 20)}, {_sql_videos('videos', 'hits', 5, 'retrieval')}, {_sql_hits('hits2', 'v2', 20)}, {_sql_videos('videos2', 'hits2', 3, 'channel2')},
-both_ AS (SELECT query_id, video_id, coalesce(a.retrieval_score, 0) AS x, coalesce(b.channel2_score, 0) AS y, coalesce(a.best_frame_id, b.best_frame_id) AS best_frame_id FROM videos a FULL JOIN videos2 b USING (query_id, video_id))
-SELECT query_id, video_id, best_frame_id, round(x, 6) AS clip_score, round(0.65 * ({_sql_minmax('x')}) + 0.35 * ({_sql_minmax('y')}), 6) AS retrieval_score FROM both_""")
+both_ AS (SELECT query_id, video_id, coalesce(a.retrieval_score, 0) AS x, coalesce(b.channel2_score, 0) AS y, coalesce(a.best_frame_id, b.best_frame_id) AS best_frame_id, coalesce(a.best_frame_idx, 0) AS best_frame_idx FROM videos a FULL JOIN videos2 b USING (query_id, video_id))
+SELECT query_id, video_id, best_frame_id, best_frame_idx, round(x, 6) AS clip_score, round(0.65 * ({_sql_minmax('x')}) + 0.35 * ({_sql_minmax('y')}), 6) AS retrieval_score FROM both_""")
 def channel_fusion_outer(spark, sf):
     one = search.video_evidence(_hits(spark, sf, 20), 5, ("query_id",))
     two = search.video_evidence(_hits2(spark, sf, 20), 3, ("query_id",), "channel2")
-    return fuse.fuse_channels(one, two).select("query_id", "video_id", "best_frame_id", F.round("clip_score", 6).alias("clip_score"), F.round("retrieval_score", 6).alias("retrieval_score"))
+    return fuse.fuse_channels(one, two).select("query_id", "video_id", "best_frame_id", "best_frame_idx", F.round("clip_score", 6).alias("clip_score"), F.round("retrieval_score", 6).alias("retrieval_score"))
 
 
 @query("""WITH q AS (SELECT list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: 0.2 * p[1] + 0.8 * p[2]) AS v FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id = 8)

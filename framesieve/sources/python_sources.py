@@ -13,11 +13,12 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import closing
-from io import BytesIO
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
@@ -33,29 +34,56 @@ def npy_header(data: bytes) -> tuple[tuple[int, ...], str, bool, int]:
     return tuple(head["shape"]), head["descr"], head["fortran_order"], at + size
 
 
+def opened(path: str):
+    """A file, by path or URI, for reading anywhere in it: in any file system that pyarrow knows."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        path = unquote("/" + rest.lstrip("/"))
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(path)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def listed(path: str, ending: str) -> list[str]:
+    """The files of a folder, by path or URI, that end so; a path that isn't a folder is a file or a glob."""
+    if "://" in path:
+        system, inner = fs.FileSystem.from_uri(path)
+        found = system.get_file_info(fs.FileSelector(inner)) if system.get_file_info(inner).type == fs.FileType.Directory else [system.get_file_info(inner)]
+        return sorted(path.split("://")[0] + "://" + f.path for f in found if f.path.lower().endswith(ending))
+    if os.path.isfile(path):
+        return [path]
+    return sorted(glob.glob(os.path.join(path, f"*{ending}") if os.path.isdir(path) else path))
+
+
 def feature_headers(files: DataFrame) -> DataFrame:
-    """(path, suffix, member, shape, dtype, ndim, error) of NPY and NPZ files (path, content): one row per array; member:
-    its name in an NPZ.  Only headers are parsed; a file that can't be read is a row with an error."""
+    """(path, suffix, member, shape, dtype, ndim, error) of NPY and NPZ files (path): one row per array; member: its
+    name in an NPZ.  Only headers are read; a file that can't be read is a row with an error."""
+
+    def heads(path: str, kind: str) -> Iterator[tuple[str | None, bytes]]:
+        with opened(path) as f:
+            if kind != ".npz":
+                yield None, f.read(HEAD)
+                return
+            with zipfile.ZipFile(f) as z:
+                for name in z.namelist():
+                    with z.open(name) as member:
+                        yield name.removesuffix(".npy"), member.read(HEAD)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path in pdf["path"]:
                 kind = posixpath.splitext(path)[1].lower()
                 try:
-                    if kind == ".npz":
-                        with zipfile.ZipFile(BytesIO(content)) as z:
-                            heads = [(n.removesuffix(".npy"), z.open(n).read(1 << 16)) for n in z.namelist()]
-                    else:
-                        heads = [(None, bytes(content[: 1 << 16]))]
-                    for member, head in heads:
+                    for member, head in heads(path, kind):
                         shape, dtype, _, _ = npy_header(head)
                         rows.append((path, kind, member, list(shape), str(np.dtype(dtype)), len(shape), None))
                 except Exception as e:  # whatever is wrong with a file belongs to its row
                     rows.append((path, kind, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "suffix", "member", "shape", "dtype", "ndim", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, suffix string, member string, shape array<long>, dtype string, ndim int, error string")
+    return files.select("path").mapInPandas(run, "path string, suffix string, member string, shape array<long>, dtype string, ndim int, error string")
 
 
 class _Rows(InputPartition):
@@ -63,13 +91,13 @@ class _Rows(InputPartition):
         self.path, self.low, self.high = path, low, high
 
 
-#: Rows that one partition of a matrix or a table has.
-PART_ROWS = 65_536
+#: Rows that one partition of a matrix or a table has, rows of one batch, and bytes that hold a header.
+PART_ROWS, BATCH_ROWS, HEAD = 65_536, 4096, 1 << 16
 
 
 class NpySource(DataSource):
-    """(video_id, pos, embedding) of NPY matrices in a folder that all executors mount; options path (a file, folder or
-    glob), dim (default 512).  A large matrix is read in parts, in Arrow batches."""
+    """(video_id, pos, embedding) of NPY matrices; options path (a file, folder or URI of one, or a local glob), dim
+    (default 512).  A large matrix is read in parts, in Arrow batches."""
 
     @classmethod
     def name(cls) -> str:
@@ -87,12 +115,11 @@ class _NpyReader(DataSourceReader):
         self.path, self.dim = options["path"], int(options.get("dim", "512"))
 
     def partitions(self):
-        found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, "*.npy") if os.path.isdir(self.path) else self.path))
         out = []
-        for p in found:
-            with open(p, "rb") as f:
+        for p in listed(self.path, ".npy"):
+            with opened(p) as f:
                 try:
-                    shape = npy_header(f.read(1 << 16))[0]
+                    shape = npy_header(f.read(HEAD))[0]
                 except ValueError as e:
                     raise ValueError(f"{p}: {e}") from e
             if len(shape) != 2 or shape[1] != self.dim:
@@ -103,13 +130,25 @@ class _NpyReader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        matrix = np.load(partition.path, mmap_mode="r", allow_pickle=False)
-        video = os.path.splitext(os.path.basename(partition.path))[0]
-        for low in range(partition.low, partition.high, 4096):
-            part = np.ascontiguousarray(matrix[low : min(low + 4096, partition.high)], np.float32)
-            ends = pa.array(np.arange(0, part.size + 1, self.dim, dtype=np.int32))
-            vectors = pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array([video] * len(part)), pa.array(np.arange(low, low + len(part))), vectors], ["video_id", "pos", "embedding"])
+        video = posixpath.splitext(posixpath.basename(partition.path))[0]
+        with opened(partition.path) as f:
+            shape, kind, by_column, start = npy_header(f.read(HEAD))
+            dtype = np.dtype(kind)
+            if dtype.hasobject:
+                raise ValueError(f"{partition.path}: objects aren't read")
+            f.seek(start)
+            whole = np.frombuffer(f.read(), dtype).reshape(shape, order="F") if by_column else None
+            for low in range(partition.low, partition.high, BATCH_ROWS):
+                high = min(low + BATCH_ROWS, partition.high)
+                if whole is None:
+                    f.seek(start + low * self.dim * dtype.itemsize)
+                    part = np.frombuffer(f.read((high - low) * self.dim * dtype.itemsize), dtype)
+                else:
+                    part = whole[low:high]
+                part = np.ascontiguousarray(part, np.float32).reshape(-1)
+                ends = pa.array(np.arange(0, part.size + 1, self.dim, dtype=np.int32))
+                vectors = pa.ListArray.from_arrays(ends, pa.array(part))
+                yield pa.RecordBatch.from_arrays([pa.array([video] * (high - low)), pa.array(np.arange(low, high)), vectors], ["video_id", "pos", "embedding"])
 
 
 class NpySink(DataSource):
@@ -160,7 +199,7 @@ class _NpyWriter(DataSourceWriter):
                 os.remove(m.path)
 
 
-def _opened(path: str):
+def _database(path: str):
     return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
 
 
@@ -171,7 +210,7 @@ def _quoted(name: str) -> str:
 def sqlite_roles(path: str) -> list[dict]:
     """Tables of a database, opened read-only, with their columns, counts and the columns' roles."""
     out = []
-    with _opened(path) as db:
+    with _database(path) as db:
         for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY rowid").fetchall():
             columns = [r[1] for r in db.execute(f"PRAGMA table_info({_quoted(table)})")]
             (n,) = db.execute(f"SELECT count(*) FROM {_quoted(table)}").fetchone()
@@ -229,7 +268,7 @@ class _SqliteReader(DataSourceReader):
     def partitions(self):
         table, out = self._table(), []
         if table:
-            with _opened(self.path) as db:
+            with _database(self.path) as db:
                 try:
                     low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table['table'])}").fetchone()
                     out = [_Rows(self.path, a, min(a + PART_ROWS - 1, high)) for a in range(low, high + 1, PART_ROWS)] if low is not None else []
@@ -251,7 +290,7 @@ class _SqliteReader(DataSourceReader):
             where.append(f"CAST({video} AS TEXT) IN ({', '.join('?' * len(self.videos))})")
             values += self.videos
         sql = f"SELECT {video}, {frame}, {_quoted(roles['text'])} FROM {_quoted(table['table'])}" + (f" WHERE {' AND '.join(where)}" if where else "")
-        with _opened(self.path) as db:
+        with _database(self.path) as db:
             for v, f, text in db.execute(sql, values):
                 try:
                     number = int(f) if f is not None else None

@@ -317,6 +317,16 @@ def test_audit_and_matrix(spark, tmp_path, capsys):
         (tmp_path / d).mkdir(parents=True)
     np.save(tmp_path / "clip/V1.npy", np.arange(6, dtype=np.float16).reshape(3, 2) + 1)
     np.save(tmp_path / "clip/V2.npy", np.ones((1, 2), np.float32))
+    np.save(tmp_path / "clip/by_column.npy", np.asfortranarray(np.arange(10.0).reshape(5, 2)))
+    python_sources.register(spark)
+    old, python_sources.PART_ROWS, python_sources.BATCH_ROWS = (python_sources.PART_ROWS, python_sources.BATCH_ROWS), 2, 1
+    try:
+        for at in (str(tmp_path / "clip/by_column.npy"), f"file://{tmp_path}/clip/by_column.npy"):
+            rows = spark.read.format("npy").option("dim", 2).load(at).orderBy("pos").collect()
+            assert [(r.video_id, r.pos, list(r.embedding)) for r in rows] == [("by_column", i, [2.0 * i, 2.0 * i + 1]) for i in range(5)]
+    finally:
+        python_sources.PART_ROWS, python_sources.BATCH_ROWS = old
+    (tmp_path / "clip/by_column.npy").unlink()
     np.savez(tmp_path / "clip/more.npz", a=np.ones((2, 3)), b=np.arange(4))
     (tmp_path / "clip/bad.npy").write_bytes(b"nothing")
     (tmp_path / "map/V1.csv").write_text(" N ,PTS_Time,fps,frame_idx\n1,0.0,30,0\n2,1.0,30,45\n3,0.5,30,x\n")
