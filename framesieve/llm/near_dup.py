@@ -251,8 +251,9 @@ def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshol
     two = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("content", "label", "place", "total")))
     follow = 1 + F.least(F.col("total_a") - F.col("place_a"), F.col("total_b") - F.col("place_b"))
     enough = follow >= threshold / (1 + threshold) * (F.col("total_a") + F.col("total_b")) - 1e-6
+    fits = F.least("total_a", "total_b") >= F.lit(threshold) * F.greatest("total_a", "total_b") - 1e-6
     once = (F.col("label_b") == F.col("main_a")) | (F.col("content_a") < F.col("content_b"))
-    more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & enough)
+    more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & fits & enough)
     more = more.select(F.least("content_a", "content_b").alias("a"), F.greatest("content_a", "content_b").alias("b")).distinct()
     made = _joined(labels, materialize(_verified(more, sets, threshold)))
     discard(mains, open_)
