@@ -146,8 +146,29 @@ FROM texts LEFT JOIN kept USING (row_id)
 """
 
 
+#: All pairs; what banding may miss of them is below one in ten thousand at the threshold itself.
+_OP9_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM texts x, (SELECT min(doc_id) AS doc_id FROM texts WHERE len(words) = 0) y WHERE len(x.words) = 0
+  UNION ALL SELECT y.doc_id, x.doc_id FROM texts x, (SELECT min(doc_id) AS doc_id FROM texts WHERE len(words) = 0) y WHERE len(x.words) = 0
+), reached(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    made = {"op1_url_filter": _OP1_SQL, "op3_perspective_rotation": _OP3_SQL, "op5_substring_dedup": _OP5_SQL}
+    made = {"op1_url_filter": _OP1_SQL, "op3_perspective_rotation": _OP3_SQL, "op5_substring_dedup": _OP5_SQL, "op9_near_dup": _OP9_SQL}
     return made | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

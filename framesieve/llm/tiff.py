@@ -2,8 +2,8 @@
 
 Decodes both byte orders, 8- and 16-bit unsigned samples, chunky and planar layouts, compressions none,
 LZW, deflate and PackBits, predictors none and horizontal differencing.  A damaged or unsupported file
-gives one row (or, past readable pages, one more row) with an error and null samples; it never fails the
-job.  A directory that was visited already ends the walk, so loops of directories end.
+gives one row (or, past readable pages, one more row) with an error and null samples, and so does a page of over
+MAX_SAMPLES samples; it never fails the job.  A directory that was visited already ends the walk, so loops of directories end.
 """
 
 from __future__ import annotations
