@@ -122,7 +122,7 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False,
 
 
 #: Bytes and rows of an Arrow batch: whatever texts are long, a Python worker holds a batch of them easily.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ from .common import bound_batches, fresh, materialize
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a Python worker remembers, and as many that it met before these (some 200 MB in all); the longest ones.
+#: Words whose ids a task remembers, and as many that it met before these (some 200 MB in all); the longest ones.
 REMEMBERED, LONGEST = 1 << 19, 48
 #: A space or a line's end between two visible characters: the splitting pattern always begins a token there.
 GAP = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
@@ -54,8 +54,9 @@ def byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids without special tokens, as little-endian unsigned 32-bit integers.
+def tokenizer(path: str) -> tuple[Callable[[list[str]], list[bytes]], Callable[[], None]]:
+    """A function from texts to their ids without special tokens, as little-endian unsigned 32-bit integers, and one
+    that forgets the words that the first has met: a worker outlives its task.
 
     A text's ids are those of its words, one after the other, where a word begins at every single space or line's end
     between visible characters: byte-level pre-tokenisation begins a token at each of these, an added token
@@ -73,13 +74,13 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     added, split = coder.get_added_tokens_decoder().values(), coder.pre_tokenizer
     plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and coder.normalizer is None
     if not plain or coder.post_processor is not None or any({*" \n"} & {*t.content} or t.lstrip or t.rstrip or t.single_word for t in added):
-        return whole
+        return whole, lambda: None
     letters = byte_letters()
     vocabulary = coder.get_vocab()
     begins = np.zeros(max(vocabulary.values()) + 1, bool)
     begins[[i for word, i in vocabulary.items() if word.startswith(letters[0x20]) or word == letters[0x0A]]] = True
     # the same merges for words that are written in byte letters already
-    latin = Tokenizer.from_file(path)
+    latin = Tokenizer(coder.model)
     latin.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     rewritten = [(chr(b), letters[b]) for b in range(0x80, 0x100) if chr(b) != letters[b]] + [("\1", letters[0x20]), ("\2", letters[0x0A])]
     known: dict[str, bytes] = {"": b""}
@@ -143,7 +144,12 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
             known[""] = b""
         return [b"".join(found) for found, _, _ in out]
 
-    return encode
+    def forget() -> None:
+        before.clear()
+        known.clear()
+        known[""] = b""
+
+    return encode, forget
 
 
 def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -156,21 +162,24 @@ def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, k) for n, k, _ in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
-        for batch in batches:
-            rows, cells = [], []
-            texts = [x or "" for x in batch.column(body).to_pylist()]
-            for row, ids in enumerate(encode(texts)):
-                array = np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
-                at, to, k = 0, len(array) % capacity or min(len(array), capacity), 0
-                while at < len(array):
-                    part = array[at:to]
-                    cells.append((k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32)))
-                    rows.append(row)
-                    at, to, k = to, to + capacity, k + 1
-            columns = list(zip(*cells, strict=True)) if cells else [()] * 5
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in range(len(keep))), *(pa.array(v, k) for v, (_, _, k) in zip(columns, extra, strict=False))], [*keep, *(n for n, _, _ in extra)])
+        encode, forget = tokenizer(path)
+        try:
+            for batch in batches:
+                rows, cells = [], []
+                texts = [x or "" for x in batch.column(body).to_pylist()]
+                for row, ids in enumerate(encode(texts)):
+                    array = np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
+                    at, to, k = 0, len(array) % capacity or min(len(array), capacity), 0
+                    while at < len(array):
+                        part = array[at:to]
+                        cells.append((k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
+                        rows.append(row)
+                        at, to, k = to, to + capacity, k + 1
+                columns = list(zip(*cells, strict=True)) if cells else [()] * 5
+                taken = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in range(len(keep))), *(pa.array(v, k) for v, (_, _, k) in zip(columns, extra, strict=False))], [*keep, *(n for n, _, _ in extra)])
+        finally:
+            forget()
 
     return docs.select(*keep, F.col("text").alias(body)).mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -432,7 +433,8 @@ def test_ids_of_plain_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    coder, encode = Tokenizer.from_file(path), packing.tokenizer(path)
+    coder, (encode, forget) = Tokenizer.from_file(path), packing.tokenizer(path)
+    forget()
     rng = random.Random(5)
     parts = ["ab", "7", "'s", "!", "\u3000", "\x1c", "\u180e", "\x85", "é", "文", "<|endoftext|>", " ", " ", " ", "\n", "\n" * 999, "\r\n" * 1250, " " * 1000, "\t" * 1001]
     texts = ["", " ", " " * 300_000 + "x", "\n" * 300_000, "a" * 100_000, "a " * 50_000, "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "don't 's 'll x"]
@@ -470,6 +472,49 @@ def test_tiff_round_trip(how):
         assert (found[0].data[:, :, 0] == pages[0]).all() and (found[1].data == pages[1]).all()
 
 
+def test_tiff_known_bytes():
+    """Vectors written by hand: the well-known PackBits sample, the LZW sample of codes 256 7 258 8 8 258 6 6 257, and a
+    big-endian file with one page of 2 by 3 samples in two strips, horizontally differenced."""
+    assert tiff.packbits_decode(bytes.fromhex("feaa0280002afdaa0380002a22f7aa"), 24) == bytes.fromhex("aaaaaa80002aaaaaaaaa80002a22" + "aa" * 10)
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    packed = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff.lzw_decode(packed, 9) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))
+    tag = lambda number, kind, *values: struct.pack(">HHI", number, kind, len(values)) + (struct.pack(f">{len(values)}{'H' if kind == 3 else 'I'}", *values) + b"\0" * 4)[:4]
+    strips = bytes((10, 1, 255)) + bytes((200, 100, 0))  # rows 10 11 10 and 200 44 44
+    entries = [tag(256, 3, 3), tag(257, 3, 2), tag(258, 3, 8), tag(259, 3, 1), tag(262, 3, 1), tag(277, 3, 1), tag(278, 3, 1), tag(279, 3, 3, 3), tag(317, 3, 2)]
+    offsets = 8 + 2 + 12 * 10 + 4
+    entries.insert(5, struct.pack(">HHII", 273, 4, 2, offsets))
+    data = b"MM\0*" + struct.pack(">I", 8) + struct.pack(">H", 10) + b"".join(entries) + struct.pack(">I", 0) + struct.pack(">II", offsets + 8, offsets + 11) + strips
+    (page,) = tiff.decode(data)
+    assert page.error is None and page.data[:, :, 0].tolist() == [[10, 11, 10], [200, 44, 44]]
+
+
+def lzw_codes(data):
+    """The format's own account of its codes, one step at a time, as bits."""
+    table, out, width, prefix = {bytes((i,)): i for i in range(256)}, f"{256:09b}", 9, b""
+    for byte in data:
+        if prefix + bytes((byte,)) in table:
+            prefix += bytes((byte,))
+            continue
+        out += f"{table[prefix]:0{width}b}"
+        table[prefix + bytes((byte,))] = len(table) + 2
+        width = {512: 10, 1024: 11, 2048: 12}.get(len(table) + 2, width)  # entry 511, 1023 or 2047 was just added
+        if len(table) + 2 == 4095:
+            out += f"{256:012b}"
+            table, width = {bytes((i,)): i for i in range(256)}, 9
+        prefix = bytes((byte,))
+    out += f"{table[prefix]:0{width}b}"
+    width = {511: 10, 1023: 11, 2047: 12}.get(len(table) + 2, width)
+    return out + f"{257:0{width}b}"
+
+
+def test_lzw_against_its_account():
+    for seed, n in ((0, 3), (1, 900), (2, 20_000)):
+        data = np.random.default_rng(seed).integers(0, 6, n, np.uint8).tobytes()
+        bits = lzw_codes(data)
+        assert tiff.lzw_decode(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big"), n) == data
+
+
 def test_tiff_damage(spark):
     good = tiff.encode([np.zeros((4, 4), np.uint8)], tiff.LZW)
     rng = random.Random(0)
