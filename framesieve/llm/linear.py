@@ -61,7 +61,7 @@ def fit(sample: DataFrame, extract: Extract, bits: int, params: Ftrl, presence:
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "target"], kind="stable")
-        rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), t) for i, v, t in zip(pdf["index"], pdf["value"], pdf["target"], strict=True)]
+        rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4"), t) for i, v, t in zip(pdf["index"], pdf["value"], pdf["target"], strict=True)]
         weights = ftrl(rows, (1 << bits) + 1, params)
         return pd.DataFrame({"weights": [weights.astype("<f4").tobytes()]})
 
