@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,8 +445,9 @@ def test_ids_of_plain_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 40)
     for _ in range(2):  # words once new, and then known or forgotten again
         for size in (1, 7, len(texts)):
-            made = [x for i in range(0, len(texts), size) for x in encode(texts[i : i + size])]
-            assert [np.frombuffer(x, "<u4").tolist() for x in made] == wanted
+            made = [x for i in range(0, len(texts), size) for x in encode(pa.array(texts[i : i + size]))]
+            assert [x.tolist() for x in made] == wanted
+    assert encode(pa.array([], pa.string())) == [] and [x.tolist() for x in encode(pa.array([None, "a"]))] == [[], [64]]
 
 
 def test_fullest_against_brute_force():
