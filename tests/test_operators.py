@@ -375,7 +375,8 @@ def test_unified_benchmark(spark, frames, tmp_path, capsys):
     index = ["--index", str(tmp_path / "i.parquet"), "--metadata", str(tmp_path / "i.json")]
     assert cli.main(["build-index", *args, "--output-index", index[1], "--metadata-output", index[3]], spark) == 0
     assert cli.main(["retrieve", "--query", "xe", "--output", str(tmp_path / "i"), *index, *args], spark) == 0
-    (tmp_path / "i.json").write_text('{"rows": 4, "dimension": 2, "metric": "inner_product"}')
+    index[3] = str(tmp_path / "other.json")
+    (tmp_path / "other.json").write_text('{"rows": 4, "dimension": 2, "metric": "inner_product"}')
     with pytest.raises(ValueError, match="rows"):
         cli.main(["retrieve", "--query", "xe", "--output", str(tmp_path / "i"), *index, *args], spark)
     scorer = lambda queries: spark.createDataFrame([("V1", 0, 0, 0.1), ("V1", 1, 1, 0.9)], "video_id string, pos long, frame_id long, score double")
