@@ -16,158 +16,22 @@ the name of one that is made.
 
 from __future__ import annotations
 
-import itertools
 import math
-import os
-import re
 import zlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import bound_batches, fresh, materialize
+from .words import tokenizer
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a task remembers, and as many that it met before these (some 200 MB in all); the longest ones.
-REMEMBERED, LONGEST = 1 << 19, 48
-#: A space or a line's end between two visible characters: the splitting pattern always begins a token there.
-GAP = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-#: Texts with other white space, or with a space or a line's end beside another or at an end (for RE2).
-ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
-#: Words of Latin letters and ASCII marks after them: pre-tokenisation makes these two tokens ("'" is another
-#: matter), and a line's end before them one more (for RE2).
-LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
-LATIN = rf"^\n?[{LETTERS}]+[{MARKS}]*$"
-
-
-def byte_letters() -> list[str]:
-    """How byte-level vocabularies write the 256 bytes: the visible Latin-1 characters as they are, the others
-    from U+0100 on in their order."""
-    shown = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 for b in range(256)]
-    return [chr(b if shown[b] else 256 + b - sum(shown[:b])) for b in range(256)]
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> tuple[Callable[[pa.Array], list[np.ndarray]], Callable[[], None]]:
-    """A function from texts to the arrays of their ids without special tokens, and one that forgets the words that the
-    first has met: a worker outlives its task.
-
-    A text's ids are those of its words, one after the other, where a word begins at every single space or line's end
-    between visible characters: byte-level pre-tokenisation begins a token at each of these, an added token
-    holds neither, and merges stay within a token.  The different words of a batch are looked up; those not met
-    before are encoded together, each with its space or line's end, and told apart by the ids that begin with one.
-    Files whose tokens could cross a space are encoded in whole texts.
-    """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    coder = Tokenizer.from_file(path)
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def plainly(texts: pa.Array) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in whole([t or "" for t in texts.to_pylist()])]
-
-    added, split = coder.get_added_tokens_decoder().values(), coder.pre_tokenizer
-    plain = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and coder.normalizer is None
-    if not plain or coder.post_processor is not None or any({*" \n"} & {*t.content} or t.lstrip or t.rstrip or t.single_word for t in added):
-        return plainly, lambda: None
-    letters = byte_letters()
-    vocabulary = coder.get_vocab()
-    begins = np.zeros(max(vocabulary.values()) + 1, bool)
-    begins[[i for word, i in vocabulary.items() if word.startswith(letters[0x20]) or word == letters[0x0A]]] = True
-    # the same merges for words that are written in byte letters already
-    latin = Tokenizer(coder.model)
-    latin.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-    rewritten = [(chr(b), letters[b]) for b in range(0x80, 0x100) if chr(b) != letters[b]] + [("\1", letters[0x20]), ("\2", letters[0x0A])]
-    known: dict[str, bytes] = {}
-    before: dict[str, bytes] = {}
-
-    def together(coder, text: str) -> list[bytes]:
-        ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cut = (np.append(np.flatnonzero(begins[ids]), len(ids)) * 4).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in itertools.pairwise(cut)]
-
-    def fresh_values(words: pa.Array) -> list[bytes]:
-        """The ids of words not met before, each with its space or line's end."""
-        easy = np.asarray(pc.match_substring_regex(words, LATIN))
-        plain = words.filter(pa.array(easy))
-        out: list[bytes] = [b""] * len(words)
-        if len(plain):
-            spaced = pc.replace_substring(pc.replace_substring_regex(plain, r"^([^\n])", "\1\\1"), "\n", "\2 ")
-            cut = pc.replace_substring_regex(spaced, rf"([{LETTERS}])([{MARKS}])", r"\1 \2", max_replacements=1)
-            joined = " ".join(cut.to_pylist()).encode().decode("latin-1")
-            for byte, letter in rewritten:
-                joined = joined.replace(byte, letter)
-            for at, x in zip(np.flatnonzero(easy).tolist(), together(latin, joined), strict=True):
-                out[at] = x
-        hard = np.flatnonzero(~easy).tolist()
-        texts = [w if w[0] == "\n" else " " + w for w in words.filter(pa.array(~easy)).to_pylist()]
-        inner = [" " in t[1:] or "\n" in t[1:] for t in texts]
-        made = iter(together(coder, "".join(t for t, x in zip(texts, inner, strict=True) if not x)))
-        others = iter(whole([t for t, x in zip(texts, inner, strict=True) if x]))
-        for at, x in zip(hard, inner, strict=True):
-            out[at] = next(others if x else made)
-        return out
-
-    def values(words: pa.Array) -> list[bytes]:
-        """The ids of different words, each with its space or line's end."""
-        names = words.to_pylist()
-        found = [known.get(w) or before.get(w) for w in names] if before else list(map(known.get, names))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        if gaps:
-            for at, x in zip(gaps, fresh_values(words.take(pa.array(gaps))), strict=True):
-                found[at] = x
-        if before:
-            known.update((w, x) for w, x in zip(names, found, strict=True) if len(w) <= LONGEST)
-        else:
-            known.update((w, found[at]) for at in gaps if len(w := names[at]) <= LONGEST)
-        if len(known) > REMEMBERED:
-            before.clear()
-            before.update(known)
-            known.clear()
-        return found
-
-    def encode(texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, ODD))
-        lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ").cast(pa.large_list(pa.large_string()))
-        apart = pa.array([GAP.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], lists.type)
-        lists = pa.concat_arrays([lists, apart])
-        row = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
-        cut = np.asarray(lists.offsets)
-        words, first = lists.values, cut[:-1]
-        rest = np.ones(len(words), bool)
-        rest[first] = False
-        coded = words.filter(pa.array(rest)).dictionary_encode()
-        each = values(coded.dictionary)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        ids, begin = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
-        place = np.asarray(coded.indices)
-        n = size[place]
-        ended = np.concatenate(([0], np.cumsum(n)))
-        flat = ids[np.repeat(begin[place] - ended[:-1], n) + np.arange(ended[-1])]
-        bounds = ended[cut - np.arange(len(cut))]
-        out: list[np.ndarray] = [flat] * len(texts)
-        for k, head in enumerate(whole(words.take(pa.array(first)).to_pylist())):
-            out[row[k]] = np.concatenate((np.frombuffer(head, "<u4"), flat[bounds[k] : bounds[k + 1]]))
-        return out
-
-    def forget() -> None:
-        before.clear()
-        known.clear()
-
-    return encode, forget
 
 
 def pieces(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, packing, pii, quality, substring, tiff, toxicity, url_filter
-from .common import fold, table
+from . import chat, decontaminate, near_dup, packing, pii, quality, substring, tiff, token_store, toxicity, url_filter
+from .common import fold, shared_dir, table
 from .digest import sha256
 
 ALLOW = ["example.com/en/7", "net/de/"]
@@ -82,10 +83,16 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256(pii.written(F.col("base"))).alias("base_sha256"), pii.written(F.concat("base", "extra")).alias("spans"), F.size(F.concat("base", "extra")).cast("long").alias("n_spans"))
 
 
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/framesieve-ids-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
+    return token_store.digests(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_url_filter, op2_decontaminate, op3_perspective_rotation, op4_toxicity, op5_substring_dedup, op6_quality, op7_bin_slack_packing, op8_tiff, op9_near_dup, op10_contextual_pii]
+    own = [op1_url_filter, op2_decontaminate, op3_perspective_rotation, op4_toxicity, op5_substring_dedup, op6_quality, op7_bin_slack_packing, op8_tiff, op9_near_dup, op10_contextual_pii, op12_token_store]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framesieve.llm import chat, decontaminate, linear, near_dup, packing, pii, quality, queries, substring, tiff, toxicity, url_filter
+from framesieve.llm import chat, decontaminate, linear, near_dup, packing, pii, quality, queries, substring, tiff, toxicity, url_filter, words
 from framesieve.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -434,7 +434,7 @@ def test_ids_of_plain_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    coder, (encode, forget) = Tokenizer.from_file(path), packing.tokenizer(path)
+    coder, (encode, forget) = Tokenizer.from_file(path), words.tokenizer(path)
     forget()
     rng = random.Random(5)
     parts = ["ab", "7", "'s", "!", "\u3000", "\x1c", "\u180e", "\x85", "é", "文", "<|endoftext|>", " ", " ", " ", "\n", "\n" * 999, "\r\n" * 1250, " " * 1000, "\t" * 1001]
@@ -442,7 +442,7 @@ def test_ids_of_plain_tokenizer(monkeypatch):
     texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(400)]
     wanted = [coder.encode(t, add_special_tokens=False).ids for t in texts]
     assert wanted[6] == [64, 220, 50256, 275]
-    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(words, "REMEMBERED", 40)
     for _ in range(2):  # words once new, and then known or forgotten again
         for size in (1, 7, len(texts)):
             made = [x for i in range(0, len(texts), size) for x in encode(pa.array(texts[i : i + size]))]
