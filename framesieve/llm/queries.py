@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, packing, pii, quality, substring, tiff, token_store, toxicity, url_filter
+from . import chat, decontaminate, divergence, near_dup, packing, pii, quality, substring, tiff, token_store, toxicity, url_filter, vector_codes
 from .common import fold, shared_dir, table
 from .digest import sha256
 
@@ -83,16 +83,26 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256(pii.written(F.col("base"))).alias("base_sha256"), pii.written(F.concat("base", "extra")).alias("spans"), F.size(F.concat("base", "extra")).cast("long").alias("n_spans"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/framesieve-ids-{uuid.uuid4().hex}"
     token_store.write(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
     return token_store.digests(spark, folder)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.encode(table(spark, sf_dir, "embeddings"), ["vec_id", "label"])
+    coded = codes.rows.select("row.vec_id", "row.label", "code", "error")
+    return vector_codes.label_errors(coded, F.col("label")).select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_url_filter, op2_decontaminate, op3_perspective_rotation, op4_toxicity, op5_substring_dedup, op6_quality, op7_bin_slack_packing, op8_tiff, op9_near_dup, op10_contextual_pii, op12_token_store]
+    own = [op1_url_filter, op2_decontaminate, op3_perspective_rotation, op4_toxicity, op5_substring_dedup, op6_quality, op7_bin_slack_packing, op8_tiff, op9_near_dup, op10_contextual_pii, op11_divergence, op12_token_store, op13_vector_codes]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -174,8 +184,68 @@ SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a
 """
 
 
+_OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), terms AS (
+  SELECT row_id, lang, source, unnest(words) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10
+), langs AS (
+  SELECT lang, sum(n) AS n, count(*) AS v FROM kept GROUP BY lang
+), counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS MATERIALIZED (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Every round scans all entries for every part."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min({{'d': d, 'e': entry}}) AS best
+  FROM (SELECT vec_id, part, entry, sum((x - c) * (x - c)) AS d FROM parts JOIN b{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, CAST(coalesce((s - ((s % n + n) % n)) // n, c) AS BIGINT) AS c
+  FROM b{k} LEFT JOIN (SELECT part, best.e AS entry, pos, sum(x) AS s, count(*) AS n FROM a{k} JOIN parts USING (vec_id, part) GROUP BY ALL) USING (part, entry, pos)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, i // (len(v) // 4) AS part, i % (len(v) // 4) AS pos, v[i + 1] AS x FROM (SELECT vec_id, v, unnest(range(0, len(v))) AS i FROM kept)
+), b0 AS MATERIALIZED (
+  SELECT part, entry, pos, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 256
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    made = {"op1_url_filter": _OP1_SQL, "op3_perspective_rotation": _OP3_SQL, "op5_substring_dedup": _OP5_SQL, "op9_near_dup": _OP9_SQL}
+    made = {"op1_url_filter": _OP1_SQL, "op3_perspective_rotation": _OP3_SQL, "op5_substring_dedup": _OP5_SQL, "op9_near_dup": _OP9_SQL, "op11_divergence": _OP11_SQL, "op13_vector_codes": _op13_sql()}
     return made | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -46,7 +46,7 @@ def norm(df):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     made, wanted = queries.queries()[name](spark, sf).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert norm(made) == norm(wanted.astype(made[sorted(made.columns)].dtypes.to_dict()))
