@@ -10,6 +10,7 @@ from io import BytesIO
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .config import RetrieveConfig
 from .functions.text import stem, task_type
@@ -17,8 +18,9 @@ from .functions.vector import normalized
 from .operators import manifest as m
 from .operators import search
 from .plans import audit, pipeline
-from .schemas import GROUND_TRUTH
-from .sources import files, models, python_sources
+from .schemas import GROUND_TRUTH, VIDEO_MANIFEST
+from .sources import containers, files, models, python_sources
+from .steps import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,17 +39,19 @@ def parser() -> argparse.ArgumentParser:
             else:
                 c.add_argument(f"--{o}", default=default, type=type(default) if default is not None else str)
 
-    stores = {"asr-db": None, "ocr-db": None, "caption-db": None, "evidence-rrf-k": 60}
-    support = {"media-info-dir": None, "objects-dir": None}
-    window = {"radius-frames": 24, "max-decode-frames": 96, "fine-score": False}
+    # fixed values: where files lie that are used if they exist
+    stores = {f"{kind}-db": f"artifacts/{kind}.sqlite" for kind in STORES} | {"evidence-rrf-k": 60}
+    support = {"media-info-dir": "data/media_info", "objects-dir": "data/objects"}
+    window = {"videos-dir": None, "video-manifest": None, "radius-frames": 24, "max-decode-frames": 96, "fine-score": False}
     channel = {"second-channel": False, "second-weight": 0.35}
-    command("video-manifest", ("video-dir", "output"), {"report-output": None})
+    index = {"index": None, "metadata": None}
+    command("video-manifest", ("video-dir", "output"), {"report-output": None, "extension": []})
     command("dataset-index", ("clip-dir", "mapping-dir", "keyframes-dir", "output-manifest"), {"objects-dir": None, "dim": 512, "output-embeddings": None, "report-output": None})
     command("build-index", ("manifest", "output-index"), {"metadata-output": None})
     command("inspect-evidence", ("db",))
-    command("retrieve", ("manifest", "query", "output"), stores | support | window | channel | {"query-translated": None, "query-embedding": None, "index": None, "metadata": None, "top-k": 100})
-    command("benchmark", ("queries", "manifest", "output-dir"), stores | support | window | {"query-column": "Trans", "ground-truth": None, "localize-top-k": 0, "frame-tolerance": 10, "top-k": 100})
-    command("benchmark-unified", ("queries", "manifest", "output-dir"), stores | support | window | {"query-column": "Description", "translated-query-column": "Trans", "task-prefix": [], "top-k": 100})
+    command("retrieve", ("manifest", "query", "output"), stores | support | window | channel | index | {"query-translated": None, "query-embedding": None, "top-k": 100})
+    command("benchmark", ("queries", "manifest", "output-dir"), stores | support | window | channel | index | {"query-column": "Trans", "ground-truth": None, "localize-top-k": 0, "frame-tolerance": 10, "top-k": 100})
+    command("benchmark-unified", ("queries", "manifest", "output-dir"), stores | support | window | channel | index | {"query-column": "Description", "translated-query-column": "Trans", "task-prefix": [], "top-k": 100})
     command("ground-truth-template", ("queries", "output"), {"query-column": "Description"})
     command("ordered-matrix", ("manifest", "clip-dir", "output"), {"report": None, "dim": 512})
     command("index-diagnostics", ("index",), {"metadata": None})
@@ -56,35 +60,66 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Kinds of evidence stores, in the order in which they are read.
+STORES = ("asr", "ocr", "caption")
+
+
+def _modalities(spark: SparkSession, a) -> list[str]:
+    """The stores whose files exist."""
+    return [kind for kind in STORES if getattr(a, f"{kind}_db") and files.exists(spark, getattr(a, f"{kind}_db"))]
+
+
 def _evidence(spark: SparkSession, a):
     python_sources.register(spark)
     out = None
-    for kind in ("asr", "ocr", "caption"):
+    for kind in _modalities(spark, a):
         path = getattr(a, f"{kind}_db")
-        if path:
-            made = spark.read.format("sqlite_evidence").option("modality", kind).load(path) if path.endswith((".db", ".sqlite")) else files.read_json_evidence(spark, path, kind)
-            out = made if out is None else out.unionByName(made)
+        made = spark.read.format("sqlite_evidence").option("modality", kind).load(path) if path.endswith((".db", ".sqlite")) else files.read_json_evidence(spark, path, kind)
+        out = made if out is None else out.unionByName(made)
     return out
 
 
+def _support(spark: SparkSession, a) -> dict[str, bool]:
+    """Whether there are folders of object and media documents."""
+    return {f"{name}_enabled": bool(path) and files.exists(spark, path) for name, path in (("metadata", a.media_info_dir), ("objects", a.objects_dir))}
+
+
 def _supported(frames, a):
     """frames with the texts of object and media documents, where their folders are given."""
     spark = frames.sparkSession
-    if a.objects_dir:
+    there = _support(spark, a)
+    if there["objects_enabled"]:
         if "object_path" not in frames.columns or not frames.where("object_path <> ''").limit(1).count():
             frames = m.object_paths(frames, files.inventory(spark, a.objects_dir, (".json",)), a.objects_dir)
         frames = m.object_text(frames, files.contents(spark, a.objects_dir, (".json",)))
-    if a.media_info_dir:
+    if there["metadata_enabled"]:
         frames = m.media_text(frames, m.media_documents(files.contents(spark, a.media_info_dir, (".json",)), a.media_info_dir))
     return frames
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, encoder=models.hashing_encoder, prober=None, scorer=None) -> int:
-    """encoder(dim), prober and scorer stand for the text model, the video decoder and the scorer of decoded frames,
-    which are injected; scorer(queries) gives (video_id, pos, frame_id, score)."""
+def _videos(spark: SparkSession, root: str, suffixes: tuple[str, ...] = files.VIDEOS):
+    """(video_id, video_path) of a folder's videos: the first path of every name."""
+    found = m.resolve_videos(files.inventory(spark, root, suffixes))
+    return found.select(F.col("stem").alias("video_id"), F.col("path").alias("video_path"))
+
+
+def _window_sources(spark: SparkSession, a, prober):
+    """(videos, frame_counts) of the commands that look into videos; both None where neither option is given."""
+    videos = _videos(spark, a.videos_dir) if a.videos_dir else None
+    if a.video_manifest:
+        known = spark.read.option("header", True).schema(T.StructType(VIDEO_MANIFEST.fields[:-1])).csv(a.video_manifest)
+        return videos if videos is not None else known.select("video_id", "video_path"), known.select("video_id", "frame_count")
+    if videos is None:
+        return None, None
+    return videos, models.probe_videos(videos, prober or containers.prober).where("frame_count > 0").select("video_id", "frame_count")
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, encoder=models.hashing_encoder, prober=None, decoder=None, scorer=None) -> int:
+    """encoder(dim), decoder and scorer stand for the text model, the video decoder and the scorer of decoded frames
+    (operators.decoding), which are injected; without a prober videos' own headers are read."""
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("framesieve").getOrCreate()
-    return _COMMANDS[a.command](spark, a, encoder, prober, scorer)
+    return _COMMANDS[a.command](spark, a, encoder, prober, decoder, scorer)
 
 
 def _say(**x) -> None:
@@ -102,16 +137,13 @@ def _inspect_evidence(spark, a, *_) -> int:
     return 0
 
 
-def _video_manifest(spark, a, encoder, prober, scorer) -> int:
-    if prober is None:
-        raise SystemExit("video-manifest needs a video decoder")
-    found = files.inventory(spark, a.video_dir, files.VIDEOS).select(stem(F.col("path")).alias("video_id"), F.col("path").alias("video_path"))
-    made = models.probe_videos(found.orderBy(F.lower("video_path")), prober).cache()
-    made.where("error IS NULL").drop("error").coalesce(1).write.mode("overwrite").option("header", True).csv(a.output)
+def _video_manifest(spark, a, encoder, prober, *_) -> int:
+    suffixes = tuple("." + e.lower().lstrip(".") for e in a.extension) or files.VIDEOS
+    found = files.inventory(spark, a.video_dir, suffixes).select(stem(F.col("path")).alias("video_id"), F.col("path").alias("video_path"))
+    made = written(models.probe_videos(found, prober or containers.prober))
+    made.where("error IS NULL").drop("error").orderBy(F.lower("video_path"), "video_path").coalesce(1).write.mode("overwrite").option("header", True).csv(a.output)
     errors = [f"{r['video_path']}: {r['error']}" for r in made.where("error IS NOT NULL").orderBy("video_path").limit(1000).collect()]
-    n = made.count()
-    _report(spark, a.report_output, found=n, indexed=made.where("error IS NULL").count(), errors=errors)
-    made.unpersist()
+    _report(spark, a.report_output, found=made.count(), indexed=made.where("error IS NULL").count(), errors=errors)
     return 0
 
 
@@ -171,10 +203,10 @@ def _config(a) -> RetrieveConfig:
     return RetrieveConfig(rrf_k=a.evidence_rrf_k, radius=a.radius_frames, max_decode=a.max_decode_frames, channel2_weight=getattr(a, "second_weight", 0.35))
 
 
-def _answers(spark, a, queries, encoder, scorer, localize_top_k: int | None, k: int):
+def _answers(spark, a, queries, encoder, prober, decoder, scorer, localize_top_k: int | None, k: int):
     """Answers to queries (query_id, query_text[, translated][, vector])."""
-    frames = spark.read.parquet(a.index) if getattr(a, "index", None) else files.read_table(spark, a.manifest)
-    if getattr(a, "index", None):
+    frames = spark.read.parquet(a.index) if a.index else files.read_table(spark, a.manifest)
+    if a.index:
         search.check_index(frames, _metadata(spark, a.metadata), files.read_table(spark, a.manifest).count())
     dim = len(frames.select("embedding").first()["embedding"])
     encode = lambda df, text, out: models.encode_text(df, text, lambda: encoder(dim), out)
@@ -184,38 +216,40 @@ def _answers(spark, a, queries, encoder, scorer, localize_top_k: int | None, k:
         if "translated" in queries.columns:
             queries = pipeline.translated(encode(queries, "translated", "translated_vector"), config)
     second = None
-    if getattr(a, "second_channel", False):
+    if a.second_channel:
         wide = len(frames.select("embedding2").first()["embedding2"])
         second = models.encode_text(queries.select("query_id", "query_text"), "query_text", lambda: encoder(wide), "vector").select("query_id", "vector")
-    if a.fine_score and scorer is None:
-        raise SystemExit("fine-score needs a decoder and a scorer")
-    dense = scorer(queries) if a.fine_score else None
-    return pipeline.run(_supported(frames, a), queries, k, dense=dense, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k)
-
-
-def _modalities(a) -> list[str]:
-    return [k for k in ("asr", "ocr", "caption") if getattr(a, f"{k}_db")]
+    videos, counts = _window_sources(spark, a, prober)
+    fine = None
+    if a.fine_score:
+        if decoder is None or scorer is None or videos is None:
+            raise SystemExit("fine-score needs videos (videos-dir or video-manifest), a decoder and a scorer")
+        score = pipeline.fine_scorer(videos, decoder, scorer, ("query_text", "vector"), counts, config)
+        fine = lambda head: score(head.join(queries.select("query_id", "vector"), "query_id"))
+    return pipeline.run(
+        _supported(frames, a), queries, k, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k, frame_counts=counts, fine=fine, stores=tuple(_modalities(spark, a)),
+    )
 
 
-def _retrieve(spark, a, encoder, prober, scorer) -> int:
+def _retrieve(spark, a, *models_) -> int:
     queries = spark.createDataFrame([("query", a.query, a.query_translated or "")], "query_id string, query_text string, translated string")
     if a.query_embedding:
         data = bytes(spark.read.format("binaryFile").load(a.query_embedding).first()["content"])
         vector = np.load(BytesIO(data), allow_pickle=False).reshape(-1)
         text = F.when(F.trim("translated") != "", F.col("translated")).otherwise(F.col("query_text"))
         queries = queries.select("query_id", text.alias("query_text"), F.array(*(F.lit(float(x)) for x in vector)).alias("vector"))
-    made = _answers(spark, a, queries, encoder, scorer, None, a.top_k)
+    made = _answers(spark, a, queries, *models_, None, a.top_k)
     made.orderBy("rank").coalesce(1).write.mode("overwrite").json(a.output)
     _say(
-        rows=spark.read.schema("rank int").json(a.output).count(), output=a.output, fine_score=a.fine_score, evidence_modalities=_modalities(a), metadata_enabled=bool(a.media_info_dir), objects_enabled=bool(a.objects_dir),
+        rows=spark.read.schema("rank int").json(a.output).count(), output=a.output, fine_score=a.fine_score, evidence_modalities=_modalities(spark, a), **_support(spark, a),
         translated_query_enabled=bool(a.query_translated), evidence_rrf_k=a.evidence_rrf_k, second_channel_enabled=a.second_channel, second_weight=a.second_weight if a.second_channel else 0.0,
     )
     return 0
 
 
-def _benchmark(spark, a, encoder, prober, scorer) -> int:
+def _benchmark(spark, a, *models_) -> int:
     queries = files.read_queries(spark, a.queries, a.query_column).select("query_id", "query_text")
-    made = _answers(spark, a, queries, encoder, scorer, a.localize_top_k, a.top_k)
+    made = _answers(spark, a, queries, *models_, a.localize_top_k, a.top_k)
     made.write.mode("overwrite").partitionBy("query_id").json(f"{a.output_dir}/results")
     made = spark.read.json(f"{a.output_dir}/results").withColumn("query_id", F.col("query_id").cast("string"))
     truth = files.read_ground_truth(spark, a.ground_truth) if a.ground_truth else spark.createDataFrame([], GROUND_TRUTH)
@@ -225,15 +259,15 @@ def _benchmark(spark, a, encoder, prober, scorer) -> int:
     return 0
 
 
-def _benchmark_unified(spark, a, encoder, prober, scorer) -> int:
+def _benchmark_unified(spark, a, *models_) -> int:
     """Answers for every query of an organizer's sheet, with its translation where there is one."""
     queries = files.read_queries(spark, a.queries, a.query_column, a.translated_query_column, a.task_prefix or None)
     k = min(max(a.top_k, 1), 100)
-    made = _answers(spark, a, queries, encoder, scorer, None, k)
+    made = _answers(spark, a, queries, *models_, None, k)
     made.write.mode("overwrite").partitionBy("query_id").json(f"{a.output_dir}/results")
     _say(
-        queries=queries.count(), output_dir=a.output_dir, top_k=k, translated_query=queries.where("translated <> ''").limit(1).count() > 0, objects=bool(a.objects_dir), metadata=bool(a.media_info_dir),
-        evidence_modalities=_modalities(a), fine_score=a.fine_score,
+        queries=queries.count(), output_dir=a.output_dir, top_k=k, translated_query=queries.where("translated <> ''").limit(1).count() > 0, evidence_modalities=_modalities(spark, a),
+        fine_score=a.fine_score, **_support(spark, a),
     )
     return 0
 

@@ -10,6 +10,9 @@ from ..config import FusionWeights, RankingWeights
 from ..functions.scores import clean, minmax, rrf
 from ..functions.text import overlap, tokens
 from ..schemas import require
+from ..steps import written
+from . import evidence as evidence_index
+from .evidence import EvidenceIndex
 
 
 def fuse_channels(first: DataFrame, second: DataFrame, weight: float = 0.35, key: str = "query_id") -> DataFrame:
@@ -25,45 +28,35 @@ def fuse_channels(first: DataFrame, second: DataFrame, weight: float = 0.35, key
     return joined.withColumn("clip_score", F.col("retrieval_score")).withColumn("retrieval_score", (1 - weight) * minmax(F.col("retrieval_score"), w) + weight * minmax(F.col("channel2_score"), w))
 
 
-def evidence_scores(candidates: DataFrame, evidence: DataFrame, query: str = "query_text", target: str = "best_frame_id", tolerance: int = 30, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, video_id, modality, score): the best lexical overlap of a candidate's video in each store; a
-    frame further than tolerance from the candidate's counts half, an unknown frame in full.  carry: columns of the
-    candidates that come along, as the struct row; candidates without evidence then stay, with a null modality."""
-    docs = evidence.select("modality", "video_id", F.expr("try_cast(frame_id AS BIGINT)").alias("frame_id"), tokens(F.col("text")).alias("doc_tokens"))
-    row = [F.struct(*carry).alias("row")] if carry else []
-    asked = candidates.select("query_id", "video_id", F.col(target).alias("target"), tokens(F.col(query)).alias("query_tokens"), *row)
-    score = overlap(F.col("query_tokens"), F.col("doc_tokens"))
-    soft = F.when(F.abs(F.col("frame_id") - F.col("target")) > tolerance, score * 0.5).otherwise(score)
-    joined = asked.join(docs, "video_id", "left" if carry else "inner")
-    return joined.groupBy("query_id", "video_id", "modality").agg(F.max(F.greatest(soft, F.lit(0.0))).alias("score"), *([F.any_value("row").alias("row")] if carry else []))
-
-
 def rrf_scores(scores: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, video_id, evidence_score[, row]): reciprocal ranks summed over stores, in order of their names.
-    scores: (query_id, video_id, modality, score, pos[, row]); pos decides ties."""
+    """(query_id, video_id, evidence_score): reciprocal ranks summed over stores, in order of their names.
+    scores: (query_id, video_id, modality, score, pos); pos decides ties."""
     w = W.partitionBy("query_id", "modality").orderBy(F.desc("score"), "pos")
     terms = scores.withColumn("term", rrf(F.col("score"), w, k))
     ordered = F.array_sort(F.collect_list(F.struct("modality", "term")))
-    row = [F.any_value("row").alias("row")] if "row" in scores.columns else []
-    return terms.groupBy("query_id", "video_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, t: a + t["term"]).alias("evidence_score"), *row)
+    return terms.groupBy("query_id", "video_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, t: a + t["term"]).alias("evidence_score"))
 
 
-def multimodal(candidates: DataFrame, evidence: DataFrame | None, weights: FusionWeights = FusionWeights(), rrf_k: int = 60) -> DataFrame:
+def multimodal(candidates: DataFrame, evidence: DataFrame | EvidenceIndex | None, weights: FusionWeights = FusionWeights(), rrf_k: int = 60, stores: tuple[str, ...] | None = None) -> DataFrame:
     """Fused score of candidates (query_id, video_id, query_text, retrieval_score, object_text, metadata_text,
     best_frame_id): the retrieval score and the evidence, each min-maxed within the query, and the overlaps with
-    objects and metadata as they are.  One pass: the candidates are planned once, and come along."""
+    objects and metadata as they are.  With evidence the candidates are written first, as several steps read them.
+    stores: the names of the evidence stores at hand, empty ones included; without them those that have rows are listed."""
     w = W.partitionBy("query_id")
+    if evidence is not None:
+        candidates = written(candidates)
     q = tokens(F.col("query_text"))
     rows = candidates.withColumn("object_score", overlap(q, tokens(F.col("object_text")))).withColumn("metadata_score", overlap(q, tokens(F.col("metadata_text"))))
     rows = rows.withColumn("clip_norm", minmax(F.col("retrieval_score"), w))
     if evidence is None:
-        rows = rows.withColumn("evidence_score", F.lit(0.0)).withColumn("evidence_modalities", F.lit(""))
+        rows = rows.withColumn("evidence_score", F.lit(0.0)).withColumn("evidence_modalities", F.lit(",".join(sorted(stores or ()))))
     else:
-        rows = rows.withColumn("pos", F.row_number().over(w.orderBy(F.desc("retrieval_score"), "video_id")))
-        found = rrf_scores(evidence_scores(rows, evidence, carry=tuple(rows.columns)).withColumn("pos", F.col("row.pos")), rrf_k)
-        names = evidence.agg(F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("evidence_modalities"))
-        rows = found.select("row.*", "evidence_score").drop("pos").join(F.broadcast(names))  # one row is broadcast
-        rows = rows.withColumn("evidence_score", minmax(F.col("evidence_score"), w))
+        index = evidence if isinstance(evidence, EvidenceIndex) else evidence_index.build(evidence)
+        places = candidates.select("query_id", "video_id", F.row_number().over(w.orderBy(F.desc("retrieval_score"), "video_id")).alias("pos"))
+        found = rrf_scores(evidence_index.scores(candidates, index).join(places, ["query_id", "video_id"]), rrf_k)
+        rows = rows.join(found, ["query_id", "video_id"], "left").withColumn("evidence_score", minmax(F.coalesce("evidence_score", F.lit(0.0)), w))
+        names = index.modalities().agg(F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("evidence_modalities"))
+        rows = rows.withColumn("evidence_modalities", F.lit(",".join(sorted(stores)))) if stores is not None else rows.join(F.broadcast(names))  # one row is broadcast
     fused = weights.clip * F.col("clip_norm") + weights.objects * F.col("object_score") + weights.metadata * F.col("metadata_score") + weights.evidence * F.col("evidence_score")
     return rows.withColumn("fused_score", fused).withColumn("multimodal_score", F.col("fused_score"))
 

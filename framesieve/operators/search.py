@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.vector import cosine
+from ..steps import written
 
 #: Queries that one scan of the frames holds at most, and hits that a task keeps for them: what is broadcast, and what a
 #: task holds, are bounded.  Further queries come in further scans; a matrix product takes TILE of them at once.
@@ -25,48 +28,65 @@ def search_frames(frames: DataFrame, query: list[float], top_k: int = 100, embed
     return frames.withColumn("score", cosine(F.col(embedding), literal)).orderBy(F.desc("score"), "row_id").limit(max(1, top_k))
 
 
-def search_batch(frames: DataFrame, queries: DataFrame, top_k: int, embedding: str = "embedding") -> DataFrame:
-    """(query_id, row_id, score, rank): top_k rows of frames for every row of queries (query_id, vector).
+def search_batch(frames: DataFrame, queries: DataFrame, top_k: int, embedding: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, row_id, score, rank, carry): top_k rows of frames for every row of queries (query_id, vector), with
+    columns of the frames that come along.
 
     Queries are dealt by a hash into blocks, each of which is broadcast for one scan; there, tasks multiply their
     rows with tiles of the block and keep their own top_k per query, and a window over these picks the result.
+    Where there are several blocks, each one's result is written before the next is sent, and what was sent is let go.
     A zero vector, or one of another width, is an error.
     """
     rows = queries.select("query_id", "vector")
     spark, out = frames.sparkSession, None
     blocks = -(-rows.count() // max(1, min(BLOCK, KEPT // max(1, top_k)))) or 1
-    kind = queries.schema["query_id"].dataType.simpleString()
+    cells = frames.select("row_id", F.col(embedding).alias("v"), *carry)
+    schema = T.StructType([queries.schema["query_id"], T.StructField("row_id", T.LongType()), T.StructField("score", T.DoubleType()), *(frames.schema[c] for c in carry)])
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
     for i in range(blocks):
         taken = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect() if blocks > 1 else rows.collect()
-        ids = np.array([r[0] for r in taken] + [None], object)[:-1]
+        ids = [r[0] for r in taken]
         matrix = np.array([r[1] for r in taken], float).reshape(len(ids), -1 if len(ids) else 0)
         block = spark.sparkContext.broadcast((ids, _unit(matrix)))
 
-        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             names, vectors = block.value
-            best: list[pd.DataFrame] = []
-            for pdf in batches:
-                if not len(pdf) or not len(names):
+            best: list[pa.Table] = []
+            for batch in batches:
+                n = batch.num_rows
+                if not n or not len(names):
                     continue
-                x = _unit(np.stack(pdf["v"].to_numpy()).astype(float))
-                row = pdf["row_id"].to_numpy()
-                keep = min(top_k, len(x))
+                x = _unit(_matrix(batch.column("v"), n))
+                held = batch.drop_columns(["v"])
+                keep = min(top_k, n)
                 for low in range(0, len(names), TILE):
                     s = x @ vectors[low : low + TILE].T
                     # ties at the edge of the batch's own top_k must not be cut: take all that reach its last score
-                    edge = np.partition(s, len(x) - keep, axis=0)[len(x) - keep]
+                    edge = np.partition(s, n - keep, axis=0)[n - keep]
                     at, q = np.nonzero(s >= edge)
-                    best.append(pd.DataFrame({"q": low + q, "row_id": row[at], "score": s[at, q]}))
+                    made = pa.Table.from_batches([held.take(pa.array(at))])
+                    best.append(made.append_column("q", pa.array(low + q)).append_column("score", pa.array(s[at, q])))
                 if len(best) > 16 + len(names) // TILE:
-                    best = [_top(pd.concat(best), top_k)]
+                    best = [_top(pa.concat_tables(best), top_k)]
             if best:
-                made = _top(pd.concat(best), top_k)
-                yield pd.DataFrame({"query_id": names[made["q"].to_numpy()], "row_id": made["row_id"], "score": made["score"]})
-
-        made = frames.select("row_id", F.col(embedding).alias("v")).mapInPandas(run, f"query_id {kind}, row_id long, score double")
+                made = _top(pa.concat_tables(best), top_k)
+                asked = pa.array(names).take(made.column("q").combine_chunks())
+                columns = [asked, *(made.column(c).combine_chunks() for c in schema.names[1:])]
+                yield from pa.Table.from_arrays(columns, schema.names).to_batches(4096)
+
+        made = cells.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= top_k)
+        if blocks > 1:
+            made = written(made)
+            block.unpersist()
         out = made if out is None else out.unionByName(made)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return out.select("query_id", "row_id", "score", "rank", *carry)
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    flat, sizes = column.flatten(), np.asarray(pc.list_value_length(column).fill_null(0))
+    if flat.null_count or sizes.min() != sizes.max():
+        raise ValueError("vectors of several widths, or with nulls")
+    return np.asarray(flat).astype(float).reshape(n, -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -76,8 +96,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / norms
 
 
-def _top(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    return pdf.sort_values(["q", "score", "row_id"], ascending=[True, False, True]).groupby("q").head(k)
+def _top(hits: pa.Table, k: int) -> pa.Table:
+    q = hits.column("q").to_numpy()
+    order = np.lexsort((hits.column("row_id").to_numpy(), -hits.column("score").to_numpy(), q))
+    q = q[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    return hits.take(pa.array(order[nth < k]))
 
 
 def best_frames(hits: DataFrame, per_video: int, *keys: str) -> DataFrame:

@@ -26,15 +26,16 @@ def peak_frame(scores: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> Data
     return scores.groupBy(*keys).agg(F.max_by("frame_id", F.struct("score", -F.col("pos"))).alias("peak_frame"), F.max("score").alias("peak_score"))
 
 
-def event_score(scores: DataFrame, keys: tuple[str, ...] = ("video_id",), config: TemporalScoreConfig = TemporalScoreConfig()) -> DataFrame:
-    """Mean of the top fraction of min-maxed scores, and a little of the peak's better neighbour."""
+def event_score(scores: DataFrame, keys: tuple[str, ...] = ("video_id",), config: TemporalScoreConfig = TemporalScoreConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of the top fraction of min-maxed scores, and a little of the peak's better neighbour.  carry: columns that
+    are the same for all of a key's rows, and come along."""
     all_, order, best = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("pos"), W.partitionBy(*keys).orderBy(F.desc("x"), "pos")
     rows = scores.withColumn("x", minmax(F.col("score"), all_, 1e-8)).withColumn("n", F.count("*").over(all_))
     beside = F.greatest(F.coalesce(F.lag("x").over(order), F.lit(0.0)), F.coalesce(F.lead("x").over(order), F.lit(0.0)))
     rows = rows.withColumn("beside", beside).withColumn("nth", F.row_number().over(best))
     top = F.greatest(F.lit(1), F.ceil(config.top_fraction * F.col("n")))
-    made = rows.groupBy(*keys).agg(F.avg(F.when(F.col("nth") <= top, F.col("x"))).alias("mean"), F.max(F.when(F.col("nth") == 1, F.col("beside"))).alias("beside"))
-    return made.select(*keys, (F.col("mean") + config.continuity * F.col("beside")).alias("event_score"))
+    made = rows.groupBy(*keys).agg(F.avg(F.when(F.col("nth") <= top, F.col("x"))).alias("mean"), F.max(F.when(F.col("nth") == 1, F.col("beside"))).alias("beside"), *(F.any_value(c).alias(c) for c in carry))
+    return made.select(*keys, *carry, (F.col("mean") + config.continuity * F.col("beside")).alias("event_score"))
 
 
 def semantic_keyframe(scores: DataFrame, keys: tuple[str, ...], low: Column | None = None, high: Column | None = None) -> DataFrame:
@@ -55,6 +56,19 @@ def window_frames(center: Column, frame_count: Column, radius: int = 24, cap: in
     return F.when(n <= 0, F.array().cast("array<bigint>")).when(n <= cap, F.sequence(first, last)).otherwise(spread)
 
 
+def windows(candidates: DataFrame, frame_counts: DataFrame | None = None, radius: int = 24, max_decode: int = 96) -> DataFrame:
+    """candidates with coarse_frame_id, frame_count (of unknown videos: as far as the window reaches) and ids, the frames
+    of each one's window, at most max_decode of them, evenly spread."""
+    rows = candidates.withColumn("coarse_frame_id", F.col("best_frame_id").cast("bigint"))
+    reach = F.col("coarse_frame_id") + radius + 1
+    if frame_counts is None:
+        rows = rows.withColumn("frame_count", reach)
+    else:
+        counts = frame_counts.select("video_id", F.col("frame_count").cast("bigint").alias("frame_count"))
+        rows = rows.drop("frame_count").join(counts, "video_id", "left").withColumn("frame_count", F.coalesce("frame_count", reach))
+    return rows.withColumn("ids", window_frames(F.col("coarse_frame_id"), F.col("frame_count"), radius, max_decode))
+
+
 def strided_frames(n: Column, step: int) -> Column:
     """Every step-th frame id of n frames; a negative count is an error."""
     if step <= 0:
@@ -75,33 +89,37 @@ def localize(
     """Localised events of candidates (query_id, video_id, best_frame_id, multimodal_score).
 
     A candidate's window is the frames within radius of its best one, cut at the video's ends where frame_counts
-    (video_id, frame_count) has it; of these at most max_decode, evenly spread, are looked at.  With dense
-    scores (video_id, pos, frame_id, score): the peak over these, the island of the largest score, and the event
-    score of the frames inside it; candidates without a scored frame in the window have no row.  Without: the
-    whole window, its observed frame (video_id, frame_id) nearest to the best one, the earlier of two, and the
-    multimodal score; without observed frames every frame of the window counts as observed.
+    (video_id, frame_count) has it; of these at most max_decode, evenly spread, are looked at.  With dense scores
+    (query_id, video_id, pos, frame_id, score; without a query_id they hold for all queries): the peak over these,
+    the island of the largest score, and the event score of the frames inside it; candidates without a scored frame in the
+    window have no row.  Without: the whole window, its observed frame (video_id, frame_id) nearest to the best one, the
+    earlier of two, and the multimodal score; without observed frames every frame of the window counts as observed.
     """
-    keys = ["query_id", "video_id"]
-    rows = candidates.select(*keys, F.col("best_frame_id").cast("bigint").alias("coarse_frame_id"), "multimodal_score")
-    if frame_counts is None:
-        rows = rows.withColumn("frame_count", F.col("coarse_frame_id") + radius + 1)
-    else:
-        rows = rows.join(frame_counts.select("video_id", "frame_count"), "video_id", "left").withColumn("frame_count", F.coalesce("frame_count", F.col("coarse_frame_id") + radius + 1))
-    rows = rows.withColumn("ids", window_frames(F.col("coarse_frame_id"), F.col("frame_count"), radius, max_decode))
+    keys = ("query_id", "video_id")
+    rows = windows(candidates.select(*keys, "best_frame_id", "multimodal_score"), frame_counts, radius, max_decode)
     seen = rows.select(*keys, "coarse_frame_id", F.explode("ids").alias("frame_id"))
     if dense is None:
         near = seen if observed is None else seen.join(observed.select("video_id", F.col("frame_id").cast("bigint").alias("frame_id")).distinct(), ["video_id", "frame_id"])
         best = near.groupBy(*keys).agg(F.min_by("frame_id", F.struct(F.abs(F.col("frame_id") - F.col("coarse_frame_id")), "frame_id")).alias("semantic_keyframe"))
         start, end = F.greatest(F.lit(0).cast("bigint"), F.col("coarse_frame_id") - radius), F.least(F.col("frame_count") - 1, F.col("coarse_frame_id") + radius)
-        return rows.join(best, keys).select(*keys, "coarse_frame_id", start.alias("start_frame"), end.alias("end_frame"), "semantic_keyframe", F.col("multimodal_score").alias("score"))
-    near = seen.join(dense.withColumn("frame_id", F.col("frame_id").cast("bigint")), ["video_id", "frame_id"])
-    runs = islands(near, config.max_gap, tuple(keys))
-    chosen = runs.groupBy(*keys).agg(F.max_by(F.struct("start_frame", "end_frame"), F.struct("score", -F.col("start_frame"))).alias("w")).select(*keys, "w.*")
-    inside = near.join(chosen, keys).where("frame_id BETWEEN start_frame AND end_frame")
-    scored = event_score(inside, tuple(keys), config)
-    peaks = peak_frame(near, tuple(keys)).select(*keys, F.col("peak_frame").alias("semantic_keyframe"))
-    found = rows.select(*keys, "coarse_frame_id").join(chosen, keys).join(peaks, keys).join(scored, keys)
-    return found.select(*keys, "coarse_frame_id", "start_frame", "end_frame", "semantic_keyframe", F.col("event_score").alias("score"))
+        return rows.join(best, list(keys)).select(*keys, "coarse_frame_id", start.alias("start_frame"), end.alias("end_frame"), "semantic_keyframe", F.col("multimodal_score").alias("score"))
+    scores = dense.where("frame_id IS NOT NULL").withColumn("frame_id", F.col("frame_id").cast("bigint"))
+    if "query_id" in dense.columns:
+        near = scores.select(*keys, "pos", "frame_id", "score").join(rows.select(*keys, "coarse_frame_id", "ids"), list(keys)).where(F.array_contains("ids", F.col("frame_id"))).drop("ids")
+    else:
+        near = seen.join(scores.select("video_id", "pos", "frame_id", "score"), ["video_id", "frame_id"])
+    # islands, the best of them, the peak and the event score are windows over one and the same partitioning
+    each = W.partitionBy(*keys)
+    order = each.orderBy("frame_id", "score")
+    fresh = F.when(F.col("frame_id") - F.lag("frame_id").over(order) <= config.max_gap, 0).otherwise(1)
+    near = near.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    island = W.partitionBy(*keys, "island")
+    near = near.withColumns({"start_frame": F.min("frame_id").over(island), "end_frame": F.max("frame_id").over(island), "best": F.max("score").over(island)})
+    near = near.withColumn("first", F.max(F.struct("best", (-F.col("start_frame")).alias("before"))).over(each))
+    near = near.withColumn("semantic_keyframe", F.max(F.struct(F.col("score"), -F.col("pos"), "frame_id")).over(each)["frame_id"])
+    inside = near.where(F.col("first")["best"].eqNullSafe(F.col("best")) & (F.col("first")["before"] == -F.col("start_frame")))
+    made = event_score(inside, keys, config, ("coarse_frame_id", "start_frame", "end_frame", "semantic_keyframe"))
+    return made.select(*keys, "coarse_frame_id", "start_frame", "end_frame", "semantic_keyframe", F.col("event_score").alias("score"))
 
 
 def align_events(matrix: DataFrame, events: int, min_separation: int = 0, key: str = "seq_id") -> DataFrame:

@@ -16,9 +16,10 @@ from .config import TemporalScoreConfig
 from .functions import scores as S
 from .functions import text as X
 from .functions.vector import combined, cosine
-from .operators import evaluate, fuse, manifest, search, temporal
+from .operators import decoding, evaluate, evidence, fuse, manifest, search, temporal
 from .operators.jsontext import json_text
 from .plans import pipeline
+from .steps import written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -237,14 +238,14 @@ rrf AS (SELECT query_id, video_id, sum(term ORDER BY modality) AS evidence_score
 
 @query(f"{_CANDIDATES} SELECT query_id, video_id, modality, round(score, 6) AS score FROM evidence")
 def evidence_score(spark, sf):
-    return fuse.evidence_scores(_candidates(spark, sf), _stores(spark, sf)).withColumns(_r("score"))
+    return evidence.scores(written(_candidates(spark, sf)), _stores(spark, sf)).withColumns(_r("score"))
 
 
 @query(f"{_CANDIDATES} SELECT query_id, video_id, round(evidence_score, 6) AS evidence_score FROM rrf")
 def rrf_fusion(spark, sf):
-    c = _candidates(spark, sf)
+    c = written(_candidates(spark, sf))
     pos = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "video_id"))
-    found = fuse.evidence_scores(c, _stores(spark, sf)).join(c.select("query_id", "video_id", pos.alias("pos")), ["query_id", "video_id"])
+    found = evidence.scores(c, _stores(spark, sf)).join(c.select("query_id", "video_id", pos.alias("pos")), ["query_id", "video_id"])
     return fuse.rrf_scores(found).withColumns(_r("evidence_score"))
 
 
@@ -405,6 +406,42 @@ def localize_unscored(spark, sf):
     return temporal.localize(coarse, None, observed=dense, frame_counts=counts).withColumns(_r("score"))
 
 
+def _shown(path: str, ids: list[int]):
+    """A stand-in for a decoder: a frame shows its number, and the path ends with the number of the last one."""
+    last = int(path.rpartition(":")[2])
+    return ((i, str(i).encode()) for i in ids if i <= last)
+
+
+def _likeness(content: bytes, asked: list[dict]) -> list[float]:
+    """A stand-in for a scorer: a number that depends on the frame and the query."""
+    return [(int(content) * 7919 + a["query_id"] * 104729) % 1000 / 1000 for a in asked]
+
+
+@query(f"""{_DENSE}, middle AS (SELECT video_id, (max(pos) + 1) // 2 AS pos, max(frame_id) + 3 AS last FROM dense GROUP BY 1),
+c AS (SELECT q.query_id, video_id, frame_id + 10 * (q.query_id - 1) AS best_frame_id, last FROM dense JOIN middle USING (video_id, pos), (SELECT unnest([1, 2, 3]) AS query_id) q),
+ids AS (SELECT query_id, video_id, last, best_frame_id, unnest(list_transform(range(0, 20), lambda i: best_frame_id - 24 + CASE WHEN i = 19 THEN 48 ELSE CAST(floor(i * (48 / 19.0::DOUBLE)) AS BIGINT) END)) AS frame_id FROM c),
+near_ AS (SELECT query_id, video_id, best_frame_id, frame_id, (frame_id * 7919 + query_id * 104729) % 1000 / 1000.0::DOUBLE AS score FROM ids WHERE frame_id <= last),
+marked AS (SELECT *, CASE WHEN frame_id - lag(frame_id) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM near_ WINDOW w AS (PARTITION BY query_id, video_id ORDER BY frame_id)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, video_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+agg AS (SELECT query_id, video_id, island, min(frame_id) AS s, max(frame_id) AS e, max(score) AS m FROM runs GROUP BY 1, 2, 3),
+chosen AS (SELECT query_id, video_id, arg_max(s, (m, -s)) AS start_frame, arg_max(e, (m, -s)) AS end_frame FROM agg GROUP BY 1, 2),
+inside AS (SELECT n.* FROM near_ n JOIN chosen USING (query_id, video_id) WHERE frame_id BETWEEN start_frame AND end_frame),
+x AS (SELECT *, {_sql_minmax('score', 'PARTITION BY query_id, video_id', '1e-8')} AS x, count(*) OVER (PARTITION BY query_id, video_id) AS n FROM inside),
+y AS (SELECT *, greatest(coalesce(lag(x) OVER w, 0), coalesce(lead(x) OVER w, 0)) AS beside, row_number() OVER (PARTITION BY query_id, video_id ORDER BY x DESC, frame_id) AS nth FROM x WINDOW w AS (PARTITION BY query_id, video_id ORDER BY frame_id)),
+ev AS (SELECT query_id, video_id, avg(x) FILTER (nth <= greatest(1, ceil(0.20 * n))) + 0.05 * max(beside) FILTER (nth = 1) AS score FROM y GROUP BY 1, 2),
+peak AS (SELECT query_id, video_id, max(best_frame_id) AS best_frame_id, arg_max(frame_id, (score, -frame_id)) AS semantic_keyframe FROM near_ GROUP BY 1, 2)
+SELECT CAST(query_id AS BIGINT) AS query_id, video_id, best_frame_id AS coarse_frame_id, start_frame, end_frame, semantic_keyframe, round(ev.score, 6) AS score FROM peak JOIN chosen USING (query_id, video_id) JOIN ev USING (query_id, video_id)""")
+def fine_scored(spark, sf):
+    """Three queries' windows in every user's hours, decoded once and scored for each of them, and localised."""
+    dense = _dense(spark, sf)
+    videos = dense.groupBy("video_id").agg(F.concat_ws(":", "video_id", (F.max("frame_id") + 3)).alias("video_path"))
+    one = _coarse(spark, sf).drop("query_id")
+    asked = one.withColumn("query_id", F.explode(F.array(*(F.lit(q).cast("long") for q in (1, 2, 3)))))
+    asked = asked.withColumn("best_frame_id", F.col("best_frame_id") + 10 * (F.col("query_id") - 1))
+    scores = decoding.score_decoded(asked, videos, lambda: _shown, lambda: _likeness, (), max_decode=20)
+    return temporal.localize(asked, scores, TemporalScoreConfig(max_gap=2), max_decode=20).withColumns(_r("score"))
+
+
 def _matrix(spark, sf) -> DataFrame:
     """Three event types by twelve four-hour parts of two days, per hundred users: the largest value, or 0."""
     e = _t(spark, sf, "events").select((F.col("user_id") % 50).alias("seq_id"), F.expr("CAST(unix_seconds(cast(ts AS timestamp)) div 14400 % 12 AS BIGINT)").alias("frame_pos"), "event_type", "value")

@@ -41,6 +41,12 @@ def contents(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataF
     return found.where(suffix(F.col("path")).isin(*suffixes))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def inventory(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     """(path, length) of such files; contents aren't read."""
     return contents(spark, root, suffixes).select("path", "length")

@@ -42,21 +42,6 @@ def encode_text(df: DataFrame, text: str, factory: Callable[[], Callable[[list[s
     return df.withColumn(out, run(F.col(text)))
 
 
-def score_frames(frames: DataFrame, factory: Callable[[], Callable[[list[bytes]], list[float]]]) -> DataFrame:
-    """frames (…, content BINARY) with score; a scorer must give one number per frame."""
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = factory()
-        for s in batches:
-            scores = list(scorer(s.tolist()))
-            if len(scores) != len(s):
-                raise ValueError("the scorer must return one score per frame")
-            yield pd.Series(scores, dtype=float)
-
-    return frames.withColumn("score", run(F.col("content")))
-
-
 def grounded_scorer(text_vector: list[float], image_scores: Callable[[np.ndarray, list], list[float]]) -> Callable[[], Callable[[list], list[float]]]:
     """A scorer factory around one text vector, normalised once."""
     vector = np.asarray(text_vector, np.float32).reshape(-1)
@@ -66,20 +51,23 @@ def grounded_scorer(text_vector: list[float], image_scores: Callable[[np.ndarray
     return lambda: lambda frames: image_scores(unit, frames)
 
 
-def decode_frames(candidates: DataFrame, factory: Callable[[], Callable[[str, list[int]], Iterator[tuple[int, bytes]]]]) -> DataFrame:
-    """One row (query_id, video_id, pos, frame_id, content) for every decoded frame of candidates (query_id,
-    video_id, video_path, frame_ids); ids are sorted, distinct and not negative; a video's end ends its frames."""
+def embedding_scorer(factory: Callable[[], Callable[[bytes], np.ndarray]], vector: str = "vector") -> Callable[[], Callable[[bytes, list[dict]], np.ndarray]]:
+    """A scorer for operators.decoding: the cosines of a frame's embedding, made once, and the queries' vectors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = factory()
-        for pdf in batches:
-            for q, v, path, ids in zip(pdf["query_id"], pdf["video_id"], pdf["video_path"], pdf["frame_ids"], strict=True):
-                wanted = sorted({int(i) for i in ids if i >= 0})
-                rows = [(q, v, k, f, c) for k, (f, c) in enumerate(decode(path, wanted))]
-                yield pd.DataFrame(rows, columns=["query_id", "video_id", "pos", "frame_id", "content"])
+    def made() -> Callable[[bytes, list[dict]], np.ndarray]:
+        encode = factory()
+
+        def score(content: bytes, asked: list[dict]) -> np.ndarray:
+            rows = np.array([[*np.asarray(encode(content), float).reshape(-1)], *(a[vector] for a in asked)], float)
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            if not (norms > 0).all():
+                raise ValueError("zero-norm vector")
+            rows = rows / norms
+            return rows[1:] @ rows[0]
+
+        return score
 
-    kind = candidates.schema["query_id"].dataType.simpleString()
-    return candidates.select("query_id", "video_id", "video_path", "frame_ids").mapInPandas(run, f"query_id {kind}, video_id string, pos int, frame_id long, content binary")
+    return made
 
 
 def probe_videos(paths: DataFrame, factory: Callable[[], Callable[[str], dict]]) -> DataFrame:

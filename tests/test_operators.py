@@ -379,22 +379,16 @@ def test_unified_benchmark(spark, frames, tmp_path, capsys):
     (tmp_path / "other.json").write_text('{"rows": 4, "dimension": 2, "metric": "inner_product"}')
     with pytest.raises(ValueError, match="rows"):
         cli.main(["retrieve", "--query", "xe", "--output", str(tmp_path / "i"), *index, *args], spark)
-    scorer = lambda queries: spark.createDataFrame([("V1", 0, 0, 0.1), ("V1", 1, 1, 0.9)], "video_id string, pos long, frame_id long, score double")
-    assert cli.main(["retrieve", "--query", "xe", "--output", str(tmp_path / "f"), "--fine-score", *args], spark, models.hashing_encoder, None, scorer) == 0
     with pytest.raises(SystemExit):
         cli.main(["retrieve", "--query", "xe", "--output", str(tmp_path / "f"), "--fine-score", *args], spark)
 
 
 def test_models(spark):
-    frames = spark.createDataFrame([("q", "V", 0, 1, b"a"), ("q", "V", 1, 2, b"bb")], "query_id string, video_id string, pos int, frame_id long, content binary")
-    assert [r.score for r in models.score_frames(frames, lambda: lambda batch: [float(len(b)) for b in batch]).orderBy("pos").collect()] == [1.0, 2.0]
     unit = models.grounded_scorer([3.0, 0.0, 0.0], lambda v, f: [float(v.sum())] * len(f))()
     assert unit([1, 2]) == [1.0, 1.0]
     paths = spark.createDataFrame([("a", "a.mp4"), ("b", "b.mp4")], "video_id string, video_path string")
     probed = models.probe_videos(paths, lambda: lambda p: {"fps": 25.0 if p[0] == "a" else 0.0, "frame_count": 50, "width": 2, "height": 2}).orderBy("video_id").collect()
     assert probed[0].duration_sec == 2.0 and "fps" in probed[1].error
-    cand = spark.createDataFrame([("q", "V", "p", [2, 1, 1, -3])], "query_id string, video_id string, video_path string, frame_ids array<bigint>")
-    assert [r.frame_id for r in models.decode_frames(cand, lambda: lambda p, ids: ((i, b"x") for i in ids)).collect()] == [1, 2]
     ask = spark.createDataFrame([("q", "what", "V", [1], [b"x"])], "query_id string, question string, video_id string, frame_ids array<bigint>, frames array<binary>")
     assert models.answer_questions(ask, lambda: lambda q, f: f" {q}! ").first().answer == X.prompt("what") + "!"
 
