@@ -1,19 +1,24 @@
-"""MinHash near-duplicates: ProbMinHash of word shingles, banding, exact verification, components.
+"""MinHash near-duplicates: ProbMinHash of weighted word shingles, banding, exact verification, components.
 
 A text's shingles are its runs of five words (`[^\\x20\\x09-\\x0D]+`, unchanged; a text of one to four words has
-one shingle of them all), each counted once however often it occurs.  Every shingle starts a Poisson process
-whose rate is its weight, here 1; its arrivals fall on registers at random, and a register keeps its earliest
-arrival.  A shingle's process ends as soon as its next arrival comes after the latest register.  Two texts
-agree on a register with the probability Jaccard similarity of their shingles, which at equal weights is
-the Jaccard similarity that candidates are verified by.
+one shingle of them all); one that occurs c times in the text weighs 1 + ln c.  Every shingle starts a Poisson process
+whose rate is its weight; its arrivals fall on registers at random, and a register keeps its earliest
+arrival.  A shingle's process ends as soon as its next arrival comes after the latest register.  Two texts agree on a
+register with the probability of their probability Jaccard similarity,
 
-Texts with the same shingles are one class from the start.  Class representatives that share a
+    J(x, y) = sum over shingles i of both of 1 / (sum over all j of max(x_j / x_i, y_j / y_i)),
+
+which is the similarity that candidates are verified by; where no shingle is repeated it is the Jaccard similarity.
+
+Texts with the same shingles, equally often, are one class from the start.  Class representatives that share a
 band are candidates.  In each band they are first compared with one pivot, not with each other, so that
 a band of n copies costs n comparisons; bands with the same contents count once.  Where a band's members then are in
 several components, whatever the band's size, its members get new keys, their rarest shingles by prefix
 filtering, which similar texts share and texts with a common passage don't; texts of different components that share
-such a key, with enough shingles after it, are compared.  That leaves out no similar pair of these members.
-Candidates are verified by the exact Jaccard similarity of their shingles (64-bit hashes), 0.8 or more.
+such a key, with enough weight after it, are compared.  That leaves out no similar pair of these members: with P and Q the
+parts of both texts' weights that their common shingles have, J is at most P, at most Q, and at most
+(P / (2 - P) + Q / (2 - Q)) / 2, and the common shingles are at or after the first of them in one order of all.
+Candidates are verified by their exact similarity (of 64-bit hashes of shingles), 0.8 or more.
 
 Defined results: null, empty and blank texts have no shingles and form one class; repeated rows are in one
 class; a class's id is its smallest non-null doc_id; other columns are kept only on request; an empty
@@ -37,10 +42,12 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
+#: What rounding may take from a sum: similarities count as the threshold's within it.
+SLACK = 1e-9
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of each different shingle, by text and hash."""
+def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of each different shingle, by text and hash, and how often it occurs there."""
     tokens = Tokens(buf, offsets, "words")
     words, count = tokens.hashes(), np.diff(tokens.first)
     grams = gram_hashes(words, k)
@@ -55,7 +62,11 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return doc[new], hashes[new]
+    return doc[new], hashes[new], np.diff(np.append(np.flatnonzero(new), len(doc)))
+
+
+def weight(times: np.ndarray) -> np.ndarray:
+    return 1 + np.log(times)
 
 
 def sketch(n: int, doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -79,14 +90,26 @@ def sketch(n: int, doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, reg
     return winner.reshape(n, registers)
 
 
-def plain(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of different hashes."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / max(1, len(a) + len(b) - shared)
+def similarity(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    """Probability Jaccard similarity of two sorted arrays of different hashes with weights x and y."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    if x.max() == x.min() and y.max() == y.min():
+        return len(i) / (len(a) + len(b) - len(i))
+    p, q = x[i], y[j]
+    order = np.argsort(q / p, kind="stable")
+    p, q = p[order], q[order]
+    ratio = q / p
+    upto = np.searchsorted(ratio, ratio, "right")
+    # x counts where y / x is at most that of i, and y where it is more; equal ratios make both the same
+    low = x.sum() - p.sum() + np.cumsum(p)[upto - 1]
+    high = y.sum() - np.cumsum(q)[upto - 1]
+    return float((1 / (low / p + high / q)).sum())
 
 
-def _content(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def _content(hashes: np.ndarray, times: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes() + (b"" if (times == 1).all() else times.astype("<i8").tobytes()), digest_size=16).digest()
 
 
 def _row() -> Column:
@@ -102,11 +125,11 @@ def _signed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, buf, offsets in text_chunks(batch):
                 n = len(offsets) - 1
-                doc, hashes = shingles(buf, offsets)
+                doc, hashes, times = shingles(buf, offsets)
                 cut = np.searchsorted(doc, np.arange(n + 1))
-                content = [_content(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                content = [_content(hashes[a:b], times[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 keys = np.zeros((n, BANDS), np.uint64)
-                for row in sketch(n, doc, hashes, np.ones(len(doc))).reshape(n, BANDS, ROWS).transpose(2, 0, 1):
+                for row in sketch(n, doc, hashes, weight(times)).reshape(n, BANDS, ROWS).transpose(2, 0, 1):
                     keys = mix(keys * U(31) + row + band)
                 flat = pa.array(keys.view(np.int64).reshape(-1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), flat)
@@ -116,21 +139,29 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, hashes) of the wanted (doc_id, row, content)."""
+    """(content, hashes, times) of the wanted (doc_id, row, content); times is null where each shingle occurs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in text_chunks(batch):
-                doc, hashes = shingles(buf, offsets)
+                doc, hashes, times = shingles(buf, offsets)
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
-                rows = [(c, hashes[a:b].tobytes()) for c, a, b in zip(part.column("content").to_pylist(), cut[:-1], cut[1:], strict=True) if c == _content(hashes[a:b])]
-                columns = list(zip(*rows, strict=True)) if rows else [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["content", "hashes"])
+                rows = []
+                for c, a, b in zip(part.column("content").to_pylist(), cut[:-1], cut[1:], strict=True):
+                    if c == _content(hashes[a:b], times[a:b]):
+                        rows.append((c, hashes[a:b].tobytes(), None if (times[a:b] == 1).all() else times[a:b].astype("<i4").tobytes()))
+                columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["content", "hashes", "times"])
 
     ids = wanted.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text")
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row")))
-    return texts.select("content", "text").mapInArrow(run, "content binary, hashes binary").dropDuplicates(["content"])
+    return texts.select("content", "text").mapInArrow(run, "content binary, hashes binary, times binary").dropDuplicates(["content"])
+
+
+def _unpacked(hashes: bytes, times: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(hashes, "<u8")
+    return own, np.ones(len(own)) if times is None else weight(np.frombuffer(times, "<i4"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -139,16 +170,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if plain(np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")) >= threshold:
+            for a, b, left, m, right, n in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                (ha, wa), (hb, wb) = _unpacked(left, m), _unpacked(right, n)
+                if similarity(ha, hb, wa, wb) >= threshold - SLACK:
                     rows.append((a, b))
             columns = list(zip(*rows, strict=True)) if rows else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["a", "b"])
 
     bound_batches(sets.sparkSession)
-    left = sets.select(F.col("content").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("content").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+    left = sets.select(F.col("content").alias("a"), F.col("hashes").alias("ha"), F.col("times").alias("ta"))
+    right = sets.select(F.col("content").alias("b"), F.col("hashes").alias("hb"), F.col("times").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ta", "hb", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -219,39 +251,42 @@ def _linked(known: DataFrame, labels: DataFrame, sets: DataFrame, threshold: flo
 
 
 def _rare(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, content, place, total) by prefix filtering: texts of similarity t share one of the n - ceil(t n) + 1
-    rarest of each one's n shingles, under one order of all shingles; place: that of the shingle, from 1.
-    Shingles of one text alone come first and need not be listed."""
+    """(key, content, after, n, total, most) by prefix filtering: texts of similarity t share a shingle from which on, under
+    one order of all shingles by how many texts have them, each of both still has a part t of its weight.  after: that
+    part at a shingle, itself included; n, total and most: the text's shingles, their weight, and the largest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, raw in zip(batch.column("content"), batch.column("hashes").to_pylist(), strict=True):
-                own = np.frombuffer(raw, "<i8")
+            for content, raw, times in zip(*(batch.column(c).to_pylist() for c in ("content", "hashes", "times")), strict=True):
+                own, each = _unpacked(raw, times)
                 n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([content.as_py()] * n, pa.binary()), pa.array(own), pa.array(np.full(n, n, np.int64))], ["content", "key", "total"])
+                columns = [pa.array([content] * n, pa.binary()), pa.array(own.view(np.int64)), pa.array(each), *(pa.array(np.full(n, v, float)) for v in (n, each.sum(), each.max(initial=0)))]
+                yield pa.RecordBatch.from_arrays(columns, ["content", "key", "own", "n", "total", "most"])
 
-    each = materialize(sets.select("content", "hashes").mapInArrow(run, "content binary, key long, total long"))
+    each = materialize(sets.select("content", "hashes", "times").mapInArrow(run, "content binary, key long, own double, n double, total double, most double"))
     common = materialize(each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1"))
-    shared = each.join(common, "key").withColumn("listed", F.count("*").over(W.partitionBy("content")))
-    order = F.row_number().over(W.partitionBy("content").orderBy("among", "key"))
-    ranked = shared.withColumn("place", F.col("total") - F.col("listed") + order)
-    rare = materialize(ranked.where(F.col("place") <= F.col("total") - F.ceil(F.lit(threshold) * F.col("total")) + 1).select("key", "content", "place", "total"))
+    # shingles of one text alone come first and need not be listed
+    after = F.sum("own").over(W.partitionBy("content").orderBy(F.desc("among"), F.desc("key")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = each.join(common, "key").withColumn("after", after / F.col("total"))
+    rare = materialize(ranked.where(F.col("after") >= threshold - SLACK).select("key", "content", "after", "n", "total", "most"))
     discard(each, common)
     return rare
 
 
 def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Labels after comparing texts of different components that share a rare shingle, where enough shingles
-    follow it in both; of the shared shingles that is true of the first, if the texts are similar."""
+    """Labels after comparing texts of different components that share a rare shingle, where enough weight
+    follows it in both; of the shared shingles that is true of the first, if the texts are similar."""
     named = rare.join(labels, "content")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
     mains = materialize(sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
     open_ = materialize(named.join(mains, "key"))
-    one = open_.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("content", "label", "main", "place", "total")))
-    two = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("content", "label", "place", "total")))
-    follow = 1 + F.least(F.col("total_a") - F.col("place_a"), F.col("total_b") - F.col("place_b"))
-    enough = follow >= threshold / (1 + threshold) * (F.col("total_a") + F.col("total_b")) - 1e-6
-    fits = F.least("total_a", "total_b") >= F.lit(threshold) * F.greatest("total_a", "total_b") - 1e-6
+    names = ("content", "label", "after", "n", "total", "most")
+    one = open_.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in (*names, "main")))
+    two = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in names))
+    at_most = lambda c: F.col(c) / (2 - F.col(c))
+    enough = at_most("after_a") + at_most("after_b") >= 2 * threshold - SLACK
+    # the common shingles are no more than either has: at most so much of the other's weight
+    fits = (F.col("n_a") * F.col("most_b") >= F.col("total_b") * threshold - SLACK) & (F.col("n_b") * F.col("most_a") >= F.col("total_a") * threshold - SLACK)
     once = (F.col("label_b") == F.col("main_a")) | (F.col("content_a") < F.col("content_b"))
     more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & fits & enough)
     more = more.select(F.least("content_a", "content_b").alias("a"), F.greatest("content_a", "content_b").alias("b")).distinct()

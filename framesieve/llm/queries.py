@@ -163,18 +163,31 @@ FROM texts LEFT JOIN kept USING (row_id)
 """
 
 
-#: All pairs; what banding may miss of them is below one in ten thousand at the threshold itself.
+#: All pairs whose common shingles have enough of both texts' weight; what banding may miss of them is below one in ten
+#: thousand at the threshold itself.
 _OP9_SQL = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
-), shingles AS (
-  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)
-), sizes AS (
-  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
-), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), shingles AS MATERIALIZED (
+  SELECT doc_id, s, 1 + ln(count(*)) AS w
+  FROM (SELECT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)) GROUP BY ALL
+), totals AS (
+  SELECT doc_id, sum(w) AS total FROM shingles GROUP BY doc_id
+), close AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id JOIN totals p ON p.doc_id = x.doc_id JOIN totals q ON q.doc_id = y.doc_id
+  GROUP BY ALL HAVING sum(least(x.w / p.total, y.w / q.total)) >= 0.8 - 1e-6
+), sides AS (
+  SELECT a, b, s, w AS x, 0.0 AS y FROM close JOIN shingles ON doc_id = a UNION ALL SELECT a, b, s, 0.0, w FROM close JOIN shingles ON doc_id = b
+), both_ AS (
+  SELECT a, b, s, max(x) AS x, max(y) AS y FROM sides GROUP BY ALL
+), ratios AS (
+  SELECT *, CASE WHEN x = 0 THEN 1e300 ELSE y / x END AS r FROM both_
+), sums AS (
+  SELECT *, sum(x) OVER upto AS low, sum(y) OVER (PARTITION BY a, b) - sum(y) OVER upto AS high FROM ratios WINDOW upto AS (PARTITION BY a, b ORDER BY r RANGE UNBOUNDED PRECEDING)
+), similar_ AS (
+  SELECT a, b FROM sums WHERE x > 0 AND y > 0 GROUP BY a, b HAVING sum(1 / (low / x + high / y)) >= 0.8 - 1e-9
 ), links AS (
-  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)
+  SELECT a, b FROM similar_ UNION ALL SELECT b, a FROM similar_
   UNION ALL SELECT x.doc_id, y.doc_id FROM texts x, (SELECT min(doc_id) AS doc_id FROM texts WHERE len(words) = 0) y WHERE len(x.words) = 0
   UNION ALL SELECT y.doc_id, x.doc_id FROM texts x, (SELECT min(doc_id) AS doc_id FROM texts WHERE len(words) = 0) y WHERE len(x.words) = 0
 ), reached(a, b) AS (

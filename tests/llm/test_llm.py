@@ -548,11 +548,17 @@ def test_tiff_text(spark):
 # 9 -----------------------------------------------------------------------------------------------
 
 
+def similarity_brute(x, y):
+    """Probability Jaccard of two dicts of weights, as it is written."""
+    return sum(1 / sum(max(x.get(k, 0) / x[i], y.get(k, 0) / y[i]) for k in x.keys() | y.keys()) for i in x if i in y)
+
+
 def classes_brute(rows):
     sets = []
     for _, t in rows:
         w = (t or "").split()
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+        sets.append({g: 1 + math.log(n) for g, n in collections.Counter(grams).items()})
     up = list(range(len(rows)))
 
     def top(x):
@@ -562,7 +568,7 @@ def classes_brute(rows):
 
     for i, j in itertools.combinations(range(len(rows)), 2):
         a, b = sets[i], sets[j]
-        if a == b or len(a & b) >= 0.8 * len(a | b):
+        if a == b or top(i) != top(j) and len(a.keys() & b.keys()) >= 0.4 * len(a.keys() | b.keys()) and similarity_brute(a, b) >= 0.8 - 1e-9:
             up[top(i)] = top(j)
     out = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -599,11 +605,45 @@ def test_near_dup(spark, docs):
 
 
 def test_near_dup_repeated_lines(spark):
+    """A line repeated 50 times weighs as much as nearly five lines do, in the sketch, the prefix filter and the comparison."""
+    rows, wanted = [], []
+    for i in range(30):
+        text, line = " ".join(f"r{i}_{k}" for k in range(84)), f" l{i} m{i} n{i} o{i} p{i}"
+        rows += [(4 * i, text), (4 * i + 1, text + line), (4 * i + 2, text + line * 50), (4 * i + 3, text + f" l{i}" + line * 45)]
+        wanted += [[str(4 * i), str(4 * i + 1)], [str(4 * i + 2), str(4 * i + 3)]]
+    assert classes(near_dup.near_duplicates(table(spark, rows)).collect()) == classes_brute(rows) == sorted(sorted(w) for w in wanted)
+
+
+def test_similarity_against_its_formula():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in "ab")
+        x, y = (near_dup.weight(rng.integers(1, 4, len(h))) for h in (a, b))
+        assert near_dup.similarity(a, b, x, y) == pytest.approx(similarity_brute(dict(zip(a, x, strict=True)), dict(zip(b, y, strict=True))))
+        assert near_dup.similarity(a, a, x, x) == pytest.approx(1)
+
+
+def test_prefix_filter_leaves_out_no_similar_pair(spark, monkeypatch):
+    """Without bands only the rare shingles make candidates: all pairs of a crowd are compared that must be."""
+    rng = random.Random(4)
     rows = []
-    for i in range(30):  # 40 shingles, and 49 with them: similarity 0.816, however often the line is repeated
-        text = " ".join(f"r{i}_{k}" for k in range(44))
-        rows += [(2 * i, text), (2 * i + 1, text + f" l{i} m{i} n{i} o{i} p{i}" * 50)]
-    assert classes(near_dup.near_duplicates(table(spark, rows)).collect()) == classes_brute(rows) == sorted([str(2 * i), str(2 * i + 1)] for i in range(30))
+    for i in range(12):
+        base = [f"x{i}_{k}" for k in range(60)]
+        for j in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(60)
+                w[at:at] = w[max(0, at - 7) : at] * rng.randint(0, 3)
+            rows.append((10 * i + j, " ".join(w + ["common tail of five words"])))
+    signed = near_dup._signed(table(spark, rows)).collect()
+    sets = near_dup.materialize(near_dup._shingled(table(spark, rows), spark.createDataFrame([(r.doc_id, r.row, r.content) for r in signed], "doc_id long, row binary, content binary")))
+    labels = near_dup.materialize(sets.select("content", F.col("content").alias("label")))
+    made = near_dup._compared_rare(near_dup._rare(sets, 0.8), labels, sets, 0.8).collect()
+    label = {bytes(r.content): bytes(r.label) for r in made}
+    found = collections.defaultdict(list)
+    for r in signed:
+        found[label[bytes(r.content)]].append(str(r.doc_id))
+    assert sorted(sorted(v) for v in found.values()) == classes_brute(rows)
 
 
 def test_keep_one_by_row(spark):
