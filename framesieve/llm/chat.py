@@ -7,7 +7,7 @@ covers the text and end mark of the participant's own turns, as character spans
 
 A rendering comes in chunks of at most CHUNK turns, each with its place, so that a dialogue of any
 length is spread over tasks: rows are dealt by ranges of (conversation, turn, role, text) and then by chunk,
-never by conversation.  The output is as large as participants times turns, which is what is asked for.
+and meet their speakers by broadcast or by conversation and a part of its chunks, never by conversation alone.  The output is as large as participants times turns, which is what is asked for.
 
 Defined results: rows that repeat in all four columns count once; a null text is empty, a null role is
 the speaker "unknown", a null turn comes first, null conversation ids form one dialogue; a dialogue of
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +29,28 @@ from .common import bound_batches, materialize
 CHUNK = 64
 #: Chunks whose places one task counts.
 STRETCH = 256
+#: Speakers of all conversations that are broadcast; of more, each is copied for this many parts of a dialogue's chunks.
+SPEAKERS, PARTS = 200_000, 32
 CONTEXT_ROLES = ("system",)
 END = "<|end|>"
 
 
-def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted turns of one partition, without repeats, with the partition and their number in their conversation there."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns of one partition, without repeats, with the partition and their number in their conversation there.
+    Arrow keeps 64-bit ids and turns exact beside nulls."""
     part, last, n = TaskContext.get().partitionId(), None, 0
-    for pdf in batches:
-        out: list[tuple] = []
-        for conv, turn, role, text in zip(*(pdf[c].array for c in ("conv_id", "turn", "role", "text")), strict=True):
-            conv, turn = (None if pd.isna(x) else int(x) for x in (conv, turn))
-            now = (conv, turn, role, text)
+    for batch in batches:
+        keep, number = [], []
+        for at, now in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True)):
             if now == last:
                 continue
-            n = n + 1 if last is not None and last[0] == conv else 0
+            n = n + 1 if last is not None and last[0] == now[0] else 0
             last = now
-            out.append((conv, part, n, role, text))
-        yield pd.DataFrame(out, columns=["conv_id", "part", "n", "role", "text"])
+            keep.append(at)
+            number.append(n)
+        rows = batch.take(pa.array(keep, pa.int64()))
+        columns = [rows.column("conv_id"), pa.array([part] * len(keep), pa.int32()), pa.array(number, pa.int64()), rows.column("role"), rows.column("text")]
+        yield pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "n", "role", "text"])
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def _chunked(rows: DataFrame) -> DataFrame:
     whole order, then by conversation and chunk, so that no task gets more of a conversation than its share."""
     order = ["conv_id", "turn", "role", "text"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = materialize(dealt.mapInPandas(_numbered, "conv_id long, part int, n long, role string, text string"))
+    numbered = materialize(dealt.mapInArrow(_numbered, "conv_id long, part int, n long, role string, text string"))
     counts = numbered.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = counts.select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part"), before.alias("before"))
@@ -79,7 +83,7 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     people = chunks.select("conv_id", F.explode(F.array_distinct(F.transform("turns", lambda t: t["role"]))).alias("speaker")).distinct()
     if context_roles:
         people = people.where(~F.col("speaker").isin(*context_roles))
-    people = people.withColumnRenamed("conv_id", "__conv")
+    people = materialize(people.withColumnRenamed("conv_id", "__conv"))
 
     def head(t):
         context = F.concat(F.lit("<|"), t["role"], F.lit("|>\n")) if context_roles else F.lit("")
@@ -89,7 +93,12 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
 
     # places come from lengths alone, so that texts aren't moved for them
     sizes = chunks.select("conv_id", "chunk", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n"))).alias("turns"))
-    sizes = sizes.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")))
+    same = F.col("conv_id").eqNullSafe(F.col("__conv"))
+    if people.count() <= SPEAKERS:
+        sizes = sizes.join(F.broadcast(people), same)
+    else:
+        copied = people.withColumn("__part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+        sizes = sizes.withColumn("part", F.pmod("chunk", F.lit(PARTS))).join(copied, same & (F.col("part") == F.col("__part")))
     total = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(head(t)) + t["n"] + len(END) + 1)
     # sums over stretches of chunks first: no task gets more of a long dialogue than a stretch, or the sums of all
     sizes = materialize(sizes.select("conv_id", "speaker", "chunk", F.expr(f"chunk div {STRETCH}").alias("stretch"), total.alias("total")))
