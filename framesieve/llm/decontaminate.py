@@ -11,14 +11,14 @@ written, before the next shard is read; documents are never grouped or shuffled
 documents hold makes no hot key.
 
 Defined results: null and empty texts match nothing; items shorter than SEED tokens, the tiling's least match, can't
-match (a word or two would contaminate nearly everything); repeated items count separately, repeated documents
-are judged alike; an empty benchmark contaminates nothing; other columns are kept only on request, whatever
+match (a word or two would contaminate nearly everything); repeated items count separately, those without an id are listed
+first, repeated documents are judged alike; an empty benchmark contaminates nothing; other columns are kept only on request, whatever
 their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,28 +37,69 @@ THRESHOLD = 0.5
 SHARD_CHARS = 8 << 20
 
 
+def _free_runs(free: np.ndarray, tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which size unmarked tokens begin, and their hashes."""
+    hashes = gram_hashes(tokens, size)
+    if not len(hashes):
+        return np.zeros(0, np.int64), hashes
+    taken = np.concatenate(([0], np.cumsum(~free)))
+    at = np.flatnonzero(taken[size:] == taken[: len(taken) - size])
+    return at, hashes[at]
+
+
+def _before(free: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each place, and whether there is none that could be matched."""
+    token, none = np.concatenate((tokens[:1], tokens[:-1])), np.ones(len(tokens), bool)
+    none[1:] = ~free[:-1]
+    return token, none
+
+
+def _run_ends(free: np.ndarray) -> np.ndarray:
+    """Where the run of unmarked tokens that holds a place ends."""
+    marked = np.append(np.flatnonzero(~free), len(free))
+    return marked[np.searchsorted(marked, np.arange(len(free)))]
+
+
+def _starts(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (i in doc, j in item) at which equal runs of size begin and that don't go on before them: a match is
+    found from its first token only.  Within one hash, places are told apart by the token before, so that a token
+    repeated n times makes n pairs and not n squared."""
+    at_doc, hash_doc = _free_runs(free_doc, doc, size)
+    at_item, hash_item = _free_runs(free_item, item, size)
+    order, order_item = np.argsort(hash_doc, kind="stable"), np.argsort(hash_item, kind="stable")
+    at_doc, hash_doc, at_item, hash_item = at_doc[order], hash_doc[order], at_item[order_item], hash_item[order_item]
+    (token_doc, none_doc), (token_item, none_item) = _before(free_doc, doc), _before(free_item, item)
+    each, first, times = np.unique(hash_item, return_index=True, return_counts=True)
+    low, high = np.searchsorted(hash_doc, each, "left"), np.searchsorted(hash_doc, each, "right")
+    single = (times == 1) & (high - low == 1)
+    i, j = at_doc[low[single]], at_item[first[single]]
+    begins = none_doc[i] | none_item[j] | (token_doc[i] != token_item[j])
+    yield i[begins], j[begins]
+    for k in np.flatnonzero(~single & (high > low)).tolist():
+        in_doc, in_item = at_doc[low[k] : high[k]], at_item[first[k] : first[k] + times[k]]
+        open_ = none_item[in_item]
+        tokens = token_item[in_item]
+        for group, others in [(in_item[open_], in_doc), *((in_item[~open_ & (tokens == t)], in_doc[none_doc[in_doc] | (token_doc[in_doc] != t)]) for t in np.unique(tokens[~open_]))]:
+            for j in group.tolist():
+                yield others, np.full(len(others), j)
+
+
 def _scan(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> tuple[int, list[tuple[int, int, int]]]:
     """Maximal matches of at least size unmarked tokens, found by hashes of runs of size tokens; the length
     of one at least twice as long ends the scan, for it should be sought first."""
     found, longest = [], 0
-    table = defaultdict(list)
-
-    def runs(free: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
-        hashes = gram_hashes(tokens, size)
-        taken = np.concatenate(([0], np.cumsum(~free)))
-        for i in np.flatnonzero(taken[size:] == taken[: len(taken) - size]) if len(hashes) else ():
-            yield int(i), int(hashes[i])
-
-    for i, h in runs(free_doc, doc):
-        table[h].append(i)
-    for j, h in runs(free_item, item):
-        for i in table.get(h, ()):
-            # a match is reported from its first token only
-            if i and j and free_doc[i - 1] and free_item[j - 1] and doc[i - 1] == item[j - 1]:
-                continue
-            k = 0
-            while i + k < len(doc) and j + k < len(item) and free_doc[i + k] and free_item[j + k] and doc[i + k] == item[j + k]:
-                k += 1
+    ends_doc, ends_item = _run_ends(free_doc), _run_ends(free_item)
+    for many, of in _starts(doc, item, free_doc, free_item, size):
+        for i, j in zip(many.tolist(), of.tolist(), strict=True):
+            room = int(min(ends_doc[i] - i, ends_item[j] - j))
+            k, step = 0, max(64, size)
+            while k < room:  # compared in steps that double
+                step = min(step, room - k)
+                wrong = np.flatnonzero(doc[i + k : i + k + step] != item[j + k : j + k + step])
+                if len(wrong):
+                    k += int(wrong[0])
+                    break
+                k, step = k + step, 2 * step
             if k >= size:
                 longest = max(longest, k)
                 if k >= 2 * size:
@@ -67,8 +108,16 @@ def _scan(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np
     return longest, found
 
 
+def _left(free: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and length of every run of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], free, [False]))))
+    return zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED, start: int = 20) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two arrays of token hashes: (position in doc, in item, length) of every tile."""
+    """Greedy string tiling of two arrays of token hashes: (position in doc, in item, length) of every tile.  The longest
+    match is marked first, of equal ones the first in doc, then in item; what is left of a match that a tile covers in
+    part waits for its turn among the others."""
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
     out, size = [], max(start, least)
     while True:
@@ -76,16 +125,20 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED, start: int = 20)
         if longest >= 2 * size:
             size = longest
             continue
-        again = False
-        for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_doc[i : i + k].all() and free_item[j : j + k].all():
+        heap = [(-k, i, j) for k, i, j in found]
+        heapq.heapify(heap)
+        while heap:
+            k, i, j = heapq.heappop(heap)
+            k = -k
+            free = free_doc[i : i + k] & free_item[j : j + k]
+            if free.all():
                 free_doc[i : i + k] = False
                 free_item[j : j + k] = False
                 out.append((i, j, k))
-            else:
-                again = True  # what is left of a covered match may still be long enough
-        if again:
-            continue
+            elif free.any():
+                for at, n in _left(free):
+                    if n >= size:
+                        heapq.heappush(heap, (-n, i + at, j + at))
         if size <= least:
             return sorted(out)
         size = max(least, size // 2)
@@ -105,7 +158,7 @@ class Shard:
                 own = hashes[tokens.first[d] : tokens.first[d + 1]]
                 self.ids.append(items[k][0])
                 self.tokens.append(own)
-                grams = gram_hashes(own, SEED)
+                grams = np.unique(gram_hashes(own, SEED))  # a seed that an item repeats names it once
                 seeds.append(grams)
                 owner.append(np.full(len(grams), k))
                 k += 1
@@ -116,13 +169,13 @@ class Shard:
     def judge(self, hashes: np.ndarray, hit: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Items of which the seeded part of a document covers enough: (item, coverage)."""
         low = np.searchsorted(self.seeds, grams[hit], "left")
-        high = np.searchsorted(self.seeds, grams[hit], "right")
-        per: dict[int, list[int]] = defaultdict(list)
-        for at, a, b in zip(hit, low, high, strict=True):
-            for item in set(self.owner[a:b].tolist()):
-                per[item].append(int(at))
+        size = np.searchsorted(self.seeds, grams[hit], "right") - low
+        ends = np.cumsum(size)
+        items = self.owner[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        order = np.argsort(items, kind="stable")
+        named, cut = np.unique(items[order], return_index=True)
         out = []
-        for item, places in per.items():
+        for item, places in zip(named.tolist(), np.split(np.repeat(hit, size)[order], cut[1:]), strict=True):
             own = self.tokens[item]
             grams_own = gram_hashes(own, SEED)
             shared = np.isin(grams_own, grams[places])
@@ -133,7 +186,7 @@ class Shard:
                 continue
             inside = np.zeros(len(hashes) + 1, bool)
             for d in range(SEED):
-                inside[np.asarray(places) + d] = True
+                inside[places + d] = True
             # parts between seeded runs can't be in a tile; one foreign token keeps the runs apart
             gap = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
             part = np.insert(np.where(inside[:-1], hashes, 0), gap[gap < len(hashes)], 0)
@@ -167,7 +220,7 @@ def _pass(rows: DataFrame, shard: Shard, text: str, threshold: float) -> tuple[D
                 for d in np.unique(owners):
                     a, b = tokens.first[d], tokens.first[d + 1]
                     got = bench.judge(hashes[a:b], hits[owners == d] - a, grams[a : b - SEED + 1], threshold)
-                    found[d] = [{"item_id": i, "coverage": c} for i, c in sorted(got)]
+                    found[d] = [{"item_id": i, "coverage": c} for i, c in sorted(got, key=lambda m: (m[0] is not None, m[0] or 0, m[1]))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(kept))), pa.array(found, kind)], [*(f.name for f in kept), "matches"])
 
     return rows.mapInArrow(run, schema), data
