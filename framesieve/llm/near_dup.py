@@ -251,28 +251,33 @@ def _linked(known: DataFrame, labels: DataFrame, sets: DataFrame, threshold: flo
 
 
 def _rare(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, content, after, n, total, most) by prefix filtering: texts of similarity t share a shingle from which on, under
-    one order of all shingles by how many texts have them, each of both still has a part t of its weight.  after: that
-    part at a shingle, itself included; n, total and most: the text's shingles, their weight, and the largest of them."""
+    """(key, content, after, left, total, extra, repeated, most) by prefix filtering: texts of similarity t share a shingle
+    from which on, under one order of all shingles by how many texts have them, each of both still has a part t of its
+    weight.  after and left: that part at a shingle, itself included, and of how many shingles; total: the text's weight;
+    repeated, extra and most: how many of its shingles occur again, their weight, and the largest weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, raw, times in zip(*(batch.column(c).to_pylist() for c in ("content", "hashes", "times")), strict=True):
                 own, each = _unpacked(raw, times)
-                n = len(own)
-                columns = [pa.array([content] * n, pa.binary()), pa.array(own.view(np.int64)), pa.array(each), *(pa.array(np.full(n, v, float)) for v in (n, each.sum(), each.max(initial=0)))]
-                yield pa.RecordBatch.from_arrays(columns, ["content", "key", "own", "n", "total", "most"])
+                n, again = len(own), each[each > 1]
+                numbers = (each.sum(), again.sum(), len(again), each.max(initial=0))
+                columns = [pa.array([content] * n, pa.binary()), pa.array(own.view(np.int64)), pa.array(each), *(pa.array(np.full(n, v, float)) for v in numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["content", "key", "own", "total", "extra", "repeated", "most"])
 
-    each = materialize(sets.select("content", "hashes", "times").mapInArrow(run, "content binary, key long, own double, n double, total double, most double"))
+    each = materialize(sets.select("content", "hashes", "times").mapInArrow(run, "content binary, key long, own double, total double, extra double, repeated double, most double"))
     common = materialize(each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1"))
     # shingles of one text alone come first and need not be listed
-    after = F.sum("own").over(W.partitionBy("content").orderBy(F.desc("among"), F.desc("key")).rowsBetween(W.unboundedPreceding, 0))
-    ranked = each.join(common, "key").withColumn("after", after / F.col("total"))
-    rare = materialize(ranked.where(F.col("after") >= threshold - SLACK).select("key", "content", "after", "n", "total", "most"))
+    upto = W.partitionBy("content").orderBy(F.desc("among"), F.desc("key")).rowsBetween(W.unboundedPreceding, 0)
+    ranked = each.join(common, "key").withColumn("after", F.sum("own").over(upto) / F.col("total")).withColumn("left", F.count("*").over(upto))
+    rare = materialize(ranked.where(F.col("after") >= threshold - SLACK).select("key", *PLACED))
     discard(each, common)
     return rare
 
 
+PLACED = ("content", "after", "left", "total", "extra", "repeated", "most")
+
+
 def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Labels after comparing texts of different components that share a rare shingle, where enough weight
     follows it in both; of the shared shingles that is true of the first, if the texts are similar."""
@@ -280,15 +285,20 @@ def _compared_rare(rare: DataFrame, labels: DataFrame, sets: DataFrame, threshol
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
     mains = materialize(sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
     open_ = materialize(named.join(mains, "key"))
-    names = ("content", "label", "after", "n", "total", "most")
+    names = (*PLACED, "label")
     one = open_.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in (*names, "main")))
     two = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in names))
-    at_most = lambda c: F.col(c) / (2 - F.col(c))
-    enough = at_most("after_a") + at_most("after_b") >= 2 * threshold - SLACK
-    # the common shingles are no more than either has: at most so much of the other's weight
-    fits = (F.col("n_a") * F.col("most_b") >= F.col("total_b") * threshold - SLACK) & (F.col("n_b") * F.col("most_a") >= F.col("total_a") * threshold - SLACK)
+    common = F.least("left_a", "left_b")
+
+    def part(x: str) -> Column:
+        """At most so much of a text's weight have the common shingles: what is after, and as many of its heaviest."""
+        heaviest = F.when(common >= F.col(f"repeated_{x}"), F.col(f"extra_{x}") + common - F.col(f"repeated_{x}")).otherwise(F.least(F.col(f"extra_{x}"), common * F.col(f"most_{x}")))
+        return F.least(F.col(f"after_{x}"), heaviest / F.col(f"total_{x}"))
+
+    of_a, of_b = part("a"), part("b")
+    enough = (F.least(of_a, of_b) >= threshold - SLACK) & (of_a / (2 - of_a) + of_b / (2 - of_b) >= 2 * threshold - SLACK)
     once = (F.col("label_b") == F.col("main_a")) | (F.col("content_a") < F.col("content_b"))
-    more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & fits & enough)
+    more = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & enough)
     more = more.select(F.least("content_a", "content_b").alias("a"), F.greatest("content_a", "content_b").alias("b")).distinct()
     made = _joined(labels, materialize(_verified(more, sets, threshold)))
     discard(mains, open_)
