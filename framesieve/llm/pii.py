@@ -1,9 +1,12 @@
 """PII by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (email, ip, card, phone) come from fixed patterns with checks.  They, and keys written in hexadecimal
-(the kind secret, which has no base spans), seed a bootstrap.  An occurrence of an identifier has four lexical
-patterns: the two words before it, the word or delimiter before it, the one after it, both with its shape, and its
-shape with its length.  Every number- or address-like token of a text that is in no base span is a candidate
+(secrets, which have no base spans and a column of their own), seed a bootstrap.  An occurrence of an identifier has up to
+three lexical patterns: the two words before it, the word or delimiter before it and the one after it, both with its shape.
+Candidates are what base patterns don't take: addresses that are spelled out ("name (at) site
+dot org"), digits in groups with brackets, points, spaces or dashes between, and other tokens with a digit or "@" in them.
+A candidate may be of the kinds that it fits: an address has an "@", an "at" or another mark between words, an ip four
+groups of digits, a card 13 to 19 digits and a phone 7 to 15 and no letters.  Each one in no base span is an
 instance of its own patterns.  Spark scores the graph of patterns and instances round by round: a pattern's confidence
 in a kind is the number of its occurrences whose instance is trusted to be of that kind over the number of all its
 occurrences; patterns of enough confidence and enough different trusted instances make their other instances
@@ -13,8 +16,8 @@ identifiers, of the kind they are most confident in, in every text.
 Base spans are never changed, and what is found beside them never meets them.  Positions are code points, ends exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows get the same spans, and count as
-often as they occur; context words of over 40 characters, or beyond other words, aren't contexts (two words before and
-one after are looked for within 84 characters); candidates are whole tokens of any length without the
+often as they occur; extra spans of a text don't overlap; context words of over 40 characters, or beyond other words, aren't contexts (two words before and
+one after are looked for within 84 characters); candidates are of any length, without the
 quotes, brackets and marks around them; an empty table gives no rows; other columns are kept only on request,
 whatever their names.
 """
@@ -39,9 +42,21 @@ PATTERNS = {
 SECRET = len(KINDS)
 NAMES = (*KINDS, "secret")
 KEY = "^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}$"
-#: A token with a digit or "@" in it, and what may stand around an identifier in one.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-OPENING, CLOSING = r"^[\"'`(<\[{]+", r"[\"'`)>\]}.,;:!?*$%&#|]+$"
+#: What may be an identifier, leftmost first, whole runs at a time: an address that is spelled out, digits in groups, and a
+#: token with a digit or "@" in it; what may stand around an identifier in one.
+AT, DOT = (rf"(?:\({w}\)|\[{w}\]|\{{{w}\}}|<{w}>|(?<=\x20){w}(?=\x20))" for w in ("at", "dot"))
+SPELLED = rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?{AT}\x20?[A-Za-z0-9-]++(?:\x20?(?:{DOT}|\.)\x20?[A-Za-z0-9-]++)++"
+GROUPS = r"(?<![^\s\"'`(<\[{:=])[(\[+]?[0-9]++(?:[\x20()\[\]./-]{1,3}[0-9]++)++(?![A-Za-z0-9@])"
+CANDIDATE = rf"{SPELLED}|{GROUPS}|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+OPENING, CLOSING = r"^(?!\([0-9]+\))[\"'`(<\[{]+", r"[\"'`)>\]}.,;:!?*$%&#|]+$"
+#: What a candidate of each kind looks like.
+FITS = {
+    "email": r"(?i)^[^\s@]*[a-z][^\s@]*(?:@|[^a-z0-9\s._+-]|\x20?[(\[{<]?\bat\b[)\]}>]?\x20?)[^@]*[a-z]",
+    "ip": r"^[0-9]{1,3}(?:[^0-9a-zA-Z]{1,3}[0-9]{1,3}){3}$",
+    "card": r"^[0-9](?:[^0-9a-zA-Z]{0,3}[0-9]){12,18}$",
+    "phone": r"^[+(\[]{0,2}[0-9](?:[^0-9a-zA-Z]{0,3}[0-9]){6,14}$",
+    "secret": r"^[A-Za-z0-9_+/=-]{6,}$",
+}
 LEAST = 6
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
 #: Characters beside an entity in which its context is sought; matches or spans that are handled as one block.
@@ -126,14 +141,14 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """array<struct<start, kind, end, instance, patterns>> of the base entities by start, then kind; kind: place in
-    KINDS; instance: hash of its text; patterns: its lexical patterns."""
+    """array<struct<start, kind, end, instance, fits, patterns>> of the base entities by start, then kind; kind: place in
+    KINDS; instance: hash of its text; fits: a bit for each kind that it may be of; patterns: its lexical patterns."""
     digit = text.rlike("[0-9]")
     probes = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains(text, F.lit("+")) & digit}
 
     def of(k: int, kind: str) -> Column:
         good = F.filter(_positions(located(text, PATTERNS[kind], probes[kind])), lambda m: _valid(kind, m["found"]))
-        return F.transform(good, lambda m: F.struct(m["at"].alias("start"), F.lit(k).alias("kind"), (m["at"] + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
+        return F.transform(good, lambda m: F.struct(m["at"].alias("start"), F.lit(k).alias("kind"), (m["at"] + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), F.lit(1 << k).alias("fits"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
 
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
@@ -149,8 +164,7 @@ def _patterns(before: Column, found: Column, after: Column) -> Column:
     two = F.regexp_replace(F.regexp_extract(before, r"(?:^|\s)([^\s0-9@]{1,40}\s{1,4}[^\s0-9@]{1,40})\s{1,4}[\"'`(<\[{]*$", 1), r"\s+", " ")
     one = F.regexp_extract(before, r"(?:^|\s)([^\s0-9@]{1,40})\s{1,4}[\"'`(<\[{]*$", 1)
     next_ = F.regexp_extract(after, r"^[\"'`)>\]}.,;:!?*$%&#|]*\s{1,4}([^\s0-9@]{1,40})(?:\s|$)", 1)
-    sized = F.concat(F.lit("shape "), F.length(found), F.lit(" "), shape)
-    made = F.array(F.when(two != "", F.concat(F.lit("two "), two)), F.when(one != "", F.concat(F.lit("one "), one, F.lit(" "), shape)), F.when(next_ != "", F.concat(F.lit("next "), next_, F.lit(" "), shape)), sized)
+    made = F.array(F.when(two != "", F.concat(F.lit("two "), two)), F.when(one != "", F.concat(F.lit("one "), one, F.lit(" "), shape)), F.when(next_ != "", F.concat(F.lit("next "), next_, F.lit(" "), shape)))
     return F.transform(F.filter(made, lambda p: p.isNotNull()), F.lower)
 
 
@@ -161,23 +175,35 @@ def _blocks(spans: Column) -> Column:
     return F.when(F.size(spans) > 0, made).otherwise(F.slice(made, 1, 0))
 
 
+def _fits(found: Column) -> Column:
+    """A bit for each kind whose looks a candidate has."""
+    bits = F.lit(0)
+    for k, name in enumerate(NAMES):
+        bits = bits + F.when(found.rlike(FITS[name]), 1 << k).otherwise(0)
+    return bits
+
+
+def _may_be(fits: str, kind: str) -> Column:
+    return F.expr(f"shiftright({fits}, {kind}) & 1 = 1")
+
+
 def candidates(text: Column, base: str) -> Column:
-    """array<struct<start, kind, end, instance, patterns>> of the tokens that meet no base span (the column base);
-    kind: SECRET for keys, else -1."""
-    tokens = _positions(located(text, CANDIDATE, text.rlike("[0-9@]")))
+    """array<struct<start, kind, end, instance, fits, patterns>> of the candidates that meet no base span (the column
+    base); kind: SECRET for keys, else -1."""
+    tokens = _positions(located(text, CANDIDATE, text.rlike("[0-9@]") | text.rlike(AT)))
     bare = F.transform(tokens, lambda m: F.struct(m["at"].alias("at"), F.regexp_extract(m["found"], OPENING, 0).alias("opening"), F.regexp_replace(F.regexp_replace(m["found"], OPENING, ""), CLOSING, "").alias("found"), m["before"].alias("before"), F.concat(F.regexp_extract(m["found"], CLOSING, 0), m["after"]).alias("after")))
     long = F.filter(bare, lambda m: F.length(m["found"]) >= LEAST)
     kind = lambda m: F.when(m["found"].rlike(KEY), SECRET).otherwise(-1)
     start = lambda m: m["at"] + F.length(m["opening"])
-    drawn = F.transform(long, lambda m: F.struct(start(m).alias("start"), kind(m).alias("kind"), (start(m) + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
+    drawn = F.transform(long, lambda m: F.struct(start(m).alias("start"), kind(m).alias("kind"), (start(m) + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), _fits(m["found"]).alias("fits"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
     meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
     held = lambda c: F.exists(base, lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
     return F.when(F.size(base) == 0, drawn).otherwise(F.filter(drawn, lambda c: ~held(c)))
 
 
 def scored(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """(pattern, kind, confidence, support) of the confident patterns of a graph, edges (pattern, instance, n, kind): n
-    occurrences of an instance with a pattern; kind: that of its seeds, -1 for none."""
+    """(pattern, kind, confidence, support) of the confident patterns of a graph, edges (pattern, instance, n, kind, fits):
+    n occurrences of an instance with a pattern; kind: that of its seeds, -1 for none; fits: the kinds that it may be of."""
     trusted = materialize(edges.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("trusted")))
     patterns = None
     for last in range(rounds - 1, -1, -1):
@@ -188,7 +214,7 @@ def scored(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
         if before is not None:
             discard(before)
         if last:
-            learned = edges.where("kind < 0").join(patterns.select("pattern", F.col("kind").alias("trusted")), "pattern").groupBy("instance").agg(F.max("trusted").alias("trusted"))
+            learned = edges.where("kind < 0").join(patterns.select("pattern", F.col("kind").alias("trusted")), "pattern").where(_may_be("fits", "trusted")).groupBy("instance").agg(F.max("trusted").alias("trusted"))
             before, trusted = trusted, materialize(trusted.unionByName(learned).groupBy("instance").agg(F.max("trusted").alias("trusted")))
             discard(before)
     discard(trusted)
@@ -196,8 +222,9 @@ def scored(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
 
 
 def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """The kept columns, base (array of kind, start, end) and extra (the same, discovered by context) of every row."""
-    body, seeds, blocks, row, contexts, id_, more = fresh([*keep, "base", "extra"], "__text", "__seeds", "__blocks", "__row", "__contexts", "__id", "__extra")
+    """The kept columns, base (array of kind, start, end), extra (the same, discovered by context) and secrets (the same,
+    keys) of every row."""
+    body, seeds, blocks, row, contexts, id_, more = fresh([*keep, "base", "extra", "secrets"], "__text", "__seeds", "__blocks", "__row", "__contexts", "__id", "__extra")
     text = F.coalesce(F.col(body), F.lit(""))
     rows = docs.select(*keep, F.col("text").alias(body))
     seen = rows.select(*keep, text.alias(body), entities(text).alias(seeds))
@@ -207,16 +234,21 @@ def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, confidence: flo
 
     # the pattern-instance graph, aggregated over all texts
     each = found.select(row, F.explode(contexts).alias("c")).select(F.col(row).alias("row"), "c.*")
-    edges = materialize(each.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+    drawn = each.select("kind", "instance", "fits", F.explode("patterns").alias("pattern"))
+    edges = materialize(drawn.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.max("fits").alias("fits")))
     patterns = scored(edges, rounds, confidence, support)
     discard(edges)
-    free = each.where((F.col("kind") < 0) | (F.col("kind") == SECRET)).select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    named = free.join(patterns.withColumnRenamed("kind", "named"), "pattern")
+    free = each.where((F.col("kind") < 0) | (F.col("kind") == SECRET)).select("row", "start", "end", "fits", F.explode("patterns").alias("pattern"))
+    named = free.join(patterns.withColumnRenamed("kind", "named"), "pattern").where(_may_be("fits", "named"))
     spans = named.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "support", "named")).alias("best"))
     one = F.struct("start", F.col("best.named").alias("kind"), "end")
     extra = spans.groupBy(F.col("row").alias(id_)).agg(F.array_sort(F.collect_list(one)).alias(more))
-    ordered = F.transform(more, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.join(extra, F.col(row) == F.col(id_), "left").select(*keep, "base", F.coalesce(ordered, F.array().cast(SPAN)).alias("extra"))
+
+    def of(secret: bool) -> Column:
+        own = F.filter(more, lambda s: (s["kind"] == SECRET) == F.lit(secret))
+        return F.coalesce(F.transform(own, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast(SPAN))
+
+    return found.join(extra, F.col(row) == F.col(id_), "left").select(*keep, "base", of(False).alias("extra"), of(True).alias("secrets"))
 
 
 def written(spans: Column) -> Column:
@@ -249,5 +281,5 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every identifier in text replaced by its kind; null texts stay null, all columns stay, whatever
     their names."""
     spans = find(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"])
-    masked = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(mask(F.col("row.text"), F.concat("base", "extra")))
+    masked = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(mask(F.col("row.text"), F.concat("base", "extra", "secrets")))
     return spans.select(*((masked if c.lower() == "text" else F.col("row")[c]).alias(c) for c in docs.columns))

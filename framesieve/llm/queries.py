@@ -80,7 +80,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
 
     counts = [count(k) for k in range(len(pii.KINDS))]
-    return found.select("doc_id", *counts, sha256(pii.written(F.col("base"))).alias("base_sha256"), pii.written(F.concat("base", "extra")).alias("spans"), F.size(F.concat("base", "extra")).cast("long").alias("n_spans"))
+    return found.select("doc_id", *counts, sha256(pii.written(F.col("base"))).alias("base_sha256"), pii.written(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_extra"), pii.written(F.col("secrets")).alias("secrets"))
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -707,9 +707,9 @@ def test_pii_bootstrap(spark):
     known = [(i, f"please write mail me at user{i}@site.com soon, my phone: dial number +1 743 555 {1000 + i} today") for i in range(12)]
     keys = [(30 + i, f'here the token = "{hashlib.sha1(str(i).encode()).hexdigest()}" is set') for i in range(8)]
     fresh = [(50, "hello mail me at user77#hidden9 now"), (51, "the year was 1984x55 and room 12345"), (52, None), (53, 'my TOKEN = "F00DFACE99"!'), (54, f"commit {hashlib.sha1(b'x').hexdigest()}")]
-    rows = {r.doc_id: r for r in pii.find(table(spark, known + keys + fresh), ["doc_id"]).withColumn("e", pii.written(F.col("extra"))).collect()}
+    rows = {r.doc_id: r for r in pii.find(table(spark, known + keys + fresh), ["doc_id"]).withColumn("e", pii.written(F.col("extra"))).withColumn("k", pii.written(F.col("secrets"))).collect()}
     assert rows[50].e == "email:17:31" and rows[51].e == "" and rows[52].e == "" and rows[0].e == ""
-    assert rows[30].e == "secret:18:58" and rows[53].e == "secret:12:22" and rows[54].e == ""
+    assert rows[30].k == "secret:18:58" and rows[53].k == "secret:12:22" and rows[54].k == "" and rows[30].e == rows[53].e == ""
     masked = {r.doc_id: r.text for r in pii.redact(table(spark, known + keys + fresh)).collect()}
     assert masked[50] == "hello mail me at <email> now" and "<phone> today" in masked[3] and masked[52] is None and masked[51] == fresh[1][1]
     assert masked[53] == 'my TOKEN = "<secret>"!' and masked[31] == 'here the token = "<secret>" is set'
@@ -721,7 +721,8 @@ def test_pii_scores_against_brute_force(spark):
     for _ in range(3):
         kinds = {i: rng.choice([-1, -1, 0, 1]) for i in range(40)}
         edges = {(f"p{rng.randrange(12)}", rng.randrange(40)): rng.randint(1, 4) for _ in range(150)}
-        df = spark.createDataFrame([(p, i, n, kinds[i]) for (p, i), n in edges.items()], "pattern string, instance long, n long, kind int")
+        fits = {i: 1 << kinds[i] if kinds[i] >= 0 else rng.randrange(4) for i in kinds}
+        df = spark.createDataFrame([(p, i, n, kinds[i], fits[i]) for (p, i), n in edges.items()], "pattern string, instance long, n long, kind int, fits int")
         made = {r.pattern: (r.kind, round(r.confidence, 9), r.support) for r in pii.scored(df, 3, 0.45, 2).collect()}
         trusted = {i: k for i, k in kinds.items() if k >= 0 and any(i == j for _, j in edges)}
         for last in (False, False, True):
@@ -733,7 +734,7 @@ def test_pii_scores_against_brute_force(spark):
                     confident[p] = (kind, round(good / sum(of.values()), 9), support)
             if not last:
                 for (p, i), _ in edges.items():
-                    if p in confident and kinds[i] < 0:
+                    if p in confident and kinds[i] < 0 and fits[i] >> confident[p][0] & 1:
                         trusted[i] = max(trusted.get(i, -1), confident[p][0])
         assert made == confident
 
