@@ -100,7 +100,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def text_chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with the bytes and offsets of its texts: about limit bytes each, always whole texts."""
+    """Slices of a batch with the bytes and offsets of its texts: about limit bytes each, always whole texts.  One text is
+    never cut: where it is longer than limit, scratch arrays of about 60 times its own size are what a worker needs."""
     import pyarrow.compute as pc
 
     column = batch.column(batch.schema.get_field_index(name))
@@ -219,6 +220,15 @@ def bounded_sample(rows: DataFrame, key: list[str], n: int, total: int) -> DataF
     return rows.orderBy(place, *rows.columns).limit(n)
 
 
+def bounded_texts(texts: DataFrame, n: int, total: int) -> DataFrame:
+    """The rows of texts (doc_id, text) whose hashes of both are the n smallest of total: the hashes meet in one task, the
+    texts stay in theirs.  Rows that repeat a chosen one come along."""
+    (place,) = fresh(texts.columns, "__place")
+    placed = texts.withColumn(place, F.xxhash64("doc_id", "text"))
+    chosen = bounded_sample(placed.select(place), [place], n, total).distinct()
+    return placed.join(F.broadcast(chosen), place, "left_semi").drop(place)  # at most n numbers
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the contracts' held-out folds."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

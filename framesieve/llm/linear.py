@@ -42,8 +42,9 @@ def fit(sample: DataFrame, extract: Extract, bits: int, params: Ftrl, presence:
     ids make it larger than params.max_rows, that many of them count.
 
     Features are extracted in parallel; one task then runs the sequential updates in the order of a
-    hash of the text, so that the result depends neither on partitions nor on row order.  Without rows
-    all weights are 0.
+    hash of the text, so that the result depends neither on partitions nor on row order.  That task holds features,
+    not texts: 8 bytes for each different one, so a text of 20,000 words costs it 640 KB at most, and one of any length
+    8 << bits.  Without rows all weights are 0.
     """
     bound_batches(sample.sparkSession)
 

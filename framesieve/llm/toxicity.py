@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, Tokens, bound_batches, bounded_sample, fresh, gram_hashes, mix, span_hashes, text_chunks
+from .common import U, Tokens, bound_batches, bounded_sample, bounded_texts, fresh, gram_hashes, mix, span_hashes, text_chunks
 from .linear import Ftrl, compact, fit, score
 
 BITS = 20
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     model = LabelModel(masks, seen, counts.astype(float))
     every = np.unique(masks)
     posterior = dict(zip(every.tolist(), model.posterior(every).tolist(), strict=True))
-    voted = votes(bounded_sample(texts, ["doc_id", "text"], params.max_rows, int(counts.sum())), induced, ["text"])
+    voted = votes(bounded_texts(texts, params.max_rows, int(counts.sum())), induced, ["text"])
     spark = docs.sparkSession
     targets = spark.createDataFrame(list(posterior.items()) or [(0, 0.0)], "mask long, target double")
     return fit(voted.join(F.broadcast(targets), "mask").select("text", "target"), features, BITS, params, presence=True), model

@@ -73,11 +73,12 @@ def test_url_trie_against_brute_force(spark):
 
     for _ in range(3000):
         host, path = rng.choice(["com", "x.com", "z.y.x.com", "net", "xcom", ""]), rng.choice(["", "/" + "/".join(rng.choices(parts, k=rng.randint(1, 4)))])
-        assert trie.match(host, path) == brute(host, path)
+        made = trie.match(host, path)
+        assert (made and made[1:]) == brute(host, path)
 
 
 def test_url_rule_case():
-    assert url_filter.UrlTrie([], ["Example.COM/A"]).match("www.example.com", "/Ab") == ("Example.COM/A", "block")
+    assert url_filter.UrlTrie([], ["Example.COM/A"]).match("www.example.com", "/Ab")[1:] == ("Example.COM/A", "block")
     assert url_filter.UrlTrie([], ["Example.COM/A"]).match("www.example.com", "/ab") is None
 
 
@@ -89,8 +90,18 @@ def test_url_edge(spark):
     assert (rows[4].host, rows[4].rule, rows[4].verdict) == ("www.example.com", "com/en/", "block") or rows[4].rule == "example.com/en/7"
     assert rows[4].rule == "example.com/en/7" and rows[5].rule == "net/de/" and rows[6].host == "É.org"
     assert url_filter.filter_urls(df.limit(0), [], [], ["page_id"]).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.filter_urls(df, ["a"] * (url_filter.MAX_RULES + 1), [], [])
+
+
+def test_url_rules_in_several_tries(spark, monkeypatch):
+    rng = random.Random(3)
+    rule = lambda: rng.choice(["com", "x.com", "y.x.com", "net", ""]) + rng.choice(["", "/", "/a", "/a/b", "/ab"])
+    allow, block = [rule() for _ in range(15)], [rule() for _ in range(15)]
+    df = spark.createDataFrame([(i, rng.choice(["http://z.y.x.com", "s://x.com", "s://net", "s://org", ""]) + rng.choice(["", "/a/b/c", "/abc", "/"])) for i in range(200)], "page_id long, url string").withColumn("__best", F.lit(1))
+    whole = sorted(url_filter.filter_urls(df, allow, block, ["page_id", "__best"]).collect())
+    monkeypatch.setattr(url_filter, "SHARD_CHARS", 500)
+    assert len(url_filter._shards(allow, block)) > 3 and sum(len(a) + len(b) for a, b in url_filter._shards(allow, block)) == 30
+    same = lambda rows: [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows]
+    assert same(sorted(url_filter.filter_urls(df, allow, block, ["page_id", "__best"]).collect())) == same(whole)
 
 
 # 2 -----------------------------------------------------------------------------------------------
