@@ -16,7 +16,7 @@ from .config import RetrieveConfig
 from .functions.text import stem, task_type
 from .functions.vector import normalized
 from .operators import manifest as m
-from .operators import search
+from .operators import cells, search
 from .plans import audit, pipeline
 from .schemas import GROUND_TRUTH, VIDEO_MANIFEST
 from .sources import containers, files, models, python_sources
@@ -47,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     index = {"index": None, "metadata": None}
     command("video-manifest", ("video-dir", "output"), {"report-output": None, "extension": []})
     command("dataset-index", ("clip-dir", "mapping-dir", "keyframes-dir", "output-manifest"), {"objects-dir": None, "dim": 512, "output-embeddings": None, "report-output": None})
-    command("build-index", ("manifest", "output-index"), {"metadata-output": None})
+    command("build-index", ("manifest", "output-index"), {"metadata-output": None, "cells": 0})
     command("inspect-evidence", ("db",))
     command("retrieve", ("manifest", "query", "output"), stores | support | window | channel | index | {"query-translated": None, "query-embedding": None, "top-k": 100})
     command("benchmark", ("queries", "manifest", "output-dir"), stores | support | window | channel | index | {"query-column": "Trans", "ground-truth": None, "localize-top-k": 0, "frame-tolerance": 10, "top-k": 100})
@@ -170,20 +170,33 @@ def _npy(rows, path: str, dim: int) -> None:
 
 
 def _build_index(spark, a, *_) -> int:
+    """The manifest's unit vectors as one table or, with cells, as an index that searches read in part."""
     made = files.read_table(spark, a.manifest).withColumn("embedding", normalized(F.col("embedding")).cast("array<float>"))
-    made.write.mode("overwrite").parquet(a.output_index)
-    found = search.index_contract(spark.read.parquet(a.output_index)).first().asDict()
-    meta = {"rows": found["size"], "dimension": found["dim_max"], "metric": found["metric"], "backend": "parquet"}
+    if a.cells:
+        cells.build(made, a.output_index, a.cells)
+    else:
+        made.write.mode("overwrite").parquet(a.output_index)
+    found = search.index_contract(_index(spark, a.output_index)).first().asDict()
+    meta = {"rows": found["size"], "dimension": found["dim_max"], "metric": found["metric"], "backend": "cells" if a.cells else "parquet"}
     _report(spark, a.metadata_output, **meta)
     return 0
 
 
+def _in_cells(spark, path: str) -> bool:
+    return files.exists(spark, f"{path}/cells")
+
+
+def _index(spark, path: str):
+    """The vectors of an index of either form."""
+    return spark.read.parquet(f"{path}/vectors").drop("cell") if _in_cells(spark, path) else spark.read.parquet(path)
+
+
 def _metadata(spark, path: str | None) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path).collect())) if path else {}
 
 
 def _index_diagnostics(spark, a, *_) -> int:
-    rows = spark.read.parquet(a.index)
+    rows = _index(spark, a.index)
     search.check_index(rows, _metadata(spark, a.metadata))
     _say(**search.index_contract(rows).first().asDict())
     return 0
@@ -205,7 +218,9 @@ def _config(a) -> RetrieveConfig:
 
 def _answers(spark, a, queries, encoder, prober, decoder, scorer, localize_top_k: int | None, k: int):
     """Answers to queries (query_id, query_text[, translated][, vector])."""
-    frames = spark.read.parquet(a.index) if a.index else files.read_table(spark, a.manifest)
+    frames, searcher = _index(spark, a.index) if a.index else files.read_table(spark, a.manifest), None
+    if a.index and _in_cells(spark, a.index):
+        searcher = lambda asked, k, carry: cells.search(spark, a.index, asked, k, carry=carry).hits
     if a.index:
         search.check_index(frames, _metadata(spark, a.metadata), files.read_table(spark, a.manifest).count())
     dim = len(frames.select("embedding").first()["embedding"])
@@ -227,7 +242,7 @@ def _answers(spark, a, queries, encoder, prober, decoder, scorer, localize_top_k
         score = pipeline.fine_scorer(videos, decoder, scorer, ("query_text", "vector"), counts, config)
         fine = lambda head: score(head.join(queries.select("query_id", "vector"), "query_id"))
     return pipeline.run(
-        _supported(frames, a), queries, k, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k, frame_counts=counts, fine=fine, stores=tuple(_modalities(spark, a)),
+        _supported(frames, a), queries, k, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k, frame_counts=counts, fine=fine, stores=tuple(_modalities(spark, a)), searcher=searcher,
     )
 
 

@@ -36,16 +36,17 @@ def _texts(frames: DataFrame, videos: DataFrame, names: list[str]) -> DataFrame:
     return videos.join(first, keys, "left").select(*videos.columns, *(F.coalesce(F.col(f"first.{c}"), F.lit("")).alias(c) for c in names))
 
 
-def retrieve(frames: DataFrame, queries: DataFrame, evidence=None, second: DataFrame | None = None, config: RetrieveConfig = RetrieveConfig(), stores: tuple[str, ...] | None = None) -> DataFrame:
+def retrieve(frames: DataFrame, queries: DataFrame, evidence=None, second: DataFrame | None = None, config: RetrieveConfig = RetrieveConfig(), stores: tuple[str, ...] | None = None, searcher=None) -> DataFrame:
     """Ranked candidates (query_id, video_id, …, rank_score, rank) of queries (query_id, query_text, vector).
 
     frames: the frame table, with object_text and metadata_text where known; of several rows for a candidate's
     frame the first by row_id counts.  evidence: texts or their index (operators.evidence).  second: queries' vectors for a
-    second embedding column, embedding2.  stores: names of the evidence stores, for those without rows.
+    second embedding column, embedding2.  stores: names of the evidence stores, for those without rows.  searcher(queries,
+    top_k, carry) gives the hits of the first channel where an index has them; else all frames are searched.
     """
     texts = [c for c in ("object_text", "metadata_text") if c in frames.columns]
     carry = ("video_id", "keyframe_idx", "original_frame_id", "pts_time")
-    hits = search.search_batch(frames, queries, config.top_k_frames, carry=carry)
+    hits = searcher(queries, config.top_k_frames, carry) if searcher else search.search_batch(frames, queries, config.top_k_frames, carry=carry)
     videos = search.video_evidence(hits, config.per_video_k, ("query_id",))
     if second is not None:
         hits2 = search.search_batch(frames, second, config.top_k_frames, "embedding2", carry)
@@ -60,7 +61,7 @@ def retrieve(frames: DataFrame, queries: DataFrame, evidence=None, second: DataF
 
 def run(
     frames: DataFrame, queries: DataFrame, k: int = 100, dense: DataFrame | None = None, evidence=None, second: DataFrame | None = None,
-    config: RetrieveConfig = RetrieveConfig(), localize_top_k: int | None = None, frame_counts: DataFrame | None = None, fine=None, stores: tuple[str, ...] | None = None,
+    config: RetrieveConfig = RetrieveConfig(), localize_top_k: int | None = None, frame_counts: DataFrame | None = None, fine=None, stores: tuple[str, ...] | None = None, searcher=None,
 ) -> DataFrame:
     """retrieve, localise (all, or the first localize_top_k of each query), rerank over the survivors.
 
@@ -71,7 +72,7 @@ def run(
     """
     n_frames, n_videos = frame_budget(k)
     config = replace(config, top_k_frames=n_frames, top_k_videos=n_videos)
-    found = written(retrieve(frames, queries, evidence, second, config, stores).drop("rank_score", "temporal_score").withColumnRenamed("rank", "first_rank"))
+    found = written(retrieve(frames, queries, evidence, second, config, stores, searcher).drop("rank_score", "temporal_score").withColumnRenamed("rank", "first_rank"))
     head = found if localize_top_k is None else found.where(F.col("first_rank") <= localize_top_k)
     if fine is not None:
         dense = fine(head)

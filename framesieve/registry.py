@@ -16,10 +16,10 @@ from .config import TemporalScoreConfig
 from .functions import scores as S
 from .functions import text as X
 from .functions.vector import combined, cosine
-from .operators import decoding, evaluate, evidence, fuse, manifest, search, temporal
+from .operators import cells, decoding, evaluate, evidence, fuse, manifest, search, temporal
 from .operators.jsontext import json_text
 from .plans import pipeline
-from .steps import written
+from .steps import step_folder, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -131,6 +131,14 @@ def batch_frame_topk(spark, sf):
     return search.search_batch(_frames(spark, sf), _asked(spark, sf), 50).select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_FRAMES}, {_sql_hits('hits', 'v', 50)} SELECT query_id, row_id, round(score, 6) AS score, rank FROM hits")
+def pruned_topk(spark, sf):
+    """The same by an index in cells, written first, of which only the cells that may matter are read."""
+    path = step_folder(spark, "cells")
+    cells.build(_frames(spark, sf), path)
+    return cells.search(spark, path, _asked(spark, sf), 50).hits.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _sql_search(how: str, k: int) -> str:
     return f"""WITH {_FRAMES}, {_sql_hits('hits', 'v')}, videos AS (SELECT query_id, video_id, {how}(score) AS s, arg_max(original_frame_id, score) AS best_frame_id
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, row_id) AS nth FROM hits) WHERE nth <= {k} GROUP BY query_id, video_id)
