@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parent, stem, suffix
 from ..schemas import EVIDENCE, GROUND_TRUTH, MAPPING
+from .xls import xls_rows
 
 IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 VIDEOS = (".mp4", ".mkv", ".mov", ".webm")
@@ -149,17 +150,17 @@ def xlsx_rows(data: bytes) -> list[list[str]]:
 
 
 def read_queries(spark: SparkSession, path: str, query_column: str = "Description", translated: str | None = None, prefixes: list[str] | None = None) -> DataFrame:
-    """(query_id, query_text[, translated]) of a csv, json or xlsx sheet: blank queries go, of equal ids the first stays."""
+    """(query_id, query_text[, translated]) of a csv, json, xlsx or xls sheet: blank queries go, of equal ids the first stays."""
     kind = posixpath.splitext(path.lower())[1]
     if kind == ".csv":
         rows = [r.asDict() for r in spark.read.option("header", True).option("multiLine", True).csv(path).toLocalIterator()]
-    elif kind in (".json", ".xlsx"):
+    elif kind in (".json", ".xlsx", ".xls"):
         data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
         if kind == ".json":
             made = json.loads(data.decode("utf-8-sig"))
             rows = made["queries"] if isinstance(made, dict) else made
         else:
-            header, *body = xlsx_rows(data)
+            header, *body = (xlsx_rows if kind == ".xlsx" else xls_rows)(data) or [[]]
             rows = [dict(zip(header, r + [""] * (len(header) - len(r)), strict=False)) for r in body]
     else:
         raise ValueError(f"unsupported query file: {path}")
