@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
 from io import BytesIO
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +19,7 @@ from .functions.vector import normalized
 from .operators import manifest as m
 from .operators import cells, search
 from .plans import audit, pipeline
-from .schemas import GROUND_TRUTH, VIDEO_MANIFEST
+from .schemas import EVIDENCE, GROUND_TRUTH, VIDEO_MANIFEST
 from .sources import containers, files, models, python_sources
 from .steps import written
 
@@ -70,13 +71,19 @@ def _modalities(spark: SparkSession, a) -> list[str]:
 
 
 def _evidence(spark: SparkSession, a):
-    python_sources.register(spark)
-    out = None
-    for kind in _modalities(spark, a):
-        path = getattr(a, f"{kind}_db")
-        made = spark.read.format("sqlite_evidence").option("modality", kind).load(path) if path.endswith((".db", ".sqlite")) else files.read_json_evidence(spark, path, kind)
-        out = made if out is None else out.unionByName(made)
-    return out
+    """A function that gives the texts about videos of all stores whose files exist; None without any."""
+    stores = [(kind, getattr(a, f"{kind}_db")) for kind in _modalities(spark, a)]
+    if not stores:
+        return None
+
+    def of(videos):
+        made = [
+            python_sources.evidence_of(videos, path, kind) if path.endswith((".db", ".sqlite")) else files.read_json_evidence(spark, path, kind).join(videos, "video_id", "left_semi").select(*EVIDENCE.names)
+            for kind, path in stores
+        ]
+        return reduce(DataFrame.unionByName, made)
+
+    return of
 
 
 def _support(spark: SparkSession, a) -> dict[str, bool]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -37,14 +39,16 @@ def rrf_scores(scores: DataFrame, k: int = 60) -> DataFrame:
     return terms.groupBy("query_id", "video_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, t: a + t["term"]).alias("evidence_score"))
 
 
-def multimodal(candidates: DataFrame, evidence: DataFrame | EvidenceIndex | None, weights: FusionWeights = FusionWeights(), rrf_k: int = 60, stores: tuple[str, ...] | None = None) -> DataFrame:
+def multimodal(candidates: DataFrame, evidence: DataFrame | EvidenceIndex | Callable[[DataFrame], DataFrame] | None, weights: FusionWeights = FusionWeights(), rrf_k: int = 60, stores: tuple[str, ...] | None = None) -> DataFrame:
     """Fused score of candidates (query_id, video_id, query_text, retrieval_score, object_text, metadata_text,
     best_frame_id): the retrieval score and the evidence, each min-maxed within the query, and the overlaps with
     objects and metadata as they are.  With evidence the candidates are written first, as several steps read them.
+    evidence: texts, their index, or a function that gives the texts about videos (video_id).
     stores: the names of the evidence stores at hand, empty ones included; without them those that have rows are listed."""
     w = W.partitionBy("query_id")
     if evidence is not None:
         candidates = written(candidates)
+        evidence = evidence(candidates.select("video_id").distinct()) if callable(evidence) else evidence
     q = tokens(F.col("query_text"))
     rows = candidates.withColumn("object_score", overlap(q, tokens(F.col("object_text")))).withColumn("metadata_score", overlap(q, tokens(F.col("metadata_text"))))
     rows = rows.withColumn("clip_norm", minmax(F.col("retrieval_score"), w))

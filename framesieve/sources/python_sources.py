@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from .files import ROLES, pick_column
@@ -292,11 +293,75 @@ class _SqliteReader(DataSourceReader):
         sql = f"SELECT {video}, {frame}, {_quoted(roles['text'])} FROM {_quoted(table['table'])}" + (f" WHERE {' AND '.join(where)}" if where else "")
         with _database(self.path) as db:
             for v, f, text in db.execute(sql, values):
-                try:
-                    number = int(f) if f is not None else None
-                except ValueError:
-                    number = None
-                yield self.modality, None if v is None else str(v), number, None if text is None else str(text)
+                yield self.modality, None if v is None else str(v), _whole(f), None if text is None else str(text)
+
+
+#: Videos that one connection asks for at once.
+ASKED = 10_000
+
+
+def _looks_up(db: sqlite3.Connection, table: dict) -> tuple[str, bool]:
+    """The statement that gives the rows of the videos in the temporary table wanted (v), and whether the column of
+    videos keeps numbers as they are.  Where the column leads an index, the database searches that for each
+    video; otherwise it reads the table once."""
+    name, roles = _quoted(table["table"]), table["roles"]
+    video, frame, text = (_quoted(roles[r]) if roles[r] else "NULL" for r in ("video_id", "frame_id", "text"))
+    leads = any(db.execute(f"PRAGMA index_info({_quoted(i[1])})").fetchone()[2] == roles["video_id"] for i in db.execute(f"PRAGMA index_list({name})").fetchall())
+    declared = next(r[2] for r in db.execute(f"PRAGMA table_info({name})") if r[1] == roles["video_id"]).upper()
+    as_is = not declared or "BLOB" in declared
+    t = lambda c: c if c == "NULL" else f"t.{c}"
+    if leads:
+        return f"SELECT {t(video)}, {t(frame)}, {t(text)} FROM temp.wanted AS w CROSS JOIN {name} AS t ON t.{video} = w.v", as_is
+    return f"SELECT {t(video)}, {t(frame)}, {t(text)} FROM {name} AS t WHERE t.{video} IN (SELECT v FROM temp.wanted)", as_is
+
+
+def evidence_of(videos: DataFrame, path: str, modality: str) -> DataFrame:
+    """(modality, video_id, frame_id, text) of the given videos (video_id) in a SQLite database that all executors mount:
+    their ids go to the database in chunks, and no other row leaves it.  As the source sqlite_evidence, a database
+    without a fitting table, or an unreadable one, has no rows."""
+    asked = videos.select(F.col("video_id").cast("string")).where("video_id IS NOT NULL").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = [v for pdf in batches for v in pdf["video_id"]]
+        try:
+            table = next((t for t in sqlite_roles(path) if t["roles"]["video_id"] and t["roles"]["text"]), None) if ids else None
+        except sqlite3.Error:
+            table = None
+        if table is None:
+            return
+        with _database(path) as db:
+            db.execute("PRAGMA temp_store = MEMORY")
+            sql, as_is = _looks_up(db, table)
+            db.execute("CREATE TEMP TABLE wanted (v PRIMARY KEY) WITHOUT ROWID")
+            for low in range(0, len(ids), ASKED):
+                chunk = ids[low : low + ASKED]
+                db.execute("DELETE FROM temp.wanted")
+                db.executemany("INSERT OR IGNORE INTO temp.wanted VALUES (?)", ((v,) for v in chunk))
+                if as_is:  # a column without a type may hold the number itself
+                    db.executemany("INSERT OR IGNORE INTO temp.wanted VALUES (?)", ((int(v),) for v in chunk if v.lstrip("-").isdigit() and v.isascii() and len(v) < 19))
+                wanted, rows = set(chunk), []
+                for v, f, text in db.execute(sql):
+                    if str(v) in wanted:
+                        rows.append((modality, str(v), _whole(f), None if text is None else str(text)))
+                    if len(rows) == BATCH_ROWS:
+                        yield _evidence_rows(rows)
+                        rows = []
+                yield _evidence_rows(rows)
+
+    parts = max(1, -(-asked.count() // (4 * ASKED)))
+    return asked.repartition(parts, "video_id").mapInPandas(run, "modality string, video_id string, frame_id long, text string")
+
+
+def _whole(value) -> int | None:
+    try:
+        return int(value) if value is not None else None
+    except ValueError:
+        return None
+
+
+def _evidence_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["modality", "video_id", "frame_id", "text"], dtype=object)
+    return out.assign(frame_id=out["frame_id"].astype("Int64"))
 
 
 def register(spark: SparkSession) -> None:
