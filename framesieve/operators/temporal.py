@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import TemporalScoreConfig
 from ..functions.scores import minmax
+from ..steps import written
 
 
 def islands(scores: DataFrame, max_gap: int = 1, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
@@ -21,6 +23,28 @@ def islands(scores: DataFrame, max_gap: int = 1, keys: tuple[str, ...] = ("video
     return runs.select(*keys, "start_frame", "end_frame", F.expr("(start_frame + end_frame) div 2").alias("center_frame"), "score")
 
 
+#: Frames of a part, or positions of a block, that one task handles of a long video or sequence.
+PART = 65_536
+
+
+def islands_spread(scores: DataFrame, max_gap: int = 1, keys: tuple[str, ...] = ("video_id",), part: int = PART) -> DataFrame:
+    """What islands() gives, with every video spread over tasks by parts of its frames.  Runs that come near a part's ends,
+    two of a part at most, are stitched over all parts; all others are whole where they are found."""
+    width = max(part, 2 * max_gap + 1)
+    rows = scores.withColumn("part", F.floor(F.col("frame_id") / width))
+    runs = islands(rows.drop("island"), max_gap, (*keys, "part")).drop("center_frame")
+    first = F.col("part") * width
+    near = (F.col("start_frame") - (first - 1) <= max_gap) | (first + width - F.col("end_frame") <= max_gap)
+    order = W.partitionBy(*keys).orderBy("start_frame")
+    ends = runs.where(near)
+    fresh = F.when(F.col("start_frame") - F.lag("end_frame").over(order) <= max_gap, 0).otherwise(1)
+    ends = ends.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    stitched = ends.groupBy(*keys, "island").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.max("score").alias("score"))
+    names = [*keys, "start_frame", "end_frame", "score"]
+    whole = runs.where(~near).select(*names).unionByName(stitched.select(*names))
+    return whole.select(*keys, "start_frame", "end_frame", F.expr("(start_frame + end_frame) div 2").alias("center_frame"), "score")
+
+
 def peak_frame(scores: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """The frame of the largest score; of equal ones the first by pos."""
     return scores.groupBy(*keys).agg(F.max_by("frame_id", F.struct("score", -F.col("pos"))).alias("peak_frame"), F.max("score").alias("peak_score"))
@@ -139,3 +163,62 @@ def align_events(matrix: DataFrame, events: int, min_separation: int = 0, key: s
         state = state.withColumn("dp", F.coalesce("dp", F.lit(-math.inf)))
     best = state.where(F.col("dp") > -math.inf).groupBy(key).agg(F.max_by(F.struct("path", "dp"), F.struct(F.col("dp"), -F.col("frame_pos"))).alias("b"))
     return best.select(key, F.col("b.path").alias("frames"), F.col("b.dp").alias("score"))
+
+
+def _numbered(matrix: DataFrame, key: str, block: int) -> DataFrame:
+    """matrix with at, the place of a position among its sequence's from 0, counted in two levels."""
+    places = matrix.select(key, "frame_pos").distinct().withColumn("part", F.floor(F.col("frame_pos") / block))
+    counts = places.groupBy(key, "part").agg(F.count("*").alias("n"))
+    before = counts.select(key, "part", F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(W.partitionBy(key, "part").orderBy("frame_pos"))
+    placed = places.withColumn("inside", inside).join(before, [key, "part"]).select(key, "frame_pos", (F.col("before") + F.col("inside") - 1).alias("at"))
+    return matrix.join(placed, [key, "frame_pos"])
+
+
+def align_long(matrix: DataFrame, events: int, min_separation: int = 0, key: str = "seq_id", block: int = PART) -> DataFrame:
+    """What align_events() gives, for sequences of any length and any number of events.
+
+    An event's state is a score and a pointer for each position: to the best earlier position of the event before, found by
+    maxima within blocks of positions and over the blocks before, so that neither a sequence nor its paths are one
+    task's.  States are written, and the best path is read back along the pointers, one row of each sequence at a time.
+    Positions are counted over all events, and one without a score for an event is none of that event's choices.
+    """
+    if min_separation < 0:
+        raise ValueError("min_separation must not be negative")
+    rows = written(_numbered(matrix.select(key, "event_ord", "frame_pos", "frame_id", "score"), key, block).drop("frame_pos"))
+    best = F.struct("dp", (-F.col("at")).alias("before"))
+    state, pointers = rows.where("event_ord = 1").select(key, "at", F.col("score").alias("dp")), []
+    for e in range(2, events + 1):
+        cut = state.withColumn("block", F.floor(F.col("at") / block))
+        inside = F.max(best).over(W.partitionBy(key, "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+        tops = cut.groupBy(key, "block").agg(F.max(best).alias("top"))
+        ahead = tops.select(key, "block", F.max("top").over(W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("ahead"))
+        upto = cut.withColumn("inside", inside).join(ahead, [key, "block"]).select(key, "at", F.greatest("inside", "ahead").alias("best"))
+        # the best up to a position holds until the next one that is scored
+        here = rows.where(F.col("event_ord") == e).select(key, "at", "score")
+        made = _latest(upto, here, min_separation, key, block)
+        pointers.append(written(made.select(key, "at", (F.col("best.dp") + F.col("score")).alias("dp"), (-F.col("best.before")).alias("from_"))))
+        state = pointers[-1].select(key, "at", "dp")
+    last = state.groupBy(key).agg(F.max(best).alias("b")).select(key, (-F.col("b.before")).alias("at"), F.col("b.dp").alias("dp"))
+    path, steps = last.select(key, "at"), []
+    for e in range(events, 0, -1):
+        steps.append(path.select(key, F.lit(e).alias("event_ord"), "at"))
+        if e > 1:
+            path = path.join(pointers[e - 2], [key, "at"]).select(key, F.col("from_").alias("at"))
+    chosen = reduce(DataFrame.unionByName, steps).join(rows, [key, "event_ord", "at"])
+    frames = chosen.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_ord", "frame_id"))), lambda c: c["frame_id"]).alias("frames"))
+    return frames.join(last.select(key, F.col("dp").alias("score")), key)
+
+
+def _latest(upto: DataFrame, here: DataFrame, shift: int, key: str, block: int) -> DataFrame:
+    """here (key, at, score) with the best of the last row of upto (key, at, best) that is at least shift before; rows
+    without any are left out.  Looked for within blocks, and else the last of the blocks before."""
+    moved = upto.select(key, (F.col("at") + shift).alias("at"), "best", F.lit(None).cast("double").alias("score"), F.lit(0).alias("asks"))
+    asking = here.select(key, "at", F.lit(None).cast(upto.schema["best"].dataType).alias("best"), F.col("score").cast("double").alias("score"), F.lit(1).alias("asks"))
+    both = moved.unionByName(asking).withColumn("block", F.floor(F.col("at") / block))
+    inside = F.last("best", ignorenulls=True).over(W.partitionBy(key, "block").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, 0))
+    tops = both.where("asks = 0").groupBy(key, "block").agg(F.max_by("best", "at").alias("top"))
+    every = both.select(key, "block").distinct().join(tops, [key, "block"], "left")
+    ahead = every.select(key, "block", F.last("top", ignorenulls=True).over(W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("ahead"))
+    found = both.withColumn("inside", inside).where("asks = 1").join(ahead, [key, "block"]).withColumn("best", F.coalesce("inside", "ahead"))
+    return found.where("best IS NOT NULL").select(key, "at", "score", "best")

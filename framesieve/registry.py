@@ -349,6 +349,12 @@ def islands(spark, sf):
     return temporal.islands(_dense(spark, sf), _GAP).withColumns(_r("score"))
 
 
+@query(_SQL["islands"])
+def islands_spread(spark, sf):
+    """The same, with every user's hours spread over parts."""
+    return temporal.islands_spread(_dense(spark, sf), _GAP, part=100).withColumns(_r("score"))
+
+
 @query(f"{_DENSE} SELECT video_id, arg_max(frame_id, (score, -pos)) AS peak_frame, round(max(score), 6) AS peak_score FROM dense GROUP BY video_id")
 def peak_frame(spark, sf):
     return temporal.peak_frame(_dense(spark, sf)).withColumns(_r("peak_score"))
@@ -467,6 +473,13 @@ def monotonic_alignment(spark, sf):
     return temporal.align_events(_matrix(spark, sf), 3, 1).select("seq_id", F.array_join(F.transform("frames", lambda f: f.cast("string")), " ").alias("frames"), F.round("score", 6).alias("score"))
 
 
+@query(_SQL["monotonic_alignment"])
+def alignment_long(spark, sf):
+    """The same by back pointers, in blocks of positions."""
+    made = temporal.align_long(_matrix(spark, sf), 3, 1, block=5)
+    return made.select("seq_id", F.array_join(F.transform("frames", lambda f: f.cast("string")), " ").alias("frames"), F.round("score", 6).alias("score"))
+
+
 # evaluation --------------------------------------------------------------------------------------
 
 
