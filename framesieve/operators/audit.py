@@ -93,13 +93,13 @@ def manifest(images: DataFrame, features: DataFrame, mapping: DataFrame, objects
 
 
 def report(summary: dict) -> str:
-    """The summary's counts and its first hundred errors, as text."""
-    found = summary["integrity"]
-    lines = [
-        ("Total keyframes", summary["keyframes"]["total"]), ("Videos represented by keyframes", summary["keyframes"]["videos"]), ("Feature files", summary["features"]["count"]), ("Mapping CSV files", summary["mapping"]["count"]),
-        ("Media-info JSON files", summary["media_info"]["count"]), ("Object JSON files", summary["objects"]["count"]), ("Manifest rows", found["manifest_rows"]), ("Object-path matches", found["object_matches"]), ("Integrity errors", found["n_errors"]),
-    ]
-    return "\n".join(["Dataset audit", "=============", *(f"{k}: {v:,}" for k, v in lines), *(f"- {e}" for e in found["errors"][:100])]) + "\n"
+    """What a summary says in numbers, a line for each part, and its first hundred errors by video."""
+    lines = [f"{part:<12}" + "  ".join(f"{name}={n}" for name, n in facts.items() if isinstance(n, int)) for part, facts in summary.items()]
+    by: dict[str, list[str]] = {}
+    for error in summary["integrity"]["errors"][:100]:
+        video, _, what = error.rpartition(": ")
+        by.setdefault(video or "(dataset)", []).append(what)
+    return "\n".join([*lines, *(f"{video}\n" + "\n".join(f"    {w}" for w in what) for video, what in by.items())]) + "\n"
 
 
 def rows(df: DataFrame) -> list[dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -100,6 +102,33 @@ def most_common(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
+#: Rows among which a cut is sought by sorting them, and characters that a prefix grows by otherwise.
+SORTED, STEP = 10_000, 2
+
+
+def first_rows(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows of df, a written table, that come first by a column of strings, without a sort of all: counts by ever longer
+    prefixes lead to the n-th row's value, and rows up to that are kept.  Nulls count as the empty string."""
+    value = F.coalesce(F.col(column), F.lit(""))
+    total, low, high = df.agg(F.count("*"), F.min(value), F.max(value)).first()
+    if total <= n or n <= 0:
+        return df if n > 0 else df.limit(0)
+    prefix, left, size = os.path.commonprefix([low, high]), n, total
+    while size > SORTED:
+        inside = df.where(value.startswith(prefix))
+        width = len(prefix) + STEP
+        groups = sorted((r[0], r[1]) for r in inside.groupBy(F.substring(value, 1, width)).count().collect())  # a level of the tree of prefixes
+        for prefix, size in groups:  # noqa: B007
+            if left <= size:
+                break
+            left -= size
+        if len(prefix) < width:  # a value that is no longer than that
+            break
+    last = prefix if size > SORTED else sorted(r[0] for r in df.where(value.startswith(prefix)).select(value).collect())[left - 1]
+    before = df.where(value < last)
+    return before.unionByName(df.where(value == last).limit(n - before.count()))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("nth = 1").drop("nth")
 

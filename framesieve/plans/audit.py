@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stem
 from ..operators import audit as a
-from ..operators.manifest import most_common
+from ..operators.manifest import first_rows, most_common
 from ..sources import files, python_sources
+from ..steps import written
 
 FEATURES = (".npy", ".npz")
 MAX_ROWS = 5_000_000
@@ -36,12 +37,12 @@ def _inspected(found: DataFrame, inspect, names: str) -> dict:
 def audit(spark: SparkSession, config: dict) -> tuple[dict, DataFrame]:
     """The summary of a dataset, of what config's keyframes_dir, clip_dir, mapping_dir, media_info_dir and objects_dir
     hold, and its manifest; audit.max_manifest_rows caps the images that the manifest takes, by path."""
-    images = files.image_inventory(spark, config["keyframes_dir"])
+    images = written(files.image_inventory(spark, config["keyframes_dir"]))
     headers = python_sources.feature_headers(files.inventory(spark, config["clip_dir"], FEATURES)).cache()
     mapped = files.contents(spark, config["mapping_dir"], (".csv",))
     none = spark.createDataFrame([], "path string, length long, content binary")
     objects = files.contents(spark, config["objects_dir"], (".json",)) if config.get("objects_dir") else none
-    capped = images.orderBy("keyframe_path").limit(int((config.get("audit") or {}).get("max_manifest_rows", MAX_ROWS)))
+    capped = first_rows(images, "keyframe_path", int((config.get("audit") or {}).get("max_manifest_rows", MAX_ROWS)))
     matrices = headers.where("error IS NULL AND suffix = '.npy' AND ndim = 2")
     features = matrices.groupBy(stem(F.col("path")).alias("video_id")).agg(F.min("path").alias("clip_path"), F.min_by(F.col("shape")[0], "path").alias("rows"))
     manifest, errors = a.manifest(capped, features, files.read_mapping_tolerant(spark, config["mapping_dir"]), objects)

@@ -348,7 +348,7 @@ def test_audit_and_matrix(spark, tmp_path, capsys):
     found = made["integrity"]
     assert found["errors"] == ["V1: mapping holds cells that are not numbers", "V1: pts_time falls", "V2: mapping columns missing: pts_time, frame_idx", "V3: missing feature file"]
     assert (found["keyframes_found"], found["manifest_rows"], found["object_matches"]) == (5, 3, 2)
-    assert "Manifest rows: 3" in (tmp_path / "out/audit_report.txt").read_text()
+    assert "manifest_rows=3" in (tmp_path / "out/audit_report.txt").read_text()
     rows = spark.read.parquet(str(tmp_path / "out/dataset_manifest.parquet")).orderBy("keyframe_idx").collect()
     assert [(r.keyframe_name, r.clip_idx, r.original_frame_id) for r in rows] == [("f8", 0, 0), ("f9", 1, 45), ("f10", 2, None)]
     args = ["ordered-matrix", "--manifest", str(tmp_path / "out/dataset_manifest.parquet"), "--clip-dir", str(tmp_path / "clip/V*.npy"), "--output", str(tmp_path / "m.npy"), "--report", str(tmp_path / "r.json"), "--dim", "2"]
@@ -402,3 +402,16 @@ def test_stream_islands(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.score for r in spark.sql("SELECT * FROM islands_out").collect()] == [2.0]
+
+
+@pytest.mark.parametrize("few", [10_000, 5])
+def test_first_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(manifest, "SORTED", few)
+    rng = np.random.default_rng(few)
+    names = ["a/" + "".join(rng.choice(list("ab/é"), rng.integers(0, 9))) for _ in range(300)] + ["a/b"] * 20 + ["a/"] * 4 + [None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, path string")
+    order = sorted(n or "" for n in names)
+    for n in (0, 1, 2, 7, 24, 100, 150, 299, 324, 325, 400):
+        assert sorted(r.path or "" for r in manifest.first_rows(df, "path", n).collect()) == order[:n]
+    plan = manifest.first_rows(df, "path", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
