@@ -42,12 +42,14 @@ PATTERNS = {
 SECRET = len(KINDS)
 NAMES = (*KINDS, "secret")
 KEY = "^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}$"
-#: What may be an identifier, leftmost first, whole runs at a time: an address that is spelled out, digits in groups, and a
-#: token with a digit or "@" in it; what may stand around an identifier in one.
-AT, DOT = (rf"(?:\({w}\)|\[{w}\]|\{{{w}\}}|<{w}>|(?<=\x20){w}(?=\x20))" for w in ("at", "dot"))
-SPELLED = rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?{AT}\x20?[A-Za-z0-9-]++(?:\x20?(?:{DOT}|\.)\x20?[A-Za-z0-9-]++)++"
-GROUPS = r"(?<![^\s\"'`(<\[{:=])[(\[+]?[0-9]++(?:[\x20()\[\]./-]{1,3}[0-9]++)++(?![A-Za-z0-9@])"
-CANDIDATE = rf"{SPELLED}|{GROUPS}|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Addresses that are spelled out; with a plain " at " the dots must be spelled too.
+AT, DOT = (rf"\x20?(?:\({w}\)|\[{w}\]|\{{{w}\}}|<{w}>)\x20?" for w in ("at", "dot"))
+SPELLED = (
+    r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++"
+    rf"(?:{AT}[A-Za-z0-9-]++(?:(?:{DOT}|\x20dot\x20|\.)[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:(?:{DOT}|\x20dot\x20)[A-Za-z0-9-]++)++)"
+)
+#: Digits in groups, and tokens with a digit or "@" in them; what may stand around an identifier in one.
+CANDIDATE = r"(?<!\S)(?:[\"'`(<\[{]*+[+]?[0-9]++(?:[\x20()\[\]./-]{1,3}[0-9]++)++(?![A-Za-z0-9@])|[^\s0-9@]*+[0-9@]\S*+)"
 OPENING, CLOSING = r"^(?!\([0-9]+\))[\"'`(<\[{]+", r"[\"'`)>\]}.,;:!?*$%&#|]+$"
 #: What a candidate of each kind looks like.
 FITS = {
@@ -187,18 +189,34 @@ def _may_be(fits: str, kind: str) -> Column:
     return F.expr(f"shiftright({fits}, {kind}) & 1 = 1")
 
 
-def candidates(text: Column, base: str) -> Column:
-    """array<struct<start, kind, end, instance, fits, patterns>> of the candidates that meet no base span (the column
-    base); kind: SECRET for keys, else -1."""
-    tokens = _positions(located(text, CANDIDATE, text.rlike("[0-9@]") | text.rlike(AT)))
+def _bracketed(text: Column, word: str) -> Column:
+    marks = [F.contains(text, F.lit(a + word + b)) for a, b in ("()", "[]", "{}", "<>")]
+    return marks[0] | marks[1] | marks[2] | marks[3]
+
+
+def spelled(text: Column, taken: str) -> Column:
+    """Candidates that are addresses spelled out."""
+    dots = F.contains(text, F.lit(" dot ")) | _bracketed(text, "dot")
+    return _drawn(text, SPELLED, _bracketed(text, "at") | F.contains(text, F.lit(" at ")) & dots, taken)
+
+
+def candidates(text: Column, taken: str) -> Column:
+    """Candidates that are digits in groups or tokens with a digit or "@"."""
+    return _drawn(text, CANDIDATE, text.rlike("[0-9@]"), taken)
+
+
+def _drawn(text: Column, pattern: str, probe: Column, taken: str) -> Column:
+    """array<struct<start, kind, end, instance, fits, patterns>> of the matches of a pattern that meet no taken span (a
+    column of _blocks()); kind: SECRET for keys, else -1."""
+    tokens = _positions(located(text, pattern, probe))
     bare = F.transform(tokens, lambda m: F.struct(m["at"].alias("at"), F.regexp_extract(m["found"], OPENING, 0).alias("opening"), F.regexp_replace(F.regexp_replace(m["found"], OPENING, ""), CLOSING, "").alias("found"), m["before"].alias("before"), F.concat(F.regexp_extract(m["found"], CLOSING, 0), m["after"]).alias("after")))
     long = F.filter(bare, lambda m: F.length(m["found"]) >= LEAST)
     kind = lambda m: F.when(m["found"].rlike(KEY), SECRET).otherwise(-1)
     start = lambda m: m["at"] + F.length(m["opening"])
     drawn = F.transform(long, lambda m: F.struct(start(m).alias("start"), kind(m).alias("kind"), (start(m) + F.length(m["found"])).alias("end"), F.xxhash64(m["found"]).alias("instance"), _fits(m["found"]).alias("fits"), _patterns(m["before"], m["found"], m["after"]).alias("patterns")))
     meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
-    held = lambda c: F.exists(base, lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
-    return F.when(F.size(base) == 0, drawn).otherwise(F.filter(drawn, lambda c: ~held(c)))
+    held = lambda c: F.exists(taken, lambda b: meets(b, c) & F.exists(b["spans"], lambda s: meets(s, c)))
+    return F.when(F.size(taken) == 0, drawn).otherwise(F.filter(drawn, lambda c: ~held(c)))
 
 
 def scored(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -225,12 +243,14 @@ def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, confidence: flo
     """The kept columns, base (array of kind, start, end), extra (the same, discovered by context) and secrets (the same,
     keys) of every row."""
     body, seeds, blocks, row, contexts, id_, more = fresh([*keep, "base", "extra", "secrets"], "__text", "__seeds", "__blocks", "__row", "__contexts", "__id", "__extra")
+    (said,) = fresh([*keep, body, seeds, blocks], "__said")
     text = F.coalesce(F.col(body), F.lit(""))
     rows = docs.select(*keep, F.col("text").alias(body))
     seen = rows.select(*keep, text.alias(body), entities(text).alias(seeds))
-    base = F.transform(seeds, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    seen = seen.select(*keep, body, seeds, base.alias("base")).withColumn(blocks, _blocks(F.col("base")))
-    found = materialize(seen.select(*keep, "base", F.concat(F.col(seeds), candidates(F.col(body), blocks)).alias(contexts)).withColumn(row, F.monotonically_increasing_id()))
+    spans = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    seen = seen.select(*keep, body, seeds, spans(seeds).alias("base")).withColumn(blocks, _blocks(F.col("base")))
+    seen = seen.withColumn(said, spelled(F.col(body), blocks)).withColumn(blocks, F.when(F.size(said) > 0, _blocks(F.concat("base", spans(said)))).otherwise(F.col(blocks)))
+    found = materialize(seen.select(*keep, "base", F.concat(F.col(seeds), F.col(said), candidates(F.col(body), blocks)).alias(contexts)).withColumn(row, F.monotonically_increasing_id()))
 
     # the pattern-instance graph, aggregated over all texts
     each = found.select(row, F.explode(contexts).alias("c")).select(F.col(row).alias("row"), "c.*")

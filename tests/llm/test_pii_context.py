@@ -101,14 +101,19 @@ def brute(texts, rounds=pii.ROUNDS, confidence=pii.CONFIDENCE, support=pii.SUPPO
                 if valid(k, found):
                     base.append((a, a + len(found)))
                     rows.append((d, a, k, a + len(found), found, 1 << k, patterns(before, found, after)))
-        for a, found, before, after in occurrences(text, pii.CANDIDATE):
+        taken, said = list(base), []
+        for a, found, before, after in [*occurrences(text, pii.SPELLED), ("then",) * 4, *occurrences(text, pii.CANDIDATE)]:
+            if a == "then":  # tokens of an address that is spelled out aren't candidates of their own
+                taken += said
+                continue
             opening, bare = java(pii.OPENING).match(found), found
             if opening:
                 a, bare = a + len(opening[0]), found[len(opening[0]) :]
             bare = java(pii.CLOSING).sub("", bare)
             closing = java(pii.CLOSING).search(found)
-            if len(bare) < pii.LEAST or any(a < y and x < a + len(bare) for x, y in base):
+            if len(bare) < pii.LEAST or any(a < y and x < a + len(bare) for x, y in taken):
                 continue
+            said.append((a, a + len(bare)))
             fits = sum(1 << k for k, name in enumerate(pii.NAMES) if java(pii.FITS[name]).search(bare))
             kind = pii.SECRET if java(pii.KEY).search(bare) else -1
             rows.append((d, a, kind, a + len(bare), bare, fits, patterns(before, bare, (closing[0] if closing else "") + after)))
