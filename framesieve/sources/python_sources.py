@@ -6,7 +6,6 @@ import ast
 import glob
 import os
 import posixpath
-import shutil
 import sqlite3
 import struct
 import uuid
@@ -35,14 +34,17 @@ def npy_header(data: bytes) -> tuple[tuple[int, ...], str, bool, int]:
     return tuple(head["shape"]), head["descr"], head["fortran_order"], at + size
 
 
-def opened(path: str):
-    """A file, by path or URI, for reading anywhere in it: in any file system that pyarrow knows."""
+def placed(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, of any that pyarrow knows, and the path in it."""
     scheme, _, rest = path.partition(":")
     if scheme == "file":
         path = unquote("/" + rest.lstrip("/"))
-    if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
-    system, inner = fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def opened(path: str):
+    """A file, by path or URI, for reading anywhere in it."""
+    system, inner = placed(path)
     return system.open_input_file(inner)
 
 
@@ -137,15 +139,13 @@ class _NpyReader(DataSourceReader):
             dtype = np.dtype(kind)
             if dtype.hasobject:
                 raise ValueError(f"{partition.path}: objects aren't read")
-            f.seek(start)
-            whole = np.frombuffer(f.read(), dtype).reshape(shape, order="F") if by_column else None
             for low in range(partition.low, partition.high, BATCH_ROWS):
                 high = min(low + BATCH_ROWS, partition.high)
-                if whole is None:
-                    f.seek(start + low * self.dim * dtype.itemsize)
-                    part = np.frombuffer(f.read((high - low) * self.dim * dtype.itemsize), dtype)
+                if by_column:  # the rows' part of each column
+                    columns = [f.read_at((high - low) * dtype.itemsize, start + (j * shape[0] + low) * dtype.itemsize) for j in range(self.dim)]
+                    part = np.frombuffer(b"".join(columns), dtype).reshape(self.dim, -1).T
                 else:
-                    part = whole[low:high]
+                    part = np.frombuffer(f.read_at((high - low) * self.dim * dtype.itemsize, start + low * self.dim * dtype.itemsize), dtype)
                 part = np.ascontiguousarray(part, np.float32).reshape(-1)
                 ends = pa.array(np.arange(0, part.size + 1, self.dim, dtype=np.int32))
                 vectors = pa.ListArray.from_arrays(ends, pa.array(part))
@@ -154,7 +154,7 @@ class _NpyReader(DataSourceReader):
 
 class NpySink(DataSource):
     """Writes (row_id, embedding), in order of row_id, as one NPY matrix of 32-bit floats; options path, dim.  Each task
-    leaves a part beside the file; the commit joins them, a part at a time."""
+    leaves a part beside the file, in whatever file system the path names; the commit joins them, 16 MB at a time."""
 
     @classmethod
     def name(cls) -> str:
@@ -175,7 +175,8 @@ class _NpyWriter(DataSourceWriter):
 
     def write(self, iterator):
         part, rows, first = f"{self.path}.{uuid.uuid4().hex}.part", 0, -1
-        with open(part, "wb") as f:
+        system, inner = placed(part)
+        with system.open_output_stream(inner) as f:
             for row in iterator:
                 vector = np.asarray(row["embedding"], "<f4")
                 if len(vector) != self.dim:
@@ -187,17 +188,21 @@ class _NpyWriter(DataSourceWriter):
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.first)
-        with open(self.path, "wb") as out:
+        system, inner = placed(self.path)
+        with system.open_output_stream(inner) as out:
             np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (sum(m.rows for m in parts), self.dim)})
             for m in parts:
-                with open(m.path, "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 24)
+                with system.open_input_stream(placed(m.path)[1]) as f:
+                    while data := f.read(1 << 24):
+                        out.write(data)
         self.abort(messages)
 
     def abort(self, messages):
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None:
+                system, inner = placed(m.path)
+                if system.get_file_info(inner).type == fs.FileType.File:
+                    system.delete_file(inner)
 
 
 def _database(path: str):
