@@ -8,6 +8,7 @@ modulo 2**64.  A null text is treated as the empty text everywhere.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -155,7 +156,7 @@ def materialize(df: DataFrame) -> DataFrame:
     depend on the executors that made it, so that Spark may delete the step's shuffle files at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/framesieve-{uuid.uuid4().hex}"
-    for paths in _scratch:
+    for paths in _open():
         paths.append(path)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
@@ -166,7 +167,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_scratch: list[list[str]] = []
+_scratch = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """The lists of the scratch() blocks that this thread is in: another thread's steps are none of theirs."""
+    if not hasattr(_scratch, "lists"):
+        _scratch.lists = []
+    return _scratch.lists
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -187,11 +195,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end whatever materialize() wrote within it: around the writing of a result that operators made,
     it leaves none of their steps behind."""
     paths: list[str] = []
-    _scratch.append(paths)
+    _open().append(paths)
     try:
         yield
     finally:
-        _scratch[:] = [x for x in _scratch if x is not paths]
+        _scratch.lists = [x for x in _open() if x is not paths]
         for path in paths:
             _delete(spark, path)
 

@@ -70,3 +70,31 @@ def test_a_million_repeated_words(spark):
     made = {r.doc_id: [(m.item_id, m.coverage) for m in r.matches] for r in decontaminate.decontaminate(docs, items, ["doc_id"]).withColumn("n", F.lit(1)).collect()}
     assert made == {1: [(1, 1.0)], 2: [(2, 1.0)], 3: []}
     assert time.time() - began < 60
+
+
+def test_scratch_of_two_threads(spark):
+    """A thread's end of scratch deletes its own steps only."""
+    import os
+    import threading
+
+    from framesieve.llm import common
+
+    inside, done, kept = threading.Event(), threading.Event(), []
+
+    def other():
+        with common.scratch(spark):
+            kept.append(common.materialize(spark.range(5)))
+            inside.set()
+            done.wait(60)
+            assert kept[0].count() == 5
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with common.scratch(spark):
+        own = common.materialize(spark.range(3))
+        folder = own.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert not os.path.exists(folder) and kept[0].count() == 5
+    done.set()
+    thread.join()
+    assert not common._open()
