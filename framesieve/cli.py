@@ -121,12 +121,13 @@ def _window_sources(spark: SparkSession, a, prober):
     return videos, models.probe_videos(videos, prober or containers.prober).where("frame_count > 0").select("video_id", "frame_count")
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, encoder=models.hashing_encoder, prober=None, decoder=None, scorer=None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, encoder=models.hashing_encoder, prober=None, decoder=None, scorer=None, second_encoder=None) -> int:
     """encoder(dim), decoder and scorer stand for the text model, the video decoder and the scorer of decoded frames
-    (operators.decoding), which are injected; without a prober videos' own headers are read."""
+    (operators.decoding), which are injected; without a prober videos' own headers are read.  second_encoder(queries, text,
+    out) adds the second channel's vectors, as models.encode_ids does; without it they come from encoder, too."""
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("framesieve").getOrCreate()
-    return _COMMANDS[a.command](spark, a, encoder, prober, decoder, scorer)
+    return _COMMANDS[a.command](spark, a, encoder, prober, decoder, scorer, second_encoder)
 
 
 def _say(**x) -> None:
@@ -223,7 +224,7 @@ def _config(a) -> RetrieveConfig:
     return RetrieveConfig(rrf_k=a.evidence_rrf_k, radius=a.radius_frames, max_decode=a.max_decode_frames, channel2_weight=getattr(a, "second_weight", 0.35))
 
 
-def _answers(spark, a, queries, encoder, prober, decoder, scorer, localize_top_k: int | None, k: int):
+def _answers(spark, a, queries, encoder, prober, decoder, scorer, second_encoder, localize_top_k: int | None, k: int):
     """Answers to queries (query_id, query_text[, translated][, vector])."""
     frames, searcher = _index(spark, a.index) if a.index else files.read_table(spark, a.manifest), None
     if a.index and _in_cells(spark, a.index):
@@ -240,7 +241,8 @@ def _answers(spark, a, queries, encoder, prober, decoder, scorer, localize_top_k
     second = None
     if a.second_channel:
         wide = len(frames.select("embedding2").first()["embedding2"])
-        second = models.encode_text(queries.select("query_id", "query_text"), "query_text", lambda: encoder(wide), "vector").select("query_id", "vector")
+        by = second_encoder or (lambda df, text, out: models.encode_text(df, text, lambda: encoder(wide), out))
+        second = by(queries.select("query_id", "query_text"), "query_text", "vector").select("query_id", "vector")
     videos, counts = _window_sources(spark, a, prober)
     fine = None
     if a.fine_score:

@@ -42,6 +42,45 @@ def encode_text(df: DataFrame, text: str, factory: Callable[[], Callable[[list[s
     return df.withColumn(out, run(F.col(text)))
 
 
+#: What a second encoder's model takes: ids of a text's begin, padding and end, how many ids, and the vectors' width (fixed values).
+BEGIN, PAD, STOP, LIMIT, WIDTH = 0, 1, 2, 64, 1024
+
+
+def padded(ids: list[list[int]], limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, limit) ids with begin and end, longer texts cut so that both stay, and where they are padding."""
+    out, padding = np.full((len(ids), limit), PAD, np.int64), np.ones((len(ids), limit), bool)
+    for row, free, own in zip(out, padding, ids, strict=True):
+        held = [BEGIN, *own[: limit - 2], STOP]
+        row[: len(held)], free[: len(held)] = held, False
+    return out, padding
+
+
+def encode_ids(
+    df: DataFrame, text: str, tokenizer: Callable[[], Callable[[str], list[int]]], model: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+    out: str = "vector", limit: int = LIMIT, width: int = WIDTH, batch: int = 32,
+) -> DataFrame:
+    """df with the unit vectors of a model that takes token ids: tokenizer() gives ids(text) without begin and end, model()
+    gives vectors(ids, padding), both made once in a task.  Vectors of another width, or of length zero, are errors."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids, vectors = tokenizer(), model()
+        for s in batches:
+            texts, made = s.fillna("").tolist(), []
+            for low in range(0, len(texts), batch):
+                part = texts[low : low + batch]
+                got = np.asarray(vectors(*padded([ids(t) for t in part], limit)), float)
+                if got.shape != (len(part), width):
+                    raise ValueError(f"expected {len(part)} vectors of width {width}, found {got.shape}")
+                norms = np.linalg.norm(got, axis=1, keepdims=True)
+                if not (norms > 0).all():
+                    raise ValueError("zero-norm vector")
+                made += list((got / norms).astype(np.float32))
+            yield pd.Series(made, dtype=object)
+
+    return df.withColumn(out, run(F.col(text)))
+
+
 def grounded_scorer(text_vector: list[float], image_scores: Callable[[np.ndarray, list], list[float]]) -> Callable[[], Callable[[list], list[float]]]:
     """A scorer factory around one text vector, normalised once."""
     vector = np.asarray(text_vector, np.float32).reshape(-1)
