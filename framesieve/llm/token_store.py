@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
 
     # rows of one key part by their contents, and identical ones by where they were written, so that no key is one task's
     order = ["doc_id", "n_ids", "crc", "__place"]
-    placed = rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__place"))
+    placed = rows.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__place"))
     made = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "frame").mapInArrow(run, MANIFEST)
     made.write.parquet(f"{folder}/manifest")
     discard(rows)
