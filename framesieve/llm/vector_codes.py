@@ -253,6 +253,8 @@ def _updated(written: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
 
 def encode(vectors: DataFrame, keep: list[str], key: str = "vec_id", vector: str = "embedding", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> Codes:
     """Codes of all vectors that are whole and finite, with the codebooks that k-means ends with."""
+    if parts < 1 or not 1 <= entries <= 256:
+        raise ValueError("at least one part, and 1 to 256 entries of two hex digits each")
     spark = vectors.sparkSession
     bound_batches(spark)
     kind = vectors.schema[vector].dataType

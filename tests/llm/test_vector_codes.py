@@ -72,6 +72,12 @@ def test_repeats_nulls_and_widths(spark):
     assert one.decode("00000000") == [256] * 8 and one.rows.first().error == 0
 
 
+def test_entries_are_two_digits(spark):
+    for wrong in ({"entries": 257}, {"entries": 0}, {"parts": 0}):
+        with pytest.raises(ValueError):
+            vector_codes.encode(table(spark, []), ["vec_id"], **wrong)
+
+
 def test_label_errors(spark):
     rows = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, 1, 7), (4, 1, None), (5, 2, None)], "vec_id long, label int, error long")
     made = {r.vec_id: r.label_error for r in vector_codes.label_errors(rows, rows.label).collect()}
