@@ -14,6 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label around every node and then that label's own label, so that the
     number of rounds grows with the logarithm of the longest chain in all but contrived graphs; it ends
     when no label changes.  Rounds are written to the shared folder.
+
+    A hub's edges, or a label that many nodes have, are one key of a join, of which the other side has one row: adaptive
+    execution splits such keys over tasks.  The smallest labels around a node are merged before they are shuffled.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
