@@ -17,7 +17,7 @@ from .config import RetrieveConfig
 from .functions.text import stem, task_type
 from .functions.vector import normalized
 from .operators import manifest as m
-from .operators import cells, search
+from .operators import cells, evidence, search
 from .plans import audit, pipeline
 from .schemas import EVIDENCE, GROUND_TRUTH, VIDEO_MANIFEST
 from .sources import containers, files, models, python_sources
@@ -41,7 +41,8 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(f"--{o}", default=default, type=type(default) if default is not None else str)
 
     # fixed values: where files lie that are used if they exist
-    stores = {f"{kind}-db": f"artifacts/{kind}.sqlite" for kind in STORES} | {"evidence-rrf-k": 60}
+    dbs = {f"{kind}-db": f"artifacts/{kind}.sqlite" for kind in STORES}
+    stores = dbs | {"evidence-index": None, "evidence-rrf-k": 60}
     support = {"media-info-dir": "data/media_info", "objects-dir": "data/objects"}
     window = {"videos-dir": None, "video-manifest": None, "radius-frames": 24, "max-decode-frames": 96, "fine-score": False}
     channel = {"second-channel": False, "second-weight": 0.35}
@@ -50,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     command("dataset-index", ("clip-dir", "mapping-dir", "keyframes-dir", "output-manifest"), {"objects-dir": None, "dim": 512, "output-embeddings": None, "report-output": None})
     command("build-index", ("manifest", "output-index"), {"metadata-output": None, "cells": 0})
     command("inspect-evidence", ("db",))
+    command("evidence-index", ("name",), dbs)
     command("retrieve", ("manifest", "query", "output"), stores | support | window | channel | index | {"query-translated": None, "query-embedding": None, "top-k": 100})
     command("benchmark", ("queries", "manifest", "output-dir"), stores | support | window | channel | index | {"query-column": "Trans", "ground-truth": None, "localize-top-k": 0, "frame-tolerance": 10, "top-k": 100})
     command("benchmark-unified", ("queries", "manifest", "output-dir"), stores | support | window | channel | index | {"query-column": "Description", "translated-query-column": "Trans", "task-prefix": [], "top-k": 100})
@@ -71,7 +73,10 @@ def _modalities(spark: SparkSession, a) -> list[str]:
 
 
 def _evidence(spark: SparkSession, a):
-    """A function that gives the texts about videos of all stores whose files exist; None without any."""
+    """The index that is named, or a function that gives the texts about videos of all stores whose files exist; None
+    without any."""
+    if a.evidence_index:
+        return evidence.read(spark, a.evidence_index)
     stores = [(kind, getattr(a, f"{kind}_db")) for kind in _modalities(spark, a)]
     if not stores:
         return None
@@ -86,6 +91,19 @@ def _evidence(spark: SparkSession, a):
     return of
 
 
+def _evidence_index(spark, a, *_) -> int:
+    """Writes the inverted index of all stores whose files exist, as tables of that name."""
+    python_sources.register(spark)
+    read = lambda kind, path: spark.read.format("sqlite_evidence").option("modality", kind).load(path) if path.endswith((".db", ".sqlite")) else files.read_json_evidence(spark, path, kind)
+    kinds = _modalities(spark, a)
+    if not kinds:
+        raise SystemExit("evidence-index needs a store")
+    evidence.write(evidence.build(reduce(DataFrame.unionByName, (read(kind, getattr(a, f"{kind}_db")) for kind in kinds))), a.name)
+    made = evidence.read(spark, a.name)
+    _say(name=a.name, postings=made.postings.count(), videos=made.present.select("video_id").distinct().count(), evidence_modalities=kinds)
+    return 0
+
+
 def _support(spark: SparkSession, a) -> dict[str, bool]:
     """Whether there are folders of object and media documents."""
     return {f"{name}_enabled": bool(path) and files.exists(spark, path) for name, path in (("metadata", a.media_info_dir), ("objects", a.objects_dir))}
@@ -251,7 +269,7 @@ def _answers(spark, a, queries, encoder, prober, decoder, scorer, second_encoder
         score = pipeline.fine_scorer(videos, decoder, scorer, ("query_text", "vector"), counts, config)
         fine = lambda head: score(head.join(queries.select("query_id", "vector"), "query_id"))
     return pipeline.run(
-        _supported(frames, a), queries, k, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k, frame_counts=counts, fine=fine, stores=tuple(_modalities(spark, a)), searcher=searcher,
+        _supported(frames, a), queries, k, evidence=_evidence(spark, a), second=second, config=config, localize_top_k=localize_top_k, frame_counts=counts, fine=fine, stores=None if a.evidence_index else tuple(_modalities(spark, a)), searcher=searcher,
     )
 
 
@@ -318,7 +336,7 @@ def _audit(spark, a, *_) -> int:
 
 
 _COMMANDS = {
-    "video-manifest": _video_manifest, "dataset-index": _dataset_index, "build-index": _build_index, "inspect-evidence": _inspect_evidence, "retrieve": _retrieve, "benchmark": _benchmark,
+    "video-manifest": _video_manifest, "dataset-index": _dataset_index, "build-index": _build_index, "inspect-evidence": _inspect_evidence, "evidence-index": _evidence_index, "retrieve": _retrieve, "benchmark": _benchmark,
     "benchmark-unified": _benchmark_unified, "ground-truth-template": _template, "ordered-matrix": _ordered_matrix, "index-diagnostics": _index_diagnostics, "validate": _validate, "audit": _audit,
 }
 

@@ -67,3 +67,16 @@ def test_commands_find_stores(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["evidence_modalities"] == ["asr", "ocr"]
     rows = {r.video_id: r for r in spark.read.json(str(tmp_path / "r")).collect()}
     assert rows["V2"]["rank"] == 1 and rows["V2"].evidence_score == 1 and rows["V1"].evidence_score == 0 and rows["V1"].evidence_modalities == "asr,ocr"
+    assert cli.main(["evidence-index", "--name", "found_stores", "--asr-db", path, "--ocr-db", empty], spark) == 0
+    try:
+        said = json.loads(capsys.readouterr().out.splitlines()[-1])
+        assert (said["postings"], said["videos"]) == (4, 2)
+        assert cli.main([*args, "--evidence-index", "found_stores"], spark) == 0
+        again = {r.video_id: r for r in spark.read.json(str(tmp_path / "r")).collect()}
+        assert {v: (r["rank"], r.evidence_score) for v, r in again.items()} == {v: (r["rank"], r.evidence_score) for v, r in rows.items()}
+        assert again["V1"].evidence_modalities == "asr"  # a store without a text isn't in the index
+    finally:
+        for part in ("postings", "present"):
+            spark.sql(f"DROP TABLE IF EXISTS found_stores_{part}")
+    with pytest.raises(SystemExit):
+        cli.main(["evidence-index", "--name", "none", "--asr-db", str(tmp_path / "missing.sqlite")], spark)
