@@ -59,3 +59,43 @@ def test_written_index(spark, given):
     finally:
         for part in ("postings", "present"):
             spark.sql(f"DROP TABLE IF EXISTS evidence_test_{part}")
+
+
+def shuffled(spark, group, run):
+    """Records that the jobs of run() wrote for shuffles."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in context.statusTracker().getJobIdsForGroup(group) for s in context.statusTracker().getJobInfo(j).stageIds}
+    made = [context._jsc.sc().statusStore().lastStageAttempt(s) for s in sorted(stages)]
+    return sum(s.shuffleWriteRecords() for s in made if str(s.status()) == "COMPLETE")
+
+
+def test_pairs_are_not_shuffled(spark):
+    asked = spark.range(300).selectExpr("id AS query_id", "'V' AS video_id", "id AS best_frame_id", "concat('red car number ', id) AS query_text")
+    docs = spark.range(2000).selectExpr("if(id % 2 = 0, 'asr', 'ocr') AS modality", "'V' AS video_id", "id AS frame_id", "concat('red number ', id % 500) AS text").repartition(4)
+    made = []
+    records = shuffled(spark, "pairs", lambda: made.extend(rows(evidence.scores(asked, docs))))
+    assert made == rows(one_by_one(asked, docs)) and len(made) == 600
+    assert records < 20_000  # a record of each pair that shares a word would be 600,000
+
+
+@pytest.mark.parametrize("block,counted", [(40, 10_000), (500_000, 1), (7, 3)])
+def test_blocks_and_parts(spark, given, monkeypatch, block, counted):
+    candidates, docs = given
+    monkeypatch.setattr(evidence, "BLOCK", block)
+    monkeypatch.setattr(evidence, "COUNTED", counted)
+    assert rows(evidence.scores(candidates, docs)) == rows(one_by_one(candidates, docs))
+    index = evidence.build(docs)
+    assert rows(evidence.scores(candidates, evidence.EvidenceIndex(index.postings, index.present))) == rows(one_by_one(candidates, docs))
+
+
+def test_repeated_candidates_and_far_frames(spark):
+    last = 2**63 - 1
+    asked = spark.createDataFrame([(1, "V", last, "red car"), (1, "V", last, "red car"), (2, "V", -last, "red car"), (3, "V", 5, "")], "query_id long, video_id string, best_frame_id long, query_text string")
+    docs = spark.createDataFrame([("asr", "V", str(-last), "red car"), ("ocr", "V", str(last), "red")], "modality string, video_id string, frame_id string, text string")
+    assert rows(evidence.scores(asked, docs)) == [(1, "V", "asr", 0.5), (1, "V", "ocr", 0.5), (2, "V", "asr", 1.0), (2, "V", "ocr", 0.25), (3, "V", "asr", 0.0), (3, "V", "ocr", 0.0)]
