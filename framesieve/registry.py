@@ -66,9 +66,9 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def _hits(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
+def _hits(spark: SparkSession, sf: str, k: int = 200, asked: DataFrame | None = None) -> DataFrame:
     frames = _frames(spark, sf)
-    return search.search_batch(frames, _asked(spark, sf), k).join(frames.drop("embedding"), "row_id")
+    return search.search_batch(frames, _asked(spark, sf) if asked is None else asked, k).join(frames.drop("embedding"), "row_id")
 
 
 def _hits2(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
@@ -226,8 +226,9 @@ def _stores(spark, sf) -> DataFrame:
 
 
 def _candidates(spark, sf) -> DataFrame:
-    videos = search.video_evidence(_hits(spark, sf), 5, ("query_id",))
     texts = _t(spark, sf, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.col("text").alias("query_text"))
+    # queries without a text have no candidates, and aren't searched
+    videos = search.video_evidence(_hits(spark, sf, asked=_asked(spark, sf).join(texts, "query_id", "left_semi")), 5, ("query_id",))
     brands = _t(spark, sf, "part").groupBy(F.concat(F.lit("V"), F.lpad((F.col("p_partkey") % 10).cast("string"), 3, "0")).alias("video_id")).agg(F.min("p_name").alias("object_text"), F.max("p_type").alias("metadata_text"))
     return videos.join(texts, "query_id").join(brands, "video_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("object_text", "metadata_text")})
 

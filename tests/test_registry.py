@@ -35,3 +35,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_only_queries_with_a_text_are_searched(spark, sf, tmp_path, monkeypatch):
+    for name in ("embeddings", "part", "documents"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id < 2").write.parquet(str(tmp_path / "benchmark.parquet"))
+    asked, search_batch = [], registry.search.search_batch
+    monkeypatch.setattr(registry.search, "search_batch", lambda frames, queries, *a, **k: asked.append(queries.count()) or search_batch(frames, queries, *a, **k))
+    made = registry.rrf_fusion(spark, str(tmp_path)).collect()
+    assert asked == [2] and {r.query_id for r in made} == {0, 100}
+    everything = {(r.query_id, r.video_id): r.evidence_score for r in registry.rrf_fusion(spark, sf).collect()}
+    assert all(everything[r.query_id, r.video_id] == r.evidence_score for r in made)
