@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesieve.functions.text import lexical_overlap
-from framesieve.operators import evidence
+from framesieve.operators import evidence, fuse
 
 WORDS = ["red", "car", "sky", "a", "blue", "über", "x1", "THE", "the"]
 
@@ -99,3 +99,21 @@ def test_repeated_candidates_and_far_frames(spark):
     asked = spark.createDataFrame([(1, "V", last, "red car"), (1, "V", last, "red car"), (2, "V", -last, "red car"), (3, "V", 5, "")], "query_id long, video_id string, best_frame_id long, query_text string")
     docs = spark.createDataFrame([("asr", "V", str(-last), "red car"), ("ocr", "V", str(last), "red")], "modality string, video_id string, frame_id string, text string")
     assert rows(evidence.scores(asked, docs)) == [(1, "V", "asr", 0.5), (1, "V", "ocr", 0.5), (2, "V", "asr", 1.0), (2, "V", "ocr", 0.25), (3, "V", "asr", 0.0), (3, "V", "ocr", 0.0)]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Frames of one video, queries that all have it as their candidate, and its texts."""
+    frames = spark.range(40).selectExpr("id AS row_id", "'V' AS video_id", "id AS keyframe_idx", "30 * id AS original_frame_id", "double(id) AS pts_time", "array(1.0, double(id)) AS embedding")
+    asked = spark.range(300).selectExpr("id AS query_id", "concat('red car number ', id) AS query_text", "array(1.0, double(id % 40)) AS vector")
+    docs = spark.range(2000).selectExpr("if(id % 2 = 0, 'asr', 'ocr') AS modality", "'V' AS video_id", "id AS frame_id", "concat('red number ', id % 500) AS text").repartition(4)
+    return frames, asked, docs
+
+
+def test_fused_scores_shuffle_no_pairs(spark, many):
+    _, asked, docs = many
+    candidates = asked.selectExpr("query_id", "'V' AS video_id", "query_text", "1.0 AS retrieval_score", "'' AS object_text", "'red' AS metadata_text", "query_id % 40 * 30 AS best_frame_id")
+    made = []
+    records = shuffled(spark, "fused", lambda: made.extend(fuse.multimodal(candidates, docs).select("query_id", "evidence_score", "fused_score").collect()))
+    # the only candidate has a query's largest score and evidence, and one word in three or four with its video's metadata
+    assert len(made) == 300 and all(r.evidence_score == 1 and 0.85 < r.fused_score < 0.9 for r in made) and records < 30_000
