@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framesieve.functions.text import lexical_overlap
 from framesieve.operators import evidence, fuse
+from framesieve.plans import pipeline
 
 WORDS = ["red", "car", "sky", "a", "blue", "über", "x1", "THE", "the"]
 
@@ -117,3 +118,10 @@ def test_fused_scores_shuffle_no_pairs(spark, many):
     records = shuffled(spark, "fused", lambda: made.extend(fuse.multimodal(candidates, docs).select("query_id", "evidence_score", "fused_score").collect()))
     # the only candidate has a query's largest score and evidence, and one word in three or four with its video's metadata
     assert len(made) == 300 and all(r.evidence_score == 1 and 0.85 < r.fused_score < 0.9 for r in made) and records < 30_000
+
+
+def test_retrieve_shuffles_no_pairs(spark, many):
+    frames, asked, docs = many
+    made = []
+    records = shuffled(spark, "retrieve", lambda: made.extend(pipeline.retrieve(frames, asked, docs).collect()))
+    assert len(made) == 300 and {r["rank"] for r in made} == {1} and {r.evidence_modalities for r in made} == {"asr,ocr"} and records < 60_000
