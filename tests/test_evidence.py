@@ -125,3 +125,10 @@ def test_retrieve_shuffles_no_pairs(spark, many):
     made = []
     records = shuffled(spark, "retrieve", lambda: made.extend(pipeline.retrieve(frames, asked, docs).collect()))
     assert len(made) == 300 and {r["rank"] for r in made} == {1} and {r.evidence_modalities for r in made} == {"asr,ocr"} and records < 60_000
+
+
+def test_run_shuffles_no_pairs(spark, many):
+    frames, asked, docs = many
+    made = []
+    records = shuffled(spark, "run", lambda: made.extend(pipeline.run(frames, asked, 20, evidence=docs, localize_top_k=3).collect()))
+    assert len(made) == 300 and all(r.start_frame <= r.semantic_keyframe <= r.end_frame for r in made) and records < 100_000
